@@ -14,6 +14,7 @@ twice; an empty table gives an empty result. Sequence ids are unique, not gaples
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
 
 LENGTH = 4096
 #: Tokens of padding that a cut inside a document may save before it pays.
@@ -34,41 +35,71 @@ BLOCK_TOKENS = 64 * LENGTH
 #: Positions where a cut inside a sentence is considered.
 STRIDE = 256
 #: Words whose ids a task keeps at most.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
 END_ID = 2
+END_BYTES = np.array([END_ID], "<u4").tobytes()
 
 
 class WordIds(dict):
     """Little-endian 32-bit ids of each word between white space. Ids of a text are those of its words one after another, as the
-    tokenizer drops white space and never joins over it."""
+    tokenizer drops white space and never joins over it. New words are encoded many at a time, with a special token between."""
+
+    BETWEEN, BETWEEN_ID, AT_ONCE = "<|endoftext|>", 49407, 256
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.encode = Tokenizer.from_file(path).encode
-
-    def __missing__(self, word: str) -> bytes:
-        if len(self) >= CACHE_WORDS:
-            self.clear()
-        out = np.asarray(self.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
-        self[word] = out
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-def token_stream(text: str, words: WordIds) -> tuple[bytes, np.ndarray]:
-    """Ids with the end id, and the token positions after which a sentence ends."""
-    parts = text.split()
+    def learn(self, words: set[str]) -> None:
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > CACHE_WORDS:
+            self.clear()
+            new = list(words)
+        odd = [w for w in new if "<|" in w]
+        for w in odd:
+            self[w] = self.ids(w).tobytes()
+        if odd:
+            new = [w for w in new if "<|" not in w]
+        for k in range(0, len(new), self.AT_ONCE):
+            some = new[k : k + self.AT_ONCE]
+            ids = self.ids(f" {self.BETWEEN} ".join(some))
+            cut = np.flatnonzero(ids == self.BETWEEN_ID) * 4
+            data = ids.tobytes()
+            for w, a, b in zip(some, [0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True):
+                self[w] = data[a:b]
+
+
+_known: dict[str, WordIds] = {}
+
+
+def known_words(path: str) -> WordIds:
+    """One cache for each Python worker and tokenizer; it outlives tasks."""
+    if path not in _known:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        _known[path] = WordIds(path)
+    return _known[path]
+
+
+def token_stream(parts: list[str], words: WordIds) -> tuple[bytes, np.ndarray]:
+    """Ids of learned words with the end id, and the token positions after which a sentence ends."""
     coded = [words[w] for w in parts]
-    ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) // 4
-    stops = np.fromiter((w[-1] in ".!?…" for w in parts), np.bool_, len(parts))
-    return b"".join(coded) + np.uint32(END_ID).astype("<u4").tobytes(), ends[stops]
+    ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) >> 2
+    stops = [i for i, w in enumerate(parts) if w[-1] in ".!?"]
+    return b"".join(coded) + END_BYTES, ends[stops]
 
 
 def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
     """Indices of the chosen boundaries. positions: increasing, from 0, steps of `length` at most; the last one is taken."""
     at, penalty = positions.tolist(), penalties.tolist()
-    index = {p: i for i, p in enumerate(at)}
-    powers = [1 << k for k in range(length.bit_length() - 1)]
+    exact: dict[int, list[int]] = {}  # predecessors at a power of two
+    for k in range(length.bit_length() - 1):
+        i = np.searchsorted(positions, positions - (1 << k))
+        for j in np.flatnonzero(positions[i] == positions - (1 << k)).tolist():
+            exact.setdefault(j, []).append(int(i[j]))
     cost, back = [0.0] * len(at), [0] * len(at)
     queue: deque[int] = deque([0])  # increasing cost + position
     for j in range(1, len(at)):
@@ -77,9 +108,8 @@ def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) ->
             queue.popleft()
         i = queue[0]
         best = cost[i] + length - (p - at[i])
-        for step in powers:
-            k = index.get(p - step)
-            if k is not None and cost[k] < best:
+        for k in exact.get(j, ()):
+            if cost[k] < best:
                 best, i = cost[k], k
         cost[j], back[j] = best + penalty[j], i
         key = cost[j] + p
@@ -93,15 +123,13 @@ def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) ->
     return chosen[::-1]
 
 
-def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int, tail: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Candidate cuts of a stream and their penalties. tail: also cuts that leave powers of two before the end."""
+def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Candidate cuts of a stream and their penalties; among them cuts that leave powers of two before the end."""
     total = int(doc_ends[-1])
-    free = np.arange(STRIDE, total, STRIDE)
-    if tail:
-        rest, steps = total, []
-        for k in range(length.bit_length() - 2, -1, -1):
-            steps += [total - (total % length % (2 << k)), total - (1 << k)]
-        free = np.concatenate([free, [s for s in steps if 0 < s < rest]])
+    steps = []
+    for k in range(length.bit_length() - 2, -1, -1):
+        steps += [total - (total % length % (2 << k)), total - (1 << k)]
+    free = np.concatenate([np.arange(STRIDE, total, STRIDE), np.array([s for s in steps if 0 < s < total], np.int64)])
     every = np.concatenate([free, sentence_ends, doc_ends])
     price = np.concatenate([np.full(len(free), WORD_CUT), np.full(len(sentence_ends), SENTENCE_CUT), np.zeros(len(doc_ends))])
     order = np.lexsort((price, every))
@@ -117,15 +145,15 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, block_token
     """Pieces of all documents (doc_id, text): see PIECES; a piece lies in sequence_id from offset on."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequence = WordIds(tokenizer_path), TaskContext.get().partitionId() << 33
+        words, sequence = known_words(tokenizer_path), TaskContext.get().partitionId() << 33
 
-        def packed(block: list[tuple[int | None, bytes, np.ndarray]], last: bool) -> pa.RecordBatch:
+        def packed(block: list[tuple[int | None, bytes, np.ndarray]]) -> pa.RecordBatch:
             nonlocal sequence
             sizes = np.array([len(ids) // 4 for _, ids, _ in block], np.int64)
             ends = np.cumsum(sizes)
             starts = ends - sizes
             stops = np.concatenate([s + b for (_, _, s), b in zip(block, starts, strict=True)])
-            at, price = boundaries(ends, stops, length, True)
+            at, price = boundaries(ends, stops, length)
             cuts = at[[0, *plan(at, price, length)]]
             edges = np.unique(np.concatenate([cuts, ends, starts]))  # piece borders: cuts and document borders
             left, right = edges[:-1], edges[1:]
@@ -142,15 +170,18 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, block_token
 
         block, held = [], 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids, stops = token_stream(text.as_py() or "", words)
-                block.append((doc_id, ids, stops))
-                held += len(ids) // 4
-                if held >= block_tokens:
-                    yield packed(block, False)
-                    block, held = [], 0
+            for part, _, _ in slices(batch, "text"):
+                split = [(text or "").split() for text in part.column(1).to_pylist()]
+                words.learn(set().union(*split))
+                for doc_id, parts in zip(part.column(0).to_pylist(), split, strict=True):
+                    ids, stops = token_stream(parts, words)
+                    block.append((doc_id, ids, stops))
+                    held += len(ids) // 4
+                    if held >= block_tokens:
+                        yield packed(block)
+                        block, held = [], 0
         if block:
-            yield packed(block, True)
+            yield packed(block)
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
 
