@@ -15,6 +15,7 @@ twice; an empty table gives an empty result. Sequence ids are unique, not gaples
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections import deque
 from collections.abc import Iterator
@@ -34,13 +35,19 @@ SENTENCE_CUT, WORD_CUT = 24, 96
 BLOCK_TOKENS = 64 * LENGTH
 #: Positions where a cut inside a sentence is considered.
 STRIDE = 256
+#: Of the sentence ends in so many tokens the first is considered.
+SENTENCE_GAP = 32
 #: Words whose ids a task keeps at most.
-CACHE_WORDS = 1_000_000
+CACHE_WORDS = 1_200_000
 END_ID = 2
 END_BYTES = np.array([END_ID], "<u4").tobytes()
 
 
-class WordIds(dict):
+#: A word of Latin letters and closing marks: the tokenizer splits it between the two and ignores case.
+SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+
+
+class WordIds:
     """Little-endian 32-bit ids of each word between white space. Ids of a text are those of its words one after another, as the
     tokenizer drops white space and never joins over it. New words are encoded many at a time, with a special token between."""
 
@@ -50,27 +57,48 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.of: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.stop = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+        self.stop[[i for token, i in vocabulary.items() if set(token.removesuffix("</w>")) <= set(".!?") and token.endswith("</w>")]] = True
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def learn(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = list(words)
-        odd = [w for w in new if "<|" in w]
-        for w in odd:
-            self[w] = self.ids(w).tobytes()
-        if odd:
-            new = [w for w in new if "<|" not in w]
-        for k in range(0, len(new), self.AT_ONCE):
-            some = new[k : k + self.AT_ONCE]
+    def _encode(self, words: list[str]) -> None:
+        of = self.of
+        for w in words:
+            if "<|" in w:
+                of[w] = self.ids(w).tobytes()
+        words = [w for w in words if "<|" not in w]
+        for k in range(0, len(words), self.AT_ONCE):
+            some = words[k : k + self.AT_ONCE]
             ids = self.ids(f" {self.BETWEEN} ".join(some))
             cut = np.flatnonzero(ids == self.BETWEEN_ID) * 4
             data = ids.tobytes()
             for w, a, b in zip(some, [0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True):
-                self[w] = data[a:b]
+                of[w] = data[a:b]
+
+    def learn(self, words: set[str]) -> None:
+        of = self.of
+        new = words.difference(of)
+        if len(of) + len(new) > CACHE_WORDS:
+            of.clear()
+            new = words
+        parts = {}
+        for w in new:
+            if (m := SIMPLE.fullmatch(w)) is not None:
+                parts[w] = (m[1].lower(), m[2])
+        needed = new.difference(parts).union(*parts.values()).difference(of, ("",))
+        self._encode(list(needed))
+        of[""] = b""
+        for w, (letters, marks) in parts.items():
+            of[w] = of[letters] + of[marks]
+
+    def stream(self, words: list[str]) -> tuple[bytes, np.ndarray]:
+        """Ids of learned words with the end id, and the token positions after which a sentence ends."""
+        data = b"".join(map(self.of.__getitem__, words)) + END_BYTES
+        return data, np.flatnonzero(self.stop[np.frombuffer(data, "<u4")[:-1]]) + 1
 
 
 _known: dict[str, WordIds] = {}
@@ -84,14 +112,6 @@ def known_words(path: str) -> WordIds:
     return _known[path]
 
 
-def token_stream(parts: list[str], words: WordIds) -> tuple[bytes, np.ndarray]:
-    """Ids of learned words with the end id, and the token positions after which a sentence ends."""
-    coded = [words[w] for w in parts]
-    ends = np.cumsum(np.fromiter(map(len, coded), np.int64, len(coded))) >> 2
-    stops = [i for i, w in enumerate(parts) if w[-1] in ".!?"]
-    return b"".join(coded) + END_BYTES, ends[stops]
-
-
 def plan(positions: np.ndarray, penalties: np.ndarray, length: int = LENGTH) -> list[int]:
     """Indices of the chosen boundaries. positions: increasing, from 0, steps of `length` at most; the last one is taken."""
     at, penalty = positions.tolist(), penalties.tolist()
@@ -130,6 +150,7 @@ def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) ->
     for k in range(length.bit_length() - 2, -1, -1):
         steps += [total - (total % length % (2 << k)), total - (1 << k)]
     free = np.concatenate([np.arange(STRIDE, total, STRIDE), np.array([s for s in steps if 0 < s < total], np.int64)])
+    sentence_ends = sentence_ends[np.r_[True, sentence_ends[1:] // SENTENCE_GAP != sentence_ends[:-1] // SENTENCE_GAP]] if len(sentence_ends) else sentence_ends
     every = np.concatenate([free, sentence_ends, doc_ends])
     price = np.concatenate([np.full(len(free), WORD_CUT), np.full(len(sentence_ends), SENTENCE_CUT), np.zeros(len(doc_ends))])
     order = np.lexsort((price, every))
@@ -174,7 +195,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, block_token
                 split = [(text or "").split() for text in part.column(1).to_pylist()]
                 words.learn(set().union(*split))
                 for doc_id, parts in zip(part.column(0).to_pylist(), split, strict=True):
-                    ids, stops = token_stream(parts, words)
+                    ids, stops = words.stream(parts)
                     block.append((doc_id, ids, stops))
                     held += len(ids) // 4
                     if held >= block_tokens:
