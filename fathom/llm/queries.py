@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_tree, hamming_index, language_id, packing, sharding, suffix_array, suffix_tree
+from . import chat_format, context_tree, edit_decontamination, hamming_index, language_id, packing, sharding, suffix_array, suffix_tree
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_dp_packing": packing.op3_dp_packing,
     "op4_multi_index_hashing": hamming_index.op4_multi_index_hashing,
     "op5_suffix_tree_dedup": suffix_tree.op5_suffix_tree_dedup,
+    "op6_cgk_decontamination": edit_decontamination.op6_cgk_decontamination,
     "op7_hierarchical_langid": language_id.op7_hierarchical_langid,
     "op8_induced_suffix_dedup": suffix_array.op8_induced_suffix_dedup,
     "op10_ctw_scoring": context_tree.op10_ctw_scoring,
