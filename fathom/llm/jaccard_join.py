@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import RangeHash, Words, lower_ascii, materialise, mix, slices, table
 from .components import components
-from .repeats import keyed
+from .repeats import is_renumbered, keyed
 
 SKETCH_CELLS = 1 << 20
 SKETCH_ROWS = 64
@@ -251,21 +251,32 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
 
 
 def grouped(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:
-    """docs (doc_id, text, ...) with `n_shingles` and `component_id`, the least doc_id that links reach.
+    """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id): the least doc_id that links reach.
 
     Defined results: null texts and texts without words have an empty set and are linked with nothing; equal sets are linked;
     with null or repeated ids rows are told apart and ordered by id (nulls first) and text; an empty table stays empty.
     """
-    rows = keyed(docs)
+    rows = keyed(docs.select("doc_id", "text"))
     links, member = links_and_profiles(rows.select("_key", "text"), k, percent)
     found = components(links)
     placed = member.join(found, F.col("rep") == F.col("node"), "left").select("_key", F.col("n").alias("n_shingles"), F.coalesce("component", "rep").alias("_least"))
-    ids = rows.select(F.col("_key").alias("_least"), F.col("doc_id").alias("component_id"))
-    return rows.join(placed.join(ids, "_least"), "_key").drop("_key", "_least", "_row")
+    if not is_renumbered(rows):
+        return placed.select(F.col("_key").alias("doc_id"), "n_shingles", F.col("_least").alias("component_id"))
+    ids = rows.select("_key", "doc_id")
+    least = ids.select(F.col("_key").alias("_least"), F.col("doc_id").alias("component_id"))
+    return placed.join(ids, "_key").join(least, "_least").select("doc_id", "n_shingles", "component_id")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """docs without the documents that links connect with one of a smaller id; the columns are those of docs."""
+    rows = keyed(docs)
+    links, member = links_and_profiles(rows.select("_key", "text"), k, percent)
+    found = components(links).filter("node <> component").select(F.col("node").alias("rep"))
+    gone = member.filter("_key <> rep").select("_key").unionByName(member.join(found, "rep", "left_semi").select("_key"))
+    return rows.join(gone.distinct(), "_key", "left_anti").select(*docs.columns)
 
 
 def op9_adaptive_prefix_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = grouped(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    return out.select("doc_id", "n_shingles", "component_id")
+    return grouped(table(spark, sf_dir, "documents"))
 
 

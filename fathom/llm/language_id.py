@@ -168,7 +168,8 @@ def decide(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def predict(df: DataFrame, model: Model | None) -> DataFrame:
-    """Adds lang_pred and score. df must have `text` and no such columns."""
+    """Adds lang_pred and score to df, which has `text`; columns of df with these names are replaced."""
+    df = df.drop("lang_pred", "score", "_letters")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_tree, edit_decontamination, hamming_index, language_id, packing, sharding, suffix_array, suffix_tree
+from . import chat_format, context_tree, edit_decontamination, hamming_index, jaccard_join, language_id, packing, sharding, suffix_array, suffix_tree
 
 QUERIES = {
     "op1_chat_formatting": chat_format.op1_chat_formatting,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_cgk_decontamination": edit_decontamination.op6_cgk_decontamination,
     "op7_hierarchical_langid": language_id.op7_hierarchical_langid,
     "op8_induced_suffix_dedup": suffix_array.op8_induced_suffix_dedup,
+    "op9_adaptive_prefix_join": jaccard_join.op9_adaptive_prefix_join,
     "op10_ctw_scoring": context_tree.op10_ctw_scoring,
 }
 

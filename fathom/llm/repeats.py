@@ -47,8 +47,16 @@ def keyed(docs: DataFrame) -> DataFrame:
     ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).groupBy("doc_id").agg(F.count("*").alias("n"))
     if ids.filter(F.col("doc_id").isNull() | (F.col("n") > 1)).isEmpty():
         return docs.withColumn("_key", F.col("doc_id").cast("long"))
-    rows = materialise(docs.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).withColumn("_row", F.monotonically_increasing_id()))
-    return rows.withColumnRenamed("_row", "_key")
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    return materialise(docs.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_key", F.monotonically_increasing_id())).withMetadata("_key", {RENUMBERED: True})
+
+
+RENUMBERED = "_renumbered"
+
+
+def is_renumbered(rows: DataFrame) -> bool:
+    """Whether keyed() had to number the rows."""
+    return bool(rows.schema["_key"].metadata.get(RENUMBERED))
 
 
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:

@@ -69,13 +69,30 @@ def equal_windows(symbols: np.ndarray, bounds: np.ndarray, window: int) -> tuple
     return np.concatenate(at), np.concatenate(groups)
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_text: bool = False, hot_classes: int | None = None) -> DataFrame:
-    """docs (doc_id, text): every word goes that a window of words covers which also starts anywhere else.
-
-    Defined results: a null text has no words; texts shorter than a window stay whole; with null or repeated ids, rows are
-    told apart by id and text; the row order is free. keep_text adds `kept`: the kept words joined by one space.
+def remaining(raw: bytes, start: np.ndarray, end: np.ndarray, stay: np.ndarray) -> bytes:
+    """The text without the words that go and the white space behind them."""
+    if stay.all():
+        return raw
+    parts, at = [], 0
+    edge = np.flatnonzero(np.diff(np.r_[True, stay, True].astype(np.int8)))
+    for a, b in zip(edge[0::2].tolist(), edge[1::2].tolist(), strict=True):
+        parts.append(raw[at : start[a]])
+        at = int(start[b]) if b < len(start) else len(raw)
+    return b"".join([*parts, raw[at:]])
+
+
+def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_classes: int | None = None) -> DataFrame:
+    """docs (doc_id, text, ...): every word goes that a window of words covers which also starts anywhere else.
+
+    Returns the columns of docs with `n_words`, `n_removed`, `kept_sha256` (of the kept words joined by one space) and `kept`
+    (the text without the words that went; as it was where none did). Columns of docs with such names are replaced.
+
+    Defined results: a null text has no words, and its kept text is null; texts shorter than a window stay whole; with null or
+    repeated ids, rows are told apart by id and text; the row order is free.
     """
-    rows = keyed(docs).select("_key", "doc_id", "text")
+    new = ["n_words", "n_removed", "kept_sha256", "kept"]
+    docs = docs.drop(*new, "_key", "spans")
+    rows = keyed(docs)
     extra = {} if hot_classes is None else {"hot_classes": hot_classes}
     marked = with_spans(rows, repeat_spans(rows, word_units, window, gram, False, equal_windows, False, **extra))
 
@@ -83,26 +100,28 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep
         for batch in batches:
             for part, raw, offs in slices(batch, "text"):
                 words = Words(raw, offs)
-                out = {k: [] for k in ("n_words", "n_removed", "kept_sha256", "kept")}
+                out = {k: [] for k in new}
                 data = raw.tobytes()
-                for i, spans in enumerate(part.column(2)):
+                there = part.column(part.schema.get_field_index("text")).is_valid().to_pylist()
+                for i, spans in enumerate(part.column(part.num_columns - 1)):
                     a, b = int(words.first[i]), int(words.first[i + 1])
+                    start, end = words.start[a:b], words.end[a:b]
                     stay = np.ones(b - a, np.bool_)
                     if spans.is_valid:
                         at = spans.values
                         stay = ~covered(b - a, np.stack([at.field(0).to_numpy(), at.field(1).to_numpy()], 1))
-                    kept = b" ".join([data[s:e] for s, e in zip(words.start[a:b][stay].tolist(), words.end[a:b][stay].tolist(), strict=True)])
+                    kept = b" ".join([data[s:e] for s, e in zip(start[stay].tolist(), end[stay].tolist(), strict=True)])
                     out["n_words"].append(b - a)
                     out["n_removed"].append(b - a - int(stay.sum()))
                     out["kept_sha256"].append(hashlib.sha256(kept).hexdigest())
-                    out["kept"].append(kept.decode() if keep_text else None)
-                columns = [part.column(0), *[pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]]
-                n = 5 if keep_text else 4
-                yield pa.RecordBatch.from_arrays(columns[:n], ["doc_id", *out][:n])
+                    out["kept"].append(remaining(data[offs[i] : offs[i + 1]], start - offs[i], end - offs[i], stay).decode() if there[i] else None)
+                columns = [pa.array(v, t) for v, t in zip(out.values(), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *new])
 
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if keep_text else "")
-    return marked.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(cut, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
+    return marked.select(*docs.columns, "spans").mapInArrow(cut, f"{schema}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return remove_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
