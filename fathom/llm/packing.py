@@ -43,15 +43,26 @@ END_ID = 2
 END_BYTES = np.array([END_ID], "<u4").tobytes()
 
 
-#: A word of Latin letters and closing marks: the tokenizer splits it between the two and ignores case.
+#: A word of Latin letters and closing marks: the tokenizer ignores case and splits it between the two, and only there; the ids of
+#: both parts end with one that ends a word.
 SIMPLE = re.compile(r"([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
+#: White space as the tokenizer sees it; str.split() takes four more characters for it.
+NOT_SPACE = re.compile("[^ \t\n\r\f\v\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def words_of(text: str) -> list[str]:
+    if "\x1c" in text or "\x1d" in text or "\x1e" in text or "\x1f" in text:
+        return NOT_SPACE.findall(text)
+    return text.split()
+
+
 class WordIds:
     """Little-endian 32-bit ids of each word between white space. Ids of a text are those of its words one after another, as the
-    tokenizer drops white space and never joins over it. New words are encoded many at a time, with a special token between."""
+    tokenizer drops white space and never joins over it. New words are encoded many at a time."""
 
-    BETWEEN, BETWEEN_ID, AT_ONCE = "<|endoftext|>", 49407, 256
+    BETWEEN, BETWEEN_ID, AT_ONCE = "<|endoftext|>", 49407, 512
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -59,25 +70,36 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.of: dict[str, bytes] = {}
         vocabulary = self.tokenizer.get_vocab()
-        self.stop = np.zeros(max(vocabulary.values()) + 1, np.bool_)
+        self.stop, self.last = np.zeros((2, max(vocabulary.values()) + 1), np.bool_)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.stop[[i for token, i in vocabulary.items() if set(token.removesuffix("</w>")) <= set(".!?") and token.endswith("</w>")]] = True
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
 
-    def _encode(self, words: list[str]) -> None:
-        of = self.of
-        for w in words:
-            if "<|" in w:
-                of[w] = self.ids(w).tobytes()
-        words = [w for w in words if "<|" not in w]
+    def _encode(self, words: list[str], ends: np.ndarray, between: str) -> None:
+        """Encode words together; a word's ids end where `ends` says so."""
         for k in range(0, len(words), self.AT_ONCE):
             some = words[k : k + self.AT_ONCE]
-            ids = self.ids(f" {self.BETWEEN} ".join(some))
-            cut = np.flatnonzero(ids == self.BETWEEN_ID) * 4
+            ids = self.ids(between.join(some))
+            cut = np.flatnonzero(ends[ids]) + 1
             data = ids.tobytes()
-            for w, a, b in zip(some, [0, *(cut + 4).tolist()], [*cut.tolist(), len(data)], strict=True):
-                of[w] = data[a:b]
+            last = 0
+            for w, c in zip(some, (4 * cut).tolist(), strict=True):
+                self.of[w] = data[last:c]
+                last = c
+
+    def _encode_odd(self, words: list[str]) -> None:
+        """Words that the tokenizer may split anywhere: a special token follows each, and is taken off again."""
+        special = np.zeros(len(self.last), np.bool_)
+        special[self.BETWEEN_ID] = True
+        plain = {f"{w} {self.BETWEEN}": w for w in words if "<|" not in w}
+        self._encode(list(plain), special, " ")
+        for ended, w in plain.items():
+            self.of[w] = self.of.pop(ended)[:-4]
+        for w in words:
+            if "<|" in w:
+                self.of[w] = self.ids(w).tobytes()
 
     def learn(self, words: set[str]) -> None:
         of = self.of
@@ -89,9 +111,9 @@ class WordIds:
         for w in new:
             if (m := SIMPLE.fullmatch(w)) is not None:
                 parts[w] = (m[1].lower(), m[2])
-        needed = new.difference(parts).union(*parts.values()).difference(of, ("",))
-        self._encode(list(needed))
+        self._encode_odd([w for w in new if w not in parts])
         of[""] = b""
+        self._encode([w for w in set().union(*parts.values()) if w not in of], self.last, " ")
         for w, (letters, marks) in parts.items():
             of[w] = of[letters] + of[marks]
 
@@ -192,7 +214,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, block_token
         block, held = [], 0
         for batch in batches:
             for part, _, _ in slices(batch, "text"):
-                split = [(text or "").split() for text in part.column(1).to_pylist()]
+                split = [words_of(text or "") for text in part.column(1).to_pylist()]
                 words.learn(set().union(*split))
                 for doc_id, parts in zip(part.column(0).to_pylist(), split, strict=True):
                     ids, stops = words.stream(parts)
