@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, lower_ascii, materialise, mix, slices, table
+from .common import RangeHash, Words, lower_ascii, materialise, mix, slices, table, text_bytes
 from .components import components
 from .repeats import is_renumbered, keyed
 
@@ -32,7 +32,10 @@ MOST_MATCHES = 4
 VERIFY_COST = 20.0
 BITMAP = 1024
 LIST_BLOCK = 2048
-ROUNDS = 2
+BROADCAST_IDS = 500_000
+#: How far apart in a sorted list documents are compared.
+NEIGHBOURS = 24
+MIN_HASHES = ("mh0", "mh1")
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -129,36 +132,39 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
-def _one_set(text: str | None, k: int) -> np.ndarray:
-    raw = np.frombuffer((text or "").encode(), np.uint8)
-    return shingle_sets(raw, np.array([0, len(raw)]), k)[0]
-
-
 def neighbour_links(texts: DataFrame, k: int, percent: int, key: str) -> DataFrame:
-    """Verified links between documents next to each other, or with the first, in the sorted list of a min-hash.
-    texts (_key, n, mh0, mh1, text)."""
-    shared = texts.groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(key)
-    rows = texts.join(shared, key, "left_semi").select(key, "n", "_key", "text")
+    """Verified links between documents that are at most NEIGHBOURS apart in the sorted list of a min-hash, and with its first.
+    A document is compared only with those that links within the list have not connected with it yet.
+    texts (key, n, _key, text), of min-hashes that occur again."""
+    rows = texts.select(key, "n", "_key", "text")
     ordered = rows.repartitionByRange(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key, "n", "_key").sortWithinPartitions(key, "n", "_key")
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group = first = last = None
+        group, near, root = None, [], {}
         for batch in batches:
             found: list[tuple[int, int]] = []
             keys, ids = batch.column(0).to_pylist(), batch.column(2).to_pylist()
             at = 0
-            for part, raw, offs in slices(batch, "text"):
+            for _, raw, offs in slices(batch, "text"):
                 for s in shingle_sets(raw, offs, k):
+                    one = ids[at]
                     if keys[at] != group:
-                        group, first = keys[at], (ids[at], s)
-                    else:
-                        if similar(last[1], s, percent):
-                            found.append((last[0], ids[at]))
-                        if last[0] != first[0] and similar(first[1], s, percent):
-                            found.append((first[0], ids[at]))
-                    last = (ids[at], s)
+                        group, near = keys[at], []
+                    mine = one
+                    root[one] = one
+                    for other, set_ in reversed(near):
+                        theirs = root[other]
+                        if theirs != mine and similar(set_, s, percent):
+                            found.append((other, one))
+                            for x, _ in near:
+                                if root[x] == mine:
+                                    root[x] = theirs
+                            mine = root[one] = theirs
+                    near.append((one, s))
+                    if len(near) > NEIGHBOURS + 1:
+                        near.pop(1)  # the first of the list stays
+                    root = {x: root[x] for x, _ in near}
                     at += 1
-                del part
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
     return ordered.mapInArrow(linked, "a long, b long")
@@ -218,15 +224,17 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     lists = reps.select("_key", F.posexplode("tokens").alias("pos", "token"))
     again = materialise(lists.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
     lists = materialise(lists.join(again.select("token"), "token", "left_semi"))
-    touched = lists.select("_key").distinct()
-    for key in ("mh0", "mh1"):
-        shared = reps.groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(key)
-        touched = touched.unionByName(reps.join(shared, key, "left_semi").select("_key"))
-    few = reps.select("_key", "n", "mh0", "mh1").join(touched.distinct(), "_key", "left_semi")
+    few = reps.select("_key", "n", *MIN_HASHES)
+    for key in MIN_HASHES:
+        shared = reps.groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(F.col(key).alias("x"), F.lit(True).alias(f"again_{key}"))
+        few = few.join(shared, F.col(key) == F.col("x"), "left").drop("x")
+    few = few.filter(F.coalesce(*[f"again_{key}" for key in MIN_HASHES]))
     texts = materialise(docs.select("_key", "text").join(few, "_key"))
 
-    links = [materialise(neighbour_links(texts, k, percent, key)) for key in ("mh0", "mh1")[:ROUNDS]]
-    links = links[0].unionByName(links[1])
+    links = None
+    for key in MIN_HASHES:
+        found = materialise(neighbour_links(texts.filter(f"again_{key}"), k, percent, key))
+        links = found if links is None else links.unionByName(found)
     known = components(links)
     info = reps.select("_key", "n", "l", "bits").join(known, F.col("_key") == F.col("node"), "left").select("_key", "n", "l", "bits", F.coalesce("component", "_key").alias("comp"))
     placed = lists.join(info.select("_key", "comp"), "_key")
@@ -239,13 +247,19 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     pairs = spread.repartition(parts, "token", "lo", "hi").mapInArrow(lambda b: list_pairs(b, percent), PAIRS)
     pairs = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("l").alias("l")).filter("m >= l").select("a", "b"))
-    left = pairs.join(texts.select(F.col("_key").alias("a"), F.col("text").alias("text_a")), "a")
-    both = left.join(texts.select(F.col("_key").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    # Documents of candidate pairs: those fetched above, and the rest, a broadcast list of ids while that is short.
+    wanted = materialise(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select("b").toDF("_key")).distinct().join(texts.select("_key"), "_key", "left_anti"))
+    rest = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
+    texts = texts.select("_key", "text").unionByName(materialise(docs.select("_key", "text").join(rest, "_key", "left_semi")))
+    left = pairs.join(texts.toDF("a", "text_a"), "a")
+    both = left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = [similar(_one_set(x, k), _one_set(y, k), percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
+            for part, raw, offs in slices(batch, "text_a"):
+                ones, others = shingle_sets(raw, offs, k), shingle_sets(*text_bytes(part.column(3)), k)
+                good = [similar(x, y, percent) for x, y in zip(ones, others, strict=True)]
+                yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     return links.unionByName(both.mapInArrow(verified, "a long, b long")), member
 
