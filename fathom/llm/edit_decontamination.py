@@ -68,6 +68,8 @@ class Index:
     similarity: float
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    of_length: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.bool_))
+    """(grams, lengths): whether an item of that length has the gram."""
     tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     """By window length, walk and table: sorted keys, and their items."""
 
@@ -117,6 +119,9 @@ def build_index(items: list[tuple[int, str | None]], similarity: float) -> Index
     index.grams = np.unique(np.concatenate([RangeHash(s).grams(GRAM) for s in index.symbols]))
     sizes = np.array([len(s) for s in index.symbols])
     index.lengths = np.unique(sizes)
+    index.of_length = np.zeros((len(index.grams), len(index.lengths)), np.bool_)
+    for symbols in index.symbols:
+        index.of_length[np.searchsorted(index.grams, RangeHash(symbols).grams(GRAM)), np.searchsorted(index.lengths, len(symbols))] = True
     joined = np.concatenate(index.symbols)
     begin = np.cumsum(sizes) - sizes
     for walk in range(WALKS):
@@ -149,11 +154,12 @@ def edit_distance(item: np.ndarray, text: np.ndarray, most: int) -> tuple[int, i
     return int(cost[end]), int(start[end]), end
 
 
-def gram_hits(index: Index, symbols: np.ndarray) -> np.ndarray:
-    """Running counts of the grams of words that occur in the benchmark."""
+def gram_hits(index: Index, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places where a gram of words of the benchmark begins, and which gram it is."""
     grams = RangeHash(symbols).grams(GRAM)
-    place = np.minimum(np.searchsorted(index.grams, grams), len(index.grams) - 1)
-    return np.r_[0, np.cumsum(index.grams[place] == grams)]
+    gram = np.minimum(np.searchsorted(index.grams, grams), len(index.grams) - 1)
+    at = np.flatnonzero(index.grams[gram] == grams)
+    return at, gram[at]
 
 
 def grams_needed(index: Index, n: int) -> int:
@@ -164,8 +170,9 @@ def hopeful(index: Index, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Texts with as many grams of the benchmark as the least demanding window needs."""
     if not index.ids or len(symbols) < MIN_WORDS:
         return np.zeros(0, np.int64)
-    hits = gram_hits(index, symbols)
-    inside = hits[np.minimum(np.maximum(first[1:] - GRAM + 1, first[:-1]), len(hits) - 1)] - hits[np.minimum(first[:-1], len(hits) - 1)]
+    at, _ = gram_hits(index, symbols)
+    at = at[at + GRAM <= first[np.searchsorted(first, at, side="right")]]
+    inside = np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(first) - 1)
     return np.flatnonzero(inside >= min(grams_needed(index, n) for n in index.lengths.tolist()))
 
 
@@ -173,14 +180,18 @@ def matches(index: Index, symbols: np.ndarray, first: np.ndarray) -> list[tuple[
     """(text, item, distance, first word, end word) of the best match of each candidate pair of text and item."""
     if not index.ids or len(symbols) < MIN_WORDS:
         return []
-    hits = gram_hits(index, symbols)
-    if hits[-1] == 0:
+    hit, gram = gram_hits(index, symbols)
+    if not len(hit):
         return []
     doc = np.searchsorted(first, np.arange(len(symbols)), side="right") - 1
     pairs: dict[tuple[int, int], list[int]] = {}
     chosen: dict[int, np.ndarray] = {}
-    for n in index.lengths[index.lengths <= len(symbols)].tolist():
-        count = hits[n - GRAM + 1 :] - hits[: len(hits) - (n - GRAM + 1)]
+    marks = np.zeros(len(symbols) + 1, np.int64)
+    for c, n in enumerate(index.lengths[index.lengths <= len(symbols)].tolist()):
+        marks[:] = 0
+        marks[hit[index.of_length[gram, c]] + 1] = 1
+        hits = np.cumsum(marks)
+        count = hits[n - GRAM + 1 : len(symbols) - GRAM + 2] - hits[: len(symbols) - n + 1]
         at = np.flatnonzero(count >= grams_needed(index, n))
         at = at[at + n <= first[doc[at] + 1]]
         if len(at):
