@@ -15,13 +15,32 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Text bytes that one NumPy step works on. Bounds the memory of a Python worker, whatever the size of a batch.
-CHUNK_BYTES = 2_000_000
+CHUNK_BYTES = 500_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows of an Arrow batch: with texts of a few kB, a few MB on either side of the pipe to Python.
+BATCH_ROWS = 2_000
+BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bounded(query):
+    """A query or pipeline stage, f(spark, ...), whose Arrow batches are small enough for texts; the session's own setting is
+    kept where it is smaller."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, *args):
+        now = int(spark.conf.get(BATCH_SETTING))
+        if now <= 0 or now > BATCH_ROWS:
+            spark.conf.set(BATCH_SETTING, BATCH_ROWS)
+        return query(spark, *args)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

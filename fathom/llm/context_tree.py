@@ -265,8 +265,15 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     rows = rows.withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
-            yield pages_of(vocabularies(pa.Table.from_batches([batch]), depth), buckets, 0)
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BLOCK_BYTES:
+                yield pages_of(vocabularies(pa.Table.from_batches(held), depth), buckets, 0)
+                held, size = [], 0
+        if held:
+            yield pages_of(vocabularies(pa.Table.from_batches(held), depth), buckets, 0)
 
     def sums(group: pa.Table) -> pa.Table:
         kind = group["kind"][0].as_py()

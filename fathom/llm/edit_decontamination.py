@@ -37,7 +37,7 @@ GRAM = 3
 MAX_ITEMS, MAX_WORDS = 20_000, 2_000_000
 #: Repetitions of the walk, tables of each, and output positions of each table.
 WALKS, TABLES, SAMPLES = 10, 8, 5
-WINDOWS_AT_ONCE = 20_000
+WINDOWS_AT_ONCE, WORDS_AT_ONCE = 20_000, 500_000
 MARKS = np.zeros(256, np.bool_)
 MARKS[[ord(c) for c in ".,;:!?\"'()[]{}*#-_|<>~`$%&"]] = True
 
@@ -242,24 +242,31 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
 
     def search(index: Index) -> DataFrame:
+        def together(held: list[tuple]) -> Iterator[pa.RecordBatch]:
+            rows = []
+            if held:
+                first = np.r_[0, np.cumsum([len(h[1]) for h in held])]
+                for d, item, distance, a, b in matches(index, np.concatenate([h[1] for h in held]), first):
+                    doc_id, _, start, end = held[d]
+                    rows.append((doc_id, index.ids[item], distance, len(index.symbols[item]), a, b, int(start[a]), int(end[b - 1])))
+            if rows:
+                kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+
         def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: list[tuple] = []  # documents that hold enough grams of the benchmark: few, so they are searched together
+            words = 0
             for batch in batches:
-                held: list[tuple] = []  # documents that hold enough grams of the benchmark; few, so they are searched together
                 for part, raw, offs in slices(batch, "text"):
                     symbols, first, start, end = word_symbols(raw, offs)
                     for d in hopeful(index, symbols, first).tolist():
                         a, b = first[d], first[d + 1]
-                        held.append((part.column(0)[d].as_py(), symbols[a:b], start[a:b] - offs[d], end[a:b] - offs[d]))
-                if not held:
-                    continue
-                first = np.r_[0, np.cumsum([len(h[1]) for h in held])]
-                rows = []
-                for d, item, distance, a, b in matches(index, np.concatenate([h[1] for h in held]), first):
-                    doc_id, _, start, end = held[d]
-                    rows.append((doc_id, index.ids[item], distance, len(index.symbols[item]), a, b, int(start[a]), int(end[b - 1])))
-                if rows:
-                    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64())
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+                        held.append((part.column(0)[d].as_py(), symbols[a:b].copy(), start[a:b] - offs[d], end[a:b] - offs[d]))
+                        words += b - a
+                    if words > WORDS_AT_ONCE:
+                        yield from together(held)
+                        held, words = [], 0
+            yield from together(held)
 
         return source.mapInArrow(found, SCHEMA)
 

@@ -2,22 +2,32 @@
 
 from __future__ import annotations
 
-from . import chat_format, context_tree, edit_decontamination, hamming_index, jaccard_join, language_id, packing, sharding, suffix_array, suffix_tree
+from .chat_format import OP1_SQL, op1_chat_formatting
+from .common import bounded
+from .context_tree import op10_ctw_scoring
+from .edit_decontamination import op6_cgk_decontamination
+from .hamming_index import op4_multi_index_hashing
+from .jaccard_join import op9_adaptive_prefix_join
+from .language_id import op7_hierarchical_langid
+from .packing import op3_dp_packing
+from .sharding import OP2_SQL, op2_hilbert_sharding
+from .suffix_array import op8_induced_suffix_dedup
+from .suffix_tree import op5_suffix_tree_dedup
 
 QUERIES = {
-    "op1_chat_formatting": chat_format.op1_chat_formatting,
-    "op2_hilbert_sharding": sharding.op2_hilbert_sharding,
-    "op3_dp_packing": packing.op3_dp_packing,
-    "op4_multi_index_hashing": hamming_index.op4_multi_index_hashing,
-    "op5_suffix_tree_dedup": suffix_tree.op5_suffix_tree_dedup,
-    "op6_cgk_decontamination": edit_decontamination.op6_cgk_decontamination,
-    "op7_hierarchical_langid": language_id.op7_hierarchical_langid,
-    "op8_induced_suffix_dedup": suffix_array.op8_induced_suffix_dedup,
-    "op9_adaptive_prefix_join": jaccard_join.op9_adaptive_prefix_join,
-    "op10_ctw_scoring": context_tree.op10_ctw_scoring,
+    f.__name__: bounded(f)
+    for f in (
+        op1_chat_formatting,
+        op2_hilbert_sharding,
+        op3_dp_packing,
+        op4_multi_index_hashing,
+        op5_suffix_tree_dedup,
+        op6_cgk_decontamination,
+        op7_hierarchical_langid,
+        op8_induced_suffix_dedup,
+        op9_adaptive_prefix_join,
+        op10_ctw_scoring,
+    )
 }
 
-ORACLES = {
-    "op1_chat_formatting": chat_format.OP1_SQL,
-    "op2_hilbert_sharding": sharding.OP2_SQL,
-}
+ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_hilbert_sharding": OP2_SQL}

@@ -26,10 +26,10 @@ from pyspark.sql import functions as F
 from .common import RangeHash, Words, binary_rows, byte_values, int64, materialise, slices
 
 #: Units that one NumPy step works on, and bits for a position in it.
-SEGMENT, POSITION_BITS = 2_000_000, 22
+SEGMENT, POSITION_BITS = 1_000_000, 22
 HOT_CLASSES = 20_000
 #: Text of the pieces that one shard is meant to hold.
-SHARD_BYTES = 3_000_000
+SHARD_BYTES = 1_000_000
 
 
 def byte_units(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
