@@ -10,29 +10,33 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fathom.llm import edit_decontamination, jaccard_join, language_id, packing, suffix_tree
-from fathom.llm.common import materialise, table
+from fathom.llm.common import bounded, materialise, table
 from fathom.llm.repeats import keyed
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+@bounded
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a letter, or without text, have no language and go."""
     model = language_id.fit(docs.select("text", "lang", F.col("doc_id").alias("key")))
     return language_id.predict(docs.select(COLUMNS), model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(COLUMNS)
 
 
+@bounded
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of documents that links of five-word shingles at 0.8 connect, the one with the least id stays."""
     return jaccard_join.one_of_each(docs.select(COLUMNS), 5, 80)
 
 
+@bounded
 def substring_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Words in passages that occur more than once go; other texts stay as they are."""
     out = suffix_tree.remove_repeats(docs.select(COLUMNS))
     return out.withColumn("text", F.col("kept")).withColumn("n_chars", F.char_length("kept").cast("long")).select(COLUMNS)
 
 
+@bounded
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     rows = keyed(docs.select(COLUMNS))
@@ -40,6 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     return rows.join(hits.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(COLUMNS)
 
 
+@bounded
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -55,6 +60,7 @@ STAGES = [
 ]
 
 
+@bounded
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
