@@ -55,7 +55,18 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}"
     (df.coalesce(parts) if parts else df).write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._written = path
+    return out
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what materialise() wrote, once nothing that is still to run reads it."""
+    for df in written:
+        if path := getattr(df, "_written", None):
+            spark = df.sparkSession
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def doc_bucket(modulus: int, column: str = "doc_id"):

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -43,11 +43,11 @@ def components(edges: DataFrame) -> DataFrame:
         least = e.groupBy("c").agg(F.min("p").alias("m"))
         e1 = e.join(least, "c").select(F.when(F.col("p") == F.col("m"), F.col("c")).otherwise(F.col("p")).alias("c"), F.col("m").alias("p")).filter("c <> p").distinct()
         up = e1.groupBy(F.col("c").alias("x")).agg(F.min("p").alias("m"))
+        before = e
         e = materialise(e1.join(up, F.col("p") == F.col("x"), "left").select("c", F.coalesce("m", "p").alias("p"), F.col("m").isNotNull().alias("moved")).distinct())
+        discard(before)
         state = e.agg(F.bool_or("moved"), F.count("*")).first()
-        e_next = e.select("c", "p")
-        if not state[1] or (not state[0] and e_next.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()):
-            return e_next.select(F.col("c").alias("node"), F.col("p").alias("component")).unionByName(e_next.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
-        e = e_next
+        if not state[1] or (not state[0] and e.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()):
+            return e.select(F.col("c").alias("node"), F.col("p").alias("component")).unionByName(e.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
 
 

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, lower_ascii, materialise, mix, slices, table, text_bytes
+from .common import RangeHash, Words, discard, lower_ascii, materialise, mix, slices, table, text_bytes
 from .components import components
 from .repeats import is_renumbered, keyed
 
@@ -30,12 +30,14 @@ SKETCH_ROWS = 64
 MOST_MATCHES = 4
 #: Cost of verifying a pair against that of reading a list entry.
 VERIFY_COST = 20.0
-BITMAP = 1024
+BITMAP = 256
 LIST_BLOCK = 2048
 BROADCAST_IDS = 500_000
 #: How far apart in a sorted list documents are compared.
 NEIGHBOURS = 24
 MIN_HASHES = ("mh0", "mh1")
+#: Four hash functions; each min-hash joins the least values of two.
+SEEDS = (0xA5A5A5A5A5A5A5A5, 0x3C3C3C3C3C3C3C3C, 0x0F1E2D3C4B5A6978, 0x9182736455463728)
 
 
 def shingle_sets(raw: np.ndarray, offs: np.ndarray, k: int) -> list[np.ndarray]:
@@ -107,7 +109,8 @@ def profiles(rows: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFr
                         for column, value in zip(out, (0, 0, 0, None, None, 0, [], b""), strict=True):
                             column.append(value)
                         continue
-                    a, b = mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), mix(s ^ np.uint64(0x3C3C3C3C3C3C3C3C))
+                    a, b, c, d = (mix(s ^ np.uint64(seed)) for seed in SEEDS)
+                    least = [int(mix(np.array([x.min()]) * np.uint64(3) ^ y.min()).view(np.int64)[0]) for x, y in ((a, b), (c, d))]
                     cell = (s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)
                     order = np.argsort(level[cell] << np.uint64(58) | s >> np.uint64(6))
                     p = prefix_length(n, percent)
@@ -115,8 +118,8 @@ def profiles(rows: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFr
                     cost = np.cumsum(length[cell[order]])[p - 1 :]
                     l = int(np.argmin(cost + VERIFY_COST * cost / (1 + np.arange(len(cost))))) + 1  # noqa: E741
                     tokens = level[cell[order]] << np.uint64(58) | s[order] >> np.uint64(6)
-                    bits = np.packbits((np.bincount((a >> np.uint64(54)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
-                    for column, value in zip(out, (n, a.sum(dtype=np.uint64).astype(np.int64), b.sum(dtype=np.uint64).astype(np.int64), a.min().astype(np.int64), b.min().astype(np.int64), l, tokens.view(np.int64), bits.tobytes()), strict=True):
+                    bits = np.packbits((np.bincount((a & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
+                    for column, value in zip(out, (n, a.sum(dtype=np.uint64).astype(np.int64), b.sum(dtype=np.uint64).astype(np.int64), *least, l, tokens.view(np.int64), bits.tobytes()), strict=True):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], [c.split()[0] for c in PROFILE.split(", ")])
@@ -224,6 +227,7 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     lists = reps.select("_key", F.posexplode("tokens").alias("pos", "token"))
     again = materialise(lists.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1"))
     lists = materialise(lists.join(again.select("token"), "token", "left_semi"))
+    discard(again)
     few = reps.select("_key", "n", *MIN_HASHES)
     for key in MIN_HASHES:
         shared = reps.groupBy(key).agg(F.count("*").alias("c")).filter("c > 1").select(F.col(key).alias("x"), F.lit(True).alias(f"again_{key}"))
@@ -248,11 +252,13 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     pairs = spread.repartition(parts, "token", "lo", "hi").mapInArrow(lambda b: list_pairs(b, percent), PAIRS)
     pairs = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("l").alias("l")).filter("m >= l").select("a", "b"))
     # Documents of candidate pairs: those fetched above, and the rest, a broadcast list of ids while that is short.
+    discard(bridging, lists, reps, profile)
     wanted = materialise(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select("b").toDF("_key")).distinct().join(texts.select("_key"), "_key", "left_anti"))
     rest = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    texts = texts.select("_key", "text").unionByName(materialise(docs.select("_key", "text").join(rest, "_key", "left_semi")))
-    left = pairs.join(texts.toDF("a", "text_a"), "a")
-    both = left.join(texts.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    more = materialise(docs.select("_key", "text").join(rest, "_key", "left_semi"))
+    every = texts.select("_key", "text").unionByName(more)
+    left = pairs.join(every.toDF("a", "text_a"), "a")
+    both = left.join(every.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -261,7 +267,9 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
                 good = [similar(x, y, percent) for x, y in zip(ones, others, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    return links.unionByName(both.mapInArrow(verified, "a long, b long")), member
+    links = links.unionByName(materialise(both.mapInArrow(verified, "a long, b long")))
+    discard(texts, more, wanted, pairs)
+    return links, member
 
 
 def grouped(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

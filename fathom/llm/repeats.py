@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, binary_rows, byte_values, int64, materialise, slices
+from .common import RangeHash, Words, binary_rows, byte_values, discard, int64, materialise, slices
 
 #: Units that one NumPy step works on, and bits for a position in it.
 SEGMENT, POSITION_BITS = 1_000_000, 22
@@ -206,6 +206,7 @@ def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_on
     again = materialise(counts.filter("_n > 1").select("_hash"))
     # Hot anchors: a plain join of two exchanges, which adaptive execution splits.
     pieces = materialise(describe(docs, units, window, gram, True).join(again, "_hash", "left_semi"))
+    discard(again)
     classes = materialise(pieces.groupBy("_hash", "_shape").agg(F.min(F.struct("_key", "_start")).alias("_first"), F.count("*").alias("_n")))
     if later_only:
         repeated = classes.filter("_n > 1").select("_hash", "_shape", "_first")
