@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, doc_bucket, lower_ascii, slices, table
+from .common import Lookup, Words, doc_bucket, lower_ascii, slices, table
 from .repeats import keyed
 
 DEPTH = 5
@@ -312,8 +312,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             mine = [(np.cumsum(_unpacked(k, n, np.uint64), dtype=np.uint64), _unpacked(v, n, np.float64)) for t, n, k, v in zip(*[pages[c].to_pylist() for c in ("kind", "n", "keys", "values")], strict=True) if t == kind]
             keys = np.concatenate([k for k, _ in mine]) if mine else np.zeros(0, np.uint64)
             value = np.concatenate([v for _, v in mine]) if mine else np.zeros(0)
-            order = np.argsort(keys)
-            tables.append((keys[order], value[order]))
+            tables.append(Lookup(keys, value))
         out = {k: [np.zeros(0, np.int64)] for k in ("n_tokens", "n_known", "base_score", "score", "n_coded")}
         ids, train = [], []
         end_score = math.log10((ends + 0.1) / divisor)
@@ -321,10 +320,8 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         for part, grams, g, words, w in chunks_of(group, depth):
             ids.append(part.column(part.schema.get_field_index("doc_id")))
             train.append(part.column(part.schema.get_field_index("train")))
-            keys, value = tables[GRAMS]
-            out["score"].append(per_text(value[np.searchsorted(keys, grams)], g))
-            keys, value = tables[WORDS]
-            count = value[np.searchsorted(keys, words)] if len(words) else np.zeros(0)
+            out["score"].append(per_text(tables[GRAMS](grams), g))
+            count = tables[WORDS](words)
             out["base_score"].append(per_text(np.log10((count + 0.1) / divisor), w) + end_score)
             out["n_tokens"].append(np.diff(w) + 1)
             out["n_known"].append(per_text(count > 0, w).astype(np.int64) + (ends > 0))
