@@ -219,7 +219,9 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     spark = docs.sparkSession
     cells = sketch(docs, k)
     profile = materialise(profiles(docs, k, percent, cells))
-    same = profile.filter("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("_key").alias("rep"))
+    # Groups of equal sets, written first: the join below is then one of two plain exchanges, which can be split where skewed.
+    same = profile.filter("n > 0").groupBy("n", "sig1", "sig2").agg(F.min("_key").alias("rep"), F.count("*").alias("c"))
+    same = materialise(same.filter("c > 1").drop("c"))
     member = profile.select("_key", "n", "sig1", "sig2").join(same, ["n", "sig1", "sig2"], "left")
     member = materialise(member.select("_key", "n", F.coalesce("rep", "_key").alias("rep")))
     reps = materialise(profile.filter("n > 0").join(member.filter("_key = rep").select("_key"), "_key", "left_semi"))
@@ -252,7 +254,7 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     pairs = spread.repartition(parts, "token", "lo", "hi").mapInArrow(lambda b: list_pairs(b, percent), PAIRS)
     pairs = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("l").alias("l")).filter("m >= l").select("a", "b"))
     # Documents of candidate pairs: those fetched above, and the rest, a broadcast list of ids while that is short.
-    discard(bridging, lists, reps, profile)
+    discard(bridging, lists, reps, profile, same)
     wanted = materialise(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select("b").toDF("_key")).distinct().join(texts.select("_key"), "_key", "left_anti"))
     rest = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     more = materialise(docs.select("_key", "text").join(rest, "_key", "left_semi"))
