@@ -77,12 +77,11 @@ def shares(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
 def linear_svm(x: np.ndarray, y: np.ndarray, rounds: int = 300, ridge: float = 1e-4) -> tuple[np.ndarray, float]:
     """Squared-hinge linear SVM (y is -1 or 1), by accelerated gradient steps; classes weigh the same."""
     weight = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum()))
-    x1 = np.c_[x, np.ones(len(x))]
-    step = 1 / (2 * float(np.max((x1 * x1).sum(1))) + ridge)
-    w = v = np.zeros(x1.shape[1])
+    step = 1 / (2 * float(np.einsum("ij,ij->i", x, x).max() + 1) + ridge)
+    w = v = np.zeros(x.shape[1] + 1)
     for k in range(rounds):
-        slack = np.maximum(0, 1 - y * (x1 @ v))
-        new = v + step * (2 * ((weight * y * slack) @ x1) - ridge * v)
+        pull = weight * y * np.maximum(0, 1 - y * (x @ v[:-1].astype(x.dtype) + v[-1]))
+        new = v + step * (2 * np.r_[pull.astype(x.dtype) @ x, pull.sum()] - ridge * v)
         w, v = new, new + k / (k + 3) * (new - w)
     return w[:-1], float(w[-1])
 
@@ -114,9 +113,12 @@ def fit(rows: DataFrame, families: dict[str, str] | None = None) -> Model | None
     if got.num_rows == 0:
         return None
     langs = np.array(got["lang"].to_pylist())
-    x = np.frombuffer(b"".join(got["x"].to_pylist()), np.float16).reshape(-1, BUCKETS).astype(np.float64)
-    scale = 1 / (x.std(0) + 1e-4)
-    x = x * scale / np.sqrt(BUCKETS)
+    x = np.empty((got.num_rows, BUCKETS), np.float32)
+    for i, row in enumerate(got["x"]):
+        x[i] = np.frombuffer(row.as_py(), np.float16)
+    del got
+    scale = 1 / (x.std(0) + np.float32(1e-4))
+    x *= scale / np.float32(np.sqrt(BUCKETS))
     languages = sorted(set(langs.tolist()))
     named = [families.get(lang, f"={lang}") for lang in languages]
     family_names = sorted(set(named))

@@ -38,7 +38,7 @@ STRIDE = 256
 #: Of the sentence ends in so many tokens the first is considered.
 SENTENCE_GAP = 32
 #: Words whose ids a task keeps at most.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 700_000
 END_ID = 2
 END_BYTES = np.array([END_ID], "<u4").tobytes()
 
