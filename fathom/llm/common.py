@@ -5,7 +5,10 @@ Texts are handled as UTF-8 bytes. A null text is an empty byte string unless an
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import functools
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -23,7 +26,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 #: Rows of an Arrow batch: with texts of a few kB, a few MB on either side of the pipe to Python.
-BATCH_ROWS = 2_000
+BATCH_ROWS = 1_000
 BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
@@ -41,6 +44,22 @@ def bounded(query):
     return run
 
 
+def tidy(step):
+    """A mapInArrow function that gives free memory back to the system when its partition ends: Python workers live on between
+    tasks, and what their allocators keep would add up next to the JVM."""
+
+    def run(batches):
+        try:
+            yield from step(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     where = spark.conf.get("spark.checkpoint.dir", None)

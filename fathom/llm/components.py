@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import discard, materialise, tidy
 
 
 def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,7 +38,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round sends all parents of a node to the least of them and lets every node skip to its parent's parent; rounds grow
     with the logarithm of the longest path. Every round is written out, so lineage stays short.
     """
-    e = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(local_stars, "c long, p long"))
+    e = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(tidy(local_stars), "c long, p long"))
     while True:
         least = e.groupBy("c").agg(F.min("p").alias("m"))
         e1 = e.join(least, "c").select(F.when(F.col("p") == F.col("m"), F.col("c")).otherwise(F.col("p")).alias("c"), F.col("m").alias("p")).filter("c <> p").distinct()

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, byte_values, lower_ascii, mix, slices, table, text_bytes
+from .common import RangeHash, Words, byte_values, lower_ascii, mix, slices, table, text_bytes, tidy
 
 SIMILARITY = 0.8
 MIN_WORDS = 8
@@ -268,7 +268,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
                         held, words = [], 0
             yield from together(held)
 
-        return source.mapInArrow(found, SCHEMA)
+        return source.mapInArrow(tidy(found), SCHEMA)
 
     for row in items.toLocalIterator():  # in turns of bounded size
         turn.append((row["item_id"], row["text"]))

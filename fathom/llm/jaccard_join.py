@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, discard, lower_ascii, materialise, mix, slices, table, text_bytes
+from .common import RangeHash, Words, discard, lower_ascii, materialise, mix, slices, table, text_bytes, tidy
 from .components import components
 from .repeats import is_renumbered, keyed
 
@@ -78,7 +78,7 @@ def sketch(rows: DataFrame, k: int) -> np.ndarray:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["row", "cells"])
 
-    got = rows.select("text").mapInArrow(counted, "row int, cells binary").repartition(SKETCH_ROWS // 4, "row").mapInArrow(added, "row int, cells binary").toArrow()
+    got = rows.select("text").mapInArrow(tidy(counted), "row int, cells binary").repartition(SKETCH_ROWS // 4, "row").mapInArrow(tidy(added), "row int, cells binary").toArrow()
     out = np.zeros((SKETCH_ROWS, per), np.int64)
     for row, data in zip(got["row"].to_pylist(), got["cells"].to_pylist(), strict=True):
         out[row] += np.frombuffer(data, np.int64)
@@ -96,7 +96,7 @@ PROFILE = "_key long, n long, sig1 long, sig2 long, mh0 long, mh1 long, l int, t
 def profiles(rows: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFrame:
     """See PROFILE: size and signature of the set, min-hashes, own l, prefix tokens (for the largest l), parity bitmap."""
     usual = cells.mean()
-    level = np.where(cells > 0, np.frexp(np.maximum(cells / max(usual, 1.0), 1e-9))[1].clip(0, 31), 0).astype(np.uint64)
+    level = np.where(cells > 0, np.frexp(np.maximum(cells / max(usual, 1.0), 1e-9))[1].clip(0, 31), 0).astype(np.uint8)
     length = np.maximum(0.0, cells - usual).astype(np.float32) + 1
 
     def profiled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,19 +112,20 @@ def profiles(rows: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFr
                     a, b, c, d = (mix(s ^ np.uint64(seed)) for seed in SEEDS)
                     least = [int(mix(np.array([x.min()]) * np.uint64(3) ^ y.min()).view(np.int64)[0]) for x, y in ((a, b), (c, d))]
                     cell = (s & np.uint64(SKETCH_CELLS - 1)).astype(np.int64)
-                    order = np.argsort(level[cell] << np.uint64(58) | s >> np.uint64(6))
+                    rank = level[cell].astype(np.uint64) << np.uint64(58) | s >> np.uint64(6)
+                    order = np.argsort(rank)
                     p = prefix_length(n, percent)
                     order = order[: p + MOST_MATCHES - 1]
                     cost = np.cumsum(length[cell[order]])[p - 1 :]
                     l = int(np.argmin(cost + VERIFY_COST * cost / (1 + np.arange(len(cost))))) + 1  # noqa: E741
-                    tokens = level[cell[order]] << np.uint64(58) | s[order] >> np.uint64(6)
+                    tokens = rank[order]
                     bits = np.packbits((np.bincount((a & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
                     for column, value in zip(out, (n, a.sum(dtype=np.uint64).astype(np.int64), b.sum(dtype=np.uint64).astype(np.int64), *least, l, tokens.view(np.int64), bits.tobytes()), strict=True):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], [c.split()[0] for c in PROFILE.split(", ")])
 
-    return rows.select("_key", "text").mapInArrow(profiled, PROFILE)
+    return rows.select("_key", "text").mapInArrow(tidy(profiled), PROFILE)
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -170,7 +171,7 @@ def neighbour_links(texts: DataFrame, k: int, percent: int, key: str) -> DataFra
                     at += 1
             yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"])
 
-    return ordered.mapInArrow(linked, "a long, b long")
+    return ordered.mapInArrow(tidy(linked), "a long, b long")
 
 
 PAIRS = "a long, b long, l int"
@@ -251,7 +252,7 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     spread = open_lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     spread = spread.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "_key", "n", "l", "pos", "comp", "bits")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = spread.repartition(parts, "token", "lo", "hi").mapInArrow(lambda b: list_pairs(b, percent), PAIRS)
+    pairs = spread.repartition(parts, "token", "lo", "hi").mapInArrow(tidy(lambda b: list_pairs(b, percent)), PAIRS)
     pairs = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("l").alias("l")).filter("m >= l").select("a", "b"))
     # Documents of candidate pairs: those fetched above, and the rest, a broadcast list of ids while that is short.
     discard(bridging, lists, reps, profile, same)
@@ -269,7 +270,7 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
                 good = [similar(x, y, percent) for x, y in zip(ones, others, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = links.unionByName(materialise(both.mapInArrow(verified, "a long, b long")))
+    links = links.unionByName(materialise(both.mapInArrow(tidy(verified), "a long, b long")))
     discard(texts, more, wanted, pairs)
     return links, member
 

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_bucket, mix, slices, table
+from .common import doc_bucket, slices, table, tidy
 
 BUCKETS = 1 << 12
 SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, MAX_LANGUAGES = 800, 8_000, 200
@@ -53,16 +53,17 @@ def trigram_buckets(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.n
     padded = np.full(len(raw) + 2 * n, 32, np.uint8)
     at = np.arange(len(raw)) + np.repeat(2 * np.arange(n) + 1, np.diff(offs))
     padded[at] = raw
-    lowered = _LOWER[padded].astype(np.uint32)
-    grams = lowered[:-2] << 16 | lowered[1:-1] << 8 | lowered[2:]
+    lowered = _LOWER[padded]
+    grams = _FIRST[lowered[:-2]] ^ _SECOND[lowered[1:-1]] ^ _THIRD[lowered[2:]]
     start = offs[:-1] + 2 * np.arange(n)
-    return _BUCKET_OF[grams], start, start + np.diff(offs)
+    return grams, start, start + np.diff(offs)
 
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _LOWER[9:14] = 32
-_BUCKET_OF = np.concatenate([(mix(np.arange(a, a + (1 << 20), dtype=np.uint64) + np.uint64(1)) & np.uint64(BUCKETS - 1)).astype(np.uint16) for a in range(0, 1 << 24, 1 << 20)])
+#: A trigram's bucket: one random number for each byte in each place, joined by exclusive or.
+_FIRST, _SECOND, _THIRD = np.random.default_rng(11).integers(0, BUCKETS, (3, 256), dtype=np.uint16)
 
 
 def shares(raw: np.ndarray, offs: np.ndarray) -> np.ndarray:
@@ -109,7 +110,7 @@ def fit(rows: DataFrame, families: dict[str, str] | None = None) -> Model | None
                 x = shares(raw, offs).astype(np.float16)
                 yield pa.RecordBatch.from_arrays([part.column(1), pa.array([row.tobytes() for row in x], pa.binary())], ["lang", "x"])
 
-    got = sample.select("text", "lang").mapInArrow(features, "lang string, x binary").toArrow()
+    got = sample.select("text", "lang").mapInArrow(tidy(features), "lang string, x binary").toArrow()
     if got.num_rows == 0:
         return None
     langs = np.array(got["lang"].to_pylist())
@@ -191,7 +192,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
                 lang = np.where(has, np.array(model.languages, object)[best], UNDETERMINED)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0))], [*names, "lang_pred", "score"])
 
-    return df.withColumn("_letters", letters).mapInArrow(predicted, schema)
+    return df.withColumn("_letters", letters).mapInArrow(tidy(predicted), schema)
 
 
 def op7_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

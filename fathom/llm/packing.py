@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import slices, table, tidy
 
 LENGTH = 4096
 #: Tokens of padding that a cut inside a document may save before it pays.
@@ -226,7 +226,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, block_token
         if block:
             yield packed(block)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(tidy(pieces), PIECES)
 
 
 def op3_dp_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import RangeHash, Words, binary_rows, byte_values, discard, int64, materialise, slices
+from .common import RangeHash, Words, binary_rows, byte_values, discard, int64, materialise, slices, tidy
 
 #: Units that one NumPy step works on, and bits for a position in it.
 SEGMENT, POSITION_BITS = 1_000_000, 22
@@ -118,8 +118,8 @@ def describe(docs: DataFrame, units: Units, window: int, gram: int, located: boo
                 yield pa.RecordBatch.from_arrays([int64(p["hash"]), int64(p["shape"]), int64(keys[p["doc"]]), pa.array(p["start"].astype(np.int32))], ["_hash", "_shape", "_key", "_start"])
 
     if not located:
-        return docs.select("_key", "text").mapInArrow(found, "_hash long, _n long")
-    return docs.select("_key", "text").mapInArrow(found, "_hash long, _shape long, _key long, _start int")
+        return docs.select("_key", "text").mapInArrow(tidy(found), "_hash long, _n long")
+    return docs.select("_key", "text").mapInArrow(tidy(found), "_hash long, _shape long, _key long, _start int")
 
 
 def _windows(shape) -> F.Column:
@@ -150,7 +150,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, units: Units, window: int, raw_byt
                 yield pa.RecordBatch.from_arrays([inner.field(0), inner.field(1), key, inner.field(2), inner.field(3), inner.field(4), binary_rows(flat.view(np.uint8), bounds)], names)
 
     names = ["_hash", "_shape", "_key", "_start", "_several", "_classes", "content"]
-    return rows.select("_key", "asked", *[c for c in docs.columns if c != "_key"]).mapInArrow(cut, "_hash long, _shape long, _key long, _start int, _several boolean, _classes long, content binary")
+    return rows.select("_key", "asked", *[c for c in docs.columns if c != "_key"]).mapInArrow(tidy(cut), "_hash long, _shape long, _key long, _start int, _several boolean, _classes long, content binary")
 
 
 EqualWindows = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
@@ -194,7 +194,7 @@ def _hot_windows(hot: DataFrame, window: int, symbol: type) -> DataFrame:
                 n = len(w1)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(2)[i].as_py())), pa.array(batch.column(3)[i].as_py() + np.arange(n)), pa.array(np.full(n, batch.column(5)[i].as_py())), int64(w1), int64(w2)], ["_key", "_unit", "_several", "w1", "w2"])
 
-    return hot.select("_hash", "_shape", "_key", "_start", "content", "_several").mapInArrow(each, "_key long, _unit long, _several boolean, w1 long, w2 long")
+    return hot.select("_hash", "_shape", "_key", "_start", "content", "_several").mapInArrow(tidy(each), "_key long, _unit long, _several boolean, w1 long, w2 long")
 
 
 def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_only: bool, equal_windows: EqualWindows, raw_bytes: bool, hot_classes: int = HOT_CLASSES) -> DataFrame:
@@ -230,7 +230,7 @@ def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_on
         if held := [b for b in batches if b.num_rows]:
             yield spans_in_shard(held, window, symbol, later_only, equal_windows)
 
-    spans = whole.unionByName(shards.select("_key", "_start", "_shape", "_several", "content").mapInArrow(in_shard, "_key long, a long, b long"))
+    spans = whole.unionByName(shards.select("_key", "_start", "_shape", "_several", "content").mapInArrow(tidy(in_shard), "_key long, a long, b long"))
     if size[1] > hot_classes:
         each = materialise(_hot_windows(content.filter(F.col("_classes") > hot_classes), window, symbol))
         groups = each.groupBy("w1", "w2").agg(F.min(F.struct("_key", "_unit")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")

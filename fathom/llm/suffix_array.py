@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, slices, table
+from .common import RangeHash, slices, table, tidy
 from .repeats import byte_units, covered, keyed, repeat_spans, with_spans
 
 BUCKET_NAMES = 2_000
@@ -228,4 +228,4 @@ def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_t
                 yield pa.RecordBatch.from_arrays(columns[: 6 if keep_text else 5], ["doc_id", *list(out)[: 5 if keep_text else 4]])
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
-    return marked.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(cut, schema)
+    return marked.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(tidy(cut), schema)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Words, slices, table
+from .common import Words, slices, table, tidy
 from .repeats import covered, keyed, repeat_spans, with_spans, word_units
 
 WINDOW, GRAM = 35, 8
@@ -119,7 +119,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], [*part.schema.names[:-1], *new])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return marked.select(*docs.columns, "spans").mapInArrow(cut, f"{schema}, n_words long, n_removed long, kept_sha256 string, kept string")
+    return marked.select(*docs.columns, "spans").mapInArrow(tidy(cut), f"{schema}, n_words long, n_removed long, kept_sha256 string, kept string")
 
 
 def op5_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
