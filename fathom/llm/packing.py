@@ -38,7 +38,7 @@ STRIDE = 256
 #: Of the sentence ends in so many tokens the first is considered.
 SENTENCE_GAP = 32
 #: Words whose ids a task keeps at most.
-CACHE_WORDS = 700_000
+CACHE_WORDS = 1_200_000
 END_ID = 2
 END_BYTES = np.array([END_ID], "<u4").tobytes()
 
@@ -69,6 +69,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.of: dict[str, bytes] = {}
+        self.most = CACHE_WORDS
         vocabulary = self.tokenizer.get_vocab()
         self.stop, self.last = np.zeros((2, max(vocabulary.values()) + 1), np.bool_)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -104,7 +105,7 @@ class WordIds:
     def learn(self, words: set[str]) -> None:
         of = self.of
         new = words.difference(of)
-        if len(of) + len(new) > CACHE_WORDS:
+        if len(of) + len(new) > self.most:
             of.clear()
             new = words
         parts = {}
@@ -126,11 +127,12 @@ class WordIds:
 _known: dict[str, WordIds] = {}
 
 
-def known_words(path: str) -> WordIds:
+def known_words(path: str, most: int = CACHE_WORDS) -> WordIds:
     """One cache for each Python worker and tokenizer; it outlives tasks."""
     if path not in _known:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _known[path] = WordIds(path)
+    _known[path].most = most
     return _known[path]
 
 
@@ -184,11 +186,11 @@ def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) ->
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, block_tokens: int = BLOCK_TOKENS, cache_words: int = CACHE_WORDS) -> DataFrame:
     """Pieces of all documents (doc_id, text): see PIECES; a piece lies in sequence_id from offset on."""
 
     def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sequence = known_words(tokenizer_path), TaskContext.get().partitionId() << 33
+        words, sequence = known_words(tokenizer_path, cache_words), TaskContext.get().partitionId() << 33
 
         def packed(block: list[tuple[int | None, bytes, np.ndarray]]) -> pa.RecordBatch:
             nonlocal sequence
