@@ -13,6 +13,8 @@ from fathom.llm import edit_decontamination, jaccard_join, language_id, packing,
 from fathom.llm.common import bounded, materialise, table
 from fathom.llm.repeats import keyed
 
+#: Smaller than for packing alone: workers of earlier stages live on beside those that pack.
+CACHE_WORDS = 500_000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -48,7 +50,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), cache_words=CACHE_WORDS)
 
 
 STAGES = [
