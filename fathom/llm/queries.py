@@ -7,12 +7,12 @@ from .common import bounded
 from .context_tree import op10_ctw_scoring
 from .edit_decontamination import op6_cgk_decontamination
 from .hamming_index import op4_multi_index_hashing
-from .jaccard_join import op9_adaptive_prefix_join
+from .jaccard_join import OP9_SQL, op9_adaptive_prefix_join
 from .language_id import op7_hierarchical_langid
 from .packing import op3_dp_packing
 from .sharding import OP2_SQL, op2_hilbert_sharding
-from .suffix_array import op8_induced_suffix_dedup
-from .suffix_tree import op5_suffix_tree_dedup
+from .suffix_array import OP8_SQL, op8_induced_suffix_dedup
+from .suffix_tree import OP5_SQL, op5_suffix_tree_dedup
 
 QUERIES = {
     f.__name__: bounded(f)
@@ -30,4 +30,10 @@ QUERIES = {
     )
 }
 
-ORACLES = {"op1_chat_formatting": OP1_SQL, "op2_hilbert_sharding": OP2_SQL}
+ORACLES = {
+    "op1_chat_formatting": OP1_SQL,
+    "op2_hilbert_sharding": OP2_SQL,
+    "op5_suffix_tree_dedup": OP5_SQL,
+    "op8_induced_suffix_dedup": OP8_SQL,
+    "op9_adaptive_prefix_join": OP9_SQL,
+}

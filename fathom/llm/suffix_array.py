@@ -229,3 +229,19 @@ def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_t
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if keep_text else "")
     return marked.select(F.col("doc_id").cast("long"), "text", "spans").mapInArrow(tidy(cut), schema)
+
+
+#: DuckDB SQL for the query.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, strlen(coalesce(text, '')) AS n FROM documents),
+win AS (SELECT doc_id, i, md5(b[i:i + 99]) AS k FROM (SELECT doc_id, b, unnest(range(1, n - 98)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) AS r FROM win) WHERE r > 1),
+mark AS (SELECT doc_id, i, max(i) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM rep),
+run AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS g FROM mark),
+span AS (SELECT doc_id, g, min(i) AS a, max(i) + 99 AS z FROM run GROUP BY ALL),
+cut AS (SELECT doc_id, a, z, lag(z, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS before FROM span),
+part AS (SELECT cut.doc_id, a, hex(b[before + 1:a - 1]) AS h FROM cut JOIN d ON d.doc_id = cut.doc_id WHERE a > before + 1 UNION ALL SELECT d.doc_id, n + 1, hex(b[coalesce(z, 0) + 1:n]) FROM d LEFT JOIN (SELECT doc_id, max(z) AS z FROM span GROUP BY 1) s ON s.doc_id = d.doc_id WHERE n > coalesce(z, 0)),
+kept AS (SELECT doc_id, unhex(string_agg(h, '' ORDER BY a)) AS k FROM part GROUP BY doc_id),
+gone AS (SELECT doc_id, sum(z - a + 1) AS removed, count(*) AS spans FROM span GROUP BY doc_id)
+SELECT d.doc_id, n::BIGINT AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(spans, 0)::BIGINT AS n_spans, sha256(coalesce(k, ''::BLOB)) AS kept_sha256 FROM d LEFT JOIN gone ON gone.doc_id = d.doc_id LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""

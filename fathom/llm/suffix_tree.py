@@ -125,3 +125,15 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, hot_
 def op5_suffix_tree_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     return remove_repeats(docs).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
+#: DuckDB SQL for the query.
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 34], ' ')) AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY k) AS n FROM win) WHERE n > 1),
+gone AS (SELECT DISTINCT doc_id, i + j AS p FROM rep, (SELECT unnest(range(35)) AS j)),
+word AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS p FROM d),
+kept AS (SELECT word.doc_id, string_agg(word.t, ' ' ORDER BY word.p) AS joined, count(*) AS n FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p WHERE gone.p IS NULL GROUP BY word.doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(joined, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+"""
