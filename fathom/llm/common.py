@@ -69,11 +69,12 @@ def shared_dir(spark: SparkSession) -> str:
 def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     """Write a DataFrame as Parquet into the shared folder and read it back.
 
-    Cuts the lineage, survives lost executors, and lets several consumers read a result that was computed once.
+    Cuts the lineage, survives lost executors, and lets several consumers read a result that was computed once. parts: deal a
+    small result to so many files, rather than one for each task that made it.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/fathom-{uuid.uuid4().hex}"
-    (df.coalesce(parts) if parts else df).write.parquet(path)
+    (df.repartition(parts) if parts else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
     return out

@@ -33,6 +33,8 @@ VERIFY_COST = 20.0
 BITMAP = 256
 LIST_BLOCK = 2048
 BROADCAST_IDS = 500_000
+#: Files of a table of links.
+SMALL_FILES = 6
 #: How far apart in a sorted list documents are compared.
 NEIGHBOURS = 24
 MIN_HASHES = ("mh0", "mh1")
@@ -240,7 +242,7 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
 
     links = None
     for key in MIN_HASHES:
-        found = materialise(neighbour_links(texts.filter(f"again_{key}"), k, percent, key))
+        found = materialise(neighbour_links(texts.filter(f"again_{key}"), k, percent, key), SMALL_FILES)
         links = found if links is None else links.unionByName(found)
     known = components(links)
     info = reps.select("_key", "n", "l", "bits").join(known, F.col("_key") == F.col("node"), "left").select("_key", "n", "l", "bits", F.coalesce("component", "_key").alias("comp"))
@@ -270,7 +272,7 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
                 good = [similar(x, y, percent) for x, y in zip(ones, others, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = links.unionByName(materialise(both.mapInArrow(tidy(verified), "a long, b long")))
+    links = links.unionByName(materialise(both.mapInArrow(tidy(verified), "a long, b long"), SMALL_FILES))
     discard(texts, more, wanted, pairs)
     return links, member
 
