@@ -9,7 +9,9 @@ document's side. Repetitions are chosen for a target recall.
 
 Which windows: one of length n can only be within distance K = floor((1 - similarity) n) of an item of about that length if
 n + 1 - q - K q of its q-grams of words occur in the benchmark (every edit destroys q of them). Running counts of
-such grams leave few windows to embed, and lose none.
+such grams leave few windows to embed, and lose none. A copy with words missing can be shorter than the item and end with the
+document, where no window as long as the item begins at its first word (or the document holds none): the last words of a document
+are compared with every item of which they hold that many grams, so none is lost there either.
 
 The benchmark is the broadcast: at most MAX_ITEMS items of MAX_WORDS words, checked; a larger benchmark is taken in turns over
 the documents. Documents are not shuffled.
@@ -70,6 +72,9 @@ class Index:
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     of_length: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.bool_))
     """(grams, lengths): whether an item of that length has the gram."""
+    posted: tuple[np.ndarray, np.ndarray] = (np.zeros(1, np.int64), np.zeros(0, np.int64))
+    """First posting of each gram (and the total), and the items that have it."""
+    sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     tables: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]] = field(default_factory=dict)
     """By window length, walk and table: sorted keys, and their items."""
 
@@ -117,11 +122,15 @@ def build_index(items: list[tuple[int, str | None]], similarity: float) -> Index
     if not index.ids:
         return index
     index.grams = np.unique(np.concatenate([RangeHash(s).grams(GRAM) for s in index.symbols]))
-    sizes = np.array([len(s) for s in index.symbols])
+    index.sizes = sizes = np.array([len(s) for s in index.symbols])
     index.lengths = np.unique(sizes)
     index.of_length = np.zeros((len(index.grams), len(index.lengths)), np.bool_)
     for symbols in index.symbols:
         index.of_length[np.searchsorted(index.grams, RangeHash(symbols).grams(GRAM)), np.searchsorted(index.lengths, len(symbols))] = True
+    own = [np.unique(np.searchsorted(index.grams, RangeHash(s).grams(GRAM))) for s in index.symbols]
+    gram, item = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
+    order = np.argsort(gram, kind="stable")
+    index.posted = np.searchsorted(gram[order], np.arange(len(index.grams) + 1)), item[order]
     joined = np.concatenate(index.symbols)
     begin = np.cumsum(sizes) - sizes
     for walk in range(WALKS):
@@ -162,13 +171,31 @@ def gram_hits(index: Index, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, gram[at]
 
 
-def grams_needed(index: Index, n: int) -> int:
-    return max(1, n + 1 - GRAM - int(edits_allowed(n, index.similarity)) * GRAM)
+def grams_needed(index: Index, n: int | np.ndarray) -> int | np.ndarray:
+    return np.maximum(1, n + 1 - GRAM - edits_allowed(n, index.similarity) * GRAM)
+
+
+def ending(index: Index, first: np.ndarray, hit: np.ndarray, gram: np.ndarray) -> Iterator[tuple[int, int, int]]:
+    """(text, item, place) where the last words of a text, as many as the item has, hold enough of its grams."""
+    begin, items = index.posted
+    needed = grams_needed(index, index.sizes)
+    text = np.searchsorted(first, hit, side="right") - 1
+    near = (hit + GRAM <= first[text + 1]) & (hit >= first[text + 1] - index.lengths[-1])
+    hit, gram, text = hit[near], gram[near], text[near]
+    bounds = np.flatnonzero(np.r_[True, text[1:] != text[:-1], True]) if len(text) else np.zeros(1, np.int64)
+    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
+        if b - a >= needed.min():
+            end = first[text[a] + 1]
+            mine = np.concatenate([items[begin[g] : begin[g + 1]] for g in gram[a:b]])
+            place = np.repeat(hit[a:b], begin[gram[a:b] + 1] - begin[gram[a:b]])
+            count = np.bincount(mine[place >= end - index.sizes[mine]], minlength=len(needed))
+            for item in np.flatnonzero(count >= needed):
+                yield int(text[a]), int(item), max(int(first[text[a]]), int(end - index.sizes[item]))
 
 
 def hopeful(index: Index, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Texts with as many grams of the benchmark as the least demanding window needs."""
-    if not index.ids or len(symbols) < MIN_WORDS:
+    if not index.ids or len(symbols) < GRAM:
         return np.zeros(0, np.int64)
     at, _ = gram_hits(index, symbols)
     at = at[at + GRAM <= first[np.searchsorted(first, at, side="right")]]
@@ -178,7 +205,7 @@ def hopeful(index: Index, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 def matches(index: Index, symbols: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
     """(text, item, distance, first word, end word) of the best match of each candidate pair of text and item."""
-    if not index.ids or len(symbols) < MIN_WORDS:
+    if not index.ids or len(symbols) < GRAM:
         return []
     hit, gram = gram_hits(index, symbols)
     if not len(hit):
@@ -196,9 +223,7 @@ def matches(index: Index, symbols: np.ndarray, first: np.ndarray) -> list[tuple[
         at = at[at + n <= first[doc[at] + 1]]
         if len(at):
             chosen[n] = at
-    if not chosen:
-        return []
-    starts = np.unique(np.concatenate(list(chosen.values())))
+    starts = np.unique(np.concatenate(list(chosen.values()))) if chosen else np.zeros(0, np.int64)
     for base in range(0, len(starts), WINDOWS_AT_ONCE):
         some = starts[base : base + WINDOWS_AT_ONCE]
         mine = {n: at[(at >= some[0]) & (at <= some[-1])] for n, at in chosen.items()}
@@ -212,6 +237,8 @@ def matches(index: Index, symbols: np.ndarray, first: np.ndarray) -> list[tuple[
                     for w in np.flatnonzero(high > low):
                         for item in items[low[w] : high[w]]:
                             pairs.setdefault((int(doc[at[w]]), int(item)), []).append(int(at[w]))
+    for d, item, p in ending(index, first, hit, gram):
+        pairs.setdefault((d, item), []).append(p)
     out = []
     for (d, item), starts in pairs.items():
         own = index.symbols[item]

@@ -142,6 +142,26 @@ def test_planted_items(spark, share, recall):
         assert r.distance <= ed.edits_allowed(r.item_words, ed.SIMILARITY) and span
 
 
+@pytest.mark.parametrize("before", [0, 40])
+def test_items_at_the_end_of_documents(spark, before):
+    """Copies with words missing, as whole documents and as the last words of one."""
+    rng = random.Random(before)
+    items = [(i, sentence(rng, 8 + i, 10**6)) for i in range(50)]
+    docs, deleted = [], {}
+    for i, text in items:
+        n = len(text.split())
+        for kind, count in enumerate((1, 1, max(1, n // 10), n // 5)):
+            w = text.split()
+            for _ in range(count):
+                del w[-1 if kind == 0 else rng.randrange(len(w))]
+            docs.append((10 * i + kind, (sentence(rng, before, 10**6) + " " + " ".join(w)).strip()))
+            deleted[10 * i + kind] = count
+    schema = "doc_id long, text string"
+    got = ed.contaminated(spark.createDataFrame(docs, schema), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert all(r.doc_id // 10 == r.item_id and r.distance <= deleted[r.doc_id] for r in got)
+    assert len(got) == len(docs)
+
+
 def test_decontamination_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert ed.contaminated(docs, bench).collect() == [] and ed.contaminated(docs.limit(0), bench).collect() == []
