@@ -20,9 +20,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 @bounded
 def language_id_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a letter, or without text, have no language and go."""
+    """Documents without a letter, or without text, have no language and go; whether a model could be learned, and what it predicts,
+    removes none."""
     model = language_id.fit(docs.select("text", "lang", F.col("doc_id").alias("key")))
-    return language_id.predict(docs.select(COLUMNS), model).filter(F.col("lang_pred") != language_id.UNDETERMINED).select(COLUMNS)
+    return language_id.predict(docs.select(COLUMNS).filter(language_id.lettered("text")), model).select(COLUMNS)
 
 
 @bounded

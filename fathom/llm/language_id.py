@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import doc_bucket, slices, table, tidy
@@ -170,12 +170,16 @@ def decide(model: Model, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, trust * least[np.arange(n), best]
 
 
+def lettered(column: str) -> Column:
+    """Whether a text has a letter; false for a null."""
+    return F.coalesce(F.col(column).rlike(r"\p{L}"), F.lit(False))
+
+
 def predict(df: DataFrame, model: Model | None) -> DataFrame:
     """Adds lang_pred and score to df, which has `text`; columns of df with these names are replaced."""
     df = df.drop("lang_pred", "score", "_letters")
     if model is None:
         return df.withColumn("lang_pred", F.lit(UNDETERMINED)).withColumn("score", F.lit(0.0))
-    letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False))
     names = [f.name for f in df.schema.fields]
     schema = df.withColumn("lang_pred", F.lit("")).withColumn("score", F.lit(0.0)).schema
 
@@ -192,7 +196,7 @@ def predict(df: DataFrame, model: Model | None) -> DataFrame:
                 lang = np.where(has, np.array(model.languages, object)[best], UNDETERMINED)
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang, pa.string()), pa.array(np.where(has, score, 0.0))], [*names, "lang_pred", "score"])
 
-    return df.withColumn("_letters", letters).mapInArrow(tidy(predicted), schema)
+    return df.withColumn("_letters", lettered("text")).mapInArrow(tidy(predicted), schema)
 
 
 def op7_hierarchical_langid(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -33,6 +33,14 @@ def test_stages_against_operators(stages):
         assert len(words(before[r.doc_id])) - len(words(r.text)) == removed[r.doc_id] and (removed[r.doc_id] or r.text == before[r.doc_id])
 
 
+@pytest.mark.parametrize("lang", [None, "und"])
+def test_unlabelled_documents_stay(spark, sf, lang):
+    rows = [(1, "hello there my friend", lang, "s", 21), (2, "bonjour mon ami", lang, "s", 15), (3, None, lang, "s", 0), (4, "12 !!", lang, "s", 5), (None, "ж", lang, "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.language_id_stage(spark, docs, sf)
+    assert got.columns == cp.COLUMNS and sorted(map(tuple, got.collect()), key=str) == sorted((rows[0], rows[1], rows[4]), key=str)
+
+
 def test_odd_documents(spark, sf):
     rows = [(i, t, "en", "s", len(t or "")) for i, t in documents()] + [(None, "null id here", None, None, None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
