@@ -11,9 +11,6 @@ import uuid
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Pairs after which a closure stops and is flagged as approximate.
-BUDGET = 50_000_000
-
 
 def written(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
@@ -32,9 +29,9 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
-def closure(edges: DataFrame, starts: DataFrame | None = None, rounds: int | None = None, budget: int = BUDGET) -> tuple[DataFrame, bool]:
+def closure(edges: DataFrame, starts: DataFrame | None = None, rounds: int | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
     """(src, dst, hops) for every pair joined by at least one step, with the least number of steps, and whether the budget of
-    pairs stopped it. starts (fn): only from there."""
+    pairs stopped it; without a budget it runs until no pair is new. starts (fn): only from there."""
     edges = written(edges.select("src", "dst").distinct())
     first = edges if starts is None else edges.join(starts.select(F.col("fn").alias("src")).distinct(), "src", "left_semi")
     frontier = written(first.withColumn("hops", F.lit(1)))
@@ -52,7 +49,7 @@ def closure(edges: DataFrame, starts: DataFrame | None = None, rounds: int | Non
         if len(parts) > 8:
             parts = [written(_union(parts))]
         total += found
-        if total > budget:
+        if budget is not None and total > budget:
             return _union(parts), True
     return _union(parts), False
 

@@ -7,6 +7,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from fathom.functions import scalars as S
+from fathom.operators import audits as AU
 from fathom.operators import bags as B
 from fathom.operators import consistency as O
 from fathom.operators import effects as E
@@ -130,6 +131,20 @@ def test_graph_against_brute_force(spark):
     assert G.blast(none).count() == 0 and G.cyclic_nodes(none).count() == 0
 
 
+def test_closures_of_any_size_are_whole(spark, monkeypatch):
+    """No caller stops early, however many pairs there seem to be."""
+    n = 8
+    ring = spark.createDataFrame([(i, (i + 1) % n) for i in range(n)], "src long, dst long")
+    some = lambda *fns: spark.createDataFrame([(f,) for f in fns], "fn long")
+    count = type(ring).count
+    monkeypatch.setattr(type(ring), "count", lambda df: count(df) * 10**9)
+    assert {r.fn: r.blast for r in G.blast(ring).collect()} == dict.fromkeys(range(n), n)
+    assert {r.fn for r in G.cyclic_nodes(ring).collect()} == set(range(n))
+    assert {(r.caller, r.hops) for r in G.callers(ring, some(0)).collect()} == {((n - h) % n, h) for h in range(1, n + 1)}
+    assert [tuple(r) for r in G.forbidden(ring, some(0), some(n - 1)).collect()] == [(0, n - 1, n - 1)]
+    assert [tuple(r) for r in AU.only_reaches(ring, some(0, 1), some(n - 1), some(1)).collect()] == [(0, n - 1)]
+
+
 def test_paths_and_fixpoint(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c2"), ("c2", "c"), ("x", "x")], "src string, dst string")
     target = spark.createDataFrame([("c",)], "fn string")
