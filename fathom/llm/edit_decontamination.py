@@ -13,11 +13,15 @@ such grams leave few windows to embed, and lose none. A copy with words missing
 document, where no window as long as the item begins at its first word (or the document holds none): the last words of a document
 are compared with every item of which they hold that many grams, so none is lost there either.
 
+Items with fewer than MIN_WORDS words allow one edit at most and are looked up exactly: where one of their halves occurs as it is (or all
+of it, where no edit is allowed), hashes of the two sides of every possible edit are compared. In scripts written without spaces every
+character is a word.
+
 The benchmark is the broadcast: at most MAX_ITEMS items of MAX_WORDS words, checked; a larger benchmark is taken in turns over
 the documents. Documents are not shuffled.
 
-Defined results: null or empty texts and items match nothing; items with fewer than MIN_WORDS words are not searched for;
-repeated documents or items give repeated rows.
+Defined results: null or empty texts and items match nothing; an item of one word matches every document with that word; repeated
+documents or items give repeated rows.
 """
 
 from __future__ import annotations
@@ -34,6 +38,7 @@ from pyspark.sql import functions as F
 from .common import RangeHash, Words, byte_values, lower_ascii, mix, slices, table, text_bytes, tidy
 
 SIMILARITY = 0.8
+#: Items of fewer words are looked up exactly, not by walks.
 MIN_WORDS = 8
 GRAM = 3
 MAX_ITEMS, MAX_WORDS = 20_000, 2_000_000
@@ -44,11 +49,42 @@ MARKS = np.zeros(256, np.bool_)
 MARKS[[ord(c) for c in ".,;:!?\"'()[]{}*#-_|<>~`$%&"]] = True
 
 
+#: First code points of ranges that are written without spaces, and of what follows them: Thai and Lao, Myanmar, Khmer, kana and Han, and
+#: Han and kana of compatibility and full width.
+UNSPACED = np.array([0x0E00, 0x0F00, 0x1000, 0x10A0, 0x1780, 0x1800, 0x3040, 0x3130, 0x3190, 0xA000, 0xF900, 0xFB00, 0xFF66, 0xFFA0, 0x1B000, 0x1B170, 0x20000, 0x40000])
+#: Ideographic and full-width marks, which are spaces here.
+WIDE_MARKS = np.array([0x3000, 0x3040, 0xFF00, 0xFF10, 0xFF1A, 0xFF21, 0xFF3B, 0xFF41, 0xFF5B, 0xFF66])
+
+
+def spread(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Words cut so that every character of a script without spaces is one, and its marks are left out."""
+    at = np.flatnonzero(raw >= 0xE0)
+    at = at[at + np.where(raw[at] >= 0xF0, 4, 3) <= len(raw)]
+    if not len(at):
+        return start, end
+    size = np.where(raw[at] >= 0xF0, 4, 3)
+    code = np.zeros(len(at), np.int64)
+    for k in range(4):
+        byte = raw[np.minimum(at + k, len(raw) - 1)].astype(np.int64)
+        code = np.where(k < size, (code << 6) + np.where(k == 0, byte & np.where(size == 4, 7, 15), byte & 63), code)
+    alone, mark = (np.searchsorted(ranges, code, side="right") % 2 == 1 for ranges in (UNSPACED, WIDE_MARKS))
+    cut = alone | mark
+    if not cut.any():
+        return start, end
+    at, stop, mark = at[cut], at[cut] + size[cut], mark[cut]
+    bounds = np.unique(np.concatenate([start, end, at, stop]))
+    a, b = bounds[:-1], bounds[1:]
+    word = np.searchsorted(start, a, side="right") - 1
+    kept = (word >= 0) & (b <= end[word]) & ~np.isin(a, at[mark])
+    return a[kept], b[kept]
+
+
 def word_symbols(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, first word of each text, byte start and end of the words); words of marks alone are left out."""
     low = lower_ascii(raw)
     words = Words(low, offs)
-    start, end = words.start.copy(), words.end.copy()
+    whole = spread(low, words.start, words.end)
+    start, end = whole[0].copy(), whole[1].copy()
     for _ in range(4):
         more = (end > start) & MARKS[low[np.minimum(start, len(low) - 1)]]
         start[more] += 1
@@ -56,18 +92,79 @@ def word_symbols(raw: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         end[more] -= 1
     keep = end > start
     kept = np.r_[0, np.cumsum(keep)]
-    return RangeHash(byte_values(low)).of(start[keep], end[keep]), kept[words.first], words.start[keep], words.end[keep]
+    return RangeHash(byte_values(low)).of(start[keep], end[keep]), kept[np.searchsorted(whole[0], offs)], whole[0][keep], whole[1][keep]
 
 
 def edits_allowed(n: int | np.ndarray, similarity: float) -> int | np.ndarray:
     return np.floor((1 - similarity) * n + 1e-9).astype(np.int64)
 
 
+def sides(ranges: RangeHash, at: np.ndarray, n: int, edit: tuple[int, int, int], of_item: bool) -> np.ndarray:
+    """Hashes of what an edit leaves of n words from `at` on. edit: (words before it, words that the item loses, words that the text
+    has instead)."""
+    before, item, text = edit
+    skipped = item if of_item else text
+    middle, begin = at + before, at + before + skipped
+    return mix(ranges.of(at, middle)) * np.uint64(3) ^ ranges.of(begin, begin + n - before - item)
+
+
+@dataclass
+class Short:
+    """Items of n words, fewer than MIN_WORDS."""
+
+    n: int
+    parts: list[tuple[int, int, np.ndarray]]
+    """(first word, words, sorted hashes) of the parts of which an edited copy has one as it is."""
+    keys: dict[tuple[int, int, int], tuple[np.ndarray, np.ndarray]]
+    """By edit: sorted hashes of its sides, and their items; the first entry is no edit."""
+
+    @classmethod
+    def of(cls, n: int, symbols: list[np.ndarray], items: np.ndarray, edits: int) -> Short:
+        ranges, at = RangeHash(np.concatenate([symbols[i] for i in items])), np.arange(len(items)) * n
+        bounds = [0, n // 2, n] if edits else [0, n]
+        parts = [(a, b - a, np.unique(ranges.of(at + a, at + b))) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        kinds = [(0, 0, 0)]
+        if edits:
+            kinds += [(j, 1, 0) for j in range(n)] + [(j, 1, 1) for j in range(1, n - 1)] + [(j, 0, 1) for j in range(1, n)]
+        keys = {}
+        for edit in kinds:
+            own = sides(ranges, at, n, edit, True)
+            order = np.argsort(own, kind="stable")
+            keys[edit] = own[order], items[order]
+        return cls(n, parts, keys)
+
+    def starts(self, ranges: RangeHash, total: int) -> np.ndarray:
+        """Places where a copy may begin."""
+        out = []
+        for begin, words, known in self.parts:
+            at = np.arange(max(0, total - words + 1))
+            own = ranges.of(at, at + words)
+            hit = np.flatnonzero(known[np.minimum(np.searchsorted(known, own), len(known) - 1)] == own)
+            out += [hit - begin + shift for shift in ((-1, 0, 1) if begin else (0,))]
+        at = np.unique(np.concatenate(out))
+        return at[(at >= 0) & (at < total)]
+
+    def found(self, ranges: RangeHash, first: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """(text, item, distance, start, end) of copies inside one text, in any order."""
+        all_starts = self.starts(ranges, int(first[-1]))
+        limit = first[np.searchsorted(first, all_starts, side="right")]
+        for edit, (keys, items) in self.keys.items():
+            words = self.n - edit[1] + edit[2]
+            at = all_starts[all_starts + words <= limit]
+            own = sides(ranges, at, self.n, edit, False)
+            low, high = np.searchsorted(keys, own), np.searchsorted(keys, own, side="right")
+            text = np.searchsorted(first, at, side="right") - 1
+            for w in np.flatnonzero(high > low):
+                for item in items[low[w] : high[w]]:
+                    yield int(text[w]), int(item), int(edit != (0, 0, 0)), int(at[w]), int(at[w]) + words
+
+
 @dataclass
 class Index:
     symbols: list[np.ndarray]
     ids: list[int]
     similarity: float
+    short: list[Short] = field(default_factory=list)
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     of_length: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.bool_))
@@ -116,11 +213,19 @@ def build_index(items: list[tuple[int, str | None]], similarity: float) -> Index
     symbols, first, _, _ = word_symbols(*text_bytes(column))
     index = Index([], [], similarity)
     for (i, _), a, b in zip(items, first[:-1], first[1:], strict=True):
-        if b - a >= MIN_WORDS:
+        if b > a:
             index.symbols.append(symbols[a:b])
             index.ids.append(i)
-    if not index.ids:
+    # Longer items first: only they have grams and tables.
+    order = sorted(range(len(index.ids)), key=lambda i: len(index.symbols[i]) < MIN_WORDS)
+    everything = index.symbols = [index.symbols[i] for i in order]
+    index.ids = [index.ids[i] for i in order]
+    counts = np.array([len(s) for s in everything], np.int64)
+    for n in np.unique(counts[counts < MIN_WORDS]).tolist():
+        index.short.append(Short.of(n, everything, np.flatnonzero(counts == n), int(edits_allowed(n, similarity))))
+    if not (counts >= MIN_WORDS).any():
         return index
+    index.symbols = everything[: int((counts >= MIN_WORDS).sum())]
     index.grams = np.unique(np.concatenate([RangeHash(s).grams(GRAM) for s in index.symbols]))
     index.sizes = sizes = np.array([len(s) for s in index.symbols])
     index.lengths = np.unique(sizes)
@@ -140,6 +245,7 @@ def build_index(items: list[tuple[int, str | None]], similarity: float) -> Index
             for t, keys in enumerate(sampled_keys(output[:, mine], places[:, mine], n, walk)):
                 order = np.argsort(keys)
                 index.tables[n, walk, t] = keys[order], mine[order]
+    index.symbols = everything
     return index
 
 
@@ -194,18 +300,33 @@ def ending(index: Index, first: np.ndarray, hit: np.ndarray, gram: np.ndarray) -
 
 
 def hopeful(index: Index, symbols: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """Texts with as many grams of the benchmark as the least demanding window needs."""
-    if not index.ids or len(symbols) < GRAM:
-        return np.zeros(0, np.int64)
+    """Texts with as many grams of the benchmark as the least demanding window needs, or with a part of a short item."""
+    short = [np.zeros(0, np.int64)]
+    if index.short and len(symbols):
+        ranges = RangeHash(symbols)
+        for kind in index.short:
+            short.append(np.searchsorted(first, kind.starts(ranges, len(symbols)), side="right") - 1)
+    if not len(index.lengths) or len(symbols) < GRAM:
+        return np.unique(np.concatenate(short))
     at, _ = gram_hits(index, symbols)
     at = at[at + GRAM <= first[np.searchsorted(first, at, side="right")]]
     inside = np.bincount(np.searchsorted(first, at, side="right") - 1, minlength=len(first) - 1)
-    return np.flatnonzero(inside >= min(grams_needed(index, n) for n in index.lengths.tolist()))
+    return np.unique(np.concatenate([*short, np.flatnonzero(inside >= min(grams_needed(index, n) for n in index.lengths.tolist()))]))
 
 
 def matches(index: Index, symbols: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
-    """(text, item, distance, first word, end word) of the best match of each candidate pair of text and item."""
-    if not index.ids or len(symbols) < GRAM:
+    """(text, item, distance, first word, end word) of the best match of each pair of text and item."""
+    ranges, best = RangeHash(symbols), {}
+    for kind in index.short if len(symbols) else []:
+        for d, item, *match in kind.found(ranges, first):
+            best[d, item] = min(match, best.get((d, item), match))
+    short = [(d, item, distance, a - int(first[d]), b - int(first[d])) for (d, item), (distance, a, b) in best.items()]
+    return short + long_matches(index, symbols, first)
+
+
+def long_matches(index: Index, symbols: np.ndarray, first: np.ndarray) -> list[tuple[int, int, int, int, int]]:
+    """The matches of items of MIN_WORDS words or more, one for each candidate pair."""
+    if not len(index.lengths) or len(symbols) < GRAM:
         return []
     hit, gram = gram_hits(index, symbols)
     if not len(hit):
@@ -299,7 +420,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 
     for row in items.toLocalIterator():  # in turns of bounded size
         turn.append((row["item_id"], row["text"]))
-        words += len(row["text"]) // 4
+        words += max(len(row["text"]) // 4, sum(c >= "\u0e00" for c in row["text"]))
         if len(turn) >= MAX_ITEMS or words >= MAX_WORDS:
             part = search(build_index(turn, similarity))
             out, turn, words = part if out is None else out.unionByName(part), [], 0

@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common_cases import documents, lower, sentence, words
 from pyspark.sql import functions as F
@@ -162,6 +163,30 @@ def test_items_at_the_end_of_documents(spark, before):
     assert len(got) == len(docs)
 
 
+def test_short_items():
+    """Items of any length, against the exact edit distance; documents are searched together."""
+    rng = random.Random(4)
+    items = [(i, " ".join(rng.choice("abcdefgh") for _ in range(1 + i % 7))) for i in range(42)]
+    texts = [" ".join(rng.choice("abcdefghij") for _ in range(rng.randrange(12))) for _ in range(300)]
+    index = ed.build_index([*items, (99, ""), (98, None), (97, "...")], ed.SIMILARITY)
+    symbols, first, _, _ = ed.word_symbols(*ed.text_bytes(pa.array(texts)))
+    got = {(d, index.ids[i]): rest for d, i, *rest in ed.matches(index, symbols, first)}
+    want = {(d, i): e for d, t in enumerate(texts) for i, w in items if (e := edit(w.split(), t.split())) <= ed.edits_allowed(len(w.split()), ed.SIMILARITY)}
+    assert {k: v[0] for k, v in got.items()} == want and len(want) > 500
+    assert {d for d, _ in want} <= set(ed.hopeful(index, symbols, first).tolist())
+    for (d, i), (distance, a, b) in got.items():
+        assert edit(dict(items)[i].split(), texts[d].split()[a:b]) == distance
+
+
+def test_short_items_and_scripts_without_spaces(spark):
+    items = [(1, "Who wrote it?"), (2, "世界上最长的河流是哪一条？"), (3, "北京"), (4, "what is the capital of france"), (5, "ประเทศไทย"), (6, "yes")]
+    docs = [(1, "so, who wrote it then"), (2, "问：世界上最长的河流，是哪条？ok"), (3, "我住在北京。"), (4, "What is the big capital of France!"), (5, "อยู่ในประเทศไทยนะ"), (6, "Yes"), (7, "北 who wrote x 世界"), (8, None), (9, "")]
+    got = ed.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.distance) for r in got) == [(1, 1, 0), (2, 2, 1), (3, 3, 0), (4, 4, 1), (5, 5, 0), (6, 6, 0)]
+    spans = {r.doc_id: dict(docs)[r.doc_id].encode()[r.first_byte : r.end_byte].decode() for r in got}
+    assert spans[1] == "who wrote it" and spans[2] == "世界上最长的河流，是哪条" and spans[3] == "北京" and spans[5] == "ประเทศไทย"
+
+
 def test_decontamination_empty(spark):
     docs, bench = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     assert ed.contaminated(docs, bench).collect() == [] and ed.contaminated(docs.limit(0), bench).collect() == []
