@@ -16,7 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import doc_bucket, slices, table, tidy
@@ -94,15 +94,21 @@ def _slope(margin: np.ndarray, y: np.ndarray) -> float:
 
 
 def fit(rows: DataFrame, families: dict[str, str] | None = None) -> Model | None:
-    """rows: (text, lang, key); key spreads the sample. None when there is nothing to learn from."""
+    """rows: (text, lang, key); key and text spread the sample, and rows that agree in both count once. None when there is nothing to
+    learn from."""
     families = FAMILY_OF if families is None else families
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    rows = rows.select("text", "lang", F.xxhash64(F.col("key").cast("string"), "text").alias("h"))
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
     if not counts:
         return None
     cap = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, cap / n) * (1 << 30)))])
-    sample = rows.filter(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < F.coalesce(share[F.col("lang")], F.lit(0)))
+    # The least `cap` hashes of each language: a threshold that leaves some more (short of the cap with a chance below 1e-9), then by rank.
+    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (4 * cap + 64) / n) * (1 << 40)))])
+    place = F.pmod("h", F.lit(1 << 40))
+    near = rows.withColumn("place", place).filter(F.col("place") < F.coalesce(share[F.col("lang")], F.lit(0)))
+    once = near.groupBy("lang", "place", "h").agg(F.min("text").alias("text"))
+    sample = once.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "h"))).filter(F.col("rank") <= cap)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

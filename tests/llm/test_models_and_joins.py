@@ -46,6 +46,18 @@ def test_language_id_odd_rows(spark):
     assert len(three.families) == 4 and li.predict(df, three).count() == 24
 
 
+@pytest.mark.parametrize("key", [None, 5])
+def test_language_id_sample_with_one_key(spark, monkeypatch, key):
+    """Rows that share a key, or a key and a text, neither flood the sample nor leave it empty."""
+    monkeypatch.setattr(li, "SAMPLE_PER_LANGUAGE", 20)
+    held = []
+    learn = li.linear_svm
+    monkeypatch.setattr(li, "linear_svm", lambda x, y: held.append(len(x)) or learn(x, y))
+    rows = [(f"{w} {'x' * (i % 300)}", lang, key) for i in range(600) for w, lang in (("hello friend", "en"), ("bonjour ami", "fr"))]
+    model = li.fit(spark.createDataFrame(rows, "text string, lang string, key long"))
+    assert model.languages == ["en", "fr"] and held == [40]
+
+
 # --- nearest neighbours --------------------------------------------------------------------------------------------
 
 
