@@ -61,8 +61,11 @@ def tidy(step):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local folder serves a local master (tests) only: on
+    a cluster tables written there would be lost."""
     where = spark.conf.get("spark.checkpoint.dir", None)
+    if not where and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     return (where or "file:///tmp/checkpoints").rstrip("/")
 
 
@@ -77,9 +80,24 @@ def materialise(df: DataFrame, parts: int | None = None) -> DataFrame:
     (df.repartition(parts) if parts else df).write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._written = path
+    if _scratch:
+        _scratch[-1].append(out)
     return out
 
 
+_scratch: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch(keep: list[DataFrame]) -> Iterator[None]:
+    """Deletes at its end what materialise() wrote inside it, but for the tables in keep."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        discard(*[df for df in _scratch.pop() if not any(df is k for k in keep)])
+
+
 def discard(*written: DataFrame) -> None:
     """Delete what materialise() wrote, once nothing that is still to run reads it."""
     for df in written:

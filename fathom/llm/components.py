@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 from .common import discard, materialise, tidy
 
 
+EDGES_A_TASK = 500_000
+
+
 def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The edges of a partition as stars around the least node of each of its components (union-find over ids)."""
     parent: dict[int, int] = {}
@@ -32,13 +35,23 @@ def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["c", "p"])
 
 
+def _labels(stars: DataFrame) -> DataFrame:
+    roots = stars.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct()
+    return stars.select(F.col("c").alias("node"), F.col("p").alias("component")).unionByName(roots)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """edges (a, b) of longs -> (node, component): for every node with an edge the least node of its component.
 
-    Each round sends all parents of a node to the least of them and lets every node skip to its parent's parent; rounds grow
-    with the logarithm of the longest path. Every round is written out, so lineage stays short.
+    Edges are first dealt to tasks of about EDGES_A_TASK, which turn theirs into stars; with one such task these are the answer. Then each
+    round sends all parents of a node to the least of them and lets every node skip to its parent's parent; rounds
+    grow with the logarithm of the longest path. Every round is written out, so lineage stays short.
     """
-    e = materialise(edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b").mapInArrow(tidy(local_stars), "c long, p long"))
+    rows = edges.select(F.col("a").cast("long"), F.col("b").cast("long")).filter("a <> b")
+    parts = rows.count() // EDGES_A_TASK + 1
+    e = materialise(rows.repartition(parts).mapInArrow(tidy(local_stars), "c long, p long"))
+    if parts == 1:
+        return _labels(e)
     while True:
         least = e.groupBy("c").agg(F.min("p").alias("m"))
         e1 = e.join(least, "c").select(F.when(F.col("p") == F.col("m"), F.col("c")).otherwise(F.col("p")).alias("c"), F.col("m").alias("p")).filter("c <> p").distinct()
@@ -48,6 +61,4 @@ def components(edges: DataFrame) -> DataFrame:
         discard(before)
         state = e.agg(F.bool_or("moved"), F.count("*")).first()
         if not state[1] or (not state[0] and e.groupBy("c").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()):
-            return e.select(F.col("c").alias("node"), F.col("p").alias("component")).unionByName(e.select(F.col("p").alias("node"), F.col("p").alias("component")).distinct())
-
-
+            return _labels(e)

@@ -6,14 +6,18 @@ and the cheaper sum wins; list lengths come from a count sketch over all shingle
 also puts frequent shingles last in the order. A pair must share as many prefix tokens as the larger l of its two documents.
 
 Equal sets are collapsed first. Near copies are linked along sorted lists of min-hashes and verified, and what is already
-connected is not paired again: prefix tokens whose documents are all in one component are dropped by an aggregation. Remaining
-token lists are paired in blocks of LIST_BLOCK; a parity bitmap bounds the symmetric difference from below, and survivors with
-enough matches are verified on their whole texts. Links between different components are never dropped, so the components are
-exact.
+connected is not paired again: prefix tokens whose documents are all in one component are dropped by an aggregation. The
+remaining token lists are paired twice. The first time every document of a list is paired with its nearest one of another
+component only, and what verification links is merged; the second time all pairs that are still open count. Pairs are kept only
+if a parity bitmap, which grows with the set, leaves room for the similarity: it bounds the symmetric difference from below, so few
+but real candidates come out of long lists. Long lists are cut by the sizes of the sets, as only neighbouring sizes can be
+similar, and into blocks of LIST_BLOCK. Survivors with enough matches are verified on their whole texts. Links between different
+components are never dropped, so the components are exact.
 """
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +34,8 @@ SKETCH_ROWS = 64
 MOST_MATCHES = 4
 #: Cost of verifying a pair against that of reading a list entry.
 VERIFY_COST = 20.0
-BITMAP = 256
+#: Bits of a set's parity bitmap: its size, within these bounds.
+BITMAP, BITMAP_MOST = 256, 32768
 LIST_BLOCK = 2048
 BROADCAST_IDS = 500_000
 #: Files of a table of links.
@@ -121,8 +126,7 @@ def profiles(rows: DataFrame, k: int, percent: int, cells: np.ndarray) -> DataFr
                     cost = np.cumsum(length[cell[order]])[p - 1 :]
                     l = int(np.argmin(cost + VERIFY_COST * cost / (1 + np.arange(len(cost))))) + 1  # noqa: E741
                     tokens = rank[order]
-                    bits = np.packbits((np.bincount((a & np.uint64(BITMAP - 1)).astype(np.int64), minlength=BITMAP) & 1).astype(np.uint8))
-                    for column, value in zip(out, (n, a.sum(dtype=np.uint64).astype(np.int64), b.sum(dtype=np.uint64).astype(np.int64), *least, l, tokens.view(np.int64), bits.tobytes()), strict=True):
+                    for column, value in zip(out, (n, a.sum(dtype=np.uint64).astype(np.int64), b.sum(dtype=np.uint64).astype(np.int64), *least, l, tokens.view(np.int64), bitmap(a)), strict=True):
                         column.append(value)
                 kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.list_(pa.int64()), pa.binary())
                 yield pa.RecordBatch.from_arrays([part.column(0), *[pa.array(c, t) for c, t in zip(out, kinds, strict=True)]], [c.split()[0] for c in PROFILE.split(", ")])
@@ -176,45 +180,143 @@ def neighbour_links(texts: DataFrame, k: int, percent: int, key: str) -> DataFra
     return ordered.mapInArrow(tidy(linked), "a long, b long")
 
 
-PAIRS = "a long, b long, l int"
-
-
-def list_pairs(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a token's documents (token, lo, hi, own, _key, n, l, pos, comp, bits) that are in different components, close
-    enough in size, within both prefixes, and not too far apart by their bitmaps."""
-    if not (held := [b for b in batches if b.num_rows]):
-        return
-    t = pa.Table.from_batches(held).combine_chunks()
-    token, lo, hi, own, key, n, l, pos, comp = (t[c].to_numpy() for c in ("token", "lo", "hi", "own", "_key", "n", "l", "pos", "comp"))  # noqa: E741
-    bits = np.frombuffer(b"".join(t["bits"].to_pylist()), np.uint64).reshape(-1, BITMAP // 64)
-    order = np.lexsort((key, hi, lo, token))
-    edge = np.flatnonzero(np.r_[True, (np.diff(token[order]) != 0) | (np.diff(lo[order]) != 0) | (np.diff(hi[order]) != 0)])
-    prefix = n - -(-n * percent // 100)  # prefix length less 1
-    for a, b in zip(edge.tolist(), [*edge[1:].tolist(), len(order)], strict=True):
-        rows = order[a:b]
-        if len(rows) < 2:
-            continue
-        split = lo[rows[0]] != hi[rows[0]]
-        for base in range(0, len(rows), 64):
-            x = rows[base : base + 64, None]
-            y = rows[None, :] if split else rows[None, base:]
-            ok = (key[x] < key[y]) & (comp[x] != comp[y])
-            if split:
-                ok &= own[x] != own[y]
-            ok &= 100 * np.minimum(n[x], n[y]) >= percent * np.maximum(n[x], n[y])
-            most = np.maximum(l[x], l[y])
-            ok &= (pos[x] < prefix[x] + most) & (pos[y] < prefix[y] + most)
-            i, j = np.nonzero(ok)
-            if not len(i):
-                continue
-            i, j = rows[base + i], (rows[j] if split else rows[base + j])
-            apart = np.bitwise_count(bits[i] ^ bits[j]).sum(1, dtype=np.int64)
+PAIRS = "a long, b long, m long, l int"
+LISTED = ("token", "cls", "lo", "hi", "own", "_key", "n", "l", "pos", "comp", "bits")
+
+
+def bitmap(hashes: np.ndarray) -> bytes:
+    """Parities of the hashes by cell: about two bits for each member of the set, so that long sets are told apart as well as
+    short ones; a longer bitmap folds to a shorter one by XOR."""
+    size = min(max(BITMAP, 1 << max(0, 2 * len(hashes) - 1).bit_length()), BITMAP_MOST)
+    return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+class Bitmaps:
+    """Bitmaps of several lengths, compared at the shorter length of the two."""
+
+    def __init__(self, column: pa.Array):
+        _, offsets, data = column.buffers()
+        offs = np.frombuffer(offsets, np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+        size = np.diff(offs)
+        self.level = np.log2(size * 8 // BITMAP).astype(np.int64)
+        flat = np.frombuffer(data, np.uint8)
+        self.at, self.folded = np.zeros((int(self.level.max()) + 1, len(size)), np.int64), []
+        for level in range(len(self.at)):
+            mine = np.flatnonzero(self.level == level)
+            width = BITMAP // 8 << level
+            rows = flat[offs[mine][:, None] + np.arange(width)].view(np.uint64)
+            for low in range(level, -1, -1):
+                self.at[low, mine] = np.arange(len(mine)) + (sum(len(x) for x in self.folded[low]) if low < len(self.folded) else 0)
+                while len(self.folded) <= low:
+                    self.folded.append([])
+                self.folded[low].append(rows)
+                if low:
+                    rows = rows[:, : rows.shape[1] // 2] ^ rows[:, rows.shape[1] // 2 :]
+        self.folded = [np.concatenate(x) for x in self.folded]
+
+    def apart(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """A lower bound of the sizes of the symmetric differences."""
+        low = np.minimum(self.level[i], self.level[j])
+        out = np.zeros(len(i), np.int64)
+        for level in np.unique(low):
+            at = np.flatnonzero(low == level)
+            rows, place = self.folded[level], self.at[level]
+            out[at] = np.bitwise_count(rows[place[i[at]]] ^ rows[place[j[at]]]).sum(1, dtype=np.int64)
+        return out
+
+
+def size_class(n, percent: int):
+    """Sets that can be similar are in one class or in neighbours."""
+    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64)
+
+
+def pairs_of(t: pa.Table, percent: int, nearest: bool) -> tuple[np.ndarray, ...]:
+    """(a, b, m, l): pairs of documents of a token that are in different components, close enough in size, within both prefixes,
+    and not too far apart by their bitmaps; m of the lists of t have the pair. t has whole lists, in order.
+
+    nearest: for every document of a list the nearest of them only.
+    """
+    token, cls, lo, hi, own, key, n, l, pos, comp = (t[c].to_numpy() for c in LISTED[:-1])  # noqa: E741
+    bits = Bitmaps(t["bits"].combine_chunks())
+    group = np.r_[0, np.cumsum((np.diff(token) != 0) | (np.diff(cls) != 0) | (np.diff(lo) != 0) | (np.diff(hi) != 0))]
+    end = np.searchsorted(group, group, side="right")
+    split, prefix = lo != hi, n - -(-n * percent // 100)  # prefix length less 1
+    kind = np.where(cls >= 0, size_class(n, percent), -1)
+    left, out = np.arange(len(key)), []
+    for d in range(1, len(key)):
+        left = left[left + d < end[left]]
+        if not len(left):
+            break
+        i, j = left, left + d
+        most = np.maximum(l[i], l[j])
+        ok = (comp[i] != comp[j]) & (100 * np.minimum(n[i], n[j]) >= percent * np.maximum(n[i], n[j]))
+        ok &= (pos[i] < prefix[i] + most) & (pos[j] < prefix[j] + most) & (~split[i] | (own[i] != own[j]))
+        ok &= np.maximum(kind[i], kind[j]) == cls[i]
+        i, j = i[ok], j[ok]
+        if len(i):
             size = n[i] + n[j]
-            needed = -(-percent * size // (100 + percent))  # least size of the intersection
-            keep = apart <= size - 2 * needed
-            i, j = i[keep], j[keep]
-            if len(i):
-                yield pa.RecordBatch.from_arrays([pa.array(key[i]), pa.array(key[j]), pa.array(np.maximum(l[i], l[j]).astype(np.int32))], ["a", "b", "l"])
+            room = size - 2 * -(-percent * size // (100 + percent)) - bits.apart(i, j)
+            fits = room >= 0
+            if fits.any():
+                out.append((i[fits], j[fits], room[fits] / size[fits]))
+    if not out:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    i, j, room = (np.concatenate(x) for x in zip(*out, strict=True))
+    if nearest:
+        best = np.zeros(len(i), np.bool_)
+        for side in (i, j):
+            order = np.lexsort((-room, side))
+            best[order[np.r_[True, side[order][1:] != side[order][:-1]]]] = True
+        i, j = i[best], j[best]
+    a, b, l = np.minimum(key[i], key[j]), np.maximum(key[i], key[j]), np.maximum(l[i], l[j]).astype(np.int32)  # noqa: E741
+    order = np.lexsort((b, a))
+    a, b, l = a[order], b[order], l[order]  # noqa: E741
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
+    return a[first], b[first], np.diff(np.r_[first, len(a)]), l[first]
+
+
+def list_pairs(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """pairs_of() lists that arrive in order, some thousand rows at a time; no more is held than that and one list's block."""
+    held: list[pa.RecordBatch] = []
+
+    def emit(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        a, b, m, l = pairs_of(t, percent, nearest)  # noqa: E741
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b), pa.array(m), pa.array(l)], ["a", "b", "m", "l"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        if sum(x.num_rows for x in held) < 2 * LIST_BLOCK:
+            continue
+        t = pa.Table.from_batches(held).combine_chunks()
+        place = np.stack([t[c].to_numpy() for c in LISTED[:4]])
+        last = int(np.flatnonzero(np.r_[False, (place[:, 1:] != place[:, :-1]).any(0)])[-1]) if (place != place[:, -1:]).any() else 0
+        if last:
+            yield from emit(t.slice(0, last).combine_chunks())
+        held = t.slice(last).to_batches()
+    if held:
+        yield from emit(pa.Table.from_batches(held).combine_chunks())
+
+
+def open_blocks(lists: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The lists whose documents are in several components, in blocks (LISTED): a list of more than LIST_BLOCK documents is cut by the
+    classes of their sizes first, each with its neighbour below, and classes as large again into pairs of hashed parts."""
+    placed = lists.join(info.select("_key", "comp"), "_key")
+    bridging = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
+    bridging = materialise(bridging.select("token", (F.col("c") > LIST_BLOCK).alias("hot")))
+    rows = lists.join(bridging, "token").join(info, "_key")
+    short = rows.filter("NOT hot").select("token", F.lit(-1).cast("long").alias("cls"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("own"), "_key", "n", "l", "pos", "comp", "bits")
+    if bridging.filter("hot").isEmpty():
+        return short
+    kind = F.floor(F.log("n") / F.log(F.lit(100 / percent)) + 1e-9).cast("long")
+    long_ = materialise(rows.filter("hot").withColumn("cls", F.explode(F.array(kind, kind + 1))))
+    sizes = long_.groupBy("token", "cls").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
+    long_ = long_.join(sizes.select("token", "cls", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks")), ["token", "cls"])
+    own = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
+    long_ = long_.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    return short.unionByName(long_.select("token", "cls", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "_key", "n", "l", "pos", "comp", "bits"))
 
 
 def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame, DataFrame]:
@@ -244,26 +346,25 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     for key in MIN_HASHES:
         found = materialise(neighbour_links(texts.filter(f"again_{key}"), k, percent, key), SMALL_FILES)
         links = found if links is None else links.unionByName(found)
-    known = components(links)
-    info = reps.select("_key", "n", "l", "bits").join(known, F.col("_key") == F.col("node"), "left").select("_key", "n", "l", "bits", F.coalesce("component", "_key").alias("comp"))
-    placed = lists.join(info.select("_key", "comp"), "_key")
-    bridging = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
-    bridging = materialise(bridging.select("token", F.ceil(F.col("c") / LIST_BLOCK).cast("int").alias("blocks")))
-    open_lists = lists.join(bridging, "token").join(info, "_key")
-    own = F.pmod(F.xxhash64("_key"), F.col("blocks")).cast("int")
-    spread = open_lists.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    spread = spread.select("token", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "_key", "n", "l", "pos", "comp", "bits")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    pairs = spread.repartition(parts, "token", "lo", "hi").mapInArrow(tidy(lambda b: list_pairs(b, percent)), PAIRS)
-    pairs = materialise(pairs.groupBy("a", "b").agg(F.count("*").alias("m"), F.max("l").alias("l")).filter("m >= l").select("a", "b"))
-    # Documents of candidate pairs: those fetched above, and the rest, a broadcast list of ids while that is short.
-    discard(bridging, lists, reps, profile, same)
+    for nearest in (True, False):
+        known = components(links)
+        info = reps.select("_key", "n", "l", "bits").join(known, F.col("_key") == F.col("node"), "left").select("_key", "n", "l", "bits", F.coalesce("component", "_key").alias("comp"))
+        blocks, parts = open_blocks(lists, info, percent), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        pairs = blocks.repartition(parts, *LISTED[:4]).sortWithinPartitions(*LISTED[:4]).mapInArrow(tidy(functools.partial(list_pairs, percent=percent, nearest=nearest)), PAIRS)
+        pairs = materialise(pairs.groupBy("a", "b").agg(F.sum("m").alias("m"), F.max("l").alias("l")).filter("m >= l").select("a", "b"))
+        links = links.unionByName(verified_links(docs, texts, pairs, k, percent))
+    discard(lists, reps, profile, same, texts)
+    return links, member
+
+
+def verified_links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
+    """The pairs (a, b) that are similar on their whole texts. texts: those at hand; the rest is fetched from docs, by a broadcast list of
+    ids while that is short."""
     wanted = materialise(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select("b").toDF("_key")).distinct().join(texts.select("_key"), "_key", "left_anti"))
     rest = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
     more = materialise(docs.select("_key", "text").join(rest, "_key", "left_semi"))
     every = texts.select("_key", "text").unionByName(more)
-    left = pairs.join(every.toDF("a", "text_a"), "a")
-    both = left.join(every.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
+    both = pairs.join(every.toDF("a", "text_a"), "a").join(every.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,9 +373,9 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
                 good = [similar(x, y, percent) for x, y in zip(ones, others, strict=True)]
                 yield part.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    links = links.unionByName(materialise(both.mapInArrow(tidy(verified), "a long, b long"), SMALL_FILES))
-    discard(texts, more, wanted, pairs)
-    return links, member
+    out = materialise(both.mapInArrow(tidy(verified), "a long, b long"), SMALL_FILES)
+    discard(wanted, more, pairs)
+    return out
 
 
 def grouped(docs: DataFrame, k: int = 3, percent: int = 90) -> DataFrame:

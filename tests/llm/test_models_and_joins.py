@@ -253,7 +253,20 @@ def test_join_odd_tables(spark):
     assert jj.grouped(df.limit(0)).collect() == []
 
 
-def test_connected_components(spark):
+def test_bitmaps_bound_the_difference():
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 1 << 60, int(n)).astype(np.uint64)) for n in (1, 5, 100, 129, 700, 3000)]
+    sets += [np.union1d(sets[4][:600], sets[5][:50]), sets[5][7:]]
+    maps = jj.Bitmaps(pa.array([jj.bitmap(s) for s in sets], pa.binary()))
+    i, j = (x.ravel() for x in np.meshgrid(np.arange(len(sets)), np.arange(len(sets))))
+    true = np.array([len(np.setxor1d(sets[a], sets[b])) for a, b in zip(i, j, strict=True)])
+    found = maps.apart(i, j)
+    assert (found <= true).all() and (found[i == j] == 0).all() and (found >= true / 100).all()
+
+
+@pytest.mark.parametrize("a_task", [500_000, 40])
+def test_connected_components(spark, monkeypatch, a_task):
+    monkeypatch.setattr(cc, "EDGES_A_TASK", a_task)
     rng = random.Random(9)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(250)] + [(1000 + i, 1001 + i) for i in range(200)] + [(7, 7)]
     parent = {}
