@@ -7,10 +7,9 @@ also puts frequent shingles last in the order. A pair must share as many prefix
 
 Equal sets are collapsed first. Near copies are linked along sorted lists of min-hashes and verified, and what is already
 connected is not paired again: prefix tokens whose documents are all in one component are dropped by an aggregation. The
-remaining token lists are paired twice. The first time every document of a list is paired with its nearest one of another
-component only, and what verification links is merged; the second time all pairs that are still open count. Pairs are kept only
-if a parity bitmap, which grows with the set, leaves room for the similarity: it bounds the symmetric difference from below, so few
-but real candidates come out of long lists. Long lists are cut by the sizes of the sets, as only neighbouring sizes can be
+remaining token lists are paired twice. The first time every document of a long list is paired with its nearest one of another
+component only, and what verification links is merged; the second time all pairs of all lists that are still open count. Pairs are kept only
+if a parity bitmap, which grows with the set, leaves room for the similarity: it bounds the symmetric difference from below. Long lists are cut by the sizes of the sets, as only neighbouring sizes can be
 similar, and into blocks of LIST_BLOCK. Survivors with enough matches are verified on their whole texts. Links between different
 components are never dropped, so the components are exact.
 """
@@ -35,8 +34,10 @@ MOST_MATCHES = 4
 #: Cost of verifying a pair against that of reading a list entry.
 VERIFY_COST = 20.0
 #: Bits of a set's parity bitmap: its size, within these bounds.
-BITMAP, BITMAP_MOST = 256, 32768
+BITMAP, BITMAP_MOST = 256, 2048
 LIST_BLOCK = 2048
+#: Documents of a list from which on nearest neighbours are linked before all pairs are listed.
+LONG_LIST = 12
 BROADCAST_IDS = 500_000
 #: Files of a table of links.
 SMALL_FILES = 6
@@ -185,9 +186,9 @@ LISTED = ("token", "cls", "lo", "hi", "own", "_key", "n", "l", "pos", "comp", "b
 
 
 def bitmap(hashes: np.ndarray) -> bytes:
-    """Parities of the hashes by cell: about two bits for each member of the set, so that long sets are told apart as well as
+    """Parities of the hashes by cell: about one bit for each member of the set, so that long sets are told apart as well as
     short ones; a longer bitmap folds to a shorter one by XOR."""
-    size = min(max(BITMAP, 1 << max(0, 2 * len(hashes) - 1).bit_length()), BITMAP_MOST)
+    size = min(max(BITMAP, 1 << max(0, len(hashes) - 1).bit_length()), BITMAP_MOST)
     return np.packbits((np.bincount((hashes & np.uint64(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8), bitorder="little").tobytes()
 
 
@@ -300,11 +301,11 @@ def list_pairs(batches: Iterator[pa.RecordBatch], percent: int, nearest: bool) -
         yield from emit(pa.Table.from_batches(held).combine_chunks())
 
 
-def open_blocks(lists: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The lists whose documents are in several components, in blocks (LISTED): a list of more than LIST_BLOCK documents is cut by the
+def open_blocks(lists: DataFrame, info: DataFrame, percent: int, least: int) -> DataFrame:
+    """The lists of at least `least` documents that are in several components, in blocks (LISTED): a list of more than LIST_BLOCK documents is cut by the
     classes of their sizes first, each with its neighbour below, and classes as large again into pairs of hashed parts."""
     placed = lists.join(info.select("_key", "comp"), "_key")
-    bridging = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter("x < y")
+    bridging = placed.groupBy("token").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("c")).filter(f"x < y AND c >= {least}")
     bridging = materialise(bridging.select("token", (F.col("c") > LIST_BLOCK).alias("hot")))
     rows = lists.join(bridging, "token").join(info, "_key")
     short = rows.filter("NOT hot").select("token", F.lit(-1).cast("long").alias("cls"), F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("own"), "_key", "n", "l", "pos", "comp", "bits")
@@ -346,10 +347,10 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
     for key in MIN_HASHES:
         found = materialise(neighbour_links(texts.filter(f"again_{key}"), k, percent, key), SMALL_FILES)
         links = found if links is None else links.unionByName(found)
-    for nearest in (True, False):
+    for nearest, least in ((True, LONG_LIST), (False, 2)):
         known = components(links)
         info = reps.select("_key", "n", "l", "bits").join(known, F.col("_key") == F.col("node"), "left").select("_key", "n", "l", "bits", F.coalesce("component", "_key").alias("comp"))
-        blocks, parts = open_blocks(lists, info, percent), int(spark.conf.get("spark.sql.shuffle.partitions"))
+        blocks, parts = open_blocks(lists, info, percent, least), int(spark.conf.get("spark.sql.shuffle.partitions"))
         pairs = blocks.repartition(parts, *LISTED[:4]).sortWithinPartitions(*LISTED[:4]).mapInArrow(tidy(functools.partial(list_pairs, percent=percent, nearest=nearest)), PAIRS)
         pairs = materialise(pairs.groupBy("a", "b").agg(F.sum("m").alias("m"), F.max("l").alias("l")).filter("m >= l").select("a", "b"))
         links = links.unionByName(verified_links(docs, texts, pairs, k, percent))
