@@ -1,7 +1,7 @@
 """Call graphs: reachability, cycles, fixpoints and paths as loops over joins.
 
-edges (src, dst); a node without edges may be listed in `nodes` (fn). Loops are semi-naive: only pairs found in the last round
-are joined again. Each round is written to the shared folder, which cuts the lineage and survives lost executors.
+edges (src, dst); a node without edges may be listed in `nodes` (fn). Loops are semi-naive: only pairs found last are joined again. A
+job takes several hops; what it finds is written to the shared folder, which cuts the lineage and survives lost executors.
 """
 
 from __future__ import annotations
@@ -12,10 +12,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Hops that one job takes before its result is written.
+HOPS_A_JOB = 4
+
+
 def written(df: DataFrame) -> DataFrame:
+    """A DataFrame written to spark.checkpoint.dir and read back; unset, a local folder serves a local master (tests) only."""
     spark = df.sparkSession
-    folder = (spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/checkpoints").rstrip("/")
-    path = f"{folder}/fathom-{uuid.uuid4().hex}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    path = f"{(folder or 'file:///tmp/checkpoints').rstrip('/')}/fathom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -29,29 +36,44 @@ def reversed_edges(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))
 
 
+def _reached(first: DataFrame, steps: DataFrame, most: int | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
+    """first (k, at, hops), steps (at, to) -> (k, at, hops) of all that is reached with the least number of steps, and whether the
+    budget of rows stopped it. Only what the last job found at its last hop goes on; a job takes HOPS_A_JOB hops and compares what it
+    found with all that is known in one join."""
+    steps = written(steps.select("at", "to").distinct())
+    frontier = written(first)
+    top = frontier.agg(F.max("hops")).first()[0]
+    known, total = [frontier], frontier.count() if budget is not None else 0
+    while top is not None and (most is None or top < most):
+        hops = min(HOPS_A_JOB, most - top) if most is not None else HOPS_A_JOB
+        now, layers = frontier.filter(F.col("hops") == top).select("k", "at"), []
+        for i in range(1, hops + 1):
+            now = now.join(steps, "at").select("k", F.col("to").alias("at")).distinct()
+            layers.append(now.withColumn("hops", F.lit(top + i)))
+        found = _union(layers).groupBy("k", "at").agg(F.min("hops").alias("hops"))
+        top += hops
+        frontier = written(found.join(_union(known).select("k", "at"), ["k", "at"], "left_anti"))
+        ends = frontier.agg(F.max("hops").alias("top"), F.count("*").alias("n")).first()
+        if not ends["n"]:
+            break
+        known.append(frontier)
+        if len(known) > 8:
+            known = [written(_union(known))]
+        total += ends["n"]
+        if budget is not None and total > budget:
+            return _union(known), True
+        if ends["top"] < top:
+            break
+    return _union(known), False
+
+
 def closure(edges: DataFrame, starts: DataFrame | None = None, rounds: int | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
     """(src, dst, hops) for every pair joined by at least one step, with the least number of steps, and whether the budget of
     pairs stopped it; without a budget it runs until no pair is new. starts (fn): only from there."""
-    edges = written(edges.select("src", "dst").distinct())
     first = edges if starts is None else edges.join(starts.select(F.col("fn").alias("src")).distinct(), "src", "left_semi")
-    frontier = written(first.withColumn("hops", F.lit(1)))
-    parts, total, hops = [frontier], frontier.count(), 1
-    while rounds is None or hops < rounds:
-        hops += 1
-        step = frontier.select("src", F.col("dst").alias("via")).join(edges.select(F.col("src").alias("via"), "dst"), "via").select("src", "dst").distinct()
-        for part in parts:
-            step = step.join(part.select("src", "dst"), ["src", "dst"], "left_anti")
-        frontier = written(step.withColumn("hops", F.lit(hops)))
-        found = frontier.count()
-        if not found:
-            return _union(parts), False
-        parts.append(frontier)
-        if len(parts) > 8:
-            parts = [written(_union(parts))]
-        total += found
-        if budget is not None and total > budget:
-            return _union(parts), True
-    return _union(parts), False
+    first = first.select(F.col("src").alias("k"), F.col("dst").alias("at")).distinct().withColumn("hops", F.lit(1))
+    pairs, cut = _reached(first, edges.select(F.col("src").alias("at"), F.col("dst").alias("to")), rounds, budget)
+    return pairs.select(F.col("k").alias("src"), F.col("at").alias("dst"), "hops"), cut
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -61,23 +83,33 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def blast(edges: DataFrame) -> DataFrame:
-    """(fn, blast): distinct transitive callers of every node; a node counts itself only on a cycle."""
-    pairs, _ = closure(edges)
+def blast(edges: DataFrame, budget: int | None = None) -> DataFrame:
+    """(fn, blast, approximate): distinct transitive callers of every node; a node counts itself only on a cycle. With a budget of
+    pairs the counts may be too low; then all rows say so. Without one they are exact."""
+    pairs, cut = closure(edges, budget=budget)
     counts = pairs.groupBy(F.col("dst").alias("fn")).agg(F.count("*").alias("blast"))
-    return nodes_of(edges).join(counts, "fn", "left").select("fn", F.coalesce("blast", F.lit(0)).alias("blast"))
+    return nodes_of(edges).join(counts, "fn", "left").select("fn", F.coalesce("blast", F.lit(0)).alias("blast"), F.lit(cut).alias("approximate"))
+
+
+def _fed(steps: DataFrame) -> DataFrame:
+    """The nodes (fn) that steps (at, to) enter, from nodes that steps enter, and so on for ever: those on or behind a cycle."""
+    steps = written(steps)
+    fed, before = written(steps.select(F.col("to").alias("fn")).distinct()), -1
+    while (n := fed.count()) != before:
+        before = n
+        for _ in range(2 * HOPS_A_JOB):
+            fed = steps.join(fed.select(F.col("fn").alias("at")), "at", "left_semi").select(F.col("to").alias("fn")).distinct()
+        fed = written(fed)
+    return fed
 
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. Nodes without a way in or out are trimmed first, so that only the cores are closed."""
-    core = written(edges.select("src", "dst").distinct())
-    while True:
-        n = core.count()
-        kept = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        kept = written(kept.join(kept.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
-        if kept.count() == n:
-            break
-        core = kept
+    """Nodes that reach themselves. What no cycle feeds, and then what feeds no cycle, is trimmed first, so that only the cores are
+    closed."""
+    core = edges.select("src", "dst").distinct()
+    for at, to in (("src", "dst"), ("dst", "src")):
+        fed = _fed(core.select(F.col(at).alias("at"), F.col(to).alias("to")))
+        core = written(core.join(fed.select(F.col("fn").alias("src")), "src", "left_semi").join(fed.select(F.col("fn").alias("dst")), "dst", "left_semi").select("src", "dst"))
     pairs, _ = closure(core)
     return pairs.filter("src = dst").select(F.col("src").alias("fn"))
 
@@ -90,28 +122,16 @@ def callers(edges: DataFrame, of: DataFrame) -> DataFrame:
 
 def propagated(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """facts (fn, fact) carried from callee to caller until nothing is new: the least fixpoint of (fn, fact)."""
-    edges = written(edges.select("src", "dst").distinct())
-    known = frontier = written(facts.select("fn", "fact").distinct())
-    while True:
-        new = edges.join(frontier.select(F.col("fn").alias("dst"), "fact"), "dst").select(F.col("src").alias("fn"), "fact").distinct()
-        frontier = written(new.join(known, ["fn", "fact"], "left_anti"))
-        if frontier.isEmpty():
-            return known
-        known = written(known.unionByName(frontier))
+    first = facts.select(F.col("fact").alias("k"), F.col("fn").alias("at")).distinct().withColumn("hops", F.lit(0))
+    found, _ = _reached(first, edges.select(F.col("dst").alias("at"), F.col("src").alias("to")))
+    return found.select(F.col("at").alias("fn"), F.col("k").alias("fact"))
 
 
 def hops_to(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """(fn, hops): least number of calls to a function in targets (fn); 0 for the targets themselves."""
-    edges = written(edges.select("src", "dst").distinct())
-    known = frontier = written(targets.select("fn").distinct().withColumn("hops", F.lit(0)))
-    hops = 0
-    while True:
-        hops += 1
-        new = edges.join(frontier.select(F.col("fn").alias("dst")), "dst").select(F.col("src").alias("fn")).distinct()
-        frontier = written(new.join(known, "fn", "left_anti").withColumn("hops", F.lit(hops)))
-        if frontier.isEmpty():
-            return known
-        known = written(known.unionByName(frontier))
+    first = targets.select(F.lit(0).alias("k"), F.col("fn").alias("at")).distinct().withColumn("hops", F.lit(0))
+    found, _ = _reached(first, edges.select(F.col("dst").alias("at"), F.col("src").alias("to")))
+    return found.select(F.col("at").alias("fn"), "hops")
 
 
 def next_hops(edges: DataFrame, targets: DataFrame) -> DataFrame:

@@ -78,14 +78,15 @@ def matching_paths(paths: DataFrame, globs: list[str]) -> DataFrame:
 
 
 def scope_ladder(gained: DataFrame, lost: DataFrame, baseline: DataFrame) -> DataFrame:
-    """gained (entry, qual, effect) against baseline (entry, qual, effect): how far a new effect reaches. function: qualified
-    names; class: (entry, class); package and artifact: (scope, effect) pairs new to that scope; lost: names."""
+    """gained (entry, qual, effect; new to the function) against baseline (entry, qual, effect): how far a new effect reaches. function:
+    qualified names; class: classes with such a function; package and artifact: (scope, effect) pairs new to that scope;
+    lost: names."""
     cls = F.regexp_replace("qual", r"\.[^.]*$", "")
     pkg = F.regexp_replace(cls, r"\.[^.]*$", "")
     g = gained.select("entry", "qual", "effect", cls.alias("cls"), pkg.alias("pkg"))
-    b = baseline.select("entry", "effect", cls.alias("cls"), pkg.alias("pkg"))
+    b = baseline.select("entry", "effect", pkg.alias("pkg"))
     new = lambda cols: g.select(*cols).distinct().join(b.select(*cols).distinct(), cols, "left_anti")
-    classes = new(["entry", "cls", "effect"]).select("entry", "cls").distinct()
+    classes = g.select("entry", "cls").distinct()
     row = lambda df, name: df.agg(F.count("*").alias("n")).select(F.lit(name).alias("level"), "n")
     out = row(g.select("entry", "qual").distinct(), "function")
     for df, name in ((classes, "class"), (new(["entry", "pkg", "effect"]), "package"), (new(["entry", "effect"]), "artifact"), (lost.select("entry", "qual").distinct(), "lost")):

@@ -47,8 +47,8 @@ def after_last(df: DataFrame, session: list[str], ordinal: str, boundary: Column
 
 
 def keep_last(df: DataFrame, key: list[str], ordinal: str, n: int) -> DataFrame:
-    """The last n rows of each key."""
-    w = Window.partitionBy(*key).orderBy(F.desc(ordinal))
+    """The last n rows of each key; of rows with one ordinal, those with the greater values of the other columns."""
+    w = Window.partitionBy(*key).orderBy(F.desc(ordinal), F.desc(F.struct(*[c for c in df.columns if c not in key])))
     return df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") <= n).drop("_rn")
 
 
@@ -58,9 +58,10 @@ def lower_median(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 
 def common_prefix(df: DataFrame, key: list[str], name: str, separator: str = ".") -> DataFrame:
-    """The longest run of leading segments that all names of a key share; names without a separator are left out. The least
-    and greatest names, compared by segments, differ first where any two do."""
+    """The longest run of leading segments that the names of a key share before their last one; names without a separator are left
+    out. The least and greatest of these paths, compared by segments, differ first where any two do."""
     parts = F.split(F.col(name), f"\\Q{separator}\\E")
+    parts = F.slice(parts, F.lit(1), F.size(parts) - 1)
     rows = df.filter(F.contains(F.col(name), F.lit(separator))).select(*key, parts.alias("_p"))
     ends = rows.groupBy(*key).agg(F.min("_p").alias("a"), F.max("_p").alias("b"))
     same = F.zip_with("a", "b", lambda x, y: x.eqNullSafe(y))

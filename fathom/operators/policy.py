@@ -9,13 +9,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .effects import BOUNDARY, UNKNOWN
+from .effects import BOUNDARY, PALETTE, UNKNOWN
 
 RULE_SCHEMA = "ordinal int, kind string, effects array<string>, classes array<string>, scope string, targets array<string>, `values` array<string>"
 
 
 def parse_policy(spark: SparkSession, text: str) -> DataFrame:
-    """Lines `deny Net,Db scope`, `deny Unknown[class,..] scope`, `pure scope`, `allow Net in scope a,b`, `forbid a -> b`,
+    """Lines `deny Net,Db scope` or `deny Net Db scope`, `deny Unknown[class,..] scope`, `pure scope`, `allow Net in scope a,b`, `forbid a -> b`,
     `only a -> b c`, `accept ..`; # begins a comment."""
     rows = []
     for line in text.splitlines():
@@ -38,6 +38,8 @@ def parse_policy(spark: SparkSession, text: str) -> DataFrame:
                 row |= {"effects": [name], "classes": classes.rstrip("]").split(",")}
             else:
                 row["effects"] = head.split(",") if head else []
+                while len(rest) > 1 and rest[1] in (*PALETTE, UNKNOWN):
+                    row["effects"].append(rest.pop(1))
             row["scope"] = rest[1] if len(rest) > 1 else ""
         rows.append(tuple(row[c] for c in ("ordinal", "kind", "effects", "classes", "scope", "targets", "values")))
     return spark.createDataFrame(rows, RULE_SCHEMA)
@@ -94,14 +96,16 @@ def exit_code(violations: int | None, evaluable: bool = True) -> int:
 
 
 def propose(profile: DataFrame, min_fns: int = 1, boundary: tuple[str, ...] = BOUNDARY) -> DataFrame:
-    """profile (layer, fns, effects) -> (layer, kind, effects): pure for layers without effects, else deny what they lack of the
-    boundary. Layers with Unknown, with few functions, or whose name is a prefix of another's (or has one) are left out."""
-    names = profile.select(F.col("layer").alias("_other"))
-    clash = profile.join(names, (F.col("layer") != F.col("_other")) & (F.col("layer").startswith(F.col("_other")) | F.col("_other").startswith(F.col("layer"))), "left_semi").select("layer")
-    fit = profile.filter((F.col("fns") >= min_fns) & ~F.array_contains("effects", UNKNOWN)).join(clash, "layer", "left_anti")
-    lacking = F.sort_array(F.array_except(F.array(*[F.lit(e) for e in boundary]), F.col("effects")))
-    pure = F.size("effects") == 0
-    out = fit.select("layer", F.when(pure, "pure").otherwise("deny").alias("kind"), F.when(pure, F.array().cast("array<string>")).otherwise(lacking).alias("effects"))
+    """profile (layer, fns, effects) -> (layer, kind, effects): pure for layers without concrete effects, else deny what they lack of the
+    boundary, in its order. Left out: layers with few functions, layers whose name begins another's (a rule would bind that one
+    too), and Unknown alone, which cannot be certified pure. All beginnings of a name are equality probes."""
+    begins = profile.select(F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length("layer") - 1, F.lit(1))), lambda i: F.substring("layer", F.lit(1), i))).alias("_b"), F.col("layer").alias("_l"))
+    clash = begins.filter(F.col("_b") != F.col("_l")).select(F.col("_b").alias("layer")).distinct()
+    fit = profile.filter(F.col("fns") >= min_fns).join(clash, "layer", "left_anti")
+    known = F.filter("effects", lambda e: e != UNKNOWN)
+    lacking = F.array_except(F.array(*[F.lit(e) for e in boundary]), known)
+    pure = F.size(known) == 0
+    out = fit.filter(~(pure & F.array_contains("effects", UNKNOWN))).select("layer", F.when(pure, "pure").otherwise("deny").alias("kind"), F.when(pure, F.array().cast("array<string>")).otherwise(lacking).alias("effects"))
     return out.filter((F.col("kind") == "pure") | (F.size("effects") > 0))
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .effects import PALETTE, UNKNOWN
@@ -25,6 +25,13 @@ def primary_effect(inferred: Column) -> Column:
     return F.when(rank < 1000, F.element_at(F.array(*[F.lit(x) for x in PALETTE]), F.when(rank < 1000, rank).otherwise(1))).when(F.size(inferred) > 0, UNKNOWN)
 
 
+def effect_order(units: DataFrame) -> DataFrame:
+    """(effect, n, share, place): the palette effects that occur, by falling share, ties in palette order."""
+    order = F.array_position(F.array(*[F.lit(x) for x in PALETTE]), F.col("effect"))
+    few = effect_mix(units).filter(F.col("effect") != UNKNOWN).withColumn("_o", order)  # a row for each palette effect at most
+    return few.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "_o")).cast("long")).drop("_o")
+
+
 def structure(units: DataFrame, nodes: DataFrame, edges: DataFrame, cyclic: DataFrame) -> DataFrame:
     """One row: functions, nodes, edges, density, tangle, complexity, smear, cycle ratio and structure; structure is null where
     there is nothing to judge (no function, no node, no concrete effect)."""

@@ -9,7 +9,7 @@ from ..operators import joins as J
 from ..operators import structure as S
 from ..operators.graph import cyclic_nodes, nodes_of
 from .registry import query
-from .views import CLOSURE, DIRECT, NAMED, UNITS, arms, direct, edges, named_customers, table, unit_rows, units
+from .views import CLOSURE, DIRECT, NAMED, UNIT_BAG, UNITS, arms, direct, edges, named_customers, table, unit_bag, unit_rows, units
 
 CONCRETE = "list_filter({}, lambda x: x <> 'Unknown')"
 
@@ -33,18 +33,17 @@ def a08(spark, sf):
     return out.select("fn", F.array_join("concrete", ",").alias("effects"), "has_unknown")
 
 
-PAIRS = f"{UNITS}, pq AS (SELECT entry, fn, coalesce(a.inferred, []) AS p, coalesce(b.inferred, []) AS q FROM a FULL JOIN b USING (entry, fn)), m AS (SELECT *, list_filter(q, lambda x: NOT list_contains(p, x)) AS came, list_filter(p, lambda x: NOT list_contains(q, x)) AS went FROM pq)"
-
-
 @query(
     "a17_buckets",
-    f"WITH {PAIRS}, f AS (SELECT len({CONCRETE.format('came')}) > 0 AS nc, list_contains(came, 'Unknown') AS nu, len({CONCRETE.format('went')}) > 0 AS lc, list_contains(went, 'Unknown') AS lu FROM m)"
-    " SELECT count(*) FILTER (WHERE nc) AS bucket_1, count(*) FILTER (WHERE NOT nc AND nu) AS bucket_2, count(*) FILTER (WHERE lc) AS bucket_3, count(*) FILTER (WHERE lu AND NOT lc) AS bucket_3u, count(*) FILTER (WHERE NOT nc AND NOT nu AND NOT lc AND NOT lu) AS bucket_4 FROM f",
+    f"WITH {UNITS}, {UNIT_BAG}, m AS (SELECT * FROM el WHERE gone > 0 OR came > 0), red AS (SELECT entry, fn, list(DISTINCT x) AS r FROM (SELECT entry, fn, unnest(inferred) AS x FROM bag WHERE arm = 'pre') WHERE x <> 'Unknown' GROUP BY ALL),"
+    " k AS (SELECT entry, fn, coalesce(list(x) FILTER (WHERE f = 'e' AND came > 0 AND gone = 0), []) AS new, coalesce(bool_or(f = 'e'), false) AS conc, coalesce(bool_or(f = 'u' AND came > 0 AND gone = 0), false) AS hedged, coalesce(bool_or(f = 'union' AND came > 0), false) AS iu,"
+    " coalesce(bool_or(f = 'e' AND gone > came), false) AS l3, coalesce(bool_or(f = 'u' AND gone > came), false) AS l3u, coalesce(bool_or(f = 'i' AND gone > came), false) AS l3i, coalesce(bool_or(f = 'k' AND gone > came), false) AS l3k FROM m GROUP BY entry, fn, hash),"
+    " j AS (SELECT k.*, len(new) > 0 AS one, hedged AND NOT conc AS two, len(list_filter(new, lambda x: NOT list_contains(coalesce(r, []), x))) = 0 AS was_red FROM k LEFT JOIN red ON red.entry = k.entry AND red.fn = k.fn)"
+    " SELECT count(*) FILTER (WHERE one AND NOT iu AND NOT was_red) AS bucket_1, count(*) FILTER (WHERE two AND NOT one AND NOT iu) AS bucket_2, count(*) FILTER (WHERE l3) AS bucket_3, count(*) FILTER (WHERE l3u) AS bucket_3u, count(*) FILTER (WHERE l3i) AS bucket_3i, count(*) FILTER (WHERE l3k) AS bucket_3k,"
+    " count(*) FILTER (WHERE NOT one AND NOT two AND NOT l3 AND NOT l3u AND NOT l3i AND NOT l3k) AS bucket_4, count(*) FILTER (WHERE (one OR two) AND iu) AS dropped_union, count(*) FILTER (WHERE one AND NOT iu AND was_red) AS dropped_red FROM j",
 )
 def a17(spark, sf):
-    pre, post = arms(spark, sf)
-    both = pre.withColumnRenamed("inferred", "pre").join(post.withColumnRenamed("inferred", "post"), ["entry", "fn"], "full")
-    return E.verdict_buckets(both.select("pre", "post"))
+    return E.verdict_buckets(*unit_bag(spark, sf), ["entry", "fn", "hash"], ["entry", "fn"])
 
 
 @query("a18_unknown_rows", f"WITH {UNITS}, c AS (SELECT entry, fn, count(*) FILTER (WHERE arm = 'pre' AND effect = 'Unknown') AS g, count(*) FILTER (WHERE arm = 'post' AND effect = 'Unknown') AS n FROM unit_row GROUP BY ALL) SELECT sum(greatest(n - g, 0))::BIGINT AS newly_unknown, sum(greatest(g - n, 0))::BIGINT AS lost_unknown FROM c")
@@ -54,19 +53,34 @@ def a18(spark, sf):
     return n.agg(more("n", "g").alias("newly_unknown"), more("g", "n").alias("lost_unknown"))
 
 
-TOKENS = f"{UNITS}, ga AS (SELECT fn, entry, inferred AS t FROM a), gb AS (SELECT fn, entry, inferred AS t FROM b)"
+TOKENS = (
+    f"{UNITS}, {UNIT_BAG}, tk AS (SELECT arm, entry, fn, list(DISTINCT t) AS t FROM (SELECT arm, entry, fn, unnest(list_concat(inferred, list_transform(inv, lambda x: '~invisible:' || x), list_transform(dis, lambda x: '~incomplete:' || x))) AS t FROM bag) GROUP BY ALL),"
+    " mv AS (SELECT entry, fn, list_filter(coalesce(q.t, []), lambda x: NOT list_contains(coalesce(p.t, []), x)) AS gain, list_filter(coalesce(p.t, []), lambda x: NOT list_contains(coalesce(q.t, []), x)) AS loss FROM (SELECT * FROM tk WHERE arm = 'pre') p FULL JOIN (SELECT * FROM tk WHERE arm = 'post') q USING (entry, fn))"
+)
+FLIP_TESTS = {"unknown": "x = 'Unknown'", "concrete": "x <> 'Unknown' AND x NOT LIKE '~%'", "incomplete": "x LIKE '~incomplete:%'", "invisible": "x LIKE '~invisible:%'"}
+FLIP_COUNTS = ", ".join(f"count(*) FILTER (WHERE len(list_filter({'gain' if f.startswith('adds') else 'loss'}, lambda x: {FLIP_TESTS[f.partition('_')[2]]})) > 0) AS {f}" for f in E.FLIPS)
+
+
+def _tokens(rows):
+    t = rows.select("entry", "fn", F.explode(E.tokens(F.col("inferred"), F.col("dispatches_on"), F.col("invisible"))).alias("t"))
+    return t.groupBy("entry", "fn").agg(F.collect_set("t").alias("tokens"))
 
 
-@query("a19_gate_flips", f"WITH {TOKENS}, j AS (SELECT ga.t AS p, gb.t AS q FROM ga JOIN gb USING (fn, entry)), x AS (SELECT 'adds' AS direction, unnest(list_filter(q, lambda e: NOT list_contains(p, e))) AS effect FROM j UNION ALL SELECT 'removes', unnest(list_filter(p, lambda e: NOT list_contains(q, e))) FROM j) SELECT direction, effect, count(*) AS keys FROM x GROUP BY ALL")
+@query("a19_gate_flips", f"WITH {TOKENS} SELECT {FLIP_COUNTS} FROM mv")
 def a19(spark, sf):
-    pre, post = (x.withColumnRenamed("inferred", "tokens") for x in arms(spark, sf))
-    return E.gate_flips(pre, post, ["entry", "fn"])
+    return E.gate_flips(*map(_tokens, unit_bag(spark, sf)), ["entry", "fn"])
+
+
+@query("a19_flips_by_effect", f"WITH {TOKENS}, x AS (SELECT '0->1' AS direction, unnest(gain) AS effect FROM mv UNION ALL SELECT '1->0', unnest(loss) FROM mv) SELECT direction, effect, count(*) AS keys FROM x WHERE effect <> 'Unknown' AND effect NOT LIKE '~%' GROUP BY ALL")
+def a19_effects(spark, sf):
+    return E.flips_by_effect(*map(_tokens, unit_bag(spark, sf)), ["entry", "fn"])
 
 
-@query("a20_band", f"WITH {UNITS}, c AS (SELECT entry, count(*) FILTER (WHERE effect = 'Unknown' AND arm = 'post' AND k < 10) AS new_unknown, count(*) FILTER (WHERE arm = 'post') AS analysed FROM unit_row GROUP BY entry) SELECT entry, new_unknown, analysed, round(new_unknown * 100.0 / nullif(analysed, 0), 6)::DOUBLE AS percent, CASE WHEN analysed = 0 THEN 'UNPRICED' WHEN new_unknown * 100.0 / analysed < 1.5 THEN 'SHIPS' WHEN new_unknown * 100.0 / analysed > 2.6 THEN 'DECLINED' ELSE 'ASK' END AS verdict FROM c")
+@query("a20_band", f"WITH {UNITS}, c AS (SELECT entry, count(*) FILTER (WHERE effect = 'Unknown' AND arm = 'post' AND k < 10) AS new_unknown, count(*) FILTER (WHERE arm = 'post') AS analysed FROM unit_row GROUP BY entry), d AS (SELECT *, CASE WHEN entry % 6 = 5 THEN 0 ELSE new_unknown END AS au, CASE WHEN entry % 4 = 1 THEN 1 ELSE 0 END AS lc FROM c) SELECT entry, new_unknown, analysed, round(new_unknown * 100.0 / nullif(analysed, 0), 6)::DOUBLE AS percent, CASE WHEN au = 0 AND lc = 0 THEN 'NO GATE MOVED' WHEN au = 0 THEN 'DOES NOT APPLY' WHEN lc > 0 THEN 'ADDING PART ONLY' WHEN analysed = 0 THEN 'UNPRICED' WHEN new_unknown * 100.0 / analysed < 1.5 THEN 'SHIPS' WHEN new_unknown * 100.0 / analysed > 2.6 THEN 'DECLINED' ELSE 'ASK' END AS verdict FROM d")
 def a20(spark, sf):
     n = unit_rows(spark, sf).groupBy("entry").agg(F.count_if((F.col("effect") == "Unknown") & (F.col("arm") == "post") & (F.col("k") < 10)).alias("new_unknown"), F.count_if(F.col("arm") == "post").alias("analysed"))
-    return E.band(n, "new_unknown", "analysed")
+    counts = {f: F.lit(0) for f in E.FLIPS} | {"adds_unknown": F.when(F.col("entry") % 6 == 5, 0).otherwise(F.col("new_unknown")), "loses_concrete": (F.col("entry") % 4 == 1).cast("int")}
+    return E.band(n.withColumns(counts), "new_unknown", "analysed").select("entry", "new_unknown", "analysed", "percent", "verdict")
 
 
 @query("a21_loss_partition", f"WITH {UNITS}, r AS (SELECT a.* FROM a ANTI JOIN b USING (entry, fn)) SELECT CASE WHEN len({CONCRETE.format('inferred')}) > 0 THEN 'concrete' WHEN list_contains(inferred, 'Unknown') THEN 'unknown_only' ELSE 'nothing' END AS kind, count(*) AS rows FROM r GROUP BY 1")
@@ -149,7 +163,7 @@ def a28(spark, sf):
 @query("a24_scope_ladder", f"WITH {NAMED}, g AS (SELECT region AS entry, fn AS qual, effect FROM named WHERE effect IS NOT NULL AND c_acctbal < 0), b AS (SELECT region AS entry, fn AS qual, effect FROM named WHERE effect IS NOT NULL AND c_acctbal >= 5000),"
     " l AS (SELECT region AS entry, fn AS qual FROM named WHERE effect IS NULL), gx AS (SELECT *, regexp_replace(qual, '\\.[^.]*$', '') AS cls FROM g), bx AS (SELECT *, regexp_replace(qual, '\\.[^.]*$', '') AS cls FROM b),"
     " gp AS (SELECT *, regexp_replace(cls, '\\.[^.]*$', '') AS pkg FROM gx), bp AS (SELECT *, regexp_replace(cls, '\\.[^.]*$', '') AS pkg FROM bx)"
-    " SELECT 'function' AS level, count(*) AS n FROM (SELECT DISTINCT entry, qual FROM gp) UNION ALL SELECT 'class', count(*) FROM (SELECT DISTINCT entry, cls FROM (SELECT entry, cls, effect FROM gp EXCEPT SELECT entry, cls, effect FROM bp))"
+    " SELECT 'function' AS level, count(*) AS n FROM (SELECT DISTINCT entry, qual FROM gp) UNION ALL SELECT 'class', count(*) FROM (SELECT DISTINCT entry, cls FROM gp)"
     " UNION ALL SELECT 'package', count(*) FROM (SELECT entry, pkg, effect FROM gp EXCEPT SELECT entry, pkg, effect FROM bp) UNION ALL SELECT 'artifact', count(*) FROM (SELECT entry, effect FROM gp EXCEPT SELECT entry, effect FROM bp) UNION ALL SELECT 'lost', count(*) FROM (SELECT DISTINCT entry, qual FROM l)")
 def a24(spark, sf):
     n = named_customers(spark, sf).select(F.col("region").alias("entry"), F.col("fn").alias("qual"), "effect", "c_acctbal")

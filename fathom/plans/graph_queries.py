@@ -24,7 +24,7 @@ def g02(spark, sf):
     return G.reversed_edges(edges(spark, sf))
 
 
-@query("g03_blast", f"WITH RECURSIVE {CLOSURE} SELECT fn, coalesce(n, 0) AS blast FROM (SELECT src AS fn FROM edge UNION SELECT dst FROM edge) LEFT JOIN (SELECT dst, count(*) AS n FROM reach GROUP BY 1) ON dst = fn")
+@query("g03_blast", f"WITH RECURSIVE {CLOSURE} SELECT fn, coalesce(n, 0) AS blast, false AS approximate FROM (SELECT src AS fn FROM edge UNION SELECT dst FROM edge) LEFT JOIN (SELECT dst, count(*) AS n FROM reach GROUP BY 1) ON dst = fn")
 def g03(spark, sf):
     return G.blast(edges(spark, sf))
 

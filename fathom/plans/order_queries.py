@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import ordering as W
+from ..operators.structure import effect_order
 from .registry import query
-from .views import NAMED, RUNS, named_customers, runs, table
+from .views import NAMED, RUNS, UNITS, named_customers, runs, table, units
 
 
 @query(
@@ -46,7 +47,7 @@ def a30(spark, sf):
     return W.lower_median(table(spark, sf, "events"), ["event_type"], "value")
 
 
-@query("w08_common_prefix", f"WITH {NAMED} SELECT layer, region || '.' || layer AS prefix FROM (SELECT layer, replace(region, ' ', '_') AS region, count(DISTINCT split_part(fn, '.', 3)) AS n FROM named GROUP BY ALL) WHERE n > 1")
+@query("w08_common_prefix", f"WITH {NAMED} SELECT layer, region || '.' || layer || CASE WHEN n = 1 THEN '.' || seg ELSE '' END AS prefix FROM (SELECT layer, replace(region, ' ', '_') AS region, count(DISTINCT split_part(fn, '.', 3)) AS n, min(split_part(fn, '.', 3)) AS seg FROM named GROUP BY ALL)")
 def w08(spark, sf):
     return W.common_prefix(named_customers(spark, sf), ["layer"], "fn")
 
@@ -76,9 +77,6 @@ def w15(spark, sf):
     return W.beyond_pin(known, pins)
 
 
-@query("w11_effect_order", f"WITH {RUNS}, n AS (SELECT conclusion, count(*) AS n FROM run GROUP BY 1) SELECT conclusion, n, row_number() OVER (ORDER BY n DESC, conclusion) AS place FROM n")
+@query("w11_effect_order", f"WITH {UNITS}, x AS (SELECT unnest(inferred) AS effect FROM unit), n AS (SELECT effect, count(*) AS n FROM x GROUP BY 1), s AS (SELECT *, n / sum(n) OVER () AS share FROM n) SELECT effect, n, round(share, 9)::DOUBLE AS share, row_number() OVER (ORDER BY n DESC, list_position(['Exec', 'Net', 'Db', 'Fs', 'Ipc', 'Env', 'Clock', 'Rand', 'Log', 'Clipboard'], effect)) AS place FROM s WHERE effect <> 'Unknown'")
 def w11(spark, sf):
-    from pyspark.sql import Window
-
-    n = runs(spark, sf).groupBy("conclusion").agg(F.count("*").alias("n"))  # four rows
-    return n.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "conclusion")).cast("long"))
+    return effect_order(units(spark, sf)).withColumn("share", F.round("share", 9))

@@ -58,7 +58,7 @@ def r07(spark, sf):
     return P.ratchet(r.filter("arm = 'post'").select("fn", "effect").distinct(), before, before.select("fn").distinct())
 
 
-@query("r12_proposal", f"WITH {NAMED}, p AS (SELECT split_part(fn, '.', 3) AS layer, count(DISTINCT fn) AS fns, coalesce(list(DISTINCT effect) FILTER (WHERE effect IS NOT NULL), []) AS effects FROM named GROUP BY 1) SELECT layer, CASE WHEN len(effects) = 0 THEN 'pure' ELSE 'deny' END AS kind, CASE WHEN len(effects) = 0 THEN '' ELSE array_to_string(list_sort(list_filter(['Net', 'Fs', 'Db', 'Exec', 'Env', 'Ipc'], lambda e: NOT list_contains(effects, e))), ',') END AS effects FROM p WHERE NOT list_contains(effects, 'Unknown')")
+@query("r12_proposal", f"WITH {NAMED}, p AS (SELECT split_part(fn, '.', 3) AS layer, count(DISTINCT fn) AS fns, coalesce(list(DISTINCT effect) FILTER (WHERE effect IS NOT NULL), []) AS effects FROM named GROUP BY 1) SELECT layer, CASE WHEN len(effects) = 0 THEN 'pure' ELSE 'deny' END AS kind, CASE WHEN len(effects) = 0 THEN '' ELSE array_to_string(list_filter(['Db', 'Net', 'Fs', 'Exec', 'Ipc', 'Clipboard'], lambda e: NOT list_contains(effects, e)), ',') END AS effects FROM p WHERE effects <> ['Unknown']")
 def r12(spark, sf):
     u = _units(spark, sf).withColumn("layer", F.split_part("fn", F.lit("."), F.lit(3)))
     profile = layer_profile(u.select("fn", "layer"), u.select("fn", "inferred"), "layer")

@@ -26,20 +26,25 @@ def f01(spark, sf):
     return c.select("c_custkey", S.canonical_json({"name": F.col("c_name"), "acct": F.when(F.col("c_acctbal") >= 0, F.col("c_nationkey"))}).alias("j"))
 
 
-@query("f04_parse_location", "SELECT l_orderkey, l_linenumber, l_partkey, 'src/' || l_returnflag || '.rs' AS file, CAST(l_quantity AS INT) AS line, l_linenumber AS col FROM lineitem")
+@query("f04_parse_location", "SELECT l_orderkey, l_linenumber, l_partkey, 'src/' || l_returnflag || '.rs' AS file, CASE WHEN l_linenumber < 6 THEN CAST(l_quantity AS INT) ELSE -1 END AS line, CASE WHEN l_linenumber < 5 THEN l_linenumber ELSE -1 END AS col, CASE WHEN l_linenumber < 3 THEN CAST(l_quantity AS INT) + 1 ELSE -1 END AS end_line, CASE WHEN l_linenumber < 3 THEN 9 ELSE -1 END AS end_col FROM lineitem")
 def f04(spark, sf):
     li = table(spark, sf, "lineitem")
-    loc = F.concat(F.lit("src/"), "l_returnflag", F.lit(".rs:"), F.col("l_quantity").cast("int").cast("string"), F.lit(":"), F.col("l_linenumber").cast("string"))
+    n, line = F.col("l_linenumber"), F.col("l_quantity").cast("int")
+    text = lambda *parts: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in parts])
+    file = text("src/", F.col("l_returnflag"), ".rs")
+    loc = F.when(n < 3, text(file, ":", line, ":", n, F.when(n == 1, ":   ").otherwise(":"), line + 1, ":9")).when(n == 5, text("  ", file, ":", line)).when(n < 5, text(file, ":", line, ":", n)).otherwise(file)
     p = S.parse_location(loc)
-    return li.select("l_orderkey", "l_linenumber", "l_partkey", p["file"].alias("file"), p["line"].alias("line"), p["col"].alias("col"))
+    return li.select("l_orderkey", "l_linenumber", "l_partkey", p["file"].alias("file"), *[F.coalesce(p[c], F.lit(-1)).alias(c) for c in ("line", "col", "end_line", "end_col")])
 
 
-REASON = "CASE p_type WHEN 'ECONOMY' THEN ' Ambiguous:same' WHEN 'SMALL' THEN 'callback:cb' WHEN 'LARGE' THEN 'REFLECT:y' WHEN 'MEDIUM' THEN 'no-config' ELSE 'macro:unreadable' END"
+REASONS_OF = [" Ambiguous:same", "callback:cb", "REFLECT:y", "no-tsconfig", "no-body", "closure:x", "task-handoff", "indirect", "dynamicMemberLookup", "indy:1", "missing-config", "no-node_modules", "native:ffi", "dispatch", "macro:unreadable"]
+CLASSES_OF = ["dispatch", "indirect", "reflect", "setup", "unresolved", "indirect", "indirect", "unresolved", "reflect", "dispatch", "setup", "setup", "native", "dispatch", "unresolved"]
 
 
-@query("f07_reason_class", f"SELECT p_type, CASE WHEN lower(trim(r)) LIKE 'ambiguous%' THEN 'dispatch' WHEN lower(trim(r)) LIKE 'callback%' THEN 'indirect' WHEN lower(trim(r)) LIKE 'reflect%' THEN 'reflect' WHEN lower(trim(r)) LIKE 'no-%' THEN 'setup' ELSE 'unresolved' END AS class, count(*) AS n FROM (SELECT p_type, {REASON} AS r FROM part) GROUP BY ALL")
+@query("f07_reason_class", f"SELECT ({CLASSES_OF!r})[p_partkey % {len(REASONS_OF)} + 1] AS class, p_type, count(*) AS n FROM part GROUP BY ALL")
 def f07(spark, sf):
-    p = table(spark, sf, "part").withColumn("r", F.expr(REASON))
+    reason = F.element_at(F.array(*[F.lit(r) for r in REASONS_OF]), (F.col("p_partkey") % len(REASONS_OF) + 1).cast("int"))
+    p = table(spark, sf, "part").withColumn("r", reason)
     return p.groupBy("p_type", S.reason_class(F.col("r")).alias("class")).agg(F.count("*").alias("n"))
 
 
@@ -93,10 +98,12 @@ def f26(spark, sf):
     return words.select("word", S.suggestion(F.col("word"), WORDS).alias("suggestion"))
 
 
-@query("f06_bare_path", "SELECT p_partkey, 'a.B.' || p_type AS bare FROM part")
+@query("f06_bare_path", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 'row::(' || p_type || ',T2)' ELSE 'a.B.' || p_type END AS bare FROM part")
 def f06(spark, sf):
-    name = F.concat(F.lit("a.B."), "p_type", F.lit("(x<(y)>)#"), F.col("p_size").cast("string"))
-    return table(spark, sf, "part").select("p_partkey", S.bare_path(name).alias("bare"))
+    size = F.col("p_size").cast("string")
+    whole = F.concat(F.lit("a.B."), "p_type", F.lit("(x<(y)>)#"), size)
+    segment = F.concat(F.lit("row::("), "p_type", F.lit(",T2)"), F.when(F.col("p_size") > 25, F.concat(F.lit("#"), size)).otherwise(""))
+    return table(spark, sf, "part").select("p_partkey", S.bare_path(F.when(F.col("p_partkey") % 3 == 0, segment).otherwise(whole)).alias("bare"))
 
 
 @query("f22_extracted_codes", "SELECT source, count(*) AS hits, count(DISTINCT m) AS codes FROM (SELECT source, unnest(regexp_extract_all(text, '[0-9]{3,}-[0-9]+')) AS m FROM documents) GROUP BY source")

@@ -53,6 +53,22 @@ unit AS (SELECT arm, entry, fn, list_sort(list(DISTINCT effect)) AS inferred FRO
 a AS (SELECT entry, fn, inferred FROM unit WHERE arm = 'pre'), b AS (SELECT entry, fn, inferred FROM unit WHERE arm = 'post')"""
 
 
+def unit_bag(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Both arms as bags of report rows (entry, fn, hash, inferred, interface_union, invisible, dispatches_on), one for each event."""
+    k = F.col("k")
+    some = lambda test, name: F.when(test, F.array(name)).otherwise(F.array().cast("array<string>"))
+    inferred = F.when(F.col("effect") == "Log", F.array().cast("array<string>")).when(F.col("effect") == "Db", F.array(F.lit("Db"), F.lit("Net"))).otherwise(F.array("effect"))
+    rows = unit_rows(spark, sf).select("arm", "entry", "fn", F.expr("cast(k div 50 as int)").alias("hash"), inferred.alias("inferred"), (k >= 95).alias("interface_union"), some(k % 7 == 0, F.concat(F.lit("i"), (k % 3).cast("string"))).alias("invisible"), some(k % 5 == 0, F.concat(F.lit("d"), (k % 2).cast("string"))).alias("dispatches_on"))
+    return rows.filter("arm = 'pre'").drop("arm"), rows.filter("arm = 'post'").drop("arm")
+
+
+UNIT_BAG = """bag AS (SELECT arm, entry, fn, k // 50 AS hash, CASE effect WHEN 'Log' THEN []::VARCHAR[] WHEN 'Db' THEN ['Db', 'Net'] ELSE [effect] END AS inferred, k >= 95 AS iu,
+  CASE WHEN k % 7 = 0 THEN ['i' || CAST(k % 3 AS VARCHAR)] ELSE []::VARCHAR[] END AS inv, CASE WHEN k % 5 = 0 THEN ['d' || CAST(k % 2 AS VARCHAR)] ELSE []::VARCHAR[] END AS dis FROM unit_row),
+g AS (SELECT *, greatest(p - q, 0) AS gone, greatest(q - p, 0) AS came FROM (SELECT entry, fn, hash, inferred, iu, inv, dis, count(*) FILTER (WHERE arm = 'pre') AS p, count(*) FILTER (WHERE arm = 'post') AS q FROM bag GROUP BY ALL)),
+el AS (SELECT entry, fn, hash, f, x, sum(gone) AS gone, sum(came) AS came FROM (SELECT entry, fn, hash, CASE x WHEN 'Unknown' THEN 'u' ELSE 'e' END AS f, x, gone, came FROM (SELECT *, unnest(inferred) AS x FROM g)
+  UNION ALL SELECT entry, fn, hash, 'i', unnest(inv), gone, came FROM g UNION ALL SELECT entry, fn, hash, 'k', unnest(dis), gone, came FROM g UNION ALL SELECT entry, fn, hash, 'row', '', gone, came FROM g UNION ALL SELECT entry, fn, hash, 'union', '', gone, came FROM g WHERE iu) GROUP BY ALL)"""
+
+
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     c = table(spark, sf, "customer")
     first = c.select(F.col("c_custkey").alias("src"), F.expr("(c_custkey * 7 + c_nationkey) div 10").alias("dst"))

@@ -42,13 +42,19 @@ def split_documents(text: str) -> Iterator[tuple[str | None, str | None]]:
 def read_documents(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """(path, ordinal, body, error) of all JSON documents of the files; sidecars are left out; gzip is unpacked by the reader."""
 
+    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    return parse_documents(files.filter(~F.col("path").rlike(SIDECAR)))
+
+
+def parse_documents(files: DataFrame) -> DataFrame:
+    """files (path, value: a text) -> (path, ordinal, body, error) of the JSON documents in each text, one after another."""
+
     def split(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = [(p, i, body, error) for p, text in zip(frame["path"], frame["value"], strict=True) for i, (body, error) in enumerate(split_documents(text))]
             yield pd.DataFrame(rows, columns=["path", "ordinal", "body", "error"])
 
-    files = spark.read.text(paths, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-    return files.filter(~F.col("path").rlike(SIDECAR)).mapInPandas(split, DOCUMENT)
+    return files.select("path", "value").mapInPandas(split, DOCUMENT)
 
 
 def entry_of(path: Column) -> Column:
@@ -73,6 +79,12 @@ def normalised(documents: DataFrame) -> DataFrame:
     return out.select("path", "ordinal", entry_of(F.col("path")).alias("entry"), F.when(bare, "bare").otherwise("envelope").alias("envelope"), package.alias("package"), F.col("_d.analyzed.count").alias("analysed"), F.coalesce("_d.incomplete", F.lit(False)).alias("incomplete"), F.col("_d.unanalyzed").alias("unanalyzed"), F.col("_d.judgedNothing").alias("judged_nothing"), F.col("_d.functions").alias("functions"), error.alias("error"))
 
 
+def entry_totals(reports: DataFrame) -> DataFrame:
+    """(entry, documents, analysed, functions) over all readable documents of an entry; analysed is null only where no document says it."""
+    rows = reports.filter("error IS NULL")
+    return rows.groupBy("entry").agg(F.count("*").alias("documents"), F.sum("analysed").alias("analysed"), F.sum(F.size("functions")).alias("functions"))
+
+
 def unit_rows(reports: DataFrame) -> DataFrame:
     """One row for each function with its place in the report; the package falls back to the hash, then to the entry."""
     rows = reports.filter("error IS NULL").select("entry", "package", F.posexplode("functions").alias("position", "u")).select("entry", "package", "position", "u.*")
@@ -101,9 +113,12 @@ def read_activity(spark: SparkSession, path: str) -> DataFrame:
 ACTIVITY = "ts timestamp, sessionId string, engine string, edited array<string>, gained array<string>, blastRadius bigint, maxHops bigint, verdict string, violations array<string>, unknowns bigint, effects array<string>, reviewMs bigint"
 
 
-def backend(toolchain: Column) -> Column:
-    """Which engine wrote a report, by its toolchain; unreadable counts as JS."""
-    return F.when(toolchain.isNull(), "JS").when(toolchain.startswith("jdk"), "JVM").when(toolchain.startswith("swift"), "Swift").when(toolchain.startswith("node"), "JS").otherwise("scan")
+def backend(toolchain: Column, version: Column, readable: Column | None = None) -> Column:
+    """Which engine wrote a report, by its toolchain or the name in its version (`<name>-swift..`, `<name>-ts..`); neither: scan. A
+    report that cannot be read counts as JS."""
+    t, v = F.coalesce(toolchain, F.lit("")), F.coalesce(version, F.lit(""))
+    known = F.when(t.startswith("jdk"), "jvm").when((t == "swiftsyntax") | v.rlike("^[a-z]+-swift"), "Swift").when(t.startswith("node") | v.rlike("^[a-z]+-ts"), "JS").otherwise("scan")
+    return known if readable is None else F.when(F.coalesce(readable, F.lit(False)), known).otherwise("JS")
 
 
 def lookup_cache(wanted: DataFrame, stored: DataFrame, key: list[str], checks: list[str]) -> DataFrame:

@@ -46,25 +46,64 @@ def test_field_losses(spark):
     assert B.element_losses(post, pre, ["fn"], ["d", "e"]).count() == 0
 
 
+def buckets(spark, pre, post):
+    """Rows (fn, hash, inferred[, interface_union, invisible, dispatches_on]) of both arms -> the counts that are not 0."""
+    schema = f"entry string, fn string, hash string, inferred {A}, interface_union boolean, invisible {A}, dispatches_on {A}"
+    df = lambda rows: spark.createDataFrame([("e", *r, *[None, [], []][len(r) - 3 :]) for r in rows], schema)
+    return {k: n for k, n in one(E.verdict_buckets(df(pre), df(post), ["entry", "fn", "hash"], ["entry", "fn"])).items() if n}
+
+
 def test_buckets(spark):
-    cases = {
-        "bucket_1": (None, ["Net"]),
-        "bucket_2": (None, ["Unknown"]),
-        "bucket_3": (["Fs"], None),
-        "bucket_3u": (["Unknown"], []),
-        "bucket_4": (None, []),
-    }
-    for name, pair in cases.items():
-        got = one(E.verdict_buckets(spark.createDataFrame([pair], f"pre {A}, post {A}")))
-        assert got == {k: int(k == name) for k in cases}, name
-    both = one(E.verdict_buckets(spark.createDataFrame([(["Fs"], ["Net"])], f"pre {A}, post {A}")))
-    assert both["bucket_1"] == both["bucket_3"] == 1
-    assert one(E.verdict_buckets(spark.createDataFrame([(["Fs", "Unknown"], ["Fs"])], f"pre {A}, post {A}")))["bucket_3u"] == 1
+    f = ("f", "h")
+    assert buckets(spark, [], [(*f, ["Net"])]) == {"bucket_1": 1}
+    assert buckets(spark, [], [(*f, ["Unknown"])]) == {"bucket_2": 1}
+    assert buckets(spark, [], [(*f, [])]) == {"bucket_4": 1}
+    assert buckets(spark, [(*f, ["Fs"])], []) == {"bucket_3": 1}
+    assert buckets(spark, [(*f, ["Unknown"])], [(*f, [])]) == {"bucket_3u": 1}
+    assert buckets(spark, [(*f, ["Fs"])], [(*f, ["Net"])]) == {"bucket_1": 1, "bucket_3": 1}
+    assert buckets(spark, [(*f, ["Fs", "Unknown"])], [(*f, ["Fs"])]) == {"bucket_3u": 1}
+    assert buckets(spark, [(*f, ["Net"])], [(*f, ["Net", "Unknown"])]) == {"bucket_4": 1}
+    assert buckets(spark, [(*f, ["Net", "Unknown"])], []) == {"bucket_3": 1, "bucket_3u": 1}
+    assert buckets(spark, [(*f, ["Net"])], [(*f, ["Net"])]) == {}
+
+
+def test_bucket_drops_and_overlays(spark):
+    assert buckets(spark, [], [("f", "h", ["Net"], True)]) == {"dropped_union": 1}
+    assert buckets(spark, [], [("f", "h", ["Unknown"], True)]) == {"dropped_union": 1}
+    assert buckets(spark, [("f", "h1", ["Net"])], [("f", "h1", ["Net"]), ("f", "h2", ["Net"])]) == {"dropped_red": 1}
+    assert buckets(spark, [("f", "h1", ["Net"])], [("f", "h1", ["Net"]), ("f", "h2", ["Net", "Fs"])]) == {"bucket_1": 1}
+    twice = [("f", "h", ["Net"]), ("f", "h", ["Net"])]
+    assert buckets(spark, twice, twice[:1]) == {"bucket_3": 1}
+    assert buckets(spark, [("f", "h", [], None, ["rayon"])], []) == {"bucket_3i": 1}
+    assert buckets(spark, [("f", "h", ["Net"], None, [], ["B.size"])], [("f", "h", ["Net"])]) == {"bucket_3k": 1}
 
 
 def test_bands(spark):
-    df = spark.createDataFrame([(140, 10000), (150, 10000), (200, 10000), (260, 10000), (300, 10000), (1, None), (1, 0)], "n int, d int")
-    assert [r.verdict for r in E.band(df, "n", "d").collect()] == ["SHIPS", "ASK", "ASK", "ASK", "DECLINED", "UNPRICED", "UNPRICED"]
+    flips = ", ".join(f"{f} int" for f in E.FLIPS)
+    only_unknown, nothing = (1, *[0] * 7), (0,) * 8
+    with_loss, removal = (1, 0, 0, 1, 0, 0, 0, 0), (0, 1, 0, 0, 0, 0, 0, 0)
+    rows = [(n, d, *only_unknown) for n, d in ((140, 10000), (150, 10000), (200, 10000), (260, 10000), (300, 10000), (1, None), (1, 0))]
+    df = spark.createDataFrame([*rows, (0, 10, *nothing), (1, 10, *with_loss), (0, 10, *removal)], f"n int, d int, {flips}")
+    assert [r.verdict for r in E.band(df, "n", "d").collect()] == ["SHIPS", "ASK", "ASK", "ASK", "DECLINED", "UNPRICED", "UNPRICED", "NO GATE MOVED", "ADDING PART ONLY", "DOES NOT APPLY"]
+
+
+def test_gate_flips(spark):
+    pre = spark.createDataFrame([("a", ["Net"]), ("b", ["Unknown", "~incomplete:x"]), ("c", ["Fs"]), ("gone", ["Db"])], f"fn string, tokens {A}")
+    post = spark.createDataFrame([("a", ["Net", "Unknown"]), ("b", ["Fs", "~invisible:y"]), ("c", ["Fs"]), ("new", ["Db"])], f"fn string, tokens {A}")
+    assert one(E.gate_flips(pre, post, ["fn"])) == {"adds_unknown": 1, "removes_unknown": 1, "adds_concrete": 2, "loses_concrete": 1, "adds_incomplete": 0, "loses_incomplete": 1, "adds_invisible": 1, "loses_invisible": 0}
+    assert {tuple(r) for r in E.flips_by_effect(pre, post, ["fn"]).collect()} == {("0->1", "Fs", 1), ("0->1", "Db", 1), ("1->0", "Db", 1)}
+
+
+def test_scope_ladder(spark):
+    schema = "entry string, qual string, effect string"
+    got = {r.level: r.n for r in J.scope_ladder(spark.createDataFrame([("e", "p.C.m", "Net")], schema), spark.createDataFrame([], schema), spark.createDataFrame([("e", "p.C.other", "Net")], schema)).collect()}
+    assert got == {"function": 1, "class": 1, "package": 0, "artifact": 0, "lost": 0}
+
+
+def test_palette_order(spark):
+    units = spark.createDataFrame([(["Net", "Exec"],), (["Log", "Unknown"],), (["Mystery"],), ([],), (["Net", "Log", "Exec"],)], f"inferred {A}")
+    assert [r.p for r in units.select(T.primary_effect(F.col("inferred")).alias("p")).collect()] == ["Exec", "Log", "Unknown", None, "Exec"]
+    assert [(r.effect, r.n) for r in T.effect_order(units).orderBy("place").collect()] == [("Exec", 2), ("Net", 2), ("Log", 2)]
 
 
 def test_loss_partition(spark):
@@ -127,6 +166,9 @@ def test_graph_against_brute_force(spark):
     nodes = {x for p in pairs for x in p}
     assert {r.fn: r.blast for r in G.blast(edges).collect()} == {n: sum(n in r for r in reach.values()) for n in nodes}
     assert G.closure(edges, budget=10)[1]
+    assert {r.approximate for r in G.blast(edges).collect()} == {False} and {r.approximate for r in G.blast(edges, budget=10).collect()} == {True}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
+    assert {r.fn: r.blast for r in G.blast(chain).collect()} == {i: i for i in range(13)} and G.cyclic_nodes(chain).count() == 0
     none = edges.limit(0)
     assert G.blast(none).count() == 0 and G.cyclic_nodes(none).count() == 0
 
@@ -191,8 +233,8 @@ def test_ci_verdicts(spark):
 
 
 def test_prefixes_versions_samples(spark):
-    names = spark.createDataFrame([("k", n) for n in ("a.b.c", "a.b.d.e", "a.bb", "lone")], "k string, n string")
-    assert W.common_prefix(names, ["k"], "n").first().prefix == "a"
+    prefix = lambda *names: W.common_prefix(spark.createDataFrame([("k", n) for n in names], "k string, n string"), ["k"], "n").first().prefix
+    assert prefix("a.b.c", "a.b.d.e", "a.bb", "lone") == "a" and prefix("a.b.c", "a.b.c.d") == "a.b" and prefix("a.b.c", "a.b.d") == "a.b"
     v = spark.createDataFrame([("e", x) for x in ("0.9.10", "0.10.2", "bad", "0.10")], "engine string, version string")
     assert W.newest_version(v, ["engine"], "version").first().newest == "0.10.2"
     rows = spark.createDataFrame([("k", i) for i in range(11)], "k string, i int")
@@ -233,9 +275,9 @@ def test_ratchet_and_proposal(spark):
     base = spark.createDataFrame([("old", "Fs")], "fn string, effect string")
     got = {(r.fn, r.effect): (r.origin, r.fails) for r in P.ratchet(now, base, base.select("fn")).collect()}
     assert got == {("old", "Net"): ("existing", True), ("new", "Unknown"): ("new", False), ("new2", "Fs"): ("new", True)}
-    profile = spark.createDataFrame([("domain", 5, []), ("io", 3, ["Net"]), ("iox", 3, []), ("web", 3, ["Unknown"]), ("tiny", 0, [])], f"layer string, fns int, effects {A}")
+    profile = spark.createDataFrame([("domain", 5, []), ("io", 3, ["Net"]), ("iox", 3, []), ("web", 3, ["Unknown"]), ("mixed", 3, ["Net", "Unknown"]), ("tiny", 0, [])], f"layer string, fns int, effects {A}")
     lines = {r.line for r in P.policy_text(P.propose(profile)).collect()}
-    assert lines == {"pure domain"}
+    assert lines == {"pure domain", "deny Db,Fs,Exec,Ipc,Clipboard mixed", "pure iox"}
     example = spark.createDataFrame([(f"o{i}", "owner", "Db") for i in range(14)] + [(f"v{i}", "vet", "Db") for i in range(4)], "fn string, layer string, effect string")
     row = P.containment(example).first()
     assert (row.owner, row.percent, row.fns) == ("owner", 77, 18)
@@ -294,11 +336,13 @@ def test_scalars(spark):
     df = spark.createDataFrame([Row(x=1)])
     value = lambda c: df.select(c.alias("v")).first().v
     assert value(S.fnv1a32(F.lit("Net:6|u3"))) == 3249404880 and value(S.fnv1a32(F.lit(""))) == 2166136261
-    for text, bare in {"Ty::m(Ty)": "Ty::m", "a.B.m(byte[])": "a.B.m", "p.M.hmac(a.b.C)#2": "p.M.hmac", "NAME#1": "NAME", "row::convert::(T1,T2)::from_row_opt": "row::convert::(T1,T2)::from_row_opt", "(T1,T2)::f": "(T1,T2)::f", "plain": "plain", "a::<T as X<(A,B)>>::m(Y)": "a::<T as X<(A,B)>>::m"}.items():
+    for text, bare in {"Ty::m(Ty)": "Ty::m", "a.B.m(byte[])": "a.B.m", "p.M.hmac(a.b.C)#2": "p.M.hmac", "NAME#1": "NAME", "row::convert::(T1,T2)::from_row_opt": "row::convert::(T1,T2)::from_row_opt", "(T1,T2)::f": "(T1,T2)::f", "plain": "plain", "a::<T as X<(A,B)>>::m(Y)": "a::<T as X<(A,B)>>::m", "row::(T1,T2)": "row::(T1,T2)", "row::(T1,T2)#3": "row::(T1,T2)", "a.(x)": "a.(x)", "f(": "f(", "(x)": "(x)"}.items():
         assert value(S.bare_path(F.lit(text))) == bare
-    for text, name in {"ambiguous:same-name": "dispatch", "callback:cb": "indirect", "macro:unreadable": "unresolved", "  REFLECT:y": "reflect", "no-tsconfig": "setup", "native:ffi": "native", "": "unresolved"}.items():
+    for text, name in {"ambiguous:same-name": "dispatch", "callback:cb": "indirect", "macro:unreadable": "unresolved", "  REFLECT:y": "reflect", "no-tsconfig": "setup", "native:ffi": "native", "": "unresolved", "closure:x": "indirect", "task-handoff": "indirect", "no-body": "unresolved", "indirect": "unresolved", "indy": "dispatch", "\tdynamicMemberLookup": "reflect"}.items():
         assert value(S.reason_class(F.lit(text))) == name
-    assert tuple(value(S.parse_location(F.lit("a/b.rs:3:7: 4:9")))) == ("a/b.rs", 3, 7, 4, 9) and value(S.parse_location(F.lit("nowhere"))) is None
+    assert tuple(value(S.parse_location(F.lit("a/b.rs:3:7: 4:9")))) == ("a/b.rs", 3, 7, 4, 9)
+    assert tuple(value(S.parse_location(F.lit("File.java")))) == ("File.java", None, None, None, None) and value(S.parse_location(F.lit(" "))) is None
+    assert tuple(value(S.parse_location(F.lit("f.rs:10:1:  10:9")))) == ("f.rs", 10, 1, 10, 9)
     assert tuple(value(S.parse_location(F.lit("a.rs:12")))) == ("a.rs", 12, None, None, None)
     assert value(S.canonical_json({"b": F.lit("x\"y"), "a": F.lit(None).cast("int"), "c": F.array(F.lit(1))})) == '{"a":null,"b":"x\\"y","c":[1]}'
     assert value(S.suggestion(F.lit("polcy"), ["scan", "policy"])) == "policy" and value(S.suggestion(F.lit("zzzzzz"), ["scan"])) is None

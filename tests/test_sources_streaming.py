@@ -50,7 +50,9 @@ def test_tabs_and_cache(spark, tmp_path):
     want = spark.createDataFrame([("a", "1", "x"), ("b", "1", "x"), ("c", "2", "x"), ("d", "1", "y")], "entry string, version string, sha string")
     have = spark.createDataFrame([("a", "1", "x"), ("c", "1", "x"), ("d", "1", "x")], "entry string, version string, sha string")
     assert {r.entry: r.state for r in R.lookup_cache(want, have, ["entry"], ["version", "sha"]).collect()} == {"a": "hit", "b": "absent", "c": "other version", "d": "other sha"}
-    assert [r.b for r in spark.createDataFrame([("jdk21",), ("swift6",), (None,), ("rustc",)], "t string").select(R.backend(F.col("t")).alias("b")).collect()] == ["JVM", "Swift", "JS", "scan"]
+    rows = [("jdk21", None), ("swiftsyntax", None), (None, "engine-swift-0.4"), (None, "engine-ts-1"), ("node22", None), (None, None), ("stable", "scan-1")]
+    assert [r.b for r in spark.createDataFrame(rows, "t string, v string").select(R.backend(F.col("t"), F.col("v")).alias("b")).collect()] == ["jvm", "Swift", "Swift", "JS", "JS", "scan", "scan"]
+    assert spark.range(1).select(R.backend(F.lit("jdk"), F.lit(None), F.lit(False)).alias("b")).first().b == "JS"
 
 
 def test_sinks(spark, tmp_path):
