@@ -5,17 +5,20 @@ content alone, so equal windows share their anchor and its place in the window.
 piece; a window is stored in exactly one piece. So
 
 1. pieces are described by (anchor hash, class): class is a hash of the piece's whole content and shape; no text moves yet;
-2. anchors that occur once are dropped: none of their windows repeats. Pieces of one class are equal throughout;
+2. anchors that occur once are dropped: none of their windows repeats. Pieces of one class are equal throughout (two different pieces of
+   one anchor share a class with a probability of 2**-50);
 3. only where one anchor has several classes, the first piece of each class is fetched as text and sent to the anchor's shard,
    where a suffix structure says which windows are equal (the caller's `equal_windows`);
-4. anchors with more than HOT_CLASSES classes are compared window by window through 128-bit hashes instead, an aggregation that
-   needs no group in one task.
+4. pieces of anchors with more than HOT_CLASSES classes are dealt by a longer anchor: half of what a window may reach beyond it is added on the
+   side where every window of the piece has it. Where that is as frequent, the anchor is the window itself, and an aggregation
+   by the windows' whole content finds the equal ones, which needs no group in one task.
 
 Results are spans (_key, a, b) of units covered by repeats.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -158,7 +161,7 @@ EqualWindows = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndar
 
 def spans_in_shard(batches: list[pa.RecordBatch], window: int, symbol: type, later_only: bool, equal_windows: EqualWindows) -> pa.RecordBatch:
     table = pa.Table.from_batches(batches)
-    key, start, shape, several = (table[c].to_numpy() for c in ("_key", "_start", "_shape", "_several"))
+    key, start, several = (table[c].to_numpy() for c in ("_key", "_start", "_several"))
     data = table["content"].combine_chunks()
     data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
     _, offsets, flat = data.buffers()
@@ -181,20 +184,42 @@ def spans_in_shard(batches: list[pa.RecordBatch], window: int, symbol: type, lat
     return pa.RecordBatch.from_arrays([pa.array(key[p[first]]), pa.array(u[first].astype(np.int64)), pa.array(u[last].astype(np.int64) + window)], ["_key", "a", "b"])
 
 
-def _hot_windows(hot: DataFrame, window: int, symbol: type) -> DataFrame:
-    """(_key, _unit, _several, w1, w2): every window of the pieces, by two 64-bit hashes."""
+def lengthened(hot: DataFrame, window: int, gram: int, symbol: type) -> DataFrame:
+    """Pieces cut in two, by whether the anchor lies in the first or second half of the window's room, each dealt by the content of its
+    anchor with what all its windows have on the other side."""
+    middle = (window - gram) // 2
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                values = np.frombuffer(batch.column(4)[i].as_py(), symbol)
-                values = byte_values(values) if symbol is np.uint8 else values
-                w1 = RangeHash(values).grams(window)
-                w2 = RangeHash(values * np.uint64(0xD6E8FEB86659FD93) ^ (values >> np.uint64(29))).grams(window)
-                n = len(w1)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(n, batch.column(2)[i].as_py())), pa.array(batch.column(3)[i].as_py() + np.arange(n)), pa.array(np.full(n, batch.column(5)[i].as_py())), int64(w1), int64(w2)], ["_key", "_unit", "_several", "w1", "w2"])
+            out: list[list] = [[] for _ in range(5)]
+            for shape, key, start, several, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                values = np.frombuffer(content, symbol)
+                count, place = shape >> 7 & 127, shape & 127
+                late = min(count, max(0, place - middle))  # windows that have the anchor in their second half
+                for a, b, lo, hi in ((0, late, place - middle, place + gram), (late, count, place, place + window - middle)):
+                    if a < b:
+                        piece = values[a : b + window - 1]
+                        row = (int.from_bytes(hashlib.blake2b(values[lo:hi].tobytes(), digest_size=8, salt=b"late" if b == late else b"").digest(), "little", signed=True), key, start + a, several, piece.tobytes())
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["_hash", "_key", "_start", "_several", "content"])
+
+    return hot.select("_shape", "_key", "_start", "_several", "content").mapInArrow(tidy(each), "_hash long, _key long, _start int, _several boolean, content binary")
+
+
+def _every_window(pieces: DataFrame, window: int, symbol: type) -> DataFrame:
+    """(_key, _unit, _several, content) of every window of the pieces."""
+    width = np.dtype(symbol).itemsize
 
-    return hot.select("_hash", "_shape", "_key", "_start", "content", "_several").mapInArrow(tidy(each), "_key long, _unit long, _several boolean, w1 long, w2 long")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for key, start, several, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                n = len(content) // width - window + 1
+                rows = [content[i * width : (i + window) * width] for i in range(n)]
+                yield pa.RecordBatch.from_arrays([pa.array([key] * n, pa.int64()), pa.array(start + np.arange(n)), pa.array([several] * n, pa.bool_()), pa.array(rows, pa.binary())], ["_key", "_unit", "_several", "content"])
+
+    return pieces.select("_key", "_start", "_several", "content").mapInArrow(tidy(each), "_key long, _unit long, _several boolean, content binary")
 
 
 def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_only: bool, equal_windows: EqualWindows, raw_bytes: bool, hot_classes: int = HOT_CLASSES) -> DataFrame:
@@ -222,19 +247,24 @@ def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_on
         return whole
     content = fetch(docs, wanted, units, window, raw_bytes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((size[0] or 0) // SHARD_BYTES) + 1)
+    columns, crowded = ["_hash", "_key", "_start", "_several", "content"], None
     if size[1] > hot_classes:
         content = materialise(content)
-    shards = content.filter(F.col("_classes") <= hot_classes).repartition(parts, "_hash")
+        longer = materialise(lengthened(content.filter(F.col("_classes") > hot_classes), window, gram, symbol))
+        many = longer.groupBy("_hash").agg(F.count("*").alias("_n")).filter(F.col("_n") > hot_classes).select("_hash")
+        crowded = longer.join(many, "_hash", "left_semi")
+        content = content.filter(F.col("_classes") <= hot_classes).select(columns).unionByName(longer.join(many, "_hash", "left_anti"))
+    shards = content.select(columns).repartition(parts, "_hash")
 
     def in_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := [b for b in batches if b.num_rows]:
             yield spans_in_shard(held, window, symbol, later_only, equal_windows)
 
-    spans = whole.unionByName(shards.select("_key", "_start", "_shape", "_several", "content").mapInArrow(tidy(in_shard), "_key long, a long, b long"))
-    if size[1] > hot_classes:
-        each = materialise(_hot_windows(content.filter(F.col("_classes") > hot_classes), window, symbol))
-        groups = each.groupBy("w1", "w2").agg(F.min(F.struct("_key", "_unit")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-        hot = each.join(groups, ["w1", "w2"])
+    spans = whole.unionByName(shards.select("_key", "_start", "_several", "content").mapInArrow(tidy(in_shard), "_key long, a long, b long"))
+    if crowded is not None:
+        each = materialise(_every_window(crowded, window, symbol))
+        groups = each.groupBy("content").agg(F.min(F.struct("_key", "_unit")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+        hot = each.join(groups, "content")
         hot = hot.filter(F.struct("_key", "_unit") != F.col("_first")) if later_only else hot.filter(~F.col("_several"))
         spans = spans.unionByName(hot.select("_key", F.col("_unit").alias("a"), (F.col("_unit") + window).alias("b")))
     return spans

@@ -1,8 +1,9 @@
-"""Suffix arrays by induced sorting, in NumPy steps, and repeats from permuted longest common prefixes.
+"""Suffix arrays by induced sorting, and repeats from permuted longest common prefixes.
 
-The steps of induced sorting are taken bucket by bucket: what one scan of a bucket induces is written at once, and a bucket is
-scanned again while it grows (runs of one symbol). The reduced string is sorted by the same method while its names are few;
-with more names than BUCKET_NAMES a bucket would hold a suffix or two, and rank doubling finishes it.
+Leftmost-smaller substrings are sorted by inducing, named by comparing neighbours symbol by symbol, and the string of their names is
+sorted by the same method until all names differ; the sorted substrings then induce the whole array. Where buckets hold many suffixes,
+what one scan of a bucket induces is written at once by NumPy, and a bucket is scanned again while it grows (runs of one symbol);
+where they hold few, as with the names of deeper levels, suffixes are induced one by one. Both take time in proportion to the string.
 """
 
 from __future__ import annotations
@@ -15,10 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import RangeHash, slices, table, tidy
+from .common import slices, table, tidy
 from .repeats import byte_units, covered, keyed, repeat_spans, with_spans
 
-BUCKET_NAMES = 2_000
+#: Suffixes a bucket, on average, below which they are induced one by one.
+FEW_IN_A_BUCKET = 100
 WINDOW, GRAM = 100, 20
 
 
@@ -93,21 +95,41 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray)
     return sa
 
 
-def rank_doubling(t: np.ndarray) -> np.ndarray:
-    """The suffix array of a string of names by doubling the sorted depth; the end sorts first."""
-    n, depth = len(t), 1
-    rank = np.unique(t, return_inverse=True)[1].astype(np.uint64)
-    while True:
-        after = np.zeros(n, np.uint64)
-        after[:-depth] = rank[depth:] + np.uint64(1)
-        key = rank << np.uint64(32) | after
-        order = np.argsort(key)
-        ordered = key[order]
-        new = np.cumsum(np.r_[np.uint64(0), (ordered[1:] != ordered[:-1]).astype(np.uint64)])
-        rank[order] = new
-        depth *= 2
-        if int(new[-1]) == n - 1 or depth >= n:
-            return order
+def induce_singly(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The same, one suffix after the other."""
+    n, ends = len(t), np.cumsum(sizes)
+    head, tail = (ends - sizes).tolist(), ends.tolist()
+    text, smaller, sa = t.tolist(), small.tolist(), [-1] * n
+    for i in reversed(lms.tolist()):
+        c = text[i]
+        tail[c] -= 1
+        sa[tail[c]] = i
+    for i in sa:  # grows ahead of the scan
+        if i > 0 and not smaller[i - 1]:
+            c = text[i - 1]
+            sa[head[c]] = i - 1
+            head[c] += 1
+    tail = ends.tolist()
+    for at in range(n - 1, -1, -1):
+        i = sa[at]
+        if i > 0 and smaller[i - 1]:
+            c = text[i - 1]
+            tail[c] -= 1
+            sa[tail[c]] = i - 1
+    sa[0] = n - 1
+    return np.array(sa, np.int64)
+
+
+def same_as_before(t: np.ndarray, start: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """For each substring after the first whether it equals the one before it."""
+    same = length[1:] == length[:-1]
+    left, depth = np.flatnonzero(same), 0
+    while len(left):
+        left = left[length[left] > depth]
+        differ = t[start[left] + depth] != t[start[left + 1] + depth]
+        same[left[differ]] = False
+        left, depth = left[~differ], depth + 1
+    return same
 
 
 def suffix_array(t: np.ndarray, alphabet: int) -> np.ndarray:
@@ -118,26 +140,22 @@ def suffix_array(t: np.ndarray, alphabet: int) -> np.ndarray:
     small = suffix_types(t)
     lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
     sizes = np.bincount(t, minlength=alphabet)
+    step = induce if n >= FEW_IN_A_BUCKET * np.count_nonzero(sizes) else induce_singly
+    sa = step(t, small, lms, sizes)
     if len(lms) <= 1:
-        return induce(t, small, lms, sizes)
-    sa = induce(t, small, lms, sizes)
+        return sa
     is_lms = np.zeros(n, np.bool_)
     is_lms[lms] = True
     ordered = sa[is_lms[sa]]
     number = np.zeros(n, np.int64)
     number[lms] = np.arange(len(lms))
-    upto = np.r_[lms[1:] + 1, n]
-    content = RangeHash(t.astype(np.uint64) + np.uint64(1)).of(lms, upto)[number[ordered]]
-    names = np.cumsum(np.r_[0, content[1:] != content[:-1]])
-    reduced = np.empty(len(lms), np.int64)
-    reduced[number[ordered]] = names
-    if names[-1] + 1 == len(lms):
-        order = ordered
-    elif names[-1] < BUCKET_NAMES:
-        order = lms[suffix_array(reduced, int(names[-1]) + 1)]
-    else:
-        order = lms[rank_doubling(reduced)]
-    return induce(t, small, order, sizes)
+    length = (np.r_[lms[1:] + 1, n] - lms)[number[ordered]]
+    names = np.cumsum(np.r_[0, ~same_as_before(t, ordered, length)])
+    if names[-1] + 1 < len(lms):
+        reduced = np.empty(len(lms), np.int64)
+        reduced[number[ordered]] = names
+        ordered = lms[suffix_array(reduced, int(names[-1]) + 1)]
+    return step(t, small, ordered, sizes)
 
 
 def permuted_lcp(t: np.ndarray, sa: np.ndarray, stop: np.ndarray, most: int) -> np.ndarray:

@@ -1,15 +1,17 @@
 """Substring dedup with prefix-partitioned suffix trees over words.
 
-In a shard, the suffixes that start a window are split by prefixes of variable length (one word, and one more wherever a prefix
-has too many suffixes) into groups that fit GROUP_SUFFIXES. The tree of each group is grown level by level: a node of depth d is
-a set of suffixes that share d words, leaves are dropped as soon as they stand alone, and the internal nodes that reach the
-window's depth are the repeats; their suffixes' windows are marked.
+Suffixes are partitioned by prefixes of variable length, twice. Between shards the prefix is a content-chosen gram, longer where it
+is frequent (see repeats.py). Within a shard, the suffixes that start a window are split by their first word, and by one word more
+wherever a prefix has too many, into groups of about GROUP_SUFFIXES. Each group's suffix tree is grown level by level: suffixes that
+share an edge stay together, an internal node is made where they part, and a suffix becomes a leaf where it stands alone or
+ends. Internal nodes at least as deep as the window are the repeats: every suffix below one repeats to that node's depth.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -20,7 +22,7 @@ from .common import Words, slices, table, tidy
 from .repeats import covered, keyed, repeat_spans, with_spans, word_units
 
 WINDOW, GRAM = 35, 8
-GROUP_SUFFIXES = 200_000
+GROUP_SUFFIXES = 20_000
 
 
 def prefix_groups(symbols: np.ndarray, suffixes: np.ndarray, depth: int, limit: int, most: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -42,16 +44,56 @@ def prefix_groups(symbols: np.ndarray, suffixes: np.ndarray, depth: int, limit:
         suffixes, node = suffixes[end:], node[end:]
 
 
-def deep_nodes(symbols: np.ndarray, suffixes: np.ndarray, node: np.ndarray, depth: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes below internal nodes of the window's depth, and their node."""
-    node = np.unique(node, return_inverse=True)[1]
-    while depth < window and len(suffixes):
-        _, word = np.unique(symbols[suffixes + depth], return_inverse=True)
-        _, node, count = np.unique(node.astype(np.int64) << 32 | word, return_inverse=True, return_counts=True)
-        shared = count[node] > 1
-        suffixes, node = suffixes[shared], node[shared]
-        depth += 1
-    return suffixes, node
+@dataclass
+class Tree:
+    """Internal nodes of the suffix trees of a group: depth in words and parent (-1: none). suffix: where each leaf's suffix starts;
+    above: the node its leaf hangs from."""
+
+    depth: np.ndarray
+    parent: np.ndarray
+    suffix: np.ndarray
+    above: np.ndarray
+
+
+def grow(symbols: np.ndarray, stop: np.ndarray, suffixes: np.ndarray, edge: np.ndarray, depth: int) -> Tree:
+    """The trees of suffixes that share `depth` words with those of the same edge; a suffix ends before stop[its start]. symbols are
+    small integers."""
+    base = int(symbols.max(initial=0)) + 1
+    edge = np.unique(edge, return_inverse=True)[1].astype(np.int64)
+    node_above = np.full(int(edge.max(initial=-1)) + 1, -1, np.int64)
+    depths, parents, leaves, above, made = [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+    while len(suffixes):
+        ends = suffixes + depth >= stop[suffixes]
+        word = symbols[np.minimum(suffixes + depth, len(symbols) - 1)]
+        child, count = np.full(len(suffixes), -1, np.int64), np.ones(len(suffixes), np.int64)
+        keys, child[~ends], n = np.unique(edge[~ends] * base + word[~ends], return_inverse=True, return_counts=True)
+        count[~ends] = n[child[~ends]]
+        ways = np.bincount(keys // base, minlength=len(node_above)) + np.bincount(edge[ends], minlength=len(node_above))
+        parts = np.flatnonzero(ways > 1)
+        depths.append(np.full(len(parts), depth))
+        parents.append(node_above[parts])
+        node_above[parts] = made + np.arange(len(parts))
+        made += len(parts)
+        alone = count == 1
+        leaves.append(suffixes[alone])
+        above.append(node_above[edge[alone]])
+        suffixes, edge, child = suffixes[~alone], edge[~alone], child[~alone]
+        first, child = np.unique(child, return_index=True, return_inverse=True)[1:]
+        node_above, edge, depth = node_above[edge[first]], child, depth + 1
+    none = [np.zeros(0, np.int64)]
+    return Tree(np.concatenate(depths or none), np.concatenate(parents or none), np.concatenate(leaves), np.concatenate(above))
+
+
+def repeats_below(tree: Tree, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes below internal nodes of at least the window's depth, and the highest such node: suffixes of one node share the window."""
+    deep = tree.depth[tree.above] >= window
+    suffixes, node = tree.suffix[deep], tree.above[deep]
+    while True:
+        up = tree.parent[node]
+        climbs = (up >= 0) & (tree.depth[up] >= window)
+        if not climbs.any():
+            return suffixes, node
+        node = np.where(climbs, up, node)
 
 
 def equal_windows(symbols: np.ndarray, bounds: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,11 +103,14 @@ def equal_windows(symbols: np.ndarray, bounds: np.ndarray, window: int) -> tuple
     starts = np.arange(count.sum()) + np.repeat(bounds[:-1] - (np.cumsum(count) - count), count)
     at, groups, base = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
     if len(starts):
+        symbols = np.unique(symbols, return_inverse=True)[1].astype(np.int64)
+        stop = np.repeat(bounds[1:], length)
         for depth, suffixes, node in prefix_groups(symbols, starts, 0, GROUP_SUFFIXES, window):
-            suffixes, node = deep_nodes(symbols, suffixes, node, depth, window)
+            tree = grow(symbols, stop, suffixes, node, depth)
+            suffixes, node = repeats_below(tree, window)
             at.append(suffixes)
             groups.append(node + base)
-            base += int(node.max()) + 1 if len(node) else 0
+            base += len(tree.depth)
     return np.concatenate(at), np.concatenate(groups)
 
 

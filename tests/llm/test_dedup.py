@@ -85,6 +85,38 @@ def test_remove_repeats_words(spark, hot):
         assert hashlib.sha256(" ".join(words(r.kept)).encode()).hexdigest() == r.kept_sha256
 
 
+def test_trees_have_the_repeats_as_deep_nodes():
+    text = np.array([1, 2, 3, 9, 1, 2, 3, 8, 1, 2, 7])
+    bounds = np.array([0, 4, 8, 11])
+    tree = st.grow(text, np.repeat(bounds[1:], np.diff(bounds)), np.array([0, 4, 8]), np.zeros(3, np.int64), 1)
+    assert sorted(zip(tree.depth.tolist(), tree.parent.tolist())) == [(2, -1), (3, 0)]
+    below = {s: tree.depth[a] for s, a in zip(tree.suffix.tolist(), tree.above.tolist())}
+    assert below == {0: 3, 4: 3, 8: 2}
+    assert sorted(st.repeats_below(tree, 3)[0].tolist()) == [0, 4]
+
+
+def test_default_shards_split_their_prefixes():
+    """A shard of the intended size has more suffixes than a group takes, and prefixes of more than one word."""
+    rng = np.random.default_rng(5)
+    words = np.minimum(rng.zipf(1.3, 120_000), 5_000).astype(np.uint64)
+    depths = [d for d, _, _ in st.prefix_groups(np.unique(words, return_inverse=True)[1].astype(np.int64), np.arange(len(words) - 40), 0, st.GROUP_SUFFIXES, st.WINDOW)]
+    assert len(depths) > 3 and max(depths) > 1
+
+
+@pytest.mark.parametrize("size", [40_000])
+def test_names_of_deeper_levels(size):
+    """Repeats longer than a name recurse with many names."""
+    rng = np.random.default_rng(8)
+    part = rng.integers(2, 200, size)
+    t = np.r_[part, part[:15_000], part[5_000:9_000], 0].astype(np.int32)
+    order = sa.suffix_array(t, 200)
+    rank = np.empty(len(t), np.int64)
+    rank[order] = np.arange(len(t))
+    a, b = order[:-1], order[1:]
+    after = np.r_[rank, -1]
+    assert ((t[a] < t[b]) | ((t[a] == t[b]) & (after[a + 1] < after[b + 1]))).all() and sorted(order.tolist()) == list(range(len(t)))
+
+
 def test_small_groups_split_prefixes(monkeypatch):
     monkeypatch.setattr(st, "GROUP_SUFFIXES", 3)
     test_equal_windows(st.equal_windows, np.uint64)
