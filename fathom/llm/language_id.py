@@ -5,7 +5,8 @@ weights and a text is scored in one pass. The classifier is fitted on the driver
 (SAMPLE_PER_LANGUAGE, SAMPLE_ROWS); prediction covers all rows and shuffles nothing.
 
 Defined results: `und` with score 0 for a null text, a text without a letter, or when nothing was learned; rows with a null
-lang are never learned from; only the MAX_LANGUAGES most frequent lang values are learned; repeated rows are predicted alike.
+lang are never learned from; every other lang value is learned, with fewer rows each where there are many, and more than MAX_LANGUAGES
+of them are an error; repeated rows are predicted alike.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import doc_bucket, slices, table, tidy
 
 BUCKETS = 1 << 12
-SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, MAX_LANGUAGES = 800, 8_000, 200
+SAMPLE_PER_LANGUAGE, SAMPLE_ROWS, MAX_LANGUAGES = 800, 8_000, 1_000
 UNDETERMINED = "und"
 
 #: ISO 639-1 codes by family; a code that is not listed is a family of its own.
@@ -99,9 +100,11 @@ def fit(rows: DataFrame, families: dict[str, str] | None = None) -> Model | None
     families = FAMILY_OF if families is None else families
     rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & F.col("text").rlike(r"\p{L}"))
     rows = rows.select("text", "lang", F.xxhash64(F.col("key").cast("string"), "text").alias("h"))
-    counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGUAGES).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.select("lang", "h").distinct().groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
     if not counts:
         return None
+    if len(counts) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} values of lang")
     cap = min(SAMPLE_PER_LANGUAGE, SAMPLE_ROWS // len(counts))
     # The least `cap` hashes of each language: a threshold that leaves some more (short of the cap with a chance below 1e-9), then by rank.
     share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int(min(1.0, (4 * cap + 64) / n) * (1 << 40)))])

@@ -35,11 +35,11 @@ SENTENCE_CUT, WORD_CUT = 24, 96
 BLOCK_TOKENS = 64 * LENGTH
 #: Positions where a cut inside a sentence is considered.
 STRIDE = 256
-#: Of the sentence ends in so many tokens the first is considered.
-SENTENCE_GAP = 32
 #: Words whose ids a task keeps at most.
 CACHE_WORDS = 1_200_000
 END_ID = 2
+#: Sentence ends besides those of ASCII: full-width, Devanagari, Arabic and Ethiopic ones, and the ellipsis.
+WIDE_STOPS = "\u3002\uff01\uff1f\uff0e\u0964\u06d4\u061f\u1362\u2026"
 END_BYTES = np.array([END_ID], "<u4").tobytes()
 
 
@@ -74,6 +74,9 @@ class WordIds:
         self.stop, self.last = np.zeros((2, max(vocabulary.values()) + 1), np.bool_)
         self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.stop[[i for token, i in vocabulary.items() if set(token.removesuffix("</w>")) <= set(".!?") and token.endswith("</w>")]] = True
+        for mark in WIDE_STOPS:  # where a token of its own stands for one
+            if len(ids := self.ids(mark)) == 1:
+                self.stop[ids] = True
 
     def ids(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
@@ -174,7 +177,6 @@ def boundaries(doc_ends: np.ndarray, sentence_ends: np.ndarray, length: int) ->
     for k in range(length.bit_length() - 2, -1, -1):
         steps += [total - (total % length % (2 << k)), total - (1 << k)]
     free = np.concatenate([np.arange(STRIDE, total, STRIDE), np.array([s for s in steps if 0 < s < total], np.int64)])
-    sentence_ends = sentence_ends[np.r_[True, sentence_ends[1:] // SENTENCE_GAP != sentence_ends[:-1] // SENTENCE_GAP]] if len(sentence_ends) else sentence_ends
     every = np.concatenate([free, sentence_ends, doc_ends])
     price = np.concatenate([np.full(len(free), WORD_CUT), np.full(len(sentence_ends), SENTENCE_CUT), np.zeros(len(doc_ends))])
     order = np.lexsort((price, every))

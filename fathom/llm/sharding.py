@@ -8,12 +8,17 @@ The global rank is found without a global sort: cells (at most 2**(bits * dimens
 are counted, offsets come from running sums over the counts, and rows are numbered inside their subcell only. A cell that
 holds a third of all rows is spread over its subcells.
 
-Defined results: a null text has size 1 and the CRC of no bytes; null dimensions fall into quantum 0; a null id is in
-subcell 0; repeated rows get ranks of their own; an empty table gives an empty result.
+Strings are quantised in their order, by the first letter or digit behind what all values begin with, so that the minima and maxima of a
+shard, which are strings too, exclude others.
+
+Defined results: a null text has size 1 and the CRC of no bytes; null dimensions and strings with another character there fall into quantum
+0; rows without an id are spread by their other columns; repeated rows get ranks of their own; an empty table gives an empty
+result.
 """
 
 from __future__ import annotations
 
+import os
 from dataclasses import dataclass
 
 import numpy as np
@@ -26,20 +31,24 @@ from .sql_text import crc32
 
 BITS = 5
 SHARDS = 16
-SUBCELLS = 1024
+#: Subcells of a cell at least; and rows of one at most, if they are all in one cell.
+SUBCELLS, SUBCELL_ROWS = 1024, 1 << 20
 
 
 @dataclass(frozen=True)
 class Dimension:
-    """kind "half_octave": integers >= 1, two quanta for each power of two; "hash": strings, by CRC-32."""
+    """kind "half_octave": integers >= 1, two quanta for each power of two; "text": strings, by the character behind their common beginning."""
 
     column: str
     kind: str
 
-    def quantum(self, bits: int = BITS) -> Column:
+    def quantum(self, bits: int = BITS, common: int = 0) -> Column:
+        """common: the length of what all values begin with."""
         top = (1 << bits) - 1
-        if self.kind == "hash":
-            return F.coalesce(F.crc32(F.col(self.column).cast("string")).bitwiseAND(top), F.lit(0)).cast("int")
+        if self.kind == "text":
+            code = F.ascii(F.lower(F.substring(self.column, common + 1, 1)))
+            place = F.when(code.between(48, 57), code - 47).when(code.between(97, 122), 11 + F.floor((code - 97) * 21 / 26)).otherwise(0)
+            return F.floor(place * (top + 1) / 32).cast("int")
         binary = F.bin(F.greatest(F.col(self.column), F.lit(1)))
         half = F.when(F.substring(binary, 2, 1) == "1", 1).otherwise(0)
         return F.coalesce(F.least(2 * (F.length(binary) - 1) + half, F.lit(top)), F.lit(0)).cast("int")
@@ -78,13 +87,24 @@ def curve_index(quanta: list[Column], bits: int = BITS) -> Column:
     return index(*quanta)
 
 
+def common_beginnings(df: DataFrame, dims: list[Dimension]) -> list[int]:
+    """The length of what all values of each text dimension begin with: what the least and the greatest share."""
+    texts = [d.column for d in dims if d.kind == "text"]
+    ends = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in texts for f in (F.min, F.max)]).first() if texts else {}
+    return [len(os.path.commonprefix([ends[f"min_{d.column}"] or "", ends[f"max_{d.column}"] or ""])) if d.kind == "text" else 0 for d in dims]
+
+
 def shard_by_curve(df: DataFrame, id_col: str, dims: list[Dimension], shards: int = SHARDS, bits: int = BITS, subcells: int = SUBCELLS) -> DataFrame:
     """Adds `curve` (index of the cell), `shard` (0 .. shards - 1, counts at most one apart) and `slot` (gapless from 0).
 
     Keep the input narrow: it is written once to the shared folder, and shuffled once.
     """
-    sub = F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(subcells)), F.lit(0)).cast("int")
-    rows = materialise(df.withColumn("curve", curve_index([d.quantum(bits) for d in dims], bits)).withColumn("_sub", sub))
+    common = common_beginnings(df, dims)
+    rows = materialise(df.withColumn("curve", curve_index([d.quantum(bits, n) for d, n in zip(dims, common, strict=True)], bits)))
+    subcells = max(subcells, 1 << (rows.count() // SUBCELL_ROWS).bit_length())
+    others = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns if c != id_col])
+    spread = F.coalesce(F.crc32(F.col(id_col).cast("string")), F.crc32(others))
+    rows = rows.withColumn("_sub", F.pmod(spread, F.lit(subcells)).cast("int"))
     counts = rows.groupBy("curve", "_sub").agg(F.count("*").alias("_n"))
     # One row for each cell of the curve at most: a bounded table.
     cells = counts.groupBy("curve").agg(F.sum("_n").alias("_cell"))
@@ -116,7 +136,7 @@ def write_shards(sharded: DataFrame, path: str) -> None:
     sharded.repartition("shard").sortWithinPartitions("shard", "slot").write.partitionBy("shard").parquet(path)
 
 
-DOCUMENT_DIMENSIONS = [Dimension("lang", "hash"), Dimension("source", "hash"), Dimension("size", "half_octave")]
+DOCUMENT_DIMENSIONS = [Dimension("lang", "text"), Dimension("source", "text"), Dimension("size", "half_octave")]
 
 
 def op2_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -147,10 +167,20 @@ def _hilbert_sql(source: str, names: list[str], bits: int = BITS) -> str:
     return f"(SELECT *, ({' + '.join(terms)})::BIGINT AS curve FROM {q})"
 
 
+def _initial(column: str) -> str:
+    code = f"ascii(lower(substr({column}, n_{column} + 1, 1)))"
+    return f"(CASE WHEN {code} BETWEEN 48 AND 57 THEN {code} - 47 WHEN {code} BETWEEN 97 AND 122 THEN 11 + ({code} - 97) * 21 // 26 ELSE 0 END)::INT"
+
+
+def _common(column: str) -> str:
+    least = f"(SELECT min({column}) AS a, max({column}) AS b FROM documents)"
+    return f"(SELECT coalesce(min(i) - 1, max(least(length(a), length(b))), 0) AS n_{column} FROM {least} LEFT JOIN (SELECT unnest(range(1, 1000)) AS i) ON i <= least(length(a), length(b)) AND substr(a, i, 1) <> substr(b, i, 1))"
+
+
 _TOP = (1 << BITS) - 1
-_SIZED = f"(SELECT *, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, {crc32("coalesce(text, '')")} AS text_crc32, coalesce({crc32('doc_id::VARCHAR')} % {SUBCELLS}, 0) AS sub FROM documents)"
-_QUANTA = f"""(SELECT *, coalesce({crc32('lang')} & {_TOP}, 0)::INT AS q0, coalesce({crc32('source')} & {_TOP}, 0)::INT AS q1,
-  least({_TOP}, 2 * (length(ltrim(bin(size), '0')) - 1) + CASE WHEN substr(ltrim(bin(size), '0'), 2, 1) = '1' THEN 1 ELSE 0 END)::INT AS q2 FROM {_SIZED})"""
+_SIZED = f"(SELECT *, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, {crc32("coalesce(text, '')")} AS text_crc32, {crc32('doc_id::VARCHAR')} % {SUBCELLS} AS sub FROM documents)"
+_QUANTA = f"""(SELECT *, {_initial('lang')} AS q0, {_initial('source')} AS q1,
+  least({_TOP}, 2 * (length(ltrim(bin(size), '0')) - 1) + CASE WHEN substr(ltrim(bin(size), '0'), 2, 1) = '1' THEN 1 ELSE 0 END)::INT AS q2 FROM {_SIZED}, {_common('lang')}, {_common('source')})"""
 OP2_SQL = f"""
 WITH r AS (SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, size, text_crc32, lang, source) - 1 AS rnk, count(*) OVER () AS total
   FROM {_hilbert_sql(_QUANTA, ['q0', 'q1', 'q2'])})

@@ -61,14 +61,16 @@ def test_hilbert_is_a_continuous_curve():
 def test_shards_prune(spark):
     rows = [(i if i % 50 else None, "x", f"s{i % 7}", i % 1000 + 1, i) for i in range(2000)] + [(5, "x", None, None, 1)] * 3
     df = spark.createDataFrame(rows, "doc_id long, shard string, source string, size long, slot2 long").drop("shard")
-    out = sharding.shard_by_curve(df, "doc_id", [sharding.Dimension("source", "hash"), sharding.Dimension("size", "half_octave")])
+    out = sharding.shard_by_curve(df, "doc_id", [sharding.Dimension("source", "text"), sharding.Dimension("size", "half_octave")])
     got = out.toPandas()
     sizes = got.groupby("shard").size()
     assert len(got) == 2003 and sizes.max() - sizes.min() <= 1 and len(sizes) == 16
     for _, g in got.groupby("shard"):
         assert sorted(g.slot) == list(range(len(g)))
     boxes = sharding.shard_boxes(out, ["size", "source"])
-    assert sharding.shards_for(boxes, "size", 1, 2).count() < 16
+    assert sharding.shards_for(boxes, "size", 1, 2).count() < 16 and sharding.shards_for(boxes, "source", "s3", "s3").count() < 8
+    lone = spark.createDataFrame([(None, "a", 7)] * 300 + [(1, None, 2)], "doc_id long, source string, size long")
+    assert sorted(r.slot for r in sharding.shard_by_curve(lone, "doc_id", [sharding.Dimension("source", "text")], 1).collect()) == list(range(301))
     assert sharding.shard_by_curve(df.limit(0), "doc_id", [sharding.Dimension("size", "half_octave")]).count() == 0
 
 
@@ -115,5 +117,19 @@ def test_pack_covers_every_token(spark):
     assert padding < 0.06 * total.sum()
 
 
+def test_every_sentence_end_is_a_candidate():
+    ends = np.array([3, 9, 11, 40, 41, 70])
+    at, price = packing.boundaries(np.array([100]), ends, 64)
+    assert set(ends) <= set(at.tolist()) and price[np.searchsorted(at, 41)] == packing.SENTENCE_CUT
+
+
+def test_wide_marks_end_sentences():
+    words = packing.known_words(PATH)
+    text = ["\u4f60\u597d\u3002\u518d\u89c1", "fine.", "on"]
+    words.learn(set(text))
+    ids, stops = words.stream(text)
+    assert len(stops) == 2
+
+
 def test_pack_empty(spark):
     assert packing.pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0

@@ -46,6 +46,22 @@ def test_language_id_odd_rows(spark):
     assert len(three.families) == 4 and li.predict(df, three).count() == 24
 
 
+def test_language_id_with_many_languages(spark, monkeypatch):
+    """Every value is learned, the sample stays bounded, and too many values are refused."""
+    monkeypatch.setattr(li, "SAMPLE_ROWS", 600)
+    rng = random.Random(4)
+    stems = {f"l{i}": ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(8)] for i in range(24)}
+    rows = [(" ".join(rng.choice(s) for _ in range(40)), lang, i) for lang, s in stems.items() for i in range(30)]
+    df = spark.createDataFrame(rows, "text string, lang string, key long")
+    model = li.fit(df)
+    assert model.languages == sorted(stems)
+    got = li.predict(df.select("text", "lang"), model).collect()
+    assert sum(r.lang_pred == r.lang for r in got) > 0.9 * len(got)
+    monkeypatch.setattr(li, "MAX_LANGUAGES", 23)
+    with pytest.raises(ValueError):
+        li.fit(df)
+
+
 @pytest.mark.parametrize("key", [None, 5])
 def test_language_id_sample_with_one_key(spark, monkeypatch, key):
     """Rows that share a key, or a key and a text, neither flood the sample nor leave it empty."""
