@@ -20,8 +20,9 @@ character is a word.
 The benchmark is the broadcast: at most MAX_ITEMS items of MAX_WORDS words, checked; a larger benchmark is taken in turns over
 the documents. Documents are not shuffled.
 
-Defined results: null or empty texts and items match nothing; an item of one word matches every document with that word; repeated
-documents or items give repeated rows.
+Defined results: null or empty texts and items match nothing; an item without an id is searched for like any other; an item of one
+word matches every document with that word; repeated documents or items give repeated rows; an empty table on either side gives an
+empty result; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -167,8 +168,8 @@ class Index:
     short: list[Short] = field(default_factory=list)
     grams: np.ndarray = field(default_factory=lambda: np.zeros(0, np.uint64))
     lengths: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
-    of_length: np.ndarray = field(default_factory=lambda: np.zeros((0, 0), np.bool_))
-    """(grams, lengths): whether an item of that length has the gram."""
+    of_length: tuple[np.ndarray, np.ndarray] = (np.zeros(1, np.int64), np.zeros(0, np.int64))
+    """First entry of each gram (and the total), and the lengths (as places in `lengths`) of items that have it."""
     posted: tuple[np.ndarray, np.ndarray] = (np.zeros(1, np.int64), np.zeros(0, np.int64))
     """First posting of each gram (and the total), and the items that have it."""
     sizes: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -229,13 +230,12 @@ def build_index(items: list[tuple[int, str | None]], similarity: float) -> Index
     index.grams = np.unique(np.concatenate([RangeHash(s).grams(GRAM) for s in index.symbols]))
     index.sizes = sizes = np.array([len(s) for s in index.symbols])
     index.lengths = np.unique(sizes)
-    index.of_length = np.zeros((len(index.grams), len(index.lengths)), np.bool_)
-    for symbols in index.symbols:
-        index.of_length[np.searchsorted(index.grams, RangeHash(symbols).grams(GRAM)), np.searchsorted(index.lengths, len(symbols))] = True
     own = [np.unique(np.searchsorted(index.grams, RangeHash(s).grams(GRAM))) for s in index.symbols]
     gram, item = np.concatenate(own), np.repeat(np.arange(len(own)), [len(g) for g in own])
     order = np.argsort(gram, kind="stable")
     index.posted = np.searchsorted(gram[order], np.arange(len(index.grams) + 1)), item[order]
+    both = np.unique(gram * len(index.lengths) + np.searchsorted(index.lengths, sizes)[item])
+    index.of_length = np.searchsorted(both // len(index.lengths), np.arange(len(index.grams) + 1)), both % len(index.lengths)
     joined = np.concatenate(index.symbols)
     begin = np.cumsum(sizes) - sizes
     for walk in range(WALKS):
@@ -334,10 +334,16 @@ def long_matches(index: Index, symbols: np.ndarray, first: np.ndarray) -> list[t
     doc = np.searchsorted(first, np.arange(len(symbols)), side="right") - 1
     pairs: dict[tuple[int, int], list[int]] = {}
     chosen: dict[int, np.ndarray] = {}
+    begin, lengths = index.of_length
+    times = begin[gram + 1] - begin[gram]
+    places = np.repeat(hit, times)
+    kinds = lengths[np.arange(times.sum()) + np.repeat(begin[gram] - (np.cumsum(times) - times), times)]
+    order = np.argsort(kinds, kind="stable")
+    places, of_kind = places[order], np.searchsorted(kinds[order], np.arange(len(index.lengths) + 1))
     marks = np.zeros(len(symbols) + 1, np.int64)
     for c, n in enumerate(index.lengths[index.lengths <= len(symbols)].tolist()):
         marks[:] = 0
-        marks[hit[index.of_length[gram, c]] + 1] = 1
+        marks[places[of_kind[c] : of_kind[c + 1]] + 1] = 1
         hits = np.cumsum(marks)
         count = hits[n - GRAM + 1 : len(symbols) - GRAM + 2] - hits[: len(symbols) - n + 1]
         at = np.flatnonzero(count >= grams_needed(index, n))
@@ -384,7 +390,7 @@ SCHEMA = "doc_id long, item_id long, distance int, item_words int, first_word in
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """One row for each document and benchmark item that it holds within the similarity: see SCHEMA. Bytes are a range of the
     document's UTF-8 text."""
-    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("item_id IS NOT NULL AND text IS NOT NULL").orderBy("item_id", "text")
+    items = benchmark.select(F.col("item_id").cast("long"), "text").filter("text IS NOT NULL").orderBy("item_id", "text")
     spark, out, turn = docs.sparkSession, None, []
     words = 0
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")

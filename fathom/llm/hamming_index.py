@@ -11,7 +11,8 @@ Buckets with many rows or queries are cut into blocks of DATA_BLOCK rows by QUER
 table of bucket sizes that says so has SUBSTRINGS * 2**(BITS / SUBSTRINGS) rows at most and is the only broadcast.
 
 Defined results: rows with a null id, a null, zero or differently sized vector, or a null or non-finite component take no part;
-a query never finds its own id; ties go to the smaller id; an empty table gives an empty result.
+a query never finds its own row; rows that share an id are told apart, so that each asks for itself and can be found by the others; ties
+go to the smaller id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -106,18 +107,18 @@ def _matrix(column: pa.ChunkedArray, dims: int) -> np.ndarray:
 
 def best_in_block(queries: pa.Table, data: pa.Table, dims: int, k: int, radius: int) -> pa.Table:
     """The k nearest of each query among the block's rows that this substring is the first to match."""
-    empty = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    empty = pa.table({"query_row": pa.array([], pa.int64()), "query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     if not queries.num_rows or not data.num_rows:
         return empty
     sub = queries["sub"][0].as_py()
     q, d = queries["code"].to_numpy().view(np.uint64), data["code"].to_numpy().view(np.uint64)
-    qid, did = queries["id"].to_numpy(), data["id"].to_numpy()
+    (qrow, qid), (drow, did) = ((t["row"].to_numpy(), t["id"].to_numpy()) for t in (queries, data))
     qv, dv = _matrix(queries["v"], dims), _matrix(data["v"], dims)
     qn, dn = np.sqrt((qv * qv).sum(1)), np.sqrt((dv * dv).sum(1))
     out = []
     for a in range(0, len(q), 64):
         differ = q[a : a + 64, None] ^ d[None, :]
-        hit = (np.bitwise_count(differ) <= radius) & (qid[a : a + 64, None] != did[None, :])
+        hit = (np.bitwise_count(differ) <= radius) & (qrow[a : a + 64, None] != drow[None, :])
         for j, r in enumerate(radii(radius)[: max(0, sub)]):
             if r >= 0:
                 hit &= np.bitwise_count(differ >> np.uint64(WIDTH * j) & np.uint64((1 << WIDTH) - 1)) > r
@@ -131,30 +132,30 @@ def best_in_block(queries: pa.Table, data: pa.Table, dims: int, k: int, radius:
         first = np.flatnonzero(np.r_[True, qi[1:] != qi[:-1]])
         place = np.arange(len(qi)) - np.repeat(first, np.diff(np.r_[first, len(qi)]))
         top = place < k
-        out.append((qid[qi[top]], did[di[top]], score[top]))
+        out.append((qrow[qi[top]], qid[qi[top]], did[di[top]], score[top]))
     if not out:
         return empty
-    return pa.table({n: np.concatenate(c) for n, c in zip(("query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
+    return pa.table({n: np.concatenate(c) for n, c in zip(("query_row", "query_id", "vec_id", "score"), zip(*out, strict=True), strict=True)})
 
 
 def _in_blocks(data: DataFrame, queries: DataFrame, dims: int, k: int, radius: int) -> DataFrame:
-    """data, queries: (sub, bucket, id, code, v). Every pair of blocks of a bucket is one group."""
+    """data, queries: (sub, bucket, row, id, code, v). Every pair of blocks of a bucket is one group."""
     count = lambda df, name: df.groupBy("sub", "bucket").agg(F.count("*").alias(name))
     sizes = F.broadcast(count(data, "nd").join(count(queries, "nq"), ["sub", "bucket"]).select("sub", "bucket", F.ceil(F.col("nd") / DATA_BLOCK).cast("int").alias("db"), F.ceil(F.col("nq") / QUERY_BLOCK).cast("int").alias("qb")))
-    spread = lambda own: F.pmod(F.xxhash64("id"), F.col(own)).cast("int")
+    spread = lambda own: F.pmod(F.xxhash64("row"), F.col(own)).cast("int")
     every = lambda other: F.explode(F.sequence(F.lit(0), F.col(other) - 1))
     d = data.join(sizes, ["sub", "bucket"]).withColumn("x", spread("db")).withColumn("y", every("qb"))
     q = queries.join(sizes, ["sub", "bucket"]).withColumn("y", spread("qb")).withColumn("x", every("db"))
-    names, key = ["sub", "bucket", "x", "y", "id", "code", "v"], ["sub", "bucket", "x", "y"]
+    names, key = ["sub", "bucket", "x", "y", "row", "id", "code", "v"], ["sub", "bucket", "x", "y"]
 
     def best(left: pa.Table, right: pa.Table) -> pa.Table:
         return best_in_block(left, right, dims, k, radius)
 
-    return q.select(names).groupBy(key).cogroup(d.select(names).toDF(*names).groupBy(key)).applyInArrow(best, "query_id long, vec_id long, score double")
+    return q.select(names).groupBy(key).cogroup(d.select(names).toDF(*names).groupBy(key)).applyInArrow(best, "query_row long, query_id long, vec_id long, score double")
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    order = Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -164,6 +165,10 @@ def search(df: DataFrame, id_col: str, vector: str, is_query, k: int = 5, radius
     spark = df.sparkSession
     if not dims:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    if rows.groupBy("id").count().filter("count > 1").isEmpty():
+        rows = rows.withColumn("row", F.col("id"))
+    else:
+        rows = materialise(rows.withColumn("row", F.monotonically_increasing_id()))
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(max(2, FIT_VALUES // dims)).toArrow()["v"].combine_chunks()
     model = fit(np.asarray(sample.flatten()).reshape(-1, dims), k)
     radius = min(BITS, model.radius if radius is None else radius)
@@ -174,25 +179,25 @@ def search(df: DataFrame, id_col: str, vector: str, is_query, k: int = 5, radius
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
                 v = np.asarray(part.column(1).flatten()).reshape(-1, dims).astype(np.float64)
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(encode(v, rotation).view(np.int64)), binary_rows(v.view(np.uint8).ravel(), np.arange(len(v) + 1) * dims * 8)], ["id", "code", "v"])
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(encode(v, rotation).view(np.int64)), binary_rows(v.view(np.uint8).ravel(), np.arange(len(v) + 1) * dims * 8)], ["id", "row", "code", "v"])
 
-    codes = materialise(rows.mapInArrow(coded, "id long, code long, v binary"))
+    codes = materialise(rows.mapInArrow(coded, "id long, row long, code long, v binary"))
     piece = lambda j: F.shiftrightunsigned("code", WIDTH * j).bitwiseAND((1 << WIDTH) - 1)
     subs = [(j, r) for j, r in enumerate(radii(radius)) if r >= 0]
     indexed = F.explode(F.array(*[F.struct(F.lit(j).alias("sub"), piece(j).alias("bucket")) for j, _ in subs]))
     nearby = lambda j, r: F.transform(F.array(*[F.lit(int(x)) for x in within(WIDTH, r)]), lambda m: F.struct(F.lit(j).alias("sub"), piece(j).bitwiseXOR(m).alias("bucket")))
     probes = F.explode(F.flatten(F.array(*[nearby(j, r) for j, r in subs])))
-    data = codes.select(indexed.alias("at"), "id", "code", "v").select("at.*", "id", "code", "v")
+    data = codes.select(indexed.alias("at"), "row", "id", "code", "v").select("at.*", "row", "id", "code", "v")
     asking = codes.filter(is_query(F.col("id")))
-    queries = asking.select(probes.alias("at"), "id", "code", "v").select("at.*", "id", "code", "v")
+    queries = asking.select(probes.alias("at"), "row", "id", "code", "v").select("at.*", "row", "id", "code", "v")
     found = materialise(_top(_in_blocks(data, queries, dims, k, radius), k))
     total = codes.count()
-    done = found.groupBy("query_id").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
-    rest = asking.join(done, asking["id"] == done["query_id"], "left_anti")
+    done = found.groupBy("query_row").agg(F.count("*").alias("n")).filter(F.col("n") >= k)
+    rest = asking.join(done, asking["row"] == done["query_row"], "left_anti")
     if total > 1 and not rest.isEmpty():
-        whole = lambda d: d.select(F.lit(-1).alias("sub"), F.lit(0).alias("bucket"), "id", "code", "v")
+        whole = lambda d: d.select(F.lit(-1).alias("sub"), F.lit(0).alias("bucket"), "row", "id", "code", "v")
         exact = _top(_in_blocks(whole(codes), whole(rest), dims, k, BITS), k)
-        found = found.join(done, "query_id", "left_semi").unionByName(exact)
+        found = found.join(done, "query_row", "left_semi").unionByName(exact)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 

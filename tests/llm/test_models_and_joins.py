@@ -112,6 +112,13 @@ def test_exact_rest_and_odd_vectors(spark):
     assert hi.search(df.limit(0), "vec_id", "embedding", lambda i: i % 50 == 0).collect() == []
 
 
+def test_repeated_ids(spark):
+    """Rows that share an id are queries of their own and find each other."""
+    rows = [(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0])]
+    got = hi.search(spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("row", F.lit("clash")), "vec_id", "embedding", lambda i: i % 50 == 0, k=3).collect()
+    assert sorted((r["rank"], r.vec_id) for r in got) == [(1, 1), (1, 2), (2, 1), (2, 2), (3, 0), (3, 0)] and {r.query_id for r in got} == {0}
+
+
 def test_pigeonhole():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 2**63, 4000, dtype=np.uint64)
@@ -191,6 +198,51 @@ def test_items_at_the_end_of_documents(spark, before):
     assert len(got) == len(docs)
 
 
+def edited(item, edits, rng):
+    out = list(item)
+    for _ in range(edits):
+        kind, at = rng.choice("rdi"), rng.randrange(max(1, len(out)))
+        if kind == "r" and out:
+            out[at] = f"y{rng.randrange(10**6)}"
+        elif kind == "d" and len(out) > 1:
+            del out[at]
+        else:
+            out.insert(at, f"y{rng.randrange(10**6)}")
+    return out
+
+
+def test_found_pairs_against_brute_force(spark):
+    """Whole documents: copies with up to the allowed edits at the start, in the middle, at the end and alone, of items of 1 to 60 words.
+    Every pair that the edit distance accepts, compared with every item, is expected."""
+    rng = random.Random(12)
+    items = [[f"i{n}x{rng.randrange(40)}" for _ in range(n)] for n in range(1, 61)]
+    docs, kind = [], {}
+    for n, item in enumerate(items, 1):
+        for place in ("start", "middle", "end", "whole"):
+            for share in (0.0, 0.1, 0.2):
+                copy = edited(item, int(ed.edits_allowed(n, ed.SIMILARITY) * share / 0.2), rng)
+                pad = lambda: [f"z{rng.randrange(10**6)}" for _ in range(15)]
+                kind[len(docs)] = (place, share)
+                docs.append(" ".join((pad() if place in ("middle", "end") else []) + copy + (pad() if place in ("start", "middle") else [])))
+    columns = "doc_id long, text string, item_id int"
+    df = spark.createDataFrame([(i, t, 0) for i, t in enumerate(docs)], columns)
+    bench = spark.createDataFrame([(n if n != 30 else None, " ".join(item), "x") for n, item in enumerate(items)], "item_id long, text string, doc_id string")
+    got = {(r.doc_id, 30 if r.item_id is None else r.item_id) for r in ed.contaminated(df, bench).collect()}
+    symbols, first, _, _ = ed.word_symbols(*ed.text_bytes(pa.array(docs + [" ".join(i) for i in items])))
+    cut = [symbols[a:b] for a, b in zip(first[:-1], first[1:])]
+    true = set()
+    for d in range(len(docs)):
+        for i in range(len(items)):
+            most = int(ed.edits_allowed(i + 1, ed.SIMILARITY))
+            if np.isin(cut[d], cut[len(docs) + i]).any() and ed.edit_distance(cut[len(docs) + i], cut[d], most)[0] <= most:
+                true.add((d, i))
+    assert got <= true
+    for place in ("start", "middle", "end", "whole"):
+        for share in (0.0, 0.1, 0.2):
+            mine = {p for p in true if kind[p[0]] == (place, share)}
+            assert len(mine) >= 55 and len(mine & got) >= 0.95 * len(mine), (place, share, len(mine & got), len(mine))
+
+
 def test_short_items():
     """Items of any length, against the exact edit distance; documents are searched together."""
     rng = random.Random(4)
