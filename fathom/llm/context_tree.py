@@ -7,7 +7,9 @@ much each depth counts when a byte is predicted. The score is the log10 probabil
 
 All counts stay distributed. Documents are dealt to blocks of about BLOCK_BYTES by a hash of their key; a block sends its
 distinct grams (context and next byte) and words, each with its training count, as packed pages to buckets that share the last
-two context bytes, and gets the pages back with one number for every entry. Only the nodes of depth 0 and 1, at most 256 * 255
+two context bytes, and gets the pages back with one number for every entry. A bucket's pages are first summed up in groups of
+MERGED pages, and these again, so that no task holds more than that many, however many blocks there are; the pages themselves are
+answered group by group against the bucket's sum, whose size is that of its distinct entries. Only the nodes of depth 0 and 1, at most 256 * 255
 each, pass through the driver; a first pass over the pages of the scan's own partitions sums them up. Nothing that grows with
 the corpus is broadcast, and the documents are shuffled once.
 
@@ -22,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,6 +37,8 @@ BUCKET_BYTES = 64_000_000
 END = 10
 HALF = math.log(0.5)
 NODES = 256
+#: Pages of a bucket that one task sums up.
+MERGED = 64
 GRAMS, WORDS = 0, 1
 
 
@@ -219,7 +224,7 @@ def log10_probability(grams: np.ndarray, counts: np.ndarray, depth: int, shallow
     return total
 
 
-PAGES = "kind int, bucket long, block long, n long, keys binary, counts binary"
+PAGES = "kind int, bucket long, block long, salt long, n long, keys binary, counts binary"
 
 
 def _packed(values: np.ndarray) -> bytes:
@@ -230,13 +235,13 @@ def _unpacked(data: bytes, n: int, kind: type) -> np.ndarray:
     return np.frombuffer(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), kind)
 
 
-def pages_of(found: list[tuple[np.ndarray, np.ndarray]], buckets: int, block: int) -> pa.RecordBatch:
+def pages_of(found: list[tuple[np.ndarray, np.ndarray]], buckets: int, block: int, salts: int) -> pa.RecordBatch:
     """One row for each kind and bucket: its sorted entries (as differences) and their training counts."""
     rows = {k: [] for k in ("kind", "bucket", "n", "keys", "counts")}
     for kind, (keys, counts) in enumerate(found):
         bucket = bucket_of(kind, keys, buckets)
         order = np.argsort(bucket, kind="stable")
-        bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint32)
+        bucket, keys, counts = bucket[order], keys[order], counts[order].astype(np.uint64)
         first = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]) if len(bucket) else np.zeros(0, np.int64)
         for a, b in zip(first.tolist(), [*first[1:].tolist(), len(bucket)], strict=True) if len(first) else ():
             rows["kind"].append(kind)
@@ -245,35 +250,52 @@ def pages_of(found: list[tuple[np.ndarray, np.ndarray]], buckets: int, block: in
             rows["keys"].append(_packed(np.diff(keys[a:b], prepend=np.uint64(0))))
             rows["counts"].append(_packed(counts[a:b]))
     n = len(rows["n"])
-    return pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int64()), pa.array(np.full(n, block, np.int64)), pa.array(rows["n"], pa.int64()), pa.array(rows["keys"], pa.binary()), pa.array(rows["counts"], pa.binary())], ["kind", "bucket", "block", "n", "keys", "counts"])
+    return pa.RecordBatch.from_arrays([pa.array(rows["kind"], pa.int32()), pa.array(rows["bucket"], pa.int64()), pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, block % salts, np.int64)), pa.array(rows["n"], pa.int64()), pa.array(rows["keys"], pa.binary()), pa.array(rows["counts"], pa.binary())], [c.split()[0] for c in PAGES.split(", ")])
 
 
 def _entries(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
     """Entries and counts of a bucket's pages, page after page."""
     size = group["n"].to_pylist()
     keys = [np.cumsum(_unpacked(k, n, np.uint64), dtype=np.uint64) for k, n in zip(group["keys"].to_pylist(), size, strict=True)]
-    counts = [_unpacked(c, n, np.uint32) for c, n in zip(group["counts"].to_pylist(), size, strict=True)]
+    counts = [_unpacked(c, n, np.uint64) for c, n in zip(group["counts"].to_pylist(), size, strict=True)]
     return np.concatenate(keys), np.concatenate(counts).astype(np.int64)
 
 
+def summed_page(group: pa.Table) -> pa.Table:
+    """A group's pages of one bucket as one page."""
+    keys, counts = summed(*_entries(group))
+    first = {c: group[c].slice(0, 1) for c in ("kind", "bucket", "block", "salt")}
+    return pa.table({**first, "n": pa.array([len(keys)]), "keys": pa.array([_packed(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_packed(counts.astype(np.uint64))], pa.binary())})
+
+
+def merged_pages(pages: DataFrame, salts: int) -> DataFrame:
+    """At most MERGED pages of each bucket, with the same sums; salts: groups of a bucket's pages."""
+    while salts > 1:
+        pages = pages.groupBy("kind", "bucket", "salt").applyInArrow(summed_page, PAGES)
+        salts = -(-salts // MERGED)
+        pages = pages.withColumn("salt", F.pmod("salt", F.lit(salts)))
+    return pages
+
+
 def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     """docs (doc_id, text, train) with n_tokens, n_known, train_tokens, base_score, score and n_coded (bytes coded)."""
     rows = keyed(docs).select("_key", "doc_id", "text", "train")
     totals = rows.agg(F.sum(F.octet_length("text")), F.count_if("train")).first()
     total, ends = totals[0] or 0, totals[1]
     blocks, buckets = total // BLOCK_BYTES + 1, total // BUCKET_BYTES + 16
+    salts = -(-blocks // MERGED)
     rows = rows.withColumn("block", F.pmod(F.xxhash64("_key"), F.lit(blocks)))
 
     def of_partition(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+        held, size, number = [], 0, TaskContext.get().partitionId()
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
             if size >= BLOCK_BYTES:
-                yield pages_of(vocabularies(pa.Table.from_batches(held), depth), buckets, 0)
-                held, size = [], 0
+                yield pages_of(vocabularies(pa.Table.from_batches(held), depth), buckets, number, salts)
+                held, size, number = [], 0, number + 1
         if held:
-            yield pages_of(vocabularies(pa.Table.from_batches(held), depth), buckets, 0)
+            yield pages_of(vocabularies(pa.Table.from_batches(held), depth), buckets, number, salts)
 
     def sums(group: pa.Table) -> pa.Table:
         kind = group["kind"][0].as_py()
@@ -284,7 +306,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         return pa.table({"kind": pa.array(np.full(len(s["node"]), kind, np.int32)), **{k: pa.array(v) for k, v in s.items()}})
 
     trained = rows.filter("train").select("text", "train").mapInArrow(of_partition, PAGES)
-    gathered = trained.groupBy("kind", "bucket").applyInArrow(sums, "kind int, node long, n0 double, n1 double, below double")
+    gathered = merged_pages(trained, salts).groupBy("kind", "bucket").applyInArrow(sums, "kind int, node long, n0 double, n1 double, below double")
     got = gathered.groupBy("kind", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toPandas()
     grams, words = got[got.kind == GRAMS].sort_values("node"), got[got.kind == WORDS]
     shallow = Shallow(*[grams[c].to_numpy() for c in ("node", "n0", "n1", "below")])
@@ -293,18 +315,42 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     divisor = train_tokens + 0.1 * (distinct + 1)
 
     def pages(group: pa.Table) -> pa.Table:
-        return pa.Table.from_batches([pages_of(vocabularies(group, depth), buckets, group["block"][0].as_py())])
+        return pa.Table.from_batches([pages_of(vocabularies(group, depth), buckets, group["block"][0].as_py(), salts)])
 
-    def answers(group: pa.Table) -> pa.Table:
-        keys, counts = _entries(group)
+    def valued(keys: np.ndarray, counts: np.ndarray, kind: int) -> tuple[np.ndarray, np.ndarray]:
         distinct, count = summed(keys, counts)
-        value = log10_probability(distinct, count, depth, shallow) if group["kind"][0].as_py() == GRAMS else count.astype(np.float64)
+        return distinct, log10_probability(distinct, count, depth, shallow) if kind == GRAMS else count.astype(np.float64)
+
+    def model(group: pa.Table) -> pa.Table:
+        keys, value = valued(*_entries(group), group["kind"][0].as_py())
+        return pa.table({"kind": group["kind"].slice(0, 1), "bucket": group["bucket"].slice(0, 1), "n": pa.array([len(keys)]), "keys": pa.array([_packed(keys)], pa.binary()), "values": pa.array([_packed(value)], pa.binary())})
+
+    def answers(group: pa.Table, models: pa.Table | None) -> pa.Table:
+        keys, counts = _entries(group)
+        if models is None:
+            distinct, value = valued(keys, counts, group["kind"][0].as_py())
+        else:
+            n = models["n"][0].as_py()
+            distinct, value = _unpacked(models["keys"][0].as_py(), n, np.uint64), _unpacked(models["values"][0].as_py(), n, np.float64)
         value = value[np.searchsorted(distinct, keys)]
         ends = np.cumsum(group["n"].to_numpy())
         return pa.table({"kind": group["kind"], "block": group["block"], "n": group["n"], "keys": group["keys"], "values": pa.array([_packed(v) for v in np.split(value, ends[:-1])], pa.binary())})
 
+    def alone(group: pa.Table) -> pa.Table:
+        return answers(group, None)
+
+    def asked(pages: pa.Table, models: pa.Table) -> pa.Table:
+        """Groups without a page have nothing to be told."""
+        return answers(pages, models) if pages.num_rows else pa.table({"kind": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
+
     vocabulary = rows.groupBy("block").applyInArrow(pages, PAGES)
-    answered = vocabulary.groupBy("kind", "bucket").applyInArrow(answers, "kind int, block long, n long, keys binary, values binary")
+    answer, key = "kind int, block long, n long, keys binary, values binary", ["kind", "bucket", "salt"]
+    if salts == 1:  # a bucket's pages are one group: their sum needs no journey
+        answered = vocabulary.groupBy("kind", "bucket").applyInArrow(alone, answer)
+    else:
+        models = merged_pages(vocabulary, salts).groupBy("kind", "bucket").applyInArrow(model, "kind int, bucket long, n long, keys binary, values binary")
+        models = models.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
+        answered = vocabulary.groupBy(key).cogroup(models.groupBy(key)).applyInArrow(asked, answer)
 
     def scored(group: pa.Table, pages: pa.Table) -> pa.Table:
         tables = []

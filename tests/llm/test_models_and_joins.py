@@ -396,7 +396,10 @@ def brute_ctw(docs, depth):
 
 @pytest.mark.parametrize("depth", [2, 5])
 def test_context_tree_weighting(spark, monkeypatch, depth):
+    """In blocks of few bytes; of depth 2 with pages summed up in groups of 2, in several rounds."""
     monkeypatch.setattr(ct, "BLOCK_BYTES", 300)
+    if depth == 2:
+        monkeypatch.setattr(ct, "MERGED", 2)
     docs = [(i, (t or "")[:90] if t is not None else None, i % 5 != 0) for i, t in documents()[:30]] + [(200, None, True), (201, "", False), (202, " ", True)]
     got = {r.doc_id: r for r in ct.score_documents(spark.createDataFrame(docs, "doc_id long, text string, train boolean"), depth).collect()}
     expected = brute_ctw(docs, depth)
