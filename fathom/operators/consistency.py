@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from .effects import UNKNOWN
 
+#: Entries of a ledger that are broadcast at once.
+LEDGER_TURN = 10_000
+
 
 def self_consistency(units: DataFrame, reports: DataFrame) -> DataFrame:
     """units (entry, fn, direct, inferred, unknown_why, hosts, cmds, paths, tables), reports (entry, analysed) -> (rule, entry, fn)
@@ -79,10 +82,15 @@ def unique_or_refuse(df: DataFrame, key: list[str], value: str) -> DataFrame:
 
 def ledger(findings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(findings that no ledger entry (part_a, part_b) explains, entries that no finding reproduces); both parts must occur in
-    the finding's text. The ledger is small and broadcast after a check."""
-    if known.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 ledger entries")
+    the finding's text. Texts are searched for parts, which no key can do, so the ledger is broadcast, in turns of about LEDGER_TURN
+    entries."""
     hit = F.contains(F.col("text"), F.col("part_a")) & F.contains(F.col("text"), F.col("part_b"))
-    fresh = findings.join(F.broadcast(known), hit, "left_anti")
-    used = findings.join(F.broadcast(known.select("part_a", "part_b")), hit).select("part_a", "part_b").distinct()
+    entries = known.select("part_a", "part_b").distinct()
+    turns = entries.count() // LEDGER_TURN + 1
+    fresh, used = findings, None
+    for turn in range(turns):
+        some = F.broadcast(entries.filter(F.pmod(F.xxhash64("part_a", "part_b"), F.lit(turns)) == turn))
+        fresh = fresh.join(some, hit, "left_anti")
+        found = findings.join(some, hit).select("part_a", "part_b").distinct()
+        used = found if used is None else used.unionByName(found)
     return fresh, known.join(used, ["part_a", "part_b"], "left_anti")

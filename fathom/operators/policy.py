@@ -54,14 +54,22 @@ def in_scope(name: Column, scope: Column, separator: str = ".") -> Column:
     return (F.coalesce(scope, F.lit("")) == "") | ((F.size(a) >= n) & head & F.coalesce(F.startswith(F.try_element_at(a, n), F.element_at(b, n)), F.lit(False)))
 
 
+def scoped(units: DataFrame, rules: DataFrame, separator: str = ".") -> DataFrame:
+    """units (fn, ..) joined to the rules (scope, ..) whose scope holds them, as in_scope(): by equality of the number of segments and of all
+    but the last, of which the scope's begins the name's. Any number of rules; Spark broadcasts them while they are few."""
+    segments = lambda c: F.split(c, f"\\Q{separator}\\E")
+    b, a = segments(F.coalesce("scope", F.lit(""))), segments(F.col("fn"))
+    keyed = rules.withColumn("_n", F.size(b)).withColumn("_head", F.array_join(F.slice(b, F.lit(1), F.size(b) - 1), separator)).withColumn("_last", F.element_at(b, -1))
+    probes = units.withColumn("_a", a).withColumn("_n", F.explode(F.sequence(F.lit(1), F.size("_a"))))
+    probes = probes.withColumn("_head", F.array_join(F.slice("_a", F.lit(1), F.col("_n") - 1), separator)).withColumn("_next", F.element_at("_a", F.col("_n")))
+    return probes.join(keyed, ["_n", "_head"]).filter(F.startswith("_next", "_last")).drop("_a", "_n", "_head", "_next", "_last")
+
+
 def violations(units: DataFrame, rules: DataFrame) -> DataFrame:
-    """units (fn, inferred[, classes]) x deny and pure rules -> (ordinal, kind, fn, effects). Rules are few and broadcast after
-    a check of their number."""
-    if rules.limit(10_001).count() > 10_000:
-        raise ValueError("more than 10,000 rules")
+    """units (fn, inferred[, classes]) x deny and pure rules -> (ordinal, kind, fn, effects)."""
     u = units if "classes" in units.columns else units.withColumn("classes", F.array().cast("array<string>"))
-    r = F.broadcast(rules.filter(F.col("kind").isin("deny", "pure")).select("ordinal", "kind", F.col("effects").alias("_denied"), F.col("classes").alias("_classes"), "scope"))
-    found = u.join(r, in_scope(F.col("fn"), F.col("scope")))
+    r = rules.filter(F.col("kind").isin("deny", "pure")).select("ordinal", "kind", F.col("effects").alias("_denied"), F.col("classes").alias("_classes"), "scope")
+    found = scoped(u, r)
     any_class = F.size("_classes") == 0
     denied = F.array_intersect("inferred", "_denied")
     denied = F.when(any_class | F.arrays_overlap("classes", "_classes"), denied).otherwise(F.array().cast("array<string>"))
@@ -123,8 +131,7 @@ def containment(units: DataFrame) -> DataFrame:
 
 def unverified(units: DataFrame, rules: DataFrame) -> DataFrame:
     """Functions in the scope of a deny rule that pass it but carry Unknown."""
-    r = F.broadcast(rules.filter("kind = 'deny'").select("ordinal", F.col("effects").alias("_denied"), "scope"))
-    rows = units.join(r, in_scope(F.col("fn"), F.col("scope")))
+    rows = scoped(units, rules.filter("kind = 'deny'").select("ordinal", F.col("effects").alias("_denied"), "scope"))
     return rows.filter(F.array_contains("inferred", UNKNOWN) & (F.size(F.array_intersect("inferred", "_denied")) == 0)).select("ordinal", "fn")
 
 

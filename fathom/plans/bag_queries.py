@@ -142,12 +142,12 @@ def d07(spark, sf):
     return n.agg(F.count_if(F.col("n_pre") != F.col("n_post")).alias("differing"), (F.count_if(F.col("n_pre") != F.col("n_post")) == 0).alias("equal"))
 
 
-@query("o11_arms_differ")
+@query("o11_arms_differ", f"WITH {BAGS}, x AS (SELECT l_returnflag, l_suppkey, qty FROM pre EXCEPT ALL SELECT l_returnflag, l_suppkey, qty FROM post), y AS (SELECT l_returnflag, l_suppkey, qty FROM post EXCEPT ALL SELECT l_returnflag, l_suppkey, qty FROM pre) SELECT (SELECT count(*) FROM pre) AS rows_pre, (SELECT count(*) FROM post) AS rows_post, (SELECT count(*) FROM x) + (SELECT count(*) FROM y) > 0 AS differ")
 def o11(spark, sf):
     a, b = bags(spark, sf)
     x, y = B.fingerprint(a.select(*KEY, *VALUE)), B.fingerprint(b.select(*KEY, *VALUE))
     x, y = x.toDF("rows_pre", "digest_pre"), y.toDF("rows_post", "digest_post")
-    return x.crossJoin(y).withColumn("differ", F.col("digest_pre") != F.col("digest_post"))
+    return x.crossJoin(y).select("rows_pre", "rows_post", (F.col("digest_pre") != F.col("digest_post")).alias("differ"))
 
 
 @query("o10_reconciles", f"WITH {BAGS}, {BY_VALUE}, h AS (SELECT status, count(*) AS keys FROM d GROUP BY 1), r AS (SELECT CASE WHEN rows_pre = 0 THEN 'added' WHEN rows_post = 0 THEN 'removed' ELSE 'changed' END AS status, count(*) AS rows FROM d GROUP BY 1) SELECT coalesce(h.status, r.status) AS status, coalesce(keys, 0) AS keys, coalesce(rows, 0) AS rows FROM h FULL JOIN r ON h.status = r.status WHERE coalesce(keys, 0) <> coalesce(rows, 0)")

@@ -97,7 +97,13 @@ def w13(spark, sf):
     return blind.join(n, "fn", "left").select("fn", F.coalesce("n", F.lit(0)).alias("reach"))
 
 
-@query("w04_greedy_links")
+@query(
+    "w04_greedy_links",
+    "WITH RECURSIVE e AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY weight DESC, src, dst) AS i FROM (SELECT l_suppkey AS src, l_partkey AS dst, count(*) AS weight FROM lineitem GROUP BY ALL)),"
+    " r AS (SELECT 0::BIGINT AS i, []::BIGINT[] AS s, []::BIGINT[] AS d, []::BIGINT[] AS t UNION ALL SELECT j, CASE WHEN ok THEN list_append(s, src) ELSE s END, CASE WHEN ok THEN list_append(d, dst) ELSE d END, CASE WHEN ok THEN list_append(t, j) ELSE t END"
+    " FROM (SELECT r.*, e.i AS j, e.src, e.dst, len(list_filter(s, lambda x: x = e.src)) < 9 AND len(list_filter(d, lambda x: x = e.dst)) < 7 AS ok FROM r JOIN e ON e.i = r.i + 1 WHERE len(t) < 300) q)"
+    " SELECT src, dst, weight FROM e WHERE list_contains((SELECT arg_max(t, i) FROM r), i)",
+)
 def w04(spark, sf):
     o = table(spark, sf, "lineitem").groupBy((F.col("l_suppkey")).alias("src"), F.col("l_partkey").alias("dst")).agg(F.count("*").alias("weight"))
     return G.greedy_links(o)

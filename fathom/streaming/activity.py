@@ -31,23 +31,28 @@ def run_available(stream: DataFrame, checkpoint: str, sink, mode: str = "append"
 
 
 def current_blocks(spark: SparkSession, path: str, checkpoint: str, state: str) -> None:
-    """The last verdict of each session in a table at `state`: a session that is blocked shows until a later turn is clean."""
+    """The last verdict of each session in a table at `state`: a session that is blocked shows until a later turn is clean.
+
+    A batch writes the sessions that it touched, into a folder of its number, and no others; a batch that is run again after a failure
+    replaces its own folder."""
 
     def merge(batch: DataFrame, number: int) -> None:
-        new = batch.select("sessionId", "ts", "verdict", "violations")
-        folder = f"{state}/{number % 2}"
-        before = f"{state}/{(number + 1) % 2}"
-        old = spark.read.schema(new.schema).parquet(before) if number else new.limit(0)
-        last = old.unionByName(new).groupBy("sessionId").agg(F.max_by(F.struct("ts", "verdict", "violations"), "ts").alias("r")).select("sessionId", "r.*")
-        last.write.mode("overwrite").parquet(folder)
-        spark.createDataFrame([(number,)], "number long").coalesce(1).write.mode("overwrite").parquet(f"{state}/last")
+        last_verdicts(batch.select("sessionId", "ts", "verdict", "violations")).write.mode("overwrite").parquet(f"{state}/batch={number}")
 
     run_available(activity_stream(spark, path), checkpoint, merge)
 
 
+def last_verdicts(turns: DataFrame) -> DataFrame:
+    """The newest turn of each session; at one time that of the later batch, then a blocked one, then the one with the greater list of
+    violations."""
+    batch = F.col("batch").cast("long") if "batch" in turns.columns else F.lit(0).cast("long")
+    order = F.struct("ts", batch.alias("batch"), (F.col("verdict") == "blocked").alias("blocked"), F.coalesce("violations", F.array().cast("array<string>")).alias("v"))
+    return turns.groupBy("sessionId").agg(F.max_by(F.struct("ts", "verdict", "violations"), order).alias("r")).select("sessionId", "r.*")
+
+
 def read_blocks(spark: SparkSession, state: str) -> DataFrame:
-    number = spark.read.parquet(f"{state}/last").first()["number"]
-    return spark.read.parquet(f"{state}/{number % 2}").filter("verdict = 'blocked'")
+    """Sessions whose last verdict is blocked."""
+    return last_verdicts(spark.read.parquet(state)).filter("verdict = 'blocked'")
 
 
 def compacted(log: DataFrame, most: int = 5_000) -> DataFrame:

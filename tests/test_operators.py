@@ -266,6 +266,8 @@ def test_scope_and_policy(spark):
     assert got == {(0, "com.app.domain.User.save", ("Db",)), (0, "com.app.domain2.X.y", ("Net",)), (1, "org.y", ("Unknown",))}
     classed = df.withColumn("classes", F.array(F.lit("reflect")))
     assert (5, "org.y") in {(r.ordinal, r.fn) for r in P.violations(classed, rules).collect()}
+    many = P.parse_policy(spark, "\n".join(f"deny Db com.app.d{i}" for i in range(300)) + "\ndeny Db com.app.domain.Us\npure com.app.domain.User.save.x\npure .com\ndeny Net")
+    assert {(r.ordinal, r.fn) for r in P.violations(df, many).collect()} == {(300, "com.app.domain.User.save"), (303, "com.app.domain2.X.y"), (303, "com.application.X")}
     assert P.unverified(df, P.parse_policy(spark, "deny Net org")).first().fn == "org.y"
     assert (P.exit_code(0), P.exit_code(3), P.exit_code(None), P.exit_code(0, False)) == (0, 1, 2, 2)
 
@@ -325,11 +327,14 @@ def test_monotone_and_disjoint(spark):
     assert O.chain_only_adds(before.limit(0), after, ["fn"]).first().status == "NOTHING SHARED"
 
 
-def test_ledger(spark):
+def test_ledger(spark, monkeypatch):
     found = spark.createDataFrame([("crate x lost Net",), ("crate y lost Fs",)], "text string")
     known = spark.createDataFrame([("crate x", "Net"), ("crate z", "Db")], "part_a string, part_b string")
     fresh, unused = O.ledger(found, known)
     assert [r.text for r in fresh.collect()] == ["crate y lost Fs"] and [r.part_a for r in unused.collect()] == ["crate z"]
+    monkeypatch.setattr(O, "LEDGER_TURN", 1)
+    fresh, unused = O.ledger(found, known)
+    assert [r.text for r in fresh.collect()] == ["crate y lost Fs"] and [r.part_a for r in unused.collect()] == ["crate z"]
 
 
 def test_scalars(spark):

@@ -83,6 +83,8 @@ def test_stream_of_activity(spark, tmp_path):
     (log / "1.json").write_text("\n".join([turn("2026-01-01T10:00:00Z", "s", "blocked", ["001"]), turn("2026-01-01T10:01:00Z", "t", "blocked", ["004"], 9)]))
     T.current_blocks(spark, str(log), str(tmp_path / "c"), state)
     assert {r.sessionId for r in T.read_blocks(spark, state).collect()} == {"s", "t"}
+    tied = spark.createDataFrame([("x", "2026-01-01", "clean", []), ("x", "2026-01-01", "blocked", ["1"]), ("y", "2026-01-01", "blocked", None), ("y", "2026-01-02", "clean", None)], "sessionId string, ts string, verdict string, violations array<string>")
+    assert {(r.sessionId, r.verdict) for r in T.last_verdicts(tied).collect()} == {("x", "blocked"), ("y", "clean")}
     (log / "2.json").write_text(turn("2026-01-01T11:00:00Z", "s", "clean"))
     T.current_blocks(spark, str(log), str(tmp_path / "c"), state)
     assert {r.sessionId for r in T.read_blocks(spark, state).collect()} == {"t"}
