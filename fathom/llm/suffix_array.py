@@ -20,7 +20,7 @@ from .common import slices, table, tidy
 from .repeats import byte_units, covered, keyed, repeat_spans, with_spans
 
 #: Suffixes a bucket, on average, below which they are induced one by one.
-FEW_IN_A_BUCKET = 100
+FEW_IN_A_BUCKET = 50
 WINDOW, GRAM = 100, 20
 
 
@@ -98,24 +98,27 @@ def induce(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray)
 def induce_singly(t: np.ndarray, small: np.ndarray, lms: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """The same, one suffix after the other."""
     n, ends = len(t), np.cumsum(sizes)
-    head, tail = (ends - sizes).tolist(), ends.tolist()
-    text, smaller, sa = t.tolist(), small.tolist(), [-1] * n
-    for i in reversed(lms.tolist()):
-        c = text[i]
+    head, tail, sa = (ends - sizes).tolist(), ends.tolist(), [-1] * n
+    for i, c in zip(lms[::-1].tolist(), t[lms[::-1]].tolist(), strict=True):
         tail[c] -= 1
         sa[tail[c]] = i
+    # The symbol to the left of each suffix if it begins a larger one, and if a smaller one; none for the first suffix and empty places.
+    left = np.full((2, n + 1), -1, np.int64)
+    left[0, 1:-1][~small[:-1]] = t[:-1][~small[:-1]]
+    left[1, 1:-1][small[:-1]] = t[:-1][small[:-1]]
+    larger, smaller = left.tolist()
     for i in sa:  # grows ahead of the scan
-        if i > 0 and not smaller[i - 1]:
-            c = text[i - 1]
-            sa[head[c]] = i - 1
-            head[c] += 1
+        c = larger[i]
+        if c >= 0:
+            at = head[c]
+            sa[at] = i - 1
+            head[c] = at + 1
     tail = ends.tolist()
-    for at in range(n - 1, -1, -1):
-        i = sa[at]
-        if i > 0 and smaller[i - 1]:
-            c = text[i - 1]
-            tail[c] -= 1
-            sa[tail[c]] = i - 1
+    for i in reversed(sa):
+        c = smaller[i]
+        if c >= 0:
+            tail[c] = at = tail[c] - 1
+            sa[at] = i - 1
     sa[0] = n - 1
     return np.array(sa, np.int64)
 
