@@ -5,12 +5,16 @@ fingerprint; a registry of declarative mappings, keyed by fingerprint, says how
 (role, text). All work is on DataFrame expressions.
 
 Defined results: an unknown layout gives null turns and a null mapping name (the record is kept); a null text or role is an
-empty string; a record without turns gives an empty output. Repeated rows stay repeated.
+empty string; a record without turns gives an empty output; an empty table gives an empty result. Repeated rows stay repeated, and
+turns with one number are ordered by role and text. Columns of the input named like a result are replaced. In the query, rows of a
+conversation -7 of the table would be part of the conversation -7 that it adds.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import operator
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -181,10 +185,36 @@ def records(conversations: DataFrame) -> DataFrame:
     return conversations.groupBy("conv_id").agg(F.to_variant_object(F.struct(messages.alias("messages"))).alias("record"))
 
 
+def varied_records(conversations: DataFrame) -> DataFrame:
+    """Records of conversations as corpora have them: a question and its answer as `instruction`, `prompt` or `question`, with a system
+    text as `prompt_system`, all else as `messages` or, where only the usual roles speak, `sharegpt`."""
+    rows = conversations.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("_t"))
+    at = lambda i: F.try_element_at("_t", F.lit(i))
+    text = lambda i: at(i)["text"]
+    speak = lambda *roles: F.coalesce((F.size("_t") == len(roles)) & functools.reduce(operator.and_, [at(i)["role"] == r for i, r in enumerate(roles, 1)]), F.lit(False))
+    record = lambda **fields: F.to_variant_object(F.struct(*[c.alias(k) for k, c in fields.items()]))
+    listed = lambda role, body, named: F.transform("_t", lambda r: F.struct(named(r["role"]).alias(role), r["text"].alias(body)))
+    alias = {v: k for k, v in SHAREGPT_ROLES.items()}
+    usual = F.forall("_t", lambda r: F.coalesce(r["role"], F.lit("")).isin(*alias))
+    renamed = lambda c: F.create_map(*[F.lit(x) for kv in alias.items() for x in kv])[c]
+    kind, pair, blank = F.pmod(F.coalesce("conv_id", F.lit(0)), F.lit(4)), speak("user", "assistant"), F.locate("\n\n", text(1))
+    split = record(instruction=F.substring(text(1), F.lit(1), blank - 1), input=F.substring(text(1), blank + 2, F.char_length(text(1))), output=text(2))
+    layout = (
+        F.when(pair & (kind == 0) & (blank > 0), split)
+        .when(pair & (kind == 0), record(instruction=text(1), output=text(2)))
+        .when(pair & (kind == 1), record(prompt=text(1), completion=text(2)))
+        .when(pair & (kind == 2), record(question=text(1), answer=text(2)))
+        .when(speak("system", "user", "assistant"), record(system=text(1), prompt=text(2), response=text(3)))
+        .when(usual & (kind % 2 == 1), record(conversations=listed("from", "value", renamed)))
+        .otherwise(record(messages=listed("role", "content", lambda c: c)))
+    )
+    return rows.select("conv_id", layout.alias("record"))
+
+
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = spark.createDataFrame([(-7, 0, "user", PROBE), (-7, 1, "assistant", PROBE)], rows.schema)
-    out = render(canonical_turns(records(rows.unionByName(probe)), "record"))
+    out = render(canonical_turns(varied_records(rows.unionByName(probe)), "record"))
     back = out.withColumn("back", read_back(F.col("formatted"))).withColumn("loss", masked_text(F.col("formatted"), F.col("loss_mask")))
     spoken = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
     return back.select(

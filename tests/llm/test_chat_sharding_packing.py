@@ -49,6 +49,19 @@ def test_conversations_with_nulls(spark):
     assert {r.conv_id: [tuple(t) for t in r.turns] for r in out.collect()} == {1: [("user", ""), ("assistant", "a"), ("assistant", "a")], None: [("", "x")], 2: [("system", "")]}
 
 
+def test_varied_layouts(spark):
+    """Every layout of the registry occurs, and all give the turns of the plain records."""
+    pairs = [(i, 0, "user", t) for i, t in ((1, "a"), (2, None), (3, "q"), (4, "x\n\ny\n\nz"), (8, "one\n"), (12, "\n\n"), (16, None))]
+    rows = [*pairs, *((i, 1, "assistant", "b" if i != 3 else None) for i, *_ in pairs)]
+    rows += [(5, 0, "system", "s"), (5, 1, "user", "u"), (5, 2, "assistant", "v"), (7, 0, "user", "u"), (6, 0, "human", "h"), (9, 0, "gpt", "h"), (None, 0, None, None), (11, None, "user", "n"), (11, None, "user", "n")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("record", F.lit("clash"))
+    out = chat_format.canonical_turns(chat_format.varied_records(df), "record").collect()
+    plain = {r.conv_id: r.turns for r in chat_format.canonical_turns(chat_format.records(df), "record").collect()}
+    assert {r.conv_id: r.turns for r in out} == plain
+    assert {r.mapping for r in out} == {m.name for m in chat_format.MAPPINGS}
+    assert chat_format.varied_records(df.limit(0)).count() == chat_format.render(chat_format.canonical_turns(chat_format.records(df.limit(0)), "record")).count() == 0
+
+
 def test_hilbert_is_a_continuous_curve():
     bits, n = 3, 3
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)
