@@ -8,8 +8,8 @@ The global rank is found without a global sort: cells (at most 2**(bits * dimens
 are counted, offsets come from running sums over the counts, and rows are numbered inside their subcell only. A cell that
 holds a third of all rows is spread over its subcells.
 
-Strings are quantised in their order, by the first letter or digit behind what all values begin with, so that the minima and maxima of a
-shard, which are strings too, exclude others.
+Strings are quantised in their order, by the first letter or digit behind what all values begin with, spread over all quanta between the
+least and the greatest value's, so that the minima and maxima of a shard, which are strings too, exclude others.
 
 Defined results: a null text has size 1 and the CRC of no bytes; null dimensions and strings with another character there fall into quantum
 0; rows without an id are spread by their other columns; repeated rows get ranks of their own; an empty table gives an empty
@@ -42,13 +42,15 @@ class Dimension:
     column: str
     kind: str
 
-    def quantum(self, bits: int = BITS, common: int = 0) -> Column:
-        """common: the length of what all values begin with."""
+    def quantum(self, bits: int = BITS, known: tuple[int, int, int] = (0, 0, 31)) -> Column:
+        """known: see spreads()."""
         top = (1 << bits) - 1
         if self.kind == "text":
+            common, least, greatest = known
             code = F.ascii(F.lower(F.substring(self.column, common + 1, 1)))
-            place = F.when(code.between(48, 57), code - 47).when(code.between(97, 122), 11 + F.floor((code - 97) * 21 / 26)).otherwise(0)
-            return F.floor(place * (top + 1) / 32).cast("int")
+            place = F.when(code.between(48, 57), code - 47).when(code.between(97, 122), code - 86).otherwise(0)
+            spread = F.floor((F.least(F.greatest(place, F.lit(least)), F.lit(greatest)) - least) * top / max(1, greatest - least))
+            return spread.cast("int")
         binary = F.bin(F.greatest(F.col(self.column), F.lit(1)))
         half = F.when(F.substring(binary, 2, 1) == "1", 1).otherwise(0)
         return F.coalesce(F.least(2 * (F.length(binary) - 1) + half, F.lit(top)), F.lit(0)).cast("int")
@@ -87,11 +89,24 @@ def curve_index(quanta: list[Column], bits: int = BITS) -> Column:
     return index(*quanta)
 
 
-def common_beginnings(df: DataFrame, dims: list[Dimension]) -> list[int]:
-    """The length of what all values of each text dimension begin with: what the least and the greatest share."""
+def place_of(text: str, at: int) -> int:
+    """Of the character there: 1 to 10 for digits, 11 to 36 for letters, else 0."""
+    c = ord(text[at].lower()) if at < len(text) and len(text[at].lower()) == 1 else 0
+    return c - 47 if 48 <= c <= 57 else c - 86 if 97 <= c <= 122 else 0
+
+
+def spreads(df: DataFrame, dims: list[Dimension]) -> list[tuple[int, int, int]]:
+    """For each text dimension the length of what all values begin with, which the least and the greatest share, and the places of the
+    characters that come next in those two."""
     texts = [d.column for d in dims if d.kind == "text"]
     ends = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in texts for f in (F.min, F.max)]).first() if texts else {}
-    return [len(os.path.commonprefix([ends[f"min_{d.column}"] or "", ends[f"max_{d.column}"] or ""])) if d.kind == "text" else 0 for d in dims]
+    out = []
+    for d in dims:
+        a, b = (ends[f"min_{d.column}"] or "", ends[f"max_{d.column}"] or "") if d.kind == "text" else ("", "")
+        n = len(os.path.commonprefix([a, b]))
+        least, greatest = sorted((place_of(a, n), place_of(b, n)))
+        out.append((n, least, greatest))
+    return out
 
 
 def shard_by_curve(df: DataFrame, id_col: str, dims: list[Dimension], shards: int = SHARDS, bits: int = BITS, subcells: int = SUBCELLS) -> DataFrame:
@@ -99,8 +114,8 @@ def shard_by_curve(df: DataFrame, id_col: str, dims: list[Dimension], shards: in
 
     Keep the input narrow: it is written once to the shared folder, and shuffled once.
     """
-    common = common_beginnings(df, dims)
-    rows = materialise(df.withColumn("curve", curve_index([d.quantum(bits, n) for d, n in zip(dims, common, strict=True)], bits)))
+    known = spreads(df, dims)
+    rows = materialise(df.withColumn("curve", curve_index([d.quantum(bits, k) for d, k in zip(dims, known, strict=True)], bits)))
     subcells = max(subcells, 1 << (rows.count() // SUBCELL_ROWS).bit_length())
     others = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns if c != id_col])
     spread = F.coalesce(F.crc32(F.col(id_col).cast("string")), F.crc32(others))
@@ -168,13 +183,18 @@ def _hilbert_sql(source: str, names: list[str], bits: int = BITS) -> str:
 
 
 def _initial(column: str) -> str:
-    code = f"ascii(lower(substr({column}, n_{column} + 1, 1)))"
-    return f"(CASE WHEN {code} BETWEEN 48 AND 57 THEN {code} - 47 WHEN {code} BETWEEN 97 AND 122 THEN 11 + ({code} - 97) * 21 // 26 ELSE 0 END)::INT"
+    return f"(floor((least(greatest({_place(column, f'n_{column}')}, least(lo_{column}, hi_{column})), greatest(lo_{column}, hi_{column})) - least(lo_{column}, hi_{column})) * {(1 << BITS) - 1} / greatest(1, abs(hi_{column} - lo_{column}))))::INT"
+
+
+def _place(text: str, n: str) -> str:
+    code = f"ascii(lower(substr({text}, {n} + 1, 1)))"
+    return f"(CASE WHEN {code} BETWEEN 48 AND 57 THEN {code} - 47 WHEN {code} BETWEEN 97 AND 122 THEN {code} - 86 ELSE 0 END)"
 
 
 def _common(column: str) -> str:
     least = f"(SELECT min({column}) AS a, max({column}) AS b FROM documents)"
-    return f"(SELECT coalesce(min(i) - 1, max(least(length(a), length(b))), 0) AS n_{column} FROM {least} LEFT JOIN (SELECT unnest(range(1, 1000)) AS i) ON i <= least(length(a), length(b)) AND substr(a, i, 1) <> substr(b, i, 1))"
+    n = f"(SELECT a, b, coalesce(min(i) - 1, max(least(length(a), length(b))), 0) AS n FROM {least} LEFT JOIN (SELECT unnest(range(1, 1000)) AS i) ON i <= least(length(a), length(b)) AND substr(a, i, 1) <> substr(b, i, 1) GROUP BY a, b)"
+    return f"(SELECT n AS n_{column}, {_place('a', 'n')} AS lo_{column}, {_place('b', 'n')} AS hi_{column} FROM {n})"
 
 
 _TOP = (1 << BITS) - 1
