@@ -6,7 +6,7 @@ the WINDOW that follow it. The verified pairs of all passes are united. The numb
 label and the recall wanted for a pair that is just near enough; it grows with the logarithm of the size.
 
 A vector with WINDOW links or more may stand in a crowd wider than any window. Such vectors are compared with their whole
-component, in blocks of BLOCK by BLOCK that give counts rather than pairs, so that n_links is no matter of the window.
+component, in blocks of CROWD by CROWD that give counts rather than pairs, so that n_links is no matter of the window.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components link with nothing, and so do those with a null label, and vectors of different sizes with
 each other; rows that share an id, or have none, are told apart (nulls first), each with its own row in the result; an empty table gives an empty result;
@@ -15,11 +15,13 @@ further columns are not looked at.
 
 from __future__ import annotations
 
+import functools
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ WINDOW = 32
 BITS = 64
 #: Of the pairs at the threshold itself; nearer ones are found more often.
 RECALL = 0.99
-#: Rows compared in one step; the sorted runs and the crowds are cut into groups of so many.
-BLOCK = 2048
+#: The sorted runs are cut into groups of so many rows, and the crowds into parts of so many.
+BLOCK, CROWD = 2048, 512
 
 
 def passes(size: int, threshold: float, recall: float = RECALL) -> int:
@@ -68,12 +70,17 @@ def usable(df: DataFrame, id_col: str, vector: str, label: str) -> tuple[DataFra
     return rows.select("key", "vec_id"), good.select("key", F.concat_ws(":", F.size("v").cast("string"), "label").alias("kind"), "v")
 
 
+@functools.lru_cache(maxsize=64)
+def projections(dims: int, p: int) -> np.ndarray:
+    """Fixed by the number of dimensions and the pass."""
+    return np.random.default_rng([dims, p]).standard_normal((dims, BITS))
+
+
 def keys_of(v: np.ndarray, count: int) -> np.ndarray:
-    """(rows, passes): sort keys, the sign bits of 64 projections each. Projections are fixed by the number of dimensions and the pass."""
+    """(rows, passes): sort keys, the sign bits of 64 projections each."""
     out = np.empty((len(v), count), np.int64)
     for p in range(count):
-        plane = np.random.default_rng([v.shape[1], p]).standard_normal((v.shape[1], BITS))
-        out[:, p] = np.packbits(v @ plane > 0, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
+        out[:, p] = np.packbits(v @ projections(v.shape[1], p) > 0, axis=1).view(">u8")[:, 0].astype(np.uint64).view(np.int64)
     return out
 
 
@@ -82,8 +89,7 @@ def sorted_ranks(vectors: DataFrame, count: int) -> DataFrame:
 
     def coded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kinds = batch.column(1).to_numpy(zero_copy_only=False)
-            for a, b in _runs(kinds):
+            for a, b in _runs(pc.list_value_length(batch.column(2)).to_numpy()):
                 part = batch.slice(a, b - a)
                 keys = keys_of(_vectors(part.column(2)), count)
                 n = part.num_rows
@@ -171,7 +177,7 @@ def crowd_counts(batches: Iterator[pa.RecordBatch], threshold: float) -> Iterato
 
 def crowded(vectors: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
     """members (key, comp, m, full) of the components that have a full vector -> (key, n): links in which a full vector takes part."""
-    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("ys"), F.ceil(F.sum(F.col("full").cast("long")) / BLOCK).cast("int").alias("xs"))
+    sizes = members.groupBy("comp").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("ys"), F.ceil(F.sum(F.col("full").cast("long")) / CROWD).cast("int").alias("xs"))
     rows = members.join(sizes, "comp").join(vectors.select("key", "v"), "key")
     part = lambda of: F.pmod(F.xxhash64("key"), F.col(of)).cast("int")
     each = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
