@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import bare_path
 from .effects import concrete
-from .graph import closure, written
+from .graph import _reached, _union, closure, written
 
 
 
@@ -44,40 +44,91 @@ def classify_lost_unknown(lost: DataFrame, pre_edges: DataFrame, post_edges: Dat
     return rows.select("fn", kind.alias("class"))
 
 
-def canary(spark: SparkSession) -> bool:
-    """Whether the classifier finds a seeded function of every class; without that its table means nothing."""
-    e = "src string, dst string"
-    pre = spark.createDataFrame([("c1", "old"), ("c2", "old"), ("c3b", "old"), ("r", "old"), ("c3c", "old")], e)
-    post = spark.createDataFrame([("c1", "old"), ("c1", "pure"), ("c2", "old"), ("c2", "leafy"), ("c3b", "old"), ("c3b", "ghost"), ("r", "old"), ("r", "io"), ("c3c", "old"), ("c3c", "loud"), ("leafy", "jdk.Thing")], e)
-    nodes = spark.createDataFrame([(n,) for n in ("c1", "c2", "c3a", "c3b", "r", "c3c", "pure", "leafy", "io", "loud", "old")], "fn string")
-    rows = spark.createDataFrame([("io", ["Fs"]), ("loud", ["Net"])], "fn string, tokens array<string>")
-    lost = spark.createDataFrame([("c1", []), ("c2", []), ("c3a", []), ("c3b", []), ("c3c", []), ("r", ["Fs"])], "fn string, tokens array<string>")
-    got = {r["fn"]: r["class"] for r in classify_lost_unknown(lost, pre, post, nodes, rows).collect()}
-    return got == {"c1": "C1", "c2": "C2", "c3a": "C3", "c3b": "C3", "c3c": "C3", "r": "R"}
+CLASSES = ("C1", "C2", "C3", "R")
 
 
-def root_causes(lost: DataFrame, pre_edges: DataFrame, head_edges: DataFrame, pre_effects: DataFrame, head_effects: DataFrame, pre_direct: DataFrame) -> DataFrame:
-    """lost (fn, effect) -> (fn, effect, kind, root, callee): why an effect of PRE is gone at HEAD.
+def canary(seeds: DataFrame, pre_edges: DataFrame, post_edges: DataFrame, post_nodes: DataFrame, post_rows: DataFrame) -> DataFrame:
+    """seeds (fn, tokens, expected) planted in two arms -> (class, seeded, found, sound), one row a class: whether the classifier gives every seed its class. A class without
+    seeds is not sound: without all of them a table of classes means nothing."""
+    got = classify_lost_unknown(seeds.select("fn", "tokens"), pre_edges, post_edges, post_nodes, post_rows)
+    rows = seeds.select("fn", "expected").join(got, "fn", "left").groupBy(F.col("expected").alias("class")).agg(F.count("*").alias("seeded"), F.count_if(F.col("class").eqNullSafe(F.col("expected"))).alias("found"))
+    every = seeds.sparkSession.createDataFrame([(c,) for c in CLASSES], "class string")
+    out = every.join(rows, "class", "left").select("class", F.coalesce("seeded", F.lit(0)).alias("seeded"), F.coalesce("found", F.lit(0)).alias("found"))
+    return out.withColumn("sound", (F.col("seeded") > 0) & (F.col("seeded") == F.col("found")))
+
+
+def root_causes(lost: DataFrame, pre_edges: DataFrame, head_edges: DataFrame, pre_effects: DataFrame, head_effects: DataFrame, pre_direct: DataFrame, unions: DataFrame | None = None) -> DataFrame:
+    """lost (fn, effect) -> (fn, effect, kind, root, callee, path): why an effect of PRE is gone at HEAD.
 
     OWN: the function performed it itself. Otherwise its PRE callees with the effect are looked at: LOSTEDGE where HEAD has no such
     call, UNPROPAGATED where HEAD has the call and the callee still has the effect; else the loss is the callee's, and the search
-    goes on there. One round for each step down; a callee is visited once for each lost pair.
+    goes on there. A callee is visited once for each lost pair, on the shortest path, the least of several (path: the functions gone through).
+
+    unions (fn): interface unions. One from which the search finds nothing lost the effect with its implementors: UNION, for each function of the same member
+    name (all behind the first dot) that had the effect and lost it, and the search goes on there (path: `U:` and its name). The unions furthest down are
+    opened first, as what they find explains those above.
     """
-    frontier = written(lost.select("fn", "effect", F.col("fn").alias("at")).distinct())
-    seen, out = frontier, None
-    while not frontier.isEmpty():
-        own = frontier.join(pre_direct.select(F.col("fn").alias("at"), "effect"), ["at", "effect"], "left_semi").select("fn", "effect", F.lit("OWN").alias("kind"), F.col("at").alias("root"), F.lit(None).cast(dict(lost.dtypes)["fn"]).alias("callee"))
-        down = frontier.join(pre_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee")).distinct(), "at").join(pre_effects.select(F.col("fn").alias("callee"), "effect").distinct(), ["callee", "effect"], "left_semi")
-        down = down.join(head_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee"), F.lit(True).alias("edge")).distinct(), ["at", "callee"], "left")
-        down = written(down.join(head_effects.select(F.col("fn").alias("callee"), "effect", F.lit(True).alias("still")).distinct(), ["callee", "effect"], "left"))
-        kind = F.when(F.col("edge").isNull(), "LOSTEDGE").when(F.col("still"), "UNPROPAGATED")
-        cut = down.withColumn("kind", kind).filter("kind IS NOT NULL").select("fn", "effect", "kind", F.col("at").alias("root"), "callee")
-        found = own.unionByName(cut)
-        out = found if out is None else out.unionByName(found)
-        deeper = down.filter(F.col("edge") & F.col("still").isNull()).select("fn", "effect", F.col("callee").alias("at")).distinct()
-        frontier = written(deeper.join(seen, ["fn", "effect", "at"], "left_anti"))
-        seen = written(seen.unionByName(frontier))
-    return out if out is not None else lost.select("fn", "effect", F.lit("OWN").alias("kind"), F.col("fn").alias("root"), F.col("fn").alias("callee")).limit(0)
+    key = ["fn", "effect"]
+    steps = written(pre_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee")).distinct().join(head_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee"), F.lit(True).alias("edge")).distinct(), ["at", "callee"], "left"))
+    both = pre_effects.select(F.col("fn").alias("callee"), "effect").distinct().join(head_effects.select(F.col("fn").alias("callee"), "effect", F.lit(True).alias("still")).distinct(), ["callee", "effect"], "left")
+    both = written(both)
+    steps = written(steps.join(both, "callee").select("at", "callee", "effect", "edge", "still"))
+    own = written(pre_direct.select(F.col("fn").alias("at"), "effect").distinct())
+    kind = F.when(F.col("edge").isNull(), "LOSTEDGE").when(F.col("still"), "UNPROPAGATED")
+    name = dict(lost.dtypes)["fn"]
+    frontier = written(lost.select("fn", "effect", F.col("fn").alias("at"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")).distinct())
+    seen, out, deeper = [frontier], [], []
+    while True:
+        while not frontier.isEmpty():
+            out.append(frontier.join(own, ["at", "effect"], "left_semi").select("fn", "effect", F.lit("OWN").alias("kind"), F.col("at").alias("root"), F.lit(None).cast(name).alias("callee"), "path"))
+            down = written(frontier.join(steps, ["at", "effect"]).withColumn("kind", kind))
+            out.append(down.filter("kind IS NOT NULL").select("fn", "effect", "kind", F.col("at").alias("root"), "callee", "path"))
+            on = down.filter("kind IS NULL")
+            deeper.append(on.select("fn", "effect", "at", F.col("callee").alias("to")))
+            nxt = on.select("fn", "effect", F.col("callee").alias("at"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.col("callee").cast("string"))).alias("path"))
+            frontier = _unseen(nxt, seen)
+        if unions is None:
+            return _union(out)
+        found, visited, links = _union(out), _union(seen), written(_union(deeper).distinct())
+        opened = written(_openable(found, visited, links, unions, both))
+        if opened.isEmpty():
+            return found
+        deeper.append(opened.select("fn", "effect", "at", "to"))
+        out.append(opened.select("fn", "effect", F.lit("UNION").alias("kind"), F.col("at").alias("root"), F.col("to").alias("callee"), "path"))
+        frontier = _unseen(opened.select("fn", "effect", F.col("to").alias("at"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.concat(F.lit("U:"), "to"))).alias("path")), seen)
+
+
+def _unseen(nxt: DataFrame, seen: list[DataFrame]) -> DataFrame:
+    """The new (fn, effect, at), each on its least path; appended to seen, which is written anew now and then."""
+    best = nxt.groupBy("fn", "effect", "at").agg(F.min(F.struct("depth", "path")).alias("b")).select("fn", "effect", "at", "b.depth", "b.path")
+    fresh = written(best.join(_union(seen).select("fn", "effect", "at"), ["fn", "effect", "at"], "left_anti"))
+    seen.append(fresh)
+    if len(seen) > 8:
+        seen[:] = [written(_union(seen))]
+    return fresh
+
+
+def _openable(found: DataFrame, visited: DataFrame, links: DataFrame, unions: DataFrame, both: DataFrame) -> DataFrame:
+    """(fn, effect, at, depth, path, to): visited unions from which nothing was found, with their implementors; of several below each other the last ones."""
+    place = lambda c: F.struct("fn", "effect", F.col(c).alias("at"))
+    up = links.select(place("to").alias("at"), place("at").alias("to"))
+    fruitful, _ = _reached(found.select(F.lit(0).alias("k"), place("root").alias("at"), F.lit(0).alias("hops")).distinct(), up)
+    barren = visited.join(unions.select(F.col("fn").alias("at")).distinct(), "at", "left_semi").join(fruitful.select("at.fn", "at.effect", "at.at"), ["fn", "effect", "at"], "left_anti")
+    lost = both.filter("still IS NULL").select(F.col("callee").alias("to"), "effect")
+    ends = lost.select("to", "effect", F.explode(F.transform(F.sequence(F.lit(2), F.size(F.split("to", r"\."))), lambda i: F.array_join(F.slice(F.split("to", r"\."), i, F.size(F.split("to", r"\."))), "."))).alias("member")) if dict(lost.dtypes)["to"] == "string" else None
+    if ends is None:
+        return barren.select("fn", "effect", "at", "depth", "path", F.col("at").alias("to")).limit(0)
+    ends = ends.filter("member <> ''")
+    member = F.when(F.contains("at", F.lit(".")), F.regexp_extract("at", r"^[^.]*\.(.*)$", 1))
+    pairs = barren.withColumn("member", member).join(ends, ["member", "effect"]).filter("to <> at").select("fn", "effect", "at", "depth", "path", "to")
+    pairs = written(pairs.join(visited.select("fn", "effect", F.col("at").alias("to")), ["fn", "effect", "to"], "left_anti").distinct())
+    above, _ = _reached(pairs.select(F.lit(0).alias("k"), place("at").alias("at"), F.lit(0).alias("hops")).distinct(), up)
+    above = up.join(above.select(F.col("at")), "at").select("to.fn", "to.effect", F.col("to.at").alias("at")).distinct()
+    last = pairs.join(above, ["fn", "effect", "at"], "left_anti")
+    # Unions that call each other are all above one: there the least goes first.
+    tied = pairs.join(last.select("fn", "effect").distinct(), ["fn", "effect"], "left_anti")
+    first = tied.groupBy("fn", "effect").agg(F.min("at").alias("at"))
+    return last.unionByName(tied.join(first, ["fn", "effect", "at"], "left_semi"))
 
 
 def arm_flips(pre: DataFrame, post: DataFrame) -> DataFrame:
@@ -90,7 +141,7 @@ def arm_flips(pre: DataFrame, post: DataFrame) -> DataFrame:
 
     def merged(df: DataFrame, key) -> DataFrame:
         rules = F.concat(F.transform("inferred", lambda e: F.concat(F.lit("deny "), e)), F.transform(F.coalesce("classes", _none()), lambda c: F.concat(F.lit("deny Unknown["), c, F.lit("]"))))
-        return df.groupBy("entry", key.alias("fn")).agg(F.array_distinct(F.flatten(F.collect_list(rules))).alias("rules"))
+        return df.select("entry", key.alias("fn"), F.explode_outer(rules).alias("_rule")).groupBy("entry", "fn").agg(F.collect_set("_rule").alias("rules"))
 
     def moves(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
         both = a.select("entry", "fn", F.col("rules").alias("p")).join(b.select("entry", "fn", F.col("rules").alias("q")), ["entry", "fn"], how)
@@ -129,10 +180,10 @@ def skip_histogram(manifests: DataFrame, skips: str = "skips") -> DataFrame:
 
 
 def seeded_sensitivity(base: DataFrame, seeded: DataFrame, marker: str) -> DataFrame:
-    """base and seeded (text, verdict): the seeded finding must show there only, and the verdict must move."""
-    has = lambda df, name: df.agg(F.coalesce(F.bool_or(F.contains(F.col("text"), F.lit(marker))), F.lit(False)).alias(name), F.max("verdict").alias(f"verdict_{name}"))
-    out = has(base, "base").crossJoin(has(seeded, "seeded"))
-    return out.withColumn("status", F.when(~F.col("seeded"), "NOT SEEN").when(F.col("base"), "SEEN WITHOUT SEED").when(F.col("verdict_base").eqNullSafe(F.col("verdict_seeded")), "VERDICT DID NOT MOVE").otherwise("OK"))
+    """base and seeded (key, text, verdict) -> (key, seeded, base, status): a key's seeded finding must show there only, and its greatest verdict must move."""
+    has = lambda df, name: df.groupBy("key").agg(F.coalesce(F.bool_or(F.contains(F.col("text"), F.lit(marker))), F.lit(False)).alias(name), F.max("verdict").alias(f"verdict_{name}"))
+    out = has(seeded, "seeded").join(has(base, "base"), "key", "left").withColumn("base", F.coalesce("base", F.lit(False)))
+    return out.withColumn("status", F.when(~F.col("seeded"), "NOT SEEN").when(F.col("base"), "SEEN WITHOUT SEED").when(F.col("verdict_base").eqNullSafe(F.col("verdict_seeded")), "VERDICT DID NOT MOVE").otherwise("OK")).select("key", "seeded", "base", "status")
 
 
 def evidence(compared: DataFrame, changed: DataFrame, reached: DataFrame) -> DataFrame:
@@ -143,13 +194,13 @@ def evidence(compared: DataFrame, changed: DataFrame, reached: DataFrame) -> Dat
 
 
 def probes_read(entries: DataFrame) -> DataFrame:
-    """entries (declared, read): declared probes of which none was read are a refusal, not a clean table."""
-    out = entries.agg(F.coalesce(F.sum("declared"), F.lit(0)).alias("declared"), F.coalesce(F.sum("read"), F.lit(0)).alias("read"))
+    """entries (table, declared, read) -> (table, declared, read, status): declared probes of which none was read are a refusal, not a clean table."""
+    out = entries.groupBy("table").agg(F.coalesce(F.sum("declared"), F.lit(0)).alias("declared"), F.coalesce(F.sum("read"), F.lit(0)).alias("read"))
     return out.withColumn("status", F.when((F.col("declared") > 0) & (F.col("read") == 0), "REFUSED").otherwise("OK"))
 
 
 def only_reaches(edges: DataFrame, source: DataFrame, target: DataFrame, permitted: DataFrame) -> DataFrame:
-    """`only A -> B C`: functions outside `permitted` (and outside the target) that reach the target (fn each)."""
+    """`only A -> B C`: (src, dst) for every function outside `permitted` (and outside the target) and each function of the target that it reaches."""
     pairs, _ = closure(edges, source.join(permitted, "fn", "left_anti").join(target, "fn", "left_anti"))
     return pairs.join(target.select(F.col("fn").alias("dst")), "dst", "left_semi").select("src", "dst")
 

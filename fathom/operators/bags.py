@@ -88,7 +88,7 @@ def element_losses(pre: DataFrame, post: DataFrame, key: list[str], fields: list
 
 def merged_sets(df: DataFrame, key: list[str], column: str) -> DataFrame:
     """Rows of one key merged into the sorted union of their arrays."""
-    return df.groupBy(*key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list(column)))).alias(column))
+    return df.select(*key, F.explode_outer(column).alias("_e")).groupBy(*key).agg(F.sort_array(F.collect_set("_e")).alias(column))
 
 
 def set_changes(pre: DataFrame, post: DataFrame, key: list[str], column: str) -> DataFrame:

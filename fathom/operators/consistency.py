@@ -94,3 +94,13 @@ def ledger(findings: DataFrame, known: DataFrame) -> tuple[DataFrame, DataFrame]
         found = findings.join(some, hit).select("part_a", "part_b").distinct()
         used = found if used is None else used.unionByName(found)
     return fresh, known.join(used, ["part_a", "part_b"], "left_anti")
+
+
+def equal_routes(keys: DataFrame, one: DataFrame, other: DataFrame, key: str, value: str) -> DataFrame:
+    """Verdicts (key, value) by two routes -> (key, rows, code, equal): a key's rows must be the same bag, by count and by a digest that does not depend on their order, and so its exit
+    code; keys without a row are clean on both."""
+    digest = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"n{n}"), F.sum(F.xxhash64(F.col(value)).cast("decimal(38,0)")).alias(f"d{n}"), F.bit_xor(F.xxhash64(F.lit(0), F.col(value))).alias(f"x{n}"))
+    out = keys.distinct().join(digest(one, 1), key, "left").join(digest(other, 2), key, "left")
+    n = F.coalesce("n1", F.lit(0))
+    same = (n == F.coalesce("n2", F.lit(0))) & F.col("d1").eqNullSafe(F.col("d2")) & F.col("x1").eqNullSafe(F.col("x2"))
+    return out.select(key, n.alias("rows"), (n > 0).cast("int").alias("code"), same.alias("equal"))

@@ -31,15 +31,15 @@ def tokens(inferred: Column, incomplete: Column, invisible: Column) -> Column:
 
 def value_effects(df: DataFrame, key: list[str]) -> DataFrame:
     """Over a key's rows: its concrete effects, whether any is Unknown, whether any row is an interface union."""
-    every = F.array_distinct(F.flatten(F.collect_list("inferred")))
-    out = df.groupBy(*key).agg(every.alias("_e"), F.bool_or(F.coalesce("interface_union", F.lit(False))).alias("interface_union"))
+    rows = df.select(*key, "interface_union", F.explode_outer("inferred").alias("_x"))
+    out = rows.groupBy(*key).agg(F.collect_set("_x").alias("_e"), F.bool_or(F.coalesce("interface_union", F.lit(False))).alias("interface_union"))
     return out.select(*key, F.sort_array(concrete(F.col("_e"))).alias("concrete"), F.array_contains("_e", UNKNOWN).alias("has_unknown"), "interface_union")
 
 
 def gate_tokens(df: DataFrame, key: list[str], touched: DataFrame) -> DataFrame:
     """The union of effects for each touched key; untouched rows leave before the aggregation."""
     mine = df.join(touched.select(*key).distinct(), key, "left_semi")
-    return mine.groupBy(*key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_list("inferred")))).alias("tokens"))
+    return mine.select(*key, F.explode_outer("inferred").alias("_x")).groupBy(*key).agg(F.sort_array(F.collect_set("_x")).alias("tokens"))
 
 
 ROW_FIELDS = ("inferred", "interface_union", "invisible", "dispatches_on")

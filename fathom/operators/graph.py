@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 HOPS_A_JOB = 4
 
 
-def written(df: DataFrame) -> DataFrame:
-    """A DataFrame written to spark.checkpoint.dir and read back; unset, a local folder serves a local master (tests) only."""
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local folder serves a local master only."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder and not spark.sparkContext.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    path = f"{(folder or 'file:///tmp/checkpoints').rstrip('/')}/fathom-{uuid.uuid4().hex}"
+    return (folder or "file:///tmp/checkpoints").rstrip("/")
+
+
+def written(df: DataFrame) -> DataFrame:
+    """A DataFrame written to the shared folder and read back."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/fathom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -83,37 +88,18 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def blast(edges: DataFrame, budget: int | None = None) -> DataFrame:
-    """(fn, blast, approximate): distinct transitive callers of every node; a node counts itself only on a cycle. With a budget of
-    pairs the counts may be too low; then all rows say so. Without one they are exact."""
-    pairs, cut = closure(edges, budget=budget)
-    counts = pairs.groupBy(F.col("dst").alias("fn")).agg(F.count("*").alias("blast"))
-    return nodes_of(edges).join(counts, "fn", "left").select("fn", F.coalesce("blast", F.lit(0)).alias("blast"), F.lit(cut).alias("approximate"))
-
-
-def _fed(steps: DataFrame) -> DataFrame:
-    """The nodes (fn) that steps (at, to) enter, from nodes that steps enter, and so on for ever: those on or behind a cycle."""
+def _fed(steps: DataFrame, most: int | None = None) -> DataFrame:
+    """The nodes (fn) that steps (at, to) enter, from nodes that steps enter, and so on for ever: those on or behind a cycle. most: jobs at most; then some more may be left."""
     steps = written(steps)
-    fed, before = written(steps.select(F.col("to").alias("fn")).distinct()), -1
-    while (n := fed.count()) != before:
-        before = n
+    fed, before, jobs = written(steps.select(F.col("to").alias("fn")).distinct()), -1, 0
+    while (n := fed.count()) not in (0, before) and (most is None or jobs < most):
+        before, jobs = n, jobs + 1
         for _ in range(2 * HOPS_A_JOB):
             fed = steps.join(fed.select(F.col("fn").alias("at")), "at", "left_semi").select(F.col("to").alias("fn")).distinct()
         fed = written(fed)
     return fed
 
 
-def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes that reach themselves. What no cycle feeds, and then what feeds no cycle, is trimmed first, so that only the cores are
-    closed."""
-    core = edges.select("src", "dst").distinct()
-    for at, to in (("src", "dst"), ("dst", "src")):
-        fed = _fed(core.select(F.col(at).alias("at"), F.col(to).alias("to")))
-        core = written(core.join(fed.select(F.col("fn").alias("src")), "src", "left_semi").join(fed.select(F.col("fn").alias("dst")), "dst", "left_semi").select("src", "dst"))
-    pairs, _ = closure(core)
-    return pairs.filter("src = dst").select(F.col("src").alias("fn"))
-
-
 def callers(edges: DataFrame, of: DataFrame) -> DataFrame:
     """(fn, caller, hops) of the transitive callers of the functions in `of` (fn)."""
     pairs, _ = closure(reversed_edges(edges), of)
@@ -153,20 +139,13 @@ def effects_closure(edges: DataFrame, direct: DataFrame) -> DataFrame:
     return propagated(edges, direct.select("fn", F.col("effect").alias("fact"))).select("fn", F.col("fact").alias("effect"))
 
 
-def hoist_plan(edges: DataFrame, direct: DataFrame, layer: DataFrame, effect: str, denied: str) -> DataFrame:
-    """Where an effect that a layer must not have could move: direct (fn, effect), layer (fn, layer) -> (fn, role).
-
-    `site`: performs the effect itself inside the denied layer; `span`: functions of the layer that reach a site through the
-    layer; `hoist`: nearest callers outside the layer, the places to move it to."""
-    inside = layer.filter(F.col("layer") == denied).select("fn")
-    sites = direct.filter(F.col("effect") == effect).select("fn").distinct().join(inside, "fn", "left_semi")
-    within = edges.join(inside.select(F.col("fn").alias("src")), "src", "left_semi").join(inside.select(F.col("fn").alias("dst")), "dst", "left_semi").select("src", "dst")
-    reach = hops_to(within, sites)
-    span = reach.filter("hops > 0").select("fn")
-    outside = layer.filter(F.col("layer") != denied).select(F.col("fn").alias("src"))
-    hoist = edges.join(reach.select(F.col("fn").alias("dst")), "dst", "left_semi").join(outside, "src", "left_semi").select(F.col("src").alias("fn")).distinct()
-    role = lambda df, name: df.select("fn", F.lit(name).alias("role"))
-    return role(sites, "site").unionByName(role(span, "span")).unionByName(role(hoist, "hoist"))
+def change_depths(edges: DataFrame, direct: DataFrame, gained: DataFrame) -> DataFrame:
+    """gained (fn, effect) -> (fn, effect, hops): how many calls below the function the nearest one is that performs the effect itself; 0 is itself, null where none is
+    reached."""
+    wanted = gained.select("effect").distinct()
+    first = direct.join(wanted, "effect", "left_semi").select(F.col("effect").alias("k"), F.col("fn").alias("at")).distinct().withColumn("hops", F.lit(0))
+    found, _ = _reached(first, edges.select(F.col("dst").alias("at"), F.col("src").alias("to")))
+    return gained.select("fn", "effect").distinct().join(found.select(F.col("k").alias("effect"), F.col("at").alias("fn"), "hops"), ["fn", "effect"], "left")
 
 
 def greedy_links(edges: DataFrame, out_limit: int = 9, in_limit: int = 7, most: int = 300, chunk: int = 10_000) -> DataFrame:

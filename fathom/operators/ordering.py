@@ -13,20 +13,22 @@ ACCEPTED = ("success", "skipped")
 
 
 def ci_verdict(runs: DataFrame) -> DataFrame:
-    """runs (workflow, ordinal, conclusion, created) -> (workflow, conclusion, verdict): the first run by ordinal decides.
-
-    Cancelled and skipped runs step aside if a judged run remains. A run of the same second as the winner that is not accepted
-    replaces it. Anything but success or skipped is BAD."""
+    """runs (workflow, ordinal, conclusion, created[, status]) -> (workflow, conclusion, verdict): the first run by ordinal decides.
+
+    A run without a conclusion, or with an empty one, is judged by its status, so that one still going is no success. Cancelled and skipped runs step aside if a judged
+    run remains. A later run of the same time of creation (null is a time of its own) that is not accepted replaces the first. Anything but success or
+    skipped is BAD, null included."""
+    status = F.col("status") if "status" in runs.columns else F.lit(None).cast("string")
+    state = F.coalesce(F.when(F.col("conclusion") != "", F.col("conclusion")), status)
+    idle, fine = (F.coalesce(F.col("state").isin(*names), F.lit(False)) for names in (NO_VERDICT, ACCEPTED))
+    rows = runs.select("workflow", "ordinal", state.alias("state"), F.coalesce(F.col("created").cast("string"), F.lit("")).alias("created"))
     group = Window.partitionBy("workflow")
-    judged = F.max((~F.col("conclusion").isin(*NO_VERDICT)).cast("int")).over(group) == 1
-    kept = runs.withColumn("_any", judged).filter(~F.col("_any") | ~F.col("conclusion").isin(*NO_VERDICT))
-    kept = kept.withColumn("_first", F.first("created").over(group.orderBy("ordinal")))
-    tied = kept.filter((F.col("created") == F.col("_first")))
-    worst = F.min(F.struct((F.col("conclusion").isin(*ACCEPTED)).cast("int").alias("ok"), "ordinal", "conclusion"))
-    first = F.min(F.struct("ordinal", "conclusion"))
-    out = tied.groupBy("workflow").agg(worst.alias("w"), first.alias("f"))
-    conclusion = F.when(F.col("w.ok") == 0, F.when(F.col("f.conclusion").isin(*ACCEPTED), F.col("w.conclusion")).otherwise(F.col("f.conclusion"))).otherwise(F.col("f.conclusion"))
-    return out.select("workflow", conclusion.alias("conclusion"), F.when(conclusion.isin(*ACCEPTED), "OK").otherwise("BAD").alias("verdict"))
+    kept = rows.withColumn("_judged", F.bool_or(~idle).over(group)).filter(~F.col("_judged") | ~idle)
+    order = group.orderBy("ordinal")
+    kept = kept.withColumn("_first", F.first("created").over(order)).withColumn("_rn", F.row_number().over(order))
+    tied = kept.filter(F.col("created") == F.col("_first")).groupBy("workflow").agg(F.min(F.struct("_rn", "state")).alias("f"), F.min(F.when((F.col("_rn") > 1) & ~fine, F.struct("_rn", "state"))).alias("w"))
+    conclusion = F.when(F.col("w").isNotNull(), F.col("w.state")).otherwise(F.col("f.state"))
+    return tied.select("workflow", conclusion.alias("conclusion"), F.when(F.coalesce(conclusion.isin(*ACCEPTED), F.lit(False)), "OK").otherwise("BAD").alias("verdict"))
 
 
 def first_per_key(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
@@ -36,8 +38,12 @@ def first_per_key(df: DataFrame, key: list[str], ordinal: str) -> DataFrame:
 
 
 def newest_elsewhere(runs: DataFrame, head: str) -> DataFrame:
-    """runs (workflow, ordinal, sha, status, conclusion): the newest finished, unsuccessful run of each workflow at another sha."""
-    return first_per_key(runs.filter((F.col("sha") != head) & (F.col("status") == "completed") & (F.col("conclusion") != "success")), ["workflow"], "ordinal")
+    """runs (workflow, ordinal, sha, status, conclusion, cancels: whether the workflow cancels runs in progress) -> those of the newest runs of all workflows that are at another
+    commit, completed and no success, with their state: a cancelled run is `pending` where a newer push cancels it, else `red` like any other."""
+    newest = first_per_key(runs, ["workflow"], "ordinal")
+    bad = newest.filter(~F.col("sha").eqNullSafe(F.lit(head)) & (F.col("status") == "completed") & ~F.col("conclusion").eqNullSafe(F.lit("success")))
+    pending = F.col("conclusion").eqNullSafe(F.lit("cancelled")) & F.coalesce("cancels", F.lit(False))
+    return bad.withColumn("state", F.when(pending, "pending").otherwise("red"))
 
 
 def after_last(df: DataFrame, session: list[str], ordinal: str, boundary: Column) -> DataFrame:

@@ -54,14 +54,14 @@ def structure(units: DataFrame, nodes: DataFrame, edges: DataFrame, cyclic: Data
 
 
 def structure_delta(now: DataFrame, before: DataFrame, columns: tuple[str, ...] = ("smear", "unknown_share", "tangle", "cycle_ratio", "structure")) -> DataFrame:
-    """Differences of the components, null where either is."""
+    """Differences of the components, null where either is; zero has no sign."""
     a, b = now.select(*[F.col(c).alias(f"_n_{c}") for c in columns]), before.select(*[F.col(c).alias(f"_b_{c}") for c in columns])
-    return a.crossJoin(b).select(*[F.round(F.col(f"_n_{c}") - F.col(f"_b_{c}"), 3).alias(c) for c in columns])
+    return a.crossJoin(b).select(*[(F.round(F.col(f"_n_{c}") - F.col(f"_b_{c}"), 3) + F.lit(0.0)).alias(c) for c in columns])
 
 
 def layer_profile(universe: DataFrame, effects: DataFrame, layer: str) -> DataFrame:
     """universe (fn, layer) left joined to effects (fn, inferred): functions, effects, and whether any is Unknown, by layer. A
     function of the universe without effects is pure, as the universe lists everything that was analysed."""
-    rows = universe.join(effects, "fn", "left").withColumn("inferred", F.coalesce("inferred", F.array().cast("array<string>")))
-    out = rows.groupBy(layer).agg(F.countDistinct("fn").alias("fns"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("inferred")))).alias("effects"))
+    rows = universe.join(effects, "fn", "left").withColumn("_e", F.explode_outer("inferred"))
+    out = rows.groupBy(layer).agg(F.countDistinct("fn").alias("fns"), F.sort_array(F.collect_set("_e")).alias("effects"))
     return out.withColumn("unknown", F.array_contains("effects", UNKNOWN))

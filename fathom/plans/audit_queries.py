@@ -56,8 +56,8 @@ def g07(spark, sf):
     "g08_root_causes",
     f"WITH RECURSIVE {CLOSURE}, {DIRECT}, head AS (SELECT e.src, e.dst FROM edge e JOIN customer c ON c.c_custkey = e.src WHERE c.c_acctbal < 9000), hdirect AS (SELECT d.fn, d.effect FROM direct d JOIN customer c ON c.c_custkey = d.fn WHERE d.effect = 'Fs' AND c.c_acctbal < 5000),"
     " pe AS (SELECT fn FROM direct WHERE effect = 'Fs' UNION SELECT r.src FROM reach r JOIN direct d ON d.fn = r.dst WHERE d.effect = 'Fs'), he AS (SELECT fn FROM hdirect UNION SELECT h.src FROM head h JOIN he ON he.fn = h.dst),"
-    " w AS (SELECT fn, fn AS at FROM pe WHERE fn NOT IN (SELECT fn FROM he) UNION SELECT w.fn, e.dst FROM w JOIN edge e ON e.src = w.at JOIN pe ON pe.fn = e.dst JOIN head h ON h.src = e.src AND h.dst = e.dst WHERE e.dst NOT IN (SELECT fn FROM he))"
-    " SELECT w.fn, 'OWN' AS kind, w.at AS root, -1 AS callee FROM w JOIN direct d ON d.fn = w.at WHERE d.effect = 'Fs' UNION ALL SELECT w.fn, CASE WHEN h.src IS NULL THEN 'LOSTEDGE' ELSE 'UNPROPAGATED' END, w.at, e.dst FROM w JOIN edge e ON e.src = w.at JOIN pe ON pe.fn = e.dst LEFT JOIN head h ON h.src = e.src AND h.dst = e.dst WHERE h.src IS NULL OR e.dst IN (SELECT fn FROM he)",
+    " w0 AS (SELECT fn, fn AS \"at\", 0 AS steps FROM pe WHERE fn NOT IN (SELECT fn FROM he) UNION SELECT w.fn, e.dst, w.steps + 1 FROM w0 w JOIN edge e ON e.src = w.at JOIN pe ON pe.fn = e.dst JOIN head h ON h.src = e.src AND h.dst = e.dst WHERE e.dst NOT IN (SELECT fn FROM he) AND w.steps < 60), w AS (SELECT fn, \"at\", min(steps)::INT AS steps FROM w0 GROUP BY ALL)"
+    " SELECT w.fn, 'OWN' AS kind, w.at AS root, -1 AS callee, steps FROM w JOIN direct d ON d.fn = w.at WHERE d.effect = 'Fs' UNION ALL SELECT w.fn, CASE WHEN h.src IS NULL THEN 'LOSTEDGE' ELSE 'UNPROPAGATED' END, w.at, e.dst, steps FROM w JOIN edge e ON e.src = w.at JOIN pe ON pe.fn = e.dst LEFT JOIN head h ON h.src = e.src AND h.dst = e.dst WHERE h.src IS NULL OR e.dst IN (SELECT fn FROM he)",
 )
 def g08(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
@@ -68,7 +68,24 @@ def g08(spark, sf):
     before, after = G.effects_closure(e, own), G.effects_closure(head, own_head)
     lost = before.join(after, ["fn", "effect"], "left_anti")
     out = X.root_causes(lost, e, head, before, after, own)
-    return out.select("fn", "kind", "root", F.coalesce("callee", F.lit(-1)).alias("callee"))
+    return out.select("fn", "kind", "root", F.coalesce("callee", F.lit(-1)).alias("callee"), F.size("path").alias("steps"))
+
+
+@query("g08_union_causes")
+def g08_union(spark, sf):
+    """The same loss with customers as members of types T0 to T4; every seventh member of T0 is one of an interface. Tested against brute force."""
+    c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
+    name = lambda k: F.concat(F.lit("T"), (F.col(k) % 5).cast("string"), F.lit(".m"), F.expr(f"{k} div 5").cast("string")).alias(k)
+    e = edges(spark, sf)
+    head = e.join(c.filter("c_acctbal < 9000").select(F.col("c_custkey").alias("src")), "src", "left_semi").select(name("src"), name("dst"))
+    own = direct(spark, sf).filter("effect = 'Fs'")
+    kept = own.join(c.filter("c_acctbal < 5000").select(F.col("c_custkey").alias("fn")), "fn", "left_semi").select(name("fn"), "effect")
+    e, own = e.select(name("src"), name("dst")), own.select(name("fn"), "effect")
+    before, after = G.effects_closure(e, own), G.effects_closure(head, kept)
+    # What an interface carries comes from its implementors, not from calls of its own.
+    union = lambda c: F.col(c).startswith("T0.") & (F.substring(F.col(c), 5, 20).cast("long") % 7 == 0)
+    out = X.root_causes(before.join(after, ["fn", "effect"], "left_anti"), e.filter(~union("src")), head, before, after, own.filter(~union("fn")), before.filter(union("fn")).select("fn"))
+    return out.select("fn", "kind", "root", "callee", F.array_join("path", ">").alias("path"))
 
 
 @query("g14_what_if", f"WITH RECURSIVE {CLOSURE}, {DIRECT}, t AS (SELECT src AS fn FROM reach JOIN customer ON c_custkey = dst WHERE c_acctbal < -900 UNION SELECT c_custkey FROM customer WHERE c_acctbal < -900) SELECT CAST(t.fn AS VARCHAR) AS fn FROM t JOIN customer ON c_custkey = t.fn WHERE starts_with(CAST(t.fn AS VARCHAR), '1') AND t.fn NOT IN (SELECT fn FROM direct WHERE effect = 'Net')")

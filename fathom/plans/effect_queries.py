@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from ..operators import effects as E
 from ..operators import joins as J
 from ..operators import structure as S
-from ..operators.graph import cyclic_nodes, nodes_of
+from ..operators.condensation import cyclic_nodes
+from ..operators.graph import nodes_of
 from .registry import query
 from .views import CLOSURE, DIRECT, NAMED, UNIT_BAG, UNITS, arms, direct, edges, named_customers, table, unit_bag, unit_rows, units
 

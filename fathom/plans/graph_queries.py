@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import condensation as D
 from ..operators import consistency as O
 from ..operators import graph as G
+from ..operators import remedies as M
 from .registry import query
 from .views import CLOSURE, DIRECT, EDGES, direct, edges, table
 
@@ -26,12 +28,12 @@ def g02(spark, sf):
 
 @query("g03_blast", f"WITH RECURSIVE {CLOSURE} SELECT fn, coalesce(n, 0) AS blast, false AS approximate FROM (SELECT src AS fn FROM edge UNION SELECT dst FROM edge) LEFT JOIN (SELECT dst, count(*) AS n FROM reach GROUP BY 1) ON dst = fn")
 def g03(spark, sf):
-    return G.blast(edges(spark, sf))
+    return D.blast(edges(spark, sf))
 
 
 @query("g04_cyclic_nodes", f"WITH RECURSIVE {CLOSURE} SELECT src AS fn FROM reach WHERE src = dst")
 def g04(spark, sf):
-    return G.cyclic_nodes(edges(spark, sf))
+    return D.cyclic_nodes(edges(spark, sf))
 
 
 FACTS = f"{CLOSURE}, {DIRECT}"
@@ -53,9 +55,28 @@ def g06(spark, sf):
     return G.hops_to(edges(spark, sf), direct(spark, sf).filter("effect = 'Net'"))
 
 
-@query("g06_max_hops", f"WITH RECURSIVE {_hops('Net')} SELECT max(hops) AS max_hops FROM h")
+GAINED = f"""{EDGES}, {DIRECT}, old AS (SELECT d.fn, d.effect FROM direct d JOIN customer ON c_custkey = d.fn WHERE c_acctbal < 6000),
+now AS (SELECT fn, effect FROM direct UNION SELECT e.src, n.effect FROM now n JOIN edge e ON e.dst = n.fn), was AS (SELECT fn, effect FROM old UNION SELECT e.src, w.effect FROM was w JOIN edge e ON e.dst = w.fn),
+far AS (SELECT fn, effect, 0 AS hops FROM direct UNION SELECT e.src, f.effect, f.hops + 1 FROM far f JOIN edge e ON e.dst = f.fn WHERE f.hops < 60),
+depth AS (SELECT fn, effect, min(hops)::INT AS hops FROM far JOIN (SELECT * FROM now EXCEPT SELECT * FROM was) USING (fn, effect) GROUP BY ALL)"""
+
+
+def _depths(spark, sf):
+    """What functions gain over a baseline in which wealthy customers did nothing."""
+    e, now = edges(spark, sf), direct(spark, sf)
+    old = now.join(_fns(spark, sf, "c_acctbal < 6000"), "fn", "left_semi")
+    gained = G.effects_closure(e, now).join(G.effects_closure(e, old), ["fn", "effect"], "left_anti")
+    return G.change_depths(e, now, gained)
+
+
+@query("g06_change_depths", f"WITH RECURSIVE {GAINED} SELECT * FROM depth")
+def g06_gained(spark, sf):
+    return _depths(spark, sf)
+
+
+@query("g06_max_hops", f"WITH RECURSIVE {GAINED} SELECT max(hops) AS max_hops FROM depth")
 def g06_max(spark, sf):
-    return G.hops_to(edges(spark, sf), direct(spark, sf).filter("effect = 'Net'")).agg(F.max("hops").alias("max_hops"))
+    return _depths(spark, sf).agg(F.max("hops").alias("max_hops"))
 
 
 @query("g11_path_steps", f"WITH RECURSIVE {_hops('Db')} SELECT h.fn, h.hops, coalesce(min(e.dst), -1) AS next FROM h LEFT JOIN (SELECT e.src, e.dst, g.hops FROM edge e JOIN h g ON g.fn = e.dst) e ON e.src = h.fn AND e.hops = h.hops - 1 GROUP BY ALL")
@@ -79,15 +100,49 @@ def g17(spark, sf):
     return G.forbidden(edges(spark, sf), _fns(spark, sf, "c_mktsegment = 'AUTOMOBILE'"), _fns(spark, sf, "c_mktsegment = 'BUILDING'")).select("src", "dst")
 
 
-HOIST = """inside AS (SELECT c_custkey AS fn FROM customer WHERE c_nationkey < 12), site AS (SELECT fn FROM direct WHERE effect = 'Net' AND fn IN (SELECT fn FROM inside)),
-win AS (SELECT src, dst FROM edge WHERE src IN (SELECT fn FROM inside) AND dst IN (SELECT fn FROM inside)),
-up AS (SELECT fn FROM site UNION SELECT w.src FROM up JOIN win w ON w.dst = up.fn)"""
+HOIST = """carry AS (SELECT fn, effect FROM direct WHERE effect IN ('Net', 'Fs') UNION SELECT e.src, c.effect FROM carry c JOIN edge e ON e.dst = c.fn),
+bad AS (SELECT fn, effect FROM carry JOIN customer ON c_custkey = fn WHERE c_nationkey = 3 AND effect = 'Net' OR c_nationkey IN (7, 11)),
+root AS (SELECT fn, effect FROM bad SEMI JOIN direct USING (fn, effect) UNION SELECT b.fn, b.effect FROM bad b JOIN edge e ON e.src = b.fn JOIN (SELECT * FROM carry EXCEPT SELECT * FROM bad) f ON f.fn = e.dst AND f.effect = b.effect),
+down AS (SELECT fn AS root, effect, fn FROM root UNION SELECT d.root, d.effect, e.dst FROM down d JOIN edge e ON e.src = d.fn JOIN carry c ON c.fn = e.dst AND c.effect = d.effect),
+span AS (SELECT fn AS root, effect, fn FROM root UNION SELECT s.root, s.effect, e.src FROM span s JOIN edge e ON e.dst = s.fn JOIN bad b ON b.fn = e.src AND b.effect = s.effect),
+hoist AS (SELECT DISTINCT s.root, s.effect, e.src AS fn FROM span s JOIN edge e ON e.dst = s.fn ANTI JOIN bad b ON b.fn = e.src AND b.effect = s.effect),
+above AS (SELECT h.root, h.effect, e.src AS fn FROM hoist h JOIN edge e ON e.dst = h.fn UNION SELECT a.root, a.effect, e.src FROM above a JOIN edge e ON e.dst = a.fn),
+plan AS (SELECT effect, root, 'site' AS role, fn FROM down SEMI JOIN direct USING (fn, effect) UNION ALL SELECT effect, root, 'span', fn FROM span UNION ALL SELECT effect, root, 'hoist', fn FROM hoist
+  UNION ALL SELECT effect, root, 'sandwiched', fn FROM above SEMI JOIN bad USING (fn, effect) UNION ALL SELECT effect, root, 'higher', fn FROM above ANTI JOIN bad USING (fn, effect) ANTI JOIN hoist USING (root, effect, fn))"""
+
 
+def _plan(spark, sf):
+    layer = table(spark, sf, "customer").select(F.col("c_custkey").alias("fn"), F.col("c_nationkey").alias("layer"))
+    denied = spark.createDataFrame([(3, "Net"), (7, "Net"), (7, "Fs"), (11, "Net"), (11, "Fs")], "layer long, effect string")
+    return M.remedies(edges(spark, sf), direct(spark, sf), layer, denied)
 
-@query("g15_hoist_plan", f"WITH RECURSIVE {EDGES}, {DIRECT}, {HOIST} SELECT fn, 'site' AS role FROM site UNION ALL SELECT fn, 'span' FROM up WHERE fn NOT IN (SELECT fn FROM site) UNION ALL SELECT DISTINCT src, 'hoist' FROM edge JOIN customer ON c_custkey = src WHERE c_nationkey >= 12 AND dst IN (SELECT fn FROM up)")
+
+@query("g15_hoist_plan", f"WITH RECURSIVE {EDGES}, {DIRECT}, {HOIST} SELECT * FROM plan")
 def g15(spark, sf):
-    layer = table(spark, sf, "customer").select(F.col("c_custkey").alias("fn"), F.when(F.col("c_nationkey") < 12, "low").otherwise("high").alias("layer"))
-    return G.hoist_plan(edges(spark, sf), direct(spark, sf), layer, "Net", "low")
+    return _plan(spark, sf)
+
+
+@query(
+    "g15_options",
+    f"WITH RECURSIVE {EDGES}, {DIRECT}, {HOIST} SELECT r.effect, r.fn AS root, CASE WHEN h.root IS NOT NULL AND s.root IS NULL THEN true ELSE false END AS clean_hoist, CASE WHEN h.root IS NOT NULL AND s.root IS NULL THEN 'hoist,relax' ELSE 'port,relax' END AS options"
+    " FROM root r LEFT JOIN (SELECT DISTINCT root, effect FROM hoist) h ON h.root = r.fn AND h.effect = r.effect LEFT JOIN (SELECT DISTINCT root, effect FROM plan WHERE role = 'sandwiched') s ON s.root = r.fn AND s.effect = r.effect",
+)
+def g15_options(spark, sf):
+    return M.remedy_options(_plan(spark, sf)).withColumn("options", F.array_join("options", ","))
+
+
+LOOPS = f"""{EDGES}, hop AS (SELECT src, dst FROM edge UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer WHERE c_custkey % 40 = 7), go AS (SELECT src, dst FROM hop UNION SELECT g.src, h.dst FROM go g JOIN hop h ON h.src = g.dst)"""
+
+
+def _looped(spark, sf):
+    """The call graph with calls back up, which close cycles of many sizes."""
+    back = table(spark, sf, "customer").filter("c_custkey % 40 = 7").select(F.col("c_custkey").alias("src"), F.expr("c_custkey * 3 + 1").alias("dst"))
+    return edges(spark, sf).unionByName(back).distinct()
+
+
+@query("g04_components", f"WITH RECURSIVE {LOOPS}, n AS (SELECT src AS fn FROM hop UNION SELECT dst FROM hop) SELECT n.fn, least(n.fn, min(b.dst)) AS component FROM n LEFT JOIN (SELECT a.src, a.dst FROM go a JOIN go r ON r.src = a.dst AND r.dst = a.src) b ON b.src = n.fn GROUP BY n.fn")
+def g04_components(spark, sf):
+    return D.strong_components(_looped(spark, sf))
 
 
 @query("w13_blindspots", f"WITH RECURSIVE {FACTS} SELECT d.fn, coalesce(n, 0) AS reach FROM direct d LEFT JOIN (SELECT dst, count(*) AS n FROM reach GROUP BY 1) ON dst = d.fn WHERE effect = 'Unknown'")

@@ -12,23 +12,25 @@ from .views import NAMED, RUNS, UNITS, named_customers, runs, table, units
 
 @query(
     "w01_ci_verdict",
-    f"WITH {RUNS}, k AS (SELECT *, bool_or(conclusion NOT IN ('cancelled', 'skipped')) OVER (PARTITION BY workflow) AS judged FROM run), f AS (SELECT * FROM k WHERE NOT judged OR conclusion NOT IN ('cancelled', 'skipped')),"
-    " t AS (SELECT *, first(created) OVER (PARTITION BY workflow ORDER BY ordinal) AS win FROM f), s AS (SELECT workflow, arg_min(conclusion, ordinal) AS c0, arg_min(conclusion, ordinal) FILTER (WHERE conclusion NOT IN ('success', 'skipped')) AS bad FROM t WHERE created = win GROUP BY workflow),"
-    " v AS (SELECT workflow, CASE WHEN c0 IN ('success', 'skipped') THEN coalesce(bad, c0) ELSE c0 END AS conclusion FROM s) SELECT workflow, conclusion, CASE WHEN conclusion IN ('success', 'skipped') THEN 'OK' ELSE 'BAD' END AS verdict FROM v",
+    f"WITH {RUNS}, s AS (SELECT workflow, ordinal, coalesce(nullif(conclusion, ''), status) AS c, coalesce(created::VARCHAR, '') AS t FROM run), j AS (SELECT *, c IN ('cancelled', 'skipped') AS idle, count(*) FILTER (WHERE c NOT IN ('cancelled', 'skipped')) OVER (PARTITION BY workflow) AS judged FROM s),"
+    " l AS (SELECT *, row_number() OVER (PARTITION BY workflow ORDER BY ordinal) AS i, first_value(t) OVER (PARTITION BY workflow ORDER BY ordinal) AS top FROM j WHERE judged = 0 OR NOT idle),"
+    " v AS (SELECT workflow, coalesce(arg_min(c, i) FILTER (WHERE i > 1 AND t = top AND c NOT IN ('success', 'skipped')), max(c) FILTER (WHERE i = 1)) AS conclusion FROM l GROUP BY 1) SELECT workflow, conclusion, CASE WHEN conclusion IN ('success', 'skipped') THEN 'OK' ELSE 'BAD' END AS verdict FROM v",
 )
 def w01(spark, sf):
     return W.ci_verdict(runs(spark, sf))
 
 
-@query("w02_first_per_key", f"WITH {RUNS} SELECT workflow, min(ordinal) AS ordinal, arg_min(conclusion, ordinal) AS conclusion, arg_min(value, ordinal) AS value FROM run GROUP BY workflow")
+@query("w02_first_per_key", f"WITH {RUNS}, f AS (SELECT *, row_number() OVER (PARTITION BY workflow ORDER BY ordinal) AS i FROM run) SELECT workflow, ordinal, conclusion, value FROM f WHERE i = 1")
 def w02(spark, sf):
     return W.first_per_key(runs(spark, sf).select("workflow", "ordinal", "conclusion", "value"), ["workflow"], "ordinal")
 
 
-@query("w03_newest_elsewhere", f"WITH {RUNS} SELECT workflow, min(ordinal) AS ordinal, arg_min(conclusion, ordinal) AS conclusion FROM run WHERE sha <> '7' AND conclusion <> 'success' GROUP BY workflow")
+@query(
+    "w03_newest_elsewhere",
+    f"WITH {RUNS}, f AS (SELECT *, row_number() OVER (PARTITION BY workflow ORDER BY ordinal) AS i FROM run) SELECT workflow, ordinal, conclusion, CASE WHEN conclusion = 'cancelled' AND workflow % 2 = 0 THEN 'pending' ELSE 'red' END AS state FROM f WHERE i = 1 AND sha IS DISTINCT FROM '7' AND status = 'completed' AND conclusion IS DISTINCT FROM 'success'",
+)
 def w03(spark, sf):
-    r = runs(spark, sf).withColumn("status", F.lit("completed"))
-    return W.newest_elsewhere(r, "7").select("workflow", "ordinal", "conclusion")
+    return W.newest_elsewhere(runs(spark, sf).withColumn("cancels", F.col("workflow") % 2 == 0), "7").select("workflow", "ordinal", "conclusion", "state")
 
 
 @query("w06_after_last_user", "SELECT conv_id, turn, role FROM (SELECT *, max(turn) FILTER (WHERE role = 'user') OVER (PARTITION BY conv_id) AS b FROM conversations) WHERE turn > b")

@@ -121,7 +121,7 @@ def j06(spark, sf):
     return J.related_names(n.select(F.col("fn").alias("name")), lib)
 
 
-@query("j12_path_globs", "SELECT url AS path, g AS glob FROM pages, (SELECT unnest(['**/en/*', '**/fr/**', 'https://m.*/**']) AS g, unnest(['^(.*/)?en/[^/]*$', '^(.*/)?fr/.*$', '^https://m\\.[^/]*/.*$']) AS r) WHERE regexp_matches(url, r)")
+@query("j12_path_globs", "SELECT url AS path, g AS glob FROM pages, (SELECT unnest(['**/en/*', '**/fr/**', 'https://m.*/**']) AS g, unnest(['^.*/en/[^/]*$', '^.*/fr/.*$', '^https://m\\.[^/]*/.*$']) AS r) WHERE regexp_matches(url, r)")
 def j12(spark, sf):
     return J.matching_paths(table(spark, sf, "pages").select(F.col("url").alias("path")), ["**/en/*", "**/fr/**", "https://m.*/**"])
 

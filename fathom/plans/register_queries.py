@@ -5,14 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
+from ..operators import audits as X
+from ..operators import consistency as O
 from ..operators import effects as E
+from ..operators import graph as G
 from ..operators import ordering as W
 from ..operators import policy as P
 from ..operators import registers as R
 from ..operators import structure as T
 from ..sources import reports, sinks
 from .registry import query
-from .views import BAGS, NAMED, UNIT_BAG, UNITS, bags, named_customers, table, unit_bag, unit_rows, units
+from .views import BAGS, DIRECT, EDGES, NAMED, UNIT_BAG, UNITS, bags, direct, edges, named_customers, table, unit_bag, unit_rows, units
 
 EMPTY = "array<string>"
 
@@ -213,9 +216,10 @@ def f20(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", *[m[k].alias(k) for k in "abc"])
 
 
-@query("w12_surprising_reaches", f"WITH {NAMED}, n AS (SELECT *, count(*) OVER (PARTITION BY effect) AS n FROM named WHERE effect IS NOT NULL) SELECT fn, effect, c_custkey % 9 AS hops FROM n ORDER BY n, hops DESC, fn, effect LIMIT 10")
+@query("w12_surprising_reaches", f"WITH RECURSIVE {EDGES}, {DIRECT}, far AS (SELECT fn, effect, 0 AS hops FROM direct UNION SELECT e.src, f.effect, f.hops + 1 FROM far f JOIN edge e ON e.dst = f.fn WHERE f.hops < 60), d AS (SELECT fn, effect, min(hops)::INT AS hops FROM far GROUP BY ALL HAVING min(hops) > 0), n AS (SELECT *, count(*) OVER (PARTITION BY effect) AS n FROM d) SELECT fn, effect, hops FROM n ORDER BY n, hops DESC, fn, effect LIMIT 10")
 def w12(spark, sf):
-    return R.surprising_reaches(named_customers(spark, sf).filter("effect IS NOT NULL").select("fn", "effect", (F.col("c_custkey") % 9).alias("hops")))
+    e, own = edges(spark, sf), direct(spark, sf)
+    return R.surprising_reaches(G.change_depths(e, own, G.effects_closure(e, own)).filter("hops > 0"))
 
 
 @query("k02_capped_details", f"WITH {BAGS} SELECT l_orderkey, l_linenumber, part, (SELECT count(*) FROM post) AS total FROM post ORDER BY l_orderkey, l_linenumber, part LIMIT 5000")
@@ -250,13 +254,33 @@ def r10(spark, sf):
     return P.violations(u, P.parse_policy(spark, "deny Unknown[reflect,dispatch]")).select("fn")
 
 
-@query("a15_structure_delta", f"WITH {NAMED}, n AS (SELECT count(*) FILTER (WHERE effect IS NOT NULL) AS inc, count(*) FILTER (WHERE effect = 'Unknown') AS unk FROM named), m AS (SELECT count(*) FILTER (WHERE effect IS NOT NULL) AS inc, count(*) FILTER (WHERE effect = 'Unknown') AS unk FROM named WHERE c_acctbal >= 0) SELECT 0.0::DOUBLE AS smear, round(n.unk / n.inc - m.unk / m.inc, 3)::DOUBLE AS unknown_share FROM n, m")
+_FIGURES = "SELECT (count(*) FILTER (WHERE big)) / greatest(count(*), 1) AS smear, coalesce(sum(unk), 0) / greatest(coalesce(sum(inc), 0), 1) AS us, count(*) AS fns, coalesce(sum(inc), 0) AS inc, coalesce(sum(unk), 0) AS unk FROM (SELECT fn, count(*) AS inc, count(*) FILTER (WHERE effect = 'Unknown') AS unk, count(*) FILTER (WHERE effect <> 'Unknown') >= 3 AS big FROM {0} GROUP BY fn)"
+
+
+def _figures(edge: str, inf: str) -> str:
+    return f"SELECT f.*, least(1.0, e.n / greatest(v.n, 1) / 2.6) AS tangle, c.n / greatest(v.n, 1) AS ratio FROM ({_FIGURES.format(inf)}) f, (SELECT count(*) AS n FROM {edge}) e, (SELECT count(*) AS n FROM (SELECT src FROM {edge} UNION SELECT dst FROM {edge})) v, (SELECT count(*) AS n FROM go_{edge} WHERE src = dst) c"
+
+
+DELTA = f"""{EDGES}, {DIRECT}, post AS (SELECT src, dst FROM edge UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer WHERE c_custkey % 40 = 7), pre AS (SELECT src, dst FROM edge),
+go_post AS (SELECT src, dst FROM post UNION SELECT g.src, h.dst FROM go_post g JOIN post h ON h.src = g.dst), go_pre AS (SELECT src, dst FROM pre UNION SELECT g.src, h.dst FROM go_pre g JOIN pre h ON h.src = g.dst),
+i_post AS (SELECT fn, effect FROM direct UNION SELECT e.src, i.effect FROM i_post i JOIN post e ON e.dst = i.fn), i_pre AS (SELECT fn, effect FROM direct UNION SELECT e.src, i.effect FROM i_pre i JOIN pre e ON e.dst = i.fn),
+a AS ({_figures('post', 'i_post')}), b AS ({_figures('pre', 'i_pre')}), s AS (SELECT 1 AS side, * FROM a UNION ALL SELECT -1, * FROM b),
+r AS (SELECT side, smear, us, tangle, ratio, greatest(0, least(1, 1 - (0.30 * smear + 0.26 * us + 0.24 * greatest(0, tangle - 0.4) / 0.6 + 0.20 * least(1, 3 * ratio)))) AS st FROM s)"""
+
+
+@query("a15_structure_delta", f"WITH RECURSIVE {DELTA} SELECT round(sum(side * smear), 3)::DOUBLE + 0.0 AS smear, round(sum(side * us), 3)::DOUBLE + 0.0 AS unknown_share, round(sum(side * tangle), 3)::DOUBLE + 0.0 AS tangle, round(sum(side * ratio), 3)::DOUBLE + 0.0 AS cycle_ratio, round(sum(side * st), 3)::DOUBLE + 0.0 AS structure FROM r")
 def a15(spark, sf):
-    c = named_customers(spark, sf).select("fn", F.when(F.col("effect").isNull(), _none()).otherwise(F.array("effect")).alias("inferred"), "c_acctbal")
-    edge = spark.createDataFrame([("a", "b")], "src string, dst string")
-    node = spark.createDataFrame([("a",), ("b",)], "fn string")
-    figures = lambda u: T.structure(u, node, edge, node.limit(0))
-    return T.structure_delta(figures(c), figures(c.filter("c_acctbal >= 0")), ("smear", "unknown_share"))
+    """The call graph before and after calls back up were added."""
+    from ..operators.condensation import cyclic_nodes
+
+    before = edges(spark, sf)
+    after = before.unionByName(table(spark, sf, "customer").filter("c_custkey % 40 = 7").select(F.col("c_custkey").alias("src"), F.expr("c_custkey * 3 + 1").alias("dst"))).distinct()
+
+    def figures(e):
+        u = G.effects_closure(e, direct(spark, sf)).groupBy("fn").agg(F.collect_set("effect").alias("inferred"))
+        return T.structure(u, G.nodes_of(e), e, cyclic_nodes(e))
+
+    return T.structure_delta(figures(after), figures(before))
 
 
 @query("a16_completeness", "SELECT p_partkey, (['refused', 'incomplete', 'incomplete', 'excluded', 'complete', 'out_of_scope', 'incomplete', 'complete'])[p_partkey % 8 + 1] AS completeness FROM part")
@@ -281,33 +305,47 @@ def o15(spark, sf):
     return both.filter((E.state(F.col("p")) == "ABSENT") & (E.state(F.col("q")) == "ABSENT")).select("entry", "fn")
 
 
-@query("o14_probes_read", "SELECT sum(p_size)::BIGINT AS declared, 0::BIGINT AS read, 'REFUSED' AS status FROM part")
+@query("o14_probes_read", "SELECT p_brand AS \"table\", sum(p_size)::BIGINT AS declared, coalesce(sum(n), 0)::BIGINT AS read, CASE WHEN sum(p_size) > 0 AND coalesce(sum(n), 0) = 0 THEN 'REFUSED' ELSE 'OK' END AS status FROM part LEFT JOIN (SELECT l_partkey, count(*) AS n FROM lineitem WHERE l_quantity >= 50 AND l_discount >= 0.1 AND l_shipdate < TIMESTAMP '1995-01-01' GROUP BY 1) ON l_partkey = p_partkey GROUP BY 1")
 def o14(spark, sf):
-    from ..operators.audits import probes_read
+    """Parts declare probes by brand; what was read are some of their line items."""
+    n = table(spark, sf, "lineitem").filter("l_quantity >= 50 AND l_discount >= 0.1 AND l_shipdate < timestamp'1995-01-01'").groupBy(F.col("l_partkey").alias("p_partkey")).agg(F.count("*").alias("read"))
+    return X.probes_read(table(spark, sf, "part").join(n, "p_partkey", "left").select(F.col("p_brand").alias("table"), F.col("p_size").alias("declared"), "read"))
 
-    return probes_read(table(spark, sf, "part").select(F.col("p_size").alias("declared"), F.lit(0).alias("read")))
 
-
-@query("o08_seeded_sensitivity", "SELECT true AS seeded, false AS base, 'OK' AS status")
+@query(
+    "o08_seeded_sensitivity",
+    "WITH b AS (SELECT source AS key, text, coalesce(toxic, 0) AS verdict FROM documents LEFT JOIN labels USING (doc_id)), a AS (SELECT * FROM b UNION ALL SELECT 'src' || CAST(c_custkey % 23 AS VARCHAR), c_name, CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 0 END FROM customer WHERE c_acctbal > 9500),"
+    " p AS (SELECT key, bool_or(contains(text, '#0000')) AS base, max(verdict) AS v FROM b GROUP BY 1), q AS (SELECT key, bool_or(contains(text, '#0000')) AS seeded, max(verdict) AS w FROM a GROUP BY 1)"
+    " SELECT key, coalesce(seeded, false) AS seeded, coalesce(base, false) AS base, CASE WHEN NOT coalesce(seeded, false) THEN 'NOT SEEN' WHEN coalesce(base, false) THEN 'SEEN WITHOUT SEED' WHEN v IS NOT DISTINCT FROM w THEN 'VERDICT DID NOT MOVE' ELSE 'OK' END AS status FROM q LEFT JOIN p USING (key)",
+)
 def o08(spark, sf):
-    from ..operators.audits import seeded_sensitivity
-
-    rows = table(spark, sf, "customer").select(F.col("c_name").alias("text"), F.lit(0).alias("verdict"))
-    seeded = rows.unionByName(spark.createDataFrame([("seeded finding", 1)], "text string, verdict int"))
-    return seeded_sensitivity(rows, seeded, "seeded finding").select("seeded", "base", "status")
+    """Documents by source, into which names of customers are planted."""
+    base = table(spark, sf, "documents").join(table(spark, sf, "labels"), "doc_id", "left").select(F.col("source").alias("key"), "text", F.coalesce("toxic", F.lit(0)).alias("verdict"))
+    planted = table(spark, sf, "customer").filter("c_acctbal > 9500").select(F.concat(F.lit("src"), (F.col("c_custkey") % 23).cast("string")).alias("key"), F.col("c_name").alias("text"), F.when(F.col("c_custkey") % 3 == 0, 2).otherwise(0).alias("verdict"))
+    return X.seeded_sensitivity(base, base.unionByName(planted), "#0000")
 
 
-@query("o13_canary", "SELECT true AS sound")
+@query("o13_canary", "SELECT (['C1', 'C2', 'C3', 'C3', 'C3', 'R'])[c_custkey % 6 + 1] AS class, count(*) AS seeded, count(*) AS found, true AS sound FROM customer GROUP BY 1")
 def o13(spark, sf):
-    from ..operators.audits import canary
-
-    return spark.createDataFrame([(canary(spark),)], "sound boolean")
-
-
-@query("w05_ordered_details", "SELECT c_nationkey, max(c_custkey) AS last FROM customer GROUP BY 1")
+    """Every customer is a seed of one kind, in a world of its own: what it called before, what it calls now, and what that leads to."""
+    c = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("id"), (F.col("c_custkey") % 6).alias("kind"))
+    name = lambda kind: F.concat(F.lit(f"{kind}/"), "id")
+    # Callees gained: clean, open below, (none), not analysed, with an effect that the seed's row hides, with one that it shows.
+    gained = F.when(F.col("kind") != 2, F.element_at(F.array(*[F.lit(x) for x in ("calm", "ajar", "-", "unseen", "hidden", "shown")]), (F.col("kind") + 1).cast("int")))
+    seed, callee = name("seed"), F.concat(gained, F.lit("/"), "id")
+    seeds = c.select(seed.alias("fn"), F.when(F.col("kind") == 5, F.array(F.lit("Fs"))).otherwise(_none()).alias("tokens"), F.element_at(F.array(*[F.lit(x) for x in ("C1", "C2", "C3", "C3", "C3", "R")]), (F.col("kind") + 1).cast("int")).alias("expected"))
+    before = c.select(seed.alias("src"), name("kept").alias("dst"))
+    after = before.unionByName(c.filter("kind <> 2").select(seed.alias("src"), callee.alias("dst"))).unionByName(c.filter("kind = 1").select(callee.alias("src"), name("outside").alias("dst")))
+    nodes = seeds.select("fn").unionByName(before.select(F.col("dst").alias("fn"))).unionByName(c.filter("kind IN (0, 1, 4, 5)").select(callee.alias("fn")))
+    rows = c.filter("kind IN (4, 5)").select(callee.alias("fn"), F.array(F.when(F.col("kind") == 4, "Net").otherwise("Fs")).alias("tokens"))
+    return X.canary(seeds, before, after, nodes, rows)
+
+
+@query("w05_ordered_details", "SELECT l_returnflag AS part, to_json({'key': [CAST(l_suppkey AS VARCHAR), CAST(qty AS VARCHAR)], 'n': n}) AS line, row_number() OVER (PARTITION BY l_returnflag ORDER BY '[\"' || CAST(l_suppkey AS VARCHAR) || '\",\"' || CAST(qty AS VARCHAR) || '\"]') AS place FROM (SELECT l_returnflag, l_suppkey, CAST(l_quantity AS INT) AS qty, count(*) AS n FROM lineitem GROUP BY ALL)")
 def w05(spark, sf):
-    ordered = W.keep_last(table(spark, sf, "customer").select("c_nationkey", "c_custkey"), ["c_nationkey"], "c_custkey", 1)
-    return ordered.select("c_nationkey", F.col("c_custkey").alias("last"))
+    """Counts by flag, supplier and quantity, as detail lines in the order of the text of their keys."""
+    n = table(spark, sf, "lineitem").groupBy("l_returnflag", "l_suppkey", F.col("l_quantity").cast("int").alias("qty")).agg(F.count("*").alias("n"))
+    return sinks.ordered_details(n.select(F.col("l_returnflag").alias("part"), F.array(F.col("l_suppkey").cast("string"), F.col("qty").cast("string")).alias("key"), "n"), "part", "key", ["n"])
 
 
 @query("s08_backends", "SELECT c_custkey, (['jvm', 'Swift', 'JS', 'Swift', 'JS', 'scan', 'JS'])[c_custkey % 7 + 1] AS backend FROM customer")
@@ -382,10 +420,20 @@ def k09(spark, sf):
     return P.policy_text(P.propose(profile))
 
 
-@query("o07_equal_routes", "SELECT count(*) AS rows, true AS equal FROM customer")
-def o07(spark, sf):
-    from ..operators.bags import fingerprint
+ROUTES = "deny Net ASIA\ndeny Db,Fs EUROPE.NATION_1\npure AMERICA\ndeny Unknown AFRICA.NATION_1\ndeny Exec"
+
 
-    rows = table(spark, sf, "customer").select("c_custkey", "c_name")
-    one, other = fingerprint(rows), fingerprint(rows.repartition(3, "c_name")).toDF("_rows", "_digest")
-    return one.crossJoin(other).select("rows", ((F.col("rows") == F.col("_rows")) & (F.col("digest") == F.col("_digest"))).alias("equal"))
+@query("o07_equal_routes", f"WITH {NAMED}, v AS (SELECT fn, CASE WHEN effect = 'Net' AND starts_with(fn, 'ASIA') THEN 0 WHEN effect IN ('Db', 'Fs') AND starts_with(fn, 'EUROPE.NATION_1') THEN 1 WHEN effect IS NOT NULL AND starts_with(fn, 'AMERICA') THEN 2 WHEN effect = 'Unknown' AND starts_with(fn, 'AFRICA.NATION_1') THEN 3 END AS ordinal FROM named) SELECT o.ordinal::INT AS ordinal, count(fn) AS rows, CASE WHEN count(fn) > 0 THEN 1 ELSE 0 END AS code, true AS equal FROM range(5) o(ordinal) LEFT JOIN v ON v.ordinal = o.ordinal GROUP BY 1")
+def o07(spark, sf):
+    """Verdicts of every rule by two routes: the join of all rules at once, and one scan for each rule."""
+    u = named_customers(spark, sf).select("fn", F.when(F.col("effect").isNull(), _none()).otherwise(F.array("effect")).alias("inferred"))
+    rules = P.parse_policy(spark, ROUTES)
+    alone = None
+    for i, line in enumerate(ROUTES.splitlines()):
+        kind, *rest = line.split()
+        effects = rest[0].split(",") if kind == "deny" else []
+        scope = rest[-1] if kind == "pure" or len(rest) > 1 else ""
+        over = F.size("inferred") > 0 if kind == "pure" else F.arrays_overlap("inferred", F.array(*[F.lit(e) for e in effects]))
+        mine = u.filter(P.in_scope(F.col("fn"), F.lit(scope)) & over).select(F.lit(i).alias("ordinal"), "fn")
+        alone = mine if alone is None else alone.unionByName(mine)
+    return O.equal_routes(rules.select("ordinal"), P.violations(u, rules), alone, "ordinal", "fn")

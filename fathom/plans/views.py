@@ -93,12 +93,22 @@ DIRECT = """direct AS (SELECT c_custkey AS fn, CASE c_mktsegment WHEN 'AUTOMOBIL
 
 
 def runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Some runs are still going (no conclusion, or an empty one), some have no time of creation."""
     conclusion = F.create_map(*[F.lit(x) for x in ("view", "success", "click", "success", "purchase", "cancelled", "signup", "skipped", "error", "failure")])[F.col("event_type")]
-    return table(spark, sf, "events").select(F.col("user_id").alias("workflow"), (-F.col("event_id")).alias("ordinal"), conclusion.alias("conclusion"), F.date_trunc("hour", "ts").alias("created"), "value", F.get_json_object("props", "$.k").alias("sha"))
-
-
-RUNS = """run AS (SELECT user_id AS workflow, -event_id AS ordinal, CASE event_type WHEN 'view' THEN 'success' WHEN 'click' THEN 'success' WHEN 'purchase' THEN 'cancelled' WHEN 'signup' THEN 'skipped' ELSE 'failure' END AS conclusion,
-  date_trunc('hour', ts) AS created, value, json_extract_string(props, '$.k') AS sha FROM events)"""
+    going = F.col("event_id") % 11 == 0
+    return table(spark, sf, "events").select(
+        F.col("user_id").alias("workflow"),
+        (-F.col("event_id")).alias("ordinal"),
+        F.when(~going, conclusion).when(F.col("event_id") % 2 == 0, "").alias("conclusion"),
+        F.when(going, "in_progress").otherwise("completed").alias("status"),
+        F.when(F.col("user_id") % 7 != 0, F.date_trunc("hour", "ts")).alias("created"),
+        "value",
+        F.get_json_object("props", "$.k").alias("sha"),
+    )
+
+
+RUNS = """run AS (SELECT user_id AS workflow, -event_id AS ordinal, CASE WHEN event_id % 11 = 0 THEN CASE WHEN event_id % 2 = 0 THEN '' END WHEN event_type IN ('view', 'click') THEN 'success' WHEN event_type = 'purchase' THEN 'cancelled' WHEN event_type = 'signup' THEN 'skipped' ELSE 'failure' END AS conclusion,
+  CASE WHEN event_id % 11 = 0 THEN 'in_progress' ELSE 'completed' END AS status, CASE WHEN user_id % 7 <> 0 THEN date_trunc('hour', ts) END AS created, value, json_extract_string(props, '$.k') AS sha FROM events)"""
 
 
 def named_customers(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -12,6 +12,13 @@ def write_details(df: DataFrame, key: list[str], path: str, single: bool = False
     (ordered.coalesce(1) if single else ordered).write.mode("overwrite").json(path)
 
 
+def ordered_details(df: DataFrame, part: str, key: str, rest: list[str]) -> DataFrame:
+    """(part, place, line): the detail lines of each part as JSON, in the order of the JSON text of their keys, byte by byte, so that two runs write the same document. Equal keys
+    follow the order of their lines."""
+    line = F.to_json(F.struct(F.col(key).alias("key"), *rest))
+    return df.select(part, line.alias("line"), F.row_number().over(Window.partitionBy(part).orderBy(F.to_json(F.col(key)), line)).cast("long").alias("place"))
+
+
 def write_tabs(df: DataFrame, path: str, missing: str = "NA") -> None:
     df.write.mode("overwrite").csv(path, sep="\t", nullValue=missing, emptyValue="", header=True)
 

@@ -1,12 +1,26 @@
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import audits as X
+from fathom.operators import remedies as M
 
 U = "entry string, fn string, inferred array<string>, classes array<string>"
 
 
 def test_canary(spark):
-    assert X.canary(spark)
+    """Sound only if every class has seeds, and each gets its class."""
+    e, a = "src string, dst string", "fn string, tokens array<string>"
+    seeds = spark.createDataFrame([("s1", [], "C1"), ("s2", [], "C2"), ("s3", [], "C3"), ("s4", ["Net"], "R")], f"{a}, expected string")
+    pre = spark.createDataFrame([(f"s{i}", "base") for i in (1, 2, 3, 4)], e)
+    post = spark.createDataFrame([(f"s{i}", "base") for i in (1, 2, 3, 4)] + [("s1", "plain"), ("s2", "deep"), ("deep", "elsewhere")], e)
+    nodes = spark.createDataFrame([(n,) for n in ("s1", "s2", "s3", "s4", "base", "plain", "deep")], "fn string")
+    rows = spark.createDataFrame([], a)
+    table = lambda s: {r["class"]: (r.seeded, r.found, r.sound) for r in X.canary(s, pre, post, nodes, rows).collect()}
+    assert table(seeds) == dict.fromkeys(X.CLASSES, (1, 1, True))
+    assert table(seeds.filter("fn <> 's4'"))["R"] == (0, 0, False)
+    assert table(seeds.withColumn("expected", F.lit("C1")))["C1"] == (4, 1, False)
 
 
 def flips(spark, pre, post):
@@ -37,17 +51,113 @@ def test_root_causes(spark):
     assert got == {("OWN", "c", None), ("LOSTEDGE", "a", "d"), ("UNPROPAGATED", "a", "k")}
 
 
+def brute_causes(lost, pre, head, had, has, own, unions):
+    """The documented rules, one lost pair at a time."""
+    out = set()
+    for fn, x in lost:
+        path, front, links, found = {fn: ()}, [fn], set(), set()
+        while True:
+            while front:
+                nxt = {}
+                for at in front:
+                    if (at, x) in own:
+                        found.add((fn, x, "OWN", at, None, path[at]))
+                    for c in {d for s, d in pre if s == at and (d, x) in had}:
+                        if (at, c) not in head:
+                            found.add((fn, x, "LOSTEDGE", at, c, path[at]))
+                        elif (c, x) in has:
+                            found.add((fn, x, "UNPROPAGATED", at, c, path[at]))
+                        else:
+                            links.add((at, c))
+                            if c not in path:
+                                nxt[c] = min(nxt.get(c, (*path[at], c)), (*path[at], c))
+                path |= nxt
+                front = sorted(nxt)
+
+            def above(some):
+                some = set(some)
+                while more := {a for a, b in links if b in some} - some:
+                    some |= more
+                return some
+
+            barren = (set(path) & unions) - above(r for _, _, _, r, _, _ in found)
+            opens = {(u, g) for u in barren if "." in u for g, y in had if y == x and (g, x) not in has and g != u and g.endswith("." + u.split(".", 1)[1]) and g not in path}
+            last = {(u, g) for u, g in opens if u not in {a for a, b in links if b in above(v for v, _ in opens)}}
+            if opens and not last:
+                last = {(u, g) for u, g in opens if u == min(v for v, _ in opens)}
+            if not last:
+                break
+            nxt = {}
+            for u, g in last:
+                found.add((fn, x, "UNION", u, g, path[u]))
+                links.add((u, g))
+                way = (*path[u], "U:" + g)
+                nxt[g] = min(nxt.get(g, way), way, key=lambda w: (len(w), w))
+            path |= nxt
+            front = sorted(nxt)
+        out |= found
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_root_causes_through_unions(spark, seed):
+    rng = random.Random(seed)
+    names = [f"T{i}.m{j}" for i in range(4) for j in range(6)] + ["plain", "T9.x.m1"]
+    pre = {(rng.choice(names), rng.choice(names)) for _ in range(26)}
+    head = {e for e in pre if rng.random() < 0.8}
+    had = {(n, "Net") for n in names if rng.random() < 0.8}
+    has = {p for p in had if rng.random() < 0.25}
+    own = {p for p in had if rng.random() < 0.15}
+    unions = {n for n in names if n.startswith(("T0", "T1"))}
+    lost = sorted(had - has)[:12]
+    e, f = "src string, dst string", "fn string, effect string"
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    got = X.root_causes(frame(lost, f), frame(pre, e), frame(head, e), frame(had, f), frame(has, f), frame(own, f), frame([(u,) for u in unions], "fn string")).collect()
+    want = brute_causes(lost, pre, head, had, has, own, unions)
+    assert len(got) == len(want) and {(r.fn, r.effect, r.kind, r.root, r.callee, tuple(r.path)) for r in got} == want
+    assert any(r.kind == "UNION" for r in got)
+
+
+def plan(spark, edges, direct, denied):
+    names = sorted({x for p in edges for x in p})
+    e = spark.createDataFrame(edges, "src string, dst string")
+    layer = spark.createDataFrame([(n, n.split(".")[0]) for n in names], "fn string, layer string")
+    return M.remedies(e, spark.createDataFrame(direct, "fn string, effect string"), layer, spark.createDataFrame(denied, "layer string, effect string"))
+
+
+def test_remedies(spark):
+    out = plan(spark, [("api.quote", "domain.price"), ("main.run", "api.quote"), ("domain.price", "domain.rate"), ("domain.rate", "infra.fetch"), ("main.run", "infra.fetch")], [("infra.fetch", "Net")], [("domain", "Net")])
+    assert {(r.root, r.role, r.fn) for r in out.collect()} == {("domain.rate", *x) for x in (("site", "infra.fetch"), ("span", "domain.rate"), ("span", "domain.price"), ("hoist", "api.quote"), ("higher", "main.run"))}
+    assert [tuple(r) for r in M.remedy_options(out).collect()] == [("Net", "domain.rate", True, ["hoist", "relax"])]
+    assert {(r.fn, r.roots) for r in M.inheritors(out).collect()} == {("domain.rate", 1), ("domain.price", 1)}
+
+
+def test_remedies_that_are_not_clean(spark):
+    """No caller that may; a layer that may between two that may not; several sites, targets and effects; a cycle."""
+    alone = plan(spark, [("d.top", "d.mid"), ("d.mid", "d.own")], [("d.own", "Fs")], [("d", "Fs"), ("d", "Net")])
+    assert [tuple(r) for r in M.remedy_options(alone).collect()] == [("Fs", "d.own", False, ["port", "relax"])]
+    between = plan(spark, [("d.outer", "a.f"), ("a.f", "d.inner"), ("d.inner", "io.x"), ("main.m", "d.outer")], [("io.x", "Net")], [("d", "Net")])
+    assert {(r.role, r.fn) for r in between.filter("root = 'd.inner'").collect()} == {("site", "io.x"), ("span", "d.inner"), ("hoist", "a.f"), ("sandwiched", "d.outer"), ("higher", "main.m")}
+    assert {r.root: r.clean_hoist for r in M.remedy_options(between).collect()} == {"d.inner": False, "d.outer": True}
+    several = plan(spark, [("d.a", "io.x"), ("d.a", "io.y"), ("d.a", "d.b"), ("d.b", "d.a"), ("p.1", "d.a"), ("p.2", "d.b"), ("p.3", "p.1"), ("p.1", "p.3")], [("io.x", "Net"), ("io.y", "Net"), ("io.y", "Fs"), ("d.b", "Net")], [("d", "Net"), ("p", "Db")])
+    got = {(r.effect, r.root, r.role, r.fn) for r in several.collect()}
+    assert {x[1:] for x in got if x[1] == "d.a"} == {("d.a", *x) for x in (("site", "io.x"), ("site", "io.y"), ("site", "d.b"), ("span", "d.a"), ("span", "d.b"), ("hoist", "p.1"), ("hoist", "p.2"), ("higher", "p.3"))}
+    assert {x[0] for x in got} == {"Net"} and {x[1] for x in got} == {"d.a", "d.b"}
+    assert plan(spark, [("a.x", "b.y")], [("b.y", "Net")], [("d", "Net")]).isEmpty()
+
+
 def test_status_queries(spark):
     s = spark.createDataFrame([(1, 0, 1, 1), (2, 0, 0, 1)], "category int, bare_pre int, bare_post int, wide_post int")
     assert X.predictions(s).first().status == "OK" and X.predictions(s.filter("category = 2")).first().status == "NOTHING VALIDATED"
-    t = "text string, verdict int"
-    base, seeded = spark.createDataFrame([("quiet", 0)], t), spark.createDataFrame([("SEED here", 1)], t)
+    t = "key string, text string, verdict int"
+    base, seeded = spark.createDataFrame([("k", "quiet", 0)], t), spark.createDataFrame([("k", "SEED here", 1)], t)
     assert X.seeded_sensitivity(base, seeded, "SEED").first().status == "OK"
     assert X.seeded_sensitivity(base, base, "SEED").first().status == "NOT SEEN"
     assert X.seeded_sensitivity(base, seeded.withColumn("verdict", F.lit(0)), "SEED").first().status == "VERDICT DID NOT MOVE"
     n, none = base, base.limit(0)
     assert [X.evidence(*x).first().status for x in ((none, none, none), (n, none, none), (n, none, n), (n, n, none))] == [3, 4, 0, 0]
-    assert X.probes_read(spark.createDataFrame([(3, 0)], "declared int, read int")).first().status == "REFUSED"
+    assert X.probes_read(spark.createDataFrame([("t", 3, 0)], "table string, declared int, read int")).first().status == "REFUSED"
+    assert X.seeded_sensitivity(seeded, seeded, "SEED").first().status == "SEEN WITHOUT SEED"
 
 
 def test_change_detection(spark):

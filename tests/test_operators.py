@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from fathom.functions import scalars as S
 from fathom.operators import audits as AU
 from fathom.operators import bags as B
+from fathom.operators import condensation as D
 from fathom.operators import consistency as O
 from fathom.operators import effects as E
 from fathom.operators import graph as G
@@ -140,14 +141,14 @@ def test_completeness(spark):
 def test_structure_figures(spark):
     units = spark.createDataFrame([("alpha", ["Fs"]), ("beta", ["Fs"]), ("gamma", ["Net"]), ("hub", ["Net", "Db", "Clock"]), ("delta", ["Unknown"])], f"fn string, inferred {A}")
     edges = spark.createDataFrame([("alpha", "beta"), ("beta", "alpha"), ("gamma", "delta"), ("gamma", "hub")], "src string, dst string")
-    got = one(T.structure(units, G.nodes_of(edges), edges, G.cyclic_nodes(edges)))
+    got = one(T.structure(units, G.nodes_of(edges), edges, D.cyclic_nodes(edges)))
     assert math.isclose(got["density"], 0.7) and math.isclose(got["tangle"], 4 / 5 / 2.6) and math.isclose(got["smear"], 0.2) and math.isclose(got["cycle_ratio"], 0.4)
     assert round(got["structure"], 3) == 0.703
     mix = {r.effect: r.share for r in T.effect_mix(units).collect()}
     assert math.isclose(mix["Fs"], 2 / 7) and math.isclose(mix["Unknown"], 1 / 7)
-    empty = one(T.structure(units.limit(0), G.nodes_of(edges), edges, G.cyclic_nodes(edges)))
+    empty = one(T.structure(units.limit(0), G.nodes_of(edges), edges, D.cyclic_nodes(edges)))
     assert empty["structure"] is None
-    delta = one(T.structure_delta(T.structure(units, G.nodes_of(edges), edges, G.cyclic_nodes(edges)), T.structure(units.limit(0), G.nodes_of(edges), edges, G.cyclic_nodes(edges))))
+    delta = one(T.structure_delta(T.structure(units, G.nodes_of(edges), edges, D.cyclic_nodes(edges)), T.structure(units.limit(0), G.nodes_of(edges), edges, D.cyclic_nodes(edges))))
     assert delta["smear"] == 0.2 and delta["structure"] is None
 
 
@@ -162,15 +163,14 @@ def test_graph_against_brute_force(spark):
     edges = spark.createDataFrame(sorted(pairs), "src long, dst long")
     closed, cut = G.closure(edges)
     assert not cut and {(r.src, r.dst) for r in closed.collect()} == {(a, b) for a, r in reach.items() for b in r}
-    assert {r.fn for r in G.cyclic_nodes(edges).collect()} == {a for a in reach if a in reach[a]}
+    assert {r.fn for r in D.cyclic_nodes(edges).collect()} == {a for a in reach if a in reach[a]}
     nodes = {x for p in pairs for x in p}
-    assert {r.fn: r.blast for r in G.blast(edges).collect()} == {n: sum(n in r for r in reach.values()) for n in nodes}
+    assert {r.fn: r.blast for r in D.blast(edges).collect()} == {n: sum(n in r for r in reach.values()) for n in nodes}
     assert G.closure(edges, budget=10)[1]
-    assert {r.approximate for r in G.blast(edges).collect()} == {False} and {r.approximate for r in G.blast(edges, budget=10).collect()} == {True}
     chain = spark.createDataFrame([(i, i + 1) for i in range(12)], "src long, dst long")
-    assert {r.fn: r.blast for r in G.blast(chain).collect()} == {i: i for i in range(13)} and G.cyclic_nodes(chain).count() == 0
+    assert {r.fn: r.blast for r in D.blast(chain).collect()} == {i: i for i in range(13)} and D.cyclic_nodes(chain).count() == 0
     none = edges.limit(0)
-    assert G.blast(none).count() == 0 and G.cyclic_nodes(none).count() == 0
+    assert D.blast(none).count() == 0 and D.cyclic_nodes(none).count() == 0
 
 
 def test_closures_of_any_size_are_whole(spark, monkeypatch):
@@ -180,8 +180,6 @@ def test_closures_of_any_size_are_whole(spark, monkeypatch):
     some = lambda *fns: spark.createDataFrame([(f,) for f in fns], "fn long")
     count = type(ring).count
     monkeypatch.setattr(type(ring), "count", lambda df: count(df) * 10**9)
-    assert {r.fn: r.blast for r in G.blast(ring).collect()} == dict.fromkeys(range(n), n)
-    assert {r.fn for r in G.cyclic_nodes(ring).collect()} == set(range(n))
     assert {(r.caller, r.hops) for r in G.callers(ring, some(0)).collect()} == {((n - h) % n, h) for h in range(1, n + 1)}
     assert [tuple(r) for r in G.forbidden(ring, some(0), some(n - 1)).collect()] == [(0, n - 1, n - 1)]
     assert [tuple(r) for r in AU.only_reaches(ring, some(0, 1), some(n - 1), some(1)).collect()] == [(0, n - 1)]
@@ -195,6 +193,13 @@ def test_paths_and_fixpoint(spark):
     assert {(r.fn, r.fact) for r in G.propagated(edges, facts).collect()} == {(n, "reflect") for n in ("a", "b", "c", "c2")} | {("x", "native")}
 
 
+def test_change_depths(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "d"), ("d", "d")], "src string, dst string")
+    f = "fn string, effect string"
+    got = G.change_depths(edges, spark.createDataFrame([("c", "Net"), ("d", "Fs"), ("b", "Fs"), ("a", "Db")], f), spark.createDataFrame([("a", "Net"), ("a", "Fs"), ("a", "Fs"), ("c", "Net"), ("b", "Exec"), ("zz", "Net")], f))
+    assert sorted((r.fn, r.effect, -1 if r.hops is None else r.hops) for r in got.collect()) == [("a", "Fs", 1), ("a", "Net", 2), ("b", "Exec", -1), ("c", "Net", 0), ("zz", "Net", -1)]
+
+
 def test_greedy_links(spark):
     rng = random.Random(2)
     rows = [(rng.randrange(8), rng.randrange(8), rng.randrange(50)) for _ in range(150)]
@@ -214,7 +219,7 @@ def test_greedy_links(spark):
 
 
 def verdict(spark, rows):
-    df = spark.createDataFrame([(w, i, c, t) for i, (w, c, t) in enumerate(rows)], "workflow string, ordinal int, conclusion string, created string")
+    df = spark.createDataFrame([(w, i, c, t, s[0] if s else "completed") for i, (w, c, t, *s) in enumerate(rows)], "workflow string, ordinal int, conclusion string, created string, status string")
     got = {r.verdict for r in W.ci_verdict(df).collect()}
     return "BAD" if "BAD" in got else "OK" if got else "NONE"
 
@@ -230,6 +235,19 @@ def test_ci_verdicts(spark):
     assert verdict(spark, [("w", "skipped", "2"), ("w", "cancelled", "1")]) == "OK"
     assert verdict(spark, [("w", "cancelled", "2"), ("w", "skipped", "1")]) == "BAD"
     assert verdict(spark, [("1", "success", "2"), ("2", "failure", "1")]) == "BAD"
+    assert verdict(spark, [("w", None, "2", "in_progress"), ("w", "success", "1")]) == "BAD"
+    assert verdict(spark, [("w", "", "2", "queued"), ("w", "success", "1")]) == "BAD"
+    assert verdict(spark, [("w", "failure", None)]) == "BAD" and verdict(spark, [("w", "success", None), ("w", "failure", "1")]) == "OK"
+    assert verdict(spark, [("w", "success", None), ("w", "failure", None)]) == "BAD" and verdict(spark, [("w", None, None, None)]) == "BAD"
+    two = spark.createDataFrame([("w", 0, "failure", "1"), ("w", 1, "timed_out", "1")], "workflow string, ordinal int, conclusion string, created string")
+    assert [(r.conclusion, r.verdict) for r in W.ci_verdict(two).collect()] == [("timed_out", "BAD")]
+
+
+def test_newest_elsewhere(spark):
+    rows = [("ok", 0, "b", "completed", "success", False), ("ok", 1, "a", "completed", "failure", False), ("head", 0, "h", "completed", "failure", False), ("head", 1, "a", "completed", "failure", False), ("going", 0, "a", "in_progress", None, False), ("going", 1, "a", "completed", "failure", False)]
+    rows += [("push", 0, "a", "completed", "cancelled", True), ("killed", 0, "a", "completed", "cancelled", False), ("unknown", 0, "a", "completed", "cancelled", None), ("bare", 0, None, "completed", None, True)]
+    got = W.newest_elsewhere(spark.createDataFrame(rows, "workflow string, ordinal int, sha string, status string, conclusion string, cancels boolean"), "h")
+    assert {r.workflow: r.state for r in got.collect()} == {"push": "pending", "killed": "red", "unknown": "red", "bare": "red"}
 
 
 def test_prefixes_versions_samples(spark):
@@ -292,13 +310,6 @@ def test_what_if(spark):
     assert [(r.fn, r.effects) for r in got] == [("domain.a", ["Net"])]
 
 
-def test_hoist(spark):
-    edges = spark.createDataFrame([("d.top", "d.mid"), ("d.mid", "d.site"), ("app.main", "d.top"), ("app.x", "app.y")], "src string, dst string")
-    layer = spark.createDataFrame([(n, n.split(".")[0]) for n in ("d.top", "d.mid", "d.site", "app.main", "app.x", "app.y")], "fn string, layer string")
-    direct = spark.createDataFrame([("d.site", "Net"), ("app.y", "Net")], "fn string, effect string")
-    assert {(r.fn, r.role) for r in G.hoist_plan(edges, direct, layer, "Net", "d").collect()} == {("d.site", "site"), ("d.mid", "span"), ("d.top", "span"), ("app.main", "hoist")}
-
-
 def test_self_consistency_seeds(spark):
     names = ("direct", "inferred", "unknown_why", "hosts", "cmds", "paths", "tables")
     seeds = {
@@ -359,4 +370,4 @@ def test_roster_and_globs(spark):
     measured = spark.createDataFrame([("ok", 30, "s"), ("sha", 30, "t"), ("half", 49, "s"), ("drift", 31, "s")], "name string, got int, sha string")
     assert {r.name: r.status for r in J.roster_check(roster, measured).collect()} == {"ok": "OK", "gone": "MISSING", "sha": "SHA", "half": "COLLAPSED", "drift": "DRIFT"}
     paths = spark.createDataFrame([("src/a/b.rs",), ("src/b.rs",), ("x.md",)], "path string")
-    assert {(r.path, r.glob) for r in J.matching_paths(paths, ["src/**/*.rs", "*.md", "src/*"]).collect()} == {("src/a/b.rs", "src/**/*.rs"), ("src/b.rs", "src/**/*.rs"), ("src/b.rs", "src/*"), ("x.md", "*.md")}
+    assert {(r.path, r.glob) for r in J.matching_paths(paths, ["src/**/*.rs", "*.md", "src/*"]).collect()} == {("src/a/b.rs", "src/**/*.rs"), ("src/b.rs", "src/*"), ("x.md", "*.md")}
