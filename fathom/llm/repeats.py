@@ -6,7 +6,7 @@ piece; a window is stored in exactly one piece. So
 
 1. pieces are described by (anchor hash, class): class is a hash of the piece's whole content and shape; no text moves yet;
 2. anchors that occur once are dropped: none of their windows repeats. Pieces of one class are equal throughout (two different pieces of
-   one anchor share a class with a probability of 2**-50);
+   one anchor share a class with a probability of 2**-50, or 2**-40 for the longest windows);
 3. only where one anchor has several classes, the first piece of each class is fetched as text and sent to the anchor's shard,
    where a suffix structure says which windows are equal (the caller's `equal_windows`);
 4. pieces of anchors with more than HOT_CLASSES classes are dealt by a longer anchor: half of what a window may reach beyond it is added on the
@@ -30,6 +30,8 @@ from .common import RangeHash, Words, binary_rows, byte_values, discard, int64,
 
 #: Units that one NumPy step works on, and bits for a position in it.
 SEGMENT, POSITION_BITS = 1_000_000, 22
+#: Bits of a piece's windows and of its anchor's place, at least and at most; its content hash has the rest of 64.
+LEAST_BITS, MOST_BITS = 7, 12
 HOT_CLASSES = 20_000
 #: Text of the pieces that one shard is meant to hold.
 SHARD_BYTES = 1_000_000
@@ -71,10 +73,18 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(m[: len(m) - rest], m[rest:]) if rest else m
 
 
+def shape_bits(window: int, gram: int) -> int:
+    """A piece has at most window - gram + 1 windows, and its anchor as many places."""
+    bits = max(LEAST_BITS, (window - gram + 1).bit_length())
+    if not 0 < gram <= window or bits > MOST_BITS:
+        raise ValueError(f"windows of {window} units need anchors of {max(1, window - (1 << MOST_BITS) + 2)} to {window}")
+    return bits
+
+
 def pieces_of(values: np.ndarray, offs: np.ndarray, window: int, gram: int) -> dict[str, np.ndarray]:
     """Pieces of concatenated texts: doc (index), start (unit in the document), windows, anchor (its place in the piece), hash,
-    shape (a 50-bit content hash, windows and anchor in one integer)."""
-    out = []
+    shape (a content hash, windows and anchor in one integer; see shape_bits())."""
+    out, bits = [], np.uint64(shape_bits(window, gram))
     for base in range(0, max(1, len(values)), SEGMENT):
         part = values[base : base + SEGMENT + window - 1]
         if len(part) < window:
@@ -95,7 +105,7 @@ def pieces_of(values: np.ndarray, offs: np.ndarray, window: int, gram: int) -> d
         count = np.diff(np.append(np.cumsum(valid)[start] - 1, valid.sum()))
         content = hashes.of(start, start + count + window - 1)
         place = anchor[start] - start
-        shape = (content >> np.uint64(14) << np.uint64(14)) | (count.astype(np.uint64) << np.uint64(7)) | place.astype(np.uint64)
+        shape = (content >> bits + bits << bits + bits) | (count.astype(np.uint64) << bits) | place.astype(np.uint64)
         out.append((doc[start], start + base - offs[doc[start]], count, place, grams[anchor[start]], shape))
     names = ("doc", "start", "windows", "anchor", "hash", "shape")
     if not out:
@@ -125,11 +135,11 @@ def describe(docs: DataFrame, units: Units, window: int, gram: int, located: boo
     return docs.select("_key", "text").mapInArrow(tidy(found), "_hash long, _shape long, _key long, _start int")
 
 
-def _windows(shape) -> F.Column:
-    return F.shiftrightunsigned(shape, 7).bitwiseAND(127)
+def _windows(shape, bits: int) -> F.Column:
+    return F.shiftrightunsigned(shape, bits).bitwiseAND((1 << bits) - 1)
 
 
-def fetch(docs: DataFrame, wanted: DataFrame, units: Units, window: int, raw_bytes: bool) -> DataFrame:
+def fetch(docs: DataFrame, wanted: DataFrame, units: Units, window: int, bits: int, raw_bytes: bool) -> DataFrame:
     """The content of pieces: wanted (_hash, _shape, _key, _start) with `content` (bytes, or the words' 64-bit hashes)."""
     asked = wanted.groupBy("_key").agg(F.collect_list(F.struct("_hash", "_shape", "_start", "_several", "_classes")).alias("asked"))
     # All columns are kept, so that one exchange of the documents serves this join and with_spans().
@@ -146,7 +156,7 @@ def fetch(docs: DataFrame, wanted: DataFrame, units: Units, window: int, raw_byt
                 doc = np.repeat(np.arange(part.num_rows), np.diff(asked.offsets.to_numpy()))
                 shape = inner.field(1).to_numpy()
                 start = first[doc] + inner.field(2).to_numpy()
-                length = (shape >> 7 & 127) + window - 1
+                length = (shape >> bits & (1 << bits) - 1) + window - 1
                 flat = np.concatenate([values[a : a + n] for a, n in zip(start, length, strict=True)]) if len(start) else values[:0]
                 bounds = np.r_[0, np.cumsum(length)] * values.itemsize
                 key = pa.array(part.column(0).to_numpy()[doc])
@@ -187,14 +197,15 @@ def spans_in_shard(batches: list[pa.RecordBatch], window: int, symbol: type, lat
 def lengthened(hot: DataFrame, window: int, gram: int, symbol: type) -> DataFrame:
     """Pieces cut in two, by whether the anchor lies in the first or second half of the window's room, each dealt by the content of its
     anchor with what all its windows have on the other side."""
-    middle = (window - gram) // 2
+    middle, bits = (window - gram) // 2, shape_bits(window, gram)
+    low = (1 << bits) - 1
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[] for _ in range(5)]
             for shape, key, start, several, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = np.frombuffer(content, symbol)
-                count, place = shape >> 7 & 127, shape & 127
+                count, place = shape >> bits & low, shape & low
                 late = min(count, max(0, place - middle))  # windows that have the anchor in their second half
                 for a, b, lo, hi in ((0, late, place - middle, place + gram), (late, count, place, place + window - middle)):
                     if a < b:
@@ -225,7 +236,7 @@ def _every_window(pieces: DataFrame, window: int, symbol: type) -> DataFrame:
 def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_only: bool, equal_windows: EqualWindows, raw_bytes: bool, hot_classes: int = HOT_CLASSES) -> DataFrame:
     """Spans (_key, a, b) of `docs` (_key, text) covered by windows that start anywhere else, or, with later_only, that start
     earlier in the order of _key and position. Spans may overlap."""
-    spark = docs.sparkSession
+    spark, bits = docs.sparkSession, shape_bits(window, gram)
     symbol = np.uint8 if raw_bytes else np.uint64
     counts = describe(docs, units, window, gram, False).groupBy("_hash").agg(F.sum("_n").alias("_n"))
     again = materialise(counts.filter("_n > 1").select("_hash"))
@@ -238,14 +249,14 @@ def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_on
         whole = pieces.join(repeated, ["_hash", "_shape"]).filter(F.struct("_key", "_start") != F.col("_first"))
     else:
         whole = pieces.join(classes.filter("_n > 1").select("_hash", "_shape"), ["_hash", "_shape"], "left_semi")
-    whole = whole.select("_key", F.col("_start").cast("long").alias("a"), (F.col("_start") + _windows("_shape") + window - 1).cast("long").alias("b"))
+    whole = whole.select("_key", F.col("_start").cast("long").alias("a"), (F.col("_start") + _windows("_shape", bits) + window - 1).cast("long").alias("b"))
 
     several = classes.groupBy("_hash").agg(F.count("*").alias("_classes")).filter("_classes > 1")
     wanted = materialise(classes.join(several, "_hash").select("_hash", "_shape", "_first._key", "_first._start", (F.col("_n") > 1).alias("_several"), "_classes"))
-    size = wanted.agg(F.sum(F.when(F.col("_classes") <= hot_classes, (_windows("_shape") + window) * np.dtype(symbol).itemsize)), F.max("_classes")).first()
+    size = wanted.agg(F.sum(F.when(F.col("_classes") <= hot_classes, (_windows("_shape", bits) + window) * np.dtype(symbol).itemsize)), F.max("_classes")).first()
     if size[1] is None:
         return whole
-    content = fetch(docs, wanted, units, window, raw_bytes)
+    content = fetch(docs, wanted, units, window, bits, raw_bytes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((size[0] or 0) // SHARD_BYTES) + 1)
     columns, crowded = ["_hash", "_key", "_start", "_several", "content"], None
     if size[1] > hot_classes:

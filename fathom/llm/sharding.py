@@ -8,10 +8,11 @@ The global rank is found without a global sort: cells (at most 2**(bits * dimens
 are counted, offsets come from running sums over the counts, and rows are numbered inside their subcell only. A cell that
 holds a third of all rows is spread over its subcells.
 
-Strings are quantised in their order, by the first letter or digit behind what all values begin with, spread over all quanta between the
-least and the greatest value's, so that the minima and maxima of a shard, which are strings too, exclude others.
+Strings are quantised in their order, by the rank of their value among all different ones, so that the minima and maxima of a shard, which are strings too, exclude others: while there are
+at most 2**bits values each has a quantum of its own, and beyond, quantiles of the different values bound the quanta. Values are told apart by CODE_BYTES bytes behind what all begin
+with.
 
-Defined results: a null text has size 1 and the CRC of no bytes; null dimensions and strings with another character there fall into quantum
+Defined results: a null text has size 1 and the CRC of no bytes; null dimensions fall into quantum
 0; rows without an id are spread by their other columns; repeated rows get ranks of their own; an empty table gives an empty
 result.
 """
@@ -35,22 +36,40 @@ SHARDS = 16
 SUBCELLS, SUBCELL_ROWS = 1024, 1 << 20
 
 
+#: Bytes of a string that decide on its quantum.
+CODE_BYTES = 7
+
+
+@dataclass(frozen=True)
+class Scale:
+    """Of a text dimension: the bytes that all values begin with, and in order the codes that are the last of their quantum, 2**bits at most."""
+
+    common: int = 0
+    ends: tuple[int, ...] = ()
+
+
+def text_code(column: str, common: int) -> Column:
+    """An integer in the order of the strings' bytes behind their common beginning."""
+    part = F.substring(F.encode(F.col(column), "UTF-8"), common + 1, CODE_BYTES)
+    return F.conv(F.rpad(F.hex(part), 2 * CODE_BYTES, "0"), 16, 10).cast("long")
+
+
 @dataclass(frozen=True)
 class Dimension:
-    """kind "half_octave": integers >= 1, two quanta for each power of two; "text": strings, by the character behind their common beginning."""
+    """kind "half_octave": integers >= 1, two quanta for each power of two; "text": strings, by their rank among the different values."""
 
     column: str
     kind: str
 
-    def quantum(self, bits: int = BITS, known: tuple[int, int, int] = (0, 0, 31)) -> Column:
-        """known: see spreads()."""
+    def quantum(self, bits: int = BITS, scale: Scale = Scale()) -> Column:
+        """scale: see scales()."""
         top = (1 << bits) - 1
         if self.kind == "text":
-            common, least, greatest = known
-            code = F.ascii(F.lower(F.substring(self.column, common + 1, 1)))
-            place = F.when(code.between(48, 57), code - 47).when(code.between(97, 122), code - 86).otherwise(0)
-            spread = F.floor((F.least(F.greatest(place, F.lit(least)), F.lit(greatest)) - least) * top / max(1, greatest - least))
-            return spread.cast("int")
+            if not scale.ends:
+                return F.lit(0)
+            code = text_code(self.column, scale.common)
+            rank = F.size(F.filter(F.array(*[F.lit(e) for e in scale.ends]), lambda e: e < code))
+            return F.when(F.col(self.column).isNull(), 0).otherwise(F.floor(rank * top / max(1, len(scale.ends) - 1))).cast("int")
         binary = F.bin(F.greatest(F.col(self.column), F.lit(1)))
         half = F.when(F.substring(binary, 2, 1) == "1", 1).otherwise(0)
         return F.coalesce(F.least(2 * (F.length(binary) - 1) + half, F.lit(top)), F.lit(0)).cast("int")
@@ -89,23 +108,19 @@ def curve_index(quanta: list[Column], bits: int = BITS) -> Column:
     return index(*quanta)
 
 
-def place_of(text: str, at: int) -> int:
-    """Of the character there: 1 to 10 for digits, 11 to 36 for letters, else 0."""
-    c = ord(text[at].lower()) if at < len(text) and len(text[at].lower()) == 1 else 0
-    return c - 47 if 48 <= c <= 57 else c - 86 if 97 <= c <= 122 else 0
-
-
-def spreads(df: DataFrame, dims: list[Dimension]) -> list[tuple[int, int, int]]:
-    """For each text dimension the length of what all values begin with, which the least and the greatest share, and the places of the
-    characters that come next in those two."""
+def scales(df: DataFrame, dims: list[Dimension], bits: int = BITS) -> list[Scale]:
+    """The scale of each dimension: two passes over the text columns, of which 2**bits numbers each come to the driver."""
     texts = [d.column for d in dims if d.kind == "text"]
     ends = df.agg(*[f(c).alias(f"{f.__name__}_{c}") for c in texts for f in (F.min, F.max)]).first() if texts else {}
     out = []
     for d in dims:
-        a, b = (ends[f"min_{d.column}"] or "", ends[f"max_{d.column}"] or "") if d.kind == "text" else ("", "")
-        n = len(os.path.commonprefix([a, b]))
-        least, greatest = sorted((place_of(a, n), place_of(b, n)))
-        out.append((n, least, greatest))
+        if d.kind != "text" or ends[f"min_{d.column}"] is None:
+            out.append(Scale())
+            continue
+        common = len(os.path.commonprefix([ends[f"{f}_{d.column}"].encode() for f in ("min", "max")]))
+        codes = df.filter(F.col(d.column).isNotNull()).select(text_code(d.column, common).alias("code")).distinct()
+        steps = [(i + 1) / (1 << bits) for i in range(1 << bits)]
+        out.append(Scale(common, tuple(sorted(set(codes.agg(F.percentile_approx("code", steps, 10_000)).first()[0])))))
     return out
 
 
@@ -114,7 +129,7 @@ def shard_by_curve(df: DataFrame, id_col: str, dims: list[Dimension], shards: in
 
     Keep the input narrow: it is written once to the shared folder, and shuffled once.
     """
-    known = spreads(df, dims)
+    known = scales(df, dims, bits)
     rows = materialise(df.withColumn("curve", curve_index([d.quantum(bits, k) for d, k in zip(dims, known, strict=True)], bits)))
     subcells = max(subcells, 1 << (rows.count() // SUBCELL_ROWS).bit_length())
     others = F.concat_ws("|", *[F.col(c).cast("string") for c in df.columns if c != id_col])
@@ -182,25 +197,16 @@ def _hilbert_sql(source: str, names: list[str], bits: int = BITS) -> str:
     return f"(SELECT *, ({' + '.join(terms)})::BIGINT AS curve FROM {q})"
 
 
-def _initial(column: str) -> str:
-    return f"(floor((least(greatest({_place(column, f'n_{column}')}, least(lo_{column}, hi_{column})), greatest(lo_{column}, hi_{column})) - least(lo_{column}, hi_{column})) * {(1 << BITS) - 1} / greatest(1, abs(hi_{column} - lo_{column}))))::INT"
-
-
-def _place(text: str, n: str) -> str:
-    code = f"ascii(lower(substr({text}, {n} + 1, 1)))"
-    return f"(CASE WHEN {code} BETWEEN 48 AND 57 THEN {code} - 47 WHEN {code} BETWEEN 97 AND 122 THEN {code} - 86 ELSE 0 END)"
-
-
-def _common(column: str) -> str:
-    least = f"(SELECT min({column}) AS a, max({column}) AS b FROM documents)"
-    n = f"(SELECT a, b, coalesce(min(i) - 1, max(least(length(a), length(b))), 0) AS n FROM {least} LEFT JOIN (SELECT unnest(range(1, 1000)) AS i) ON i <= least(length(a), length(b)) AND substr(a, i, 1) <> substr(b, i, 1) GROUP BY a, b)"
-    return f"(SELECT n AS n_{column}, {_place('a', 'n')} AS lo_{column}, {_place('b', 'n')} AS hi_{column} FROM {n})"
+def _ranks(column: str, name: str) -> str:
+    """Values and their quanta; the oracle is for tables with at most 2**BITS different values."""
+    return f"(SELECT v, floor((row_number() OVER (ORDER BY v) - 1) * {(1 << BITS) - 1} / greatest(1, count(*) OVER () - 1))::INT AS q FROM (SELECT DISTINCT {column} AS v FROM documents WHERE {column} IS NOT NULL)) {name}"
 
 
 _TOP = (1 << BITS) - 1
 _SIZED = f"(SELECT *, (strlen(coalesce(text, '')) + 1)::BIGINT AS size, {crc32("coalesce(text, '')")} AS text_crc32, {crc32('doc_id::VARCHAR')} % {SUBCELLS} AS sub FROM documents)"
-_QUANTA = f"""(SELECT *, {_initial('lang')} AS q0, {_initial('source')} AS q1,
-  least({_TOP}, 2 * (length(ltrim(bin(size), '0')) - 1) + CASE WHEN substr(ltrim(bin(size), '0'), 2, 1) = '1' THEN 1 ELSE 0 END)::INT AS q2 FROM {_SIZED}, {_common('lang')}, {_common('source')})"""
+_QUANTA = f"""(SELECT s.*, coalesce(a.q, 0) AS q0, coalesce(b.q, 0) AS q1,
+  least({_TOP}, 2 * (length(ltrim(bin(size), '0')) - 1) + CASE WHEN substr(ltrim(bin(size), '0'), 2, 1) = '1' THEN 1 ELSE 0 END)::INT AS q2
+  FROM {_SIZED} s LEFT JOIN {_ranks('lang', 'a')} ON a.v = s.lang LEFT JOIN {_ranks('source', 'b')} ON b.v = s.source)"""
 OP2_SQL = f"""
 WITH r AS (SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, size, text_crc32, lang, source) - 1 AS rnk, count(*) OVER () AS total
   FROM {_hilbert_sql(_QUANTA, ['q0', 'q1', 'q2'])})

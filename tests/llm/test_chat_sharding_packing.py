@@ -62,6 +62,20 @@ def test_varied_layouts(spark):
     assert chat_format.varied_records(df.limit(0)).count() == chat_format.render(chat_format.canonical_turns(chat_format.records(df.limit(0)), "record")).count() == 0
 
 
+def test_strings_by_rank(spark):
+    """Each value has a quantum of its own while there are few; many keep their order; nulls and clashing beginnings."""
+    few = spark.createDataFrame([(v,) for v in ["lang-en", "lang-es", "lang-de", "lang-", None] for _ in range(3)], "v string")
+    scale = sharding.scales(few, [sharding.Dimension("v", "text")])[0]
+    got = {r.v: r.q for r in few.select("v", sharding.Dimension("v", "text").quantum(5, scale).alias("q")).collect()}
+    assert got == {None: 0, "lang-": 0, "lang-de": 10, "lang-en": 20, "lang-es": 31}
+    names = [f"é{i:05d}" for i in range(500)]
+    many = spark.createDataFrame([(v,) for v in names], "v string")
+    scale = sharding.scales(many, [sharding.Dimension("v", "text")])[0]
+    quanta = [r.q for r in many.orderBy("v").select(sharding.Dimension("v", "text").quantum(5, scale).alias("q")).collect()]
+    assert quanta == sorted(quanta) and len(set(quanta)) == 32 and max(quanta.count(q) for q in set(quanta)) <= 20
+    assert sharding.scales(few.limit(0), [sharding.Dimension("v", "text")]) == [sharding.Scale()]
+
+
 def test_hilbert_is_a_continuous_curve():
     bits, n = 3, 3
     grid = np.stack(np.meshgrid(*[np.arange(1 << bits)] * n, indexing="ij"), -1).reshape(-1, n)

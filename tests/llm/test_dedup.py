@@ -132,6 +132,16 @@ def test_nulls_repeats_and_clashing_columns(spark):
     assert len(later) == 5 and sorted(r.n_removed for r in later)[:3] == [0, 0, 0] and sum(r.n_removed > 0 for r in later) == 2
 
 
+@pytest.mark.parametrize("window,gram", [(200, 20), (300, 40)])
+def test_long_windows(spark, window, gram):
+    """Pieces of more windows than seven bits can count."""
+    docs = documents()
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in sa.remove_later(spark.createDataFrame(docs, "doc_id long, text string"), window, gram).collect()}
+    assert got == brute_bytes(docs, window) and sum(g[1] for g in got.values()) > 5 * window
+    with pytest.raises(ValueError):
+        sa.remove_later(spark.createDataFrame(docs, "doc_id long, text string"), 5000, 20)
+
+
 def test_empty_tables(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert sa.remove_later(empty).collect() == [] and st.remove_repeats(empty).collect() == []

@@ -427,3 +427,45 @@ def test_scoring_odd_tables(spark):
     none = ct.score_documents(df.withColumn("train", F.lit(False))).collect()
     assert all(r.train_tokens == 0 and r.base_score == 0 and abs(r.score + r.n_coded * 8 * math.log10(2)) < 1e-6 for r in none)
     assert ct.score_documents(df.limit(0)).collect() == []
+
+
+def votes_by_hand(model, text):
+    """A text's language by plain loops: every trigram's weights, the family, then the votes of its pairs."""
+    raw = re.sub("[A-Z]", lambda m: m[0].lower(), text).encode()
+    raw = bytes(32 if 9 <= c <= 13 else c for c in b" " + raw + b" ")
+    margins = [float(b) for b in model.bias]
+    grams = [li._FIRST[raw[i]] ^ li._SECOND[raw[i + 1]] ^ li._THIRD[raw[i + 2]] for i in range(len(raw) - 2)]
+    for k in range(len(margins)):
+        margins[k] += sum(float(model.weights[g, k]) for g in grams) / max(1, len(grams))
+    sure = [1 / (1 + math.exp(-float(s) * m)) for s, m in zip(model.slope, margins)]
+    families = len(model.families)
+    if families == 1:
+        family, trust, used = 0, 1.0, 0
+    elif families == 2:
+        family, trust, used = int(sure[0] < 0.5), max(sure[0], 1 - sure[0]), 1
+    else:
+        family = max(range(families), key=lambda f: margins[f])
+        trust, used = sure[family], families
+    votes, least = [0.0] * len(model.languages), [1.0] * len(model.languages)
+    for k, (a, b) in enumerate(model.pairs):
+        p = sure[used + k]
+        votes[a if p >= 0.5 else b] += 1
+        least[a], least[b] = min(least[a], p), min(least[b], 1 - p)
+    inside = [i for i, f in enumerate(model.family_of) if f == family]
+    best = max(inside, key=lambda i: (votes[i] + least[i] / 2, -i))
+    return model.languages[best], trust * least[best]
+
+
+@pytest.mark.parametrize("languages", [["en"], ["en", "de"], ["en", "fr"], ["en", "de", "nl", "fr", "es", "ru", "xx"]])
+def test_language_votes_by_brute_force(spark, languages):
+    rng = random.Random(len(languages))
+    parts = {lang: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyzéüñя") for _ in range(3)) for _ in range(25)] for lang in languages}
+    sentence = lambda lang: " ".join("".join(rng.choice(parts[lang]) for _ in range(rng.randrange(1, 4))) for _ in range(rng.randrange(1, 25)))
+    rows = [(i, sentence(languages[i % len(languages)]), languages[i % len(languages)]) for i in range(40 * len(languages))]
+    model = li.fit(spark.createDataFrame(rows, "key long, text string, lang string"))
+    asked = [t for _, t, _ in rows[:60]] + ["A", "éa\tB\n", sentence(languages[0]) * 400, "Zz " + sentence(languages[-1])]
+    got = li.predict(spark.createDataFrame([(t,) for t in asked] + [(None,), ("12 !",), ("",)], "text string"), model).collect()
+    assert [(r.lang_pred, r.score) for r in got[-3:]] == [("und", 0.0)] * 3
+    for r, text in zip(got, asked):
+        lang, score = votes_by_hand(model, text)
+        assert r.lang_pred == lang and abs(r.score - score) < 1e-6
