@@ -6,6 +6,8 @@ Unknown fails `pure`, and an absent count is unevaluable.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,37 +16,68 @@ from .effects import BOUNDARY, PALETTE, UNKNOWN
 RULE_SCHEMA = "ordinal int, kind string, effects array<string>, classes array<string>, scope string, targets array<string>, `values` array<string>"
 
 
+class Unevaluable(ValueError):
+    """A policy that cannot be read as rules: it must not pass as one that nothing violates."""
+
+
+def _rule(kind: str, rest: list[str]) -> dict:
+    row = {"effects": [], "classes": [], "scope": "", "targets": [], "values": []}
+    if kind in ("forbid", "only"):
+        if "->" not in rest or rest.index("->") in (0, len(rest) - 1):
+            raise Unevaluable("no `a -> b`")
+        arrow = rest.index("->")
+        return row | {"scope": " ".join(rest[:arrow]), "targets": rest[arrow + 1 :]}
+    if kind == "pure":
+        return row | {"scope": rest[0] if rest else ""}
+    if kind == "allow":
+        if len(rest) < 3 or rest[1] != "in":
+            raise Unevaluable("no `E in scope`")
+        return row | {"effects": rest[0].split(","), "scope": rest[2], "values": " ".join(rest[3:]).replace(",", " ").split()}
+    if kind == "accept":
+        return row | {"scope": " ".join(rest)}
+    if kind != "deny":
+        raise Unevaluable(f"unknown rule {kind}")
+    head, rest = (rest[0] if rest else ""), rest[1:]
+    if "[" in head:
+        name, _, classes = head.partition("[")
+        row |= {"effects": [name], "classes": [c for c in classes.rstrip("]").split(",") if c]}
+        if not row["classes"]:
+            raise Unevaluable("no class")
+    else:
+        row["effects"] = [e for e in head.split(",") if e]
+        while rest and rest[0] in (*PALETTE, UNKNOWN):
+            row["effects"].append(rest.pop(0))
+    if not row["effects"] or any(e not in (*PALETTE, UNKNOWN) for e in row["effects"]):
+        raise Unevaluable("no effect that could be denied")
+    return row | {"scope": rest[0] if rest else ""}
+
+
 def parse_policy(spark: SparkSession, text: str) -> DataFrame:
     """Lines `deny Net,Db scope` or `deny Net Db scope`, `deny Unknown[class,..] scope`, `pure scope`, `allow Net in scope a,b`, `forbid a -> b`,
-    `only a -> b c`, `accept ..`; # begins a comment."""
+    `only a -> b c`, `accept name`. # begins a comment, but inside an accepted name only behind a space. A line that is no rule, and a `deny` that could never fail, raise Unevaluable."""
     rows = []
-    for line in text.splitlines():
-        words = line.split("#", 1)[0].split()
+    for number, line in enumerate(text.splitlines(), 1):
+        comment = r"(^|\s)#.*$" if line.split()[:1] == ["accept"] else "#.*$"
+        words = re.sub(comment, "", line).split()
         if not words:
             continue
-        kind, rest = words[0], words[1:]
-        row = {"ordinal": len(rows), "kind": kind, "effects": [], "classes": [], "scope": "", "targets": [], "values": []}
-        if kind in ("forbid", "only"):
-            arrow = rest.index("->")
-            row |= {"scope": " ".join(rest[:arrow]), "targets": rest[arrow + 1 :]}
-        elif kind == "pure":
-            row["scope"] = rest[0] if rest else ""
-        elif kind == "allow":
-            row |= {"effects": rest[0].split(","), "scope": rest[2], "values": " ".join(rest[3:]).replace(",", " ").split()}
-        else:
-            head = rest[0] if rest else ""
-            if "[" in head:
-                name, _, classes = head.partition("[")
-                row |= {"effects": [name], "classes": classes.rstrip("]").split(",")}
-            else:
-                row["effects"] = head.split(",") if head else []
-                while len(rest) > 1 and rest[1] in (*PALETTE, UNKNOWN):
-                    row["effects"].append(rest.pop(1))
-            row["scope"] = rest[1] if len(rest) > 1 else ""
-        rows.append(tuple(row[c] for c in ("ordinal", "kind", "effects", "classes", "scope", "targets", "values")))
+        try:
+            row = _rule(words[0], words[1:])
+        except Unevaluable as e:
+            raise Unevaluable(f"line {number}: {e}") from None
+        rows.append((len(rows), words[0], *(row[c] for c in ("effects", "classes", "scope", "targets", "values"))))
     return spark.createDataFrame(rows, RULE_SCHEMA)
 
 
+def gate(units: DataFrame, text: str) -> int:
+    """The exit code of a policy text over units (fn, inferred[, classes]): 2 if it cannot be evaluated."""
+    try:
+        rules = parse_policy(units.sparkSession, text)
+    except Unevaluable:
+        return exit_code(None)
+    return exit_code(int(not violations(units, rules).isEmpty()))
+
+
 def in_scope(name: Column, scope: Column, separator: str = ".") -> Column:
     """All segments of the scope but the last are equal, the last is a prefix of the name's; from the start of the name. An empty
     scope holds everything."""
@@ -137,9 +170,9 @@ def unverified(units: DataFrame, rules: DataFrame) -> DataFrame:
 
 def what_if(edges: DataFrame, fn: DataFrame, effect: str, units: DataFrame, rules: DataFrame) -> DataFrame:
     """Violations that would be new if the functions in fn gained an effect, which all their callers inherit."""
-    from .graph import callers
+    from .graph import hops_to
 
-    touched = callers(edges, fn).select(F.col("caller").alias("fn")).unionByName(fn.select("fn")).distinct().withColumn("_t", F.lit(True))
+    touched = hops_to(edges, fn).select("fn").withColumn("_t", F.lit(True))
     changed = units.join(touched, "fn", "left").withColumn("inferred", F.when(F.col("_t"), F.array_union("inferred", F.array(F.lit(effect)))).otherwise(F.col("inferred")))
     return violations(changed.drop("_t"), rules).join(violations(units, rules), ["ordinal", "kind", "fn", "effects"], "left_anti")
 

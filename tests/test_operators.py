@@ -287,6 +287,11 @@ def test_scope_and_policy(spark):
     many = P.parse_policy(spark, "\n".join(f"deny Db com.app.d{i}" for i in range(300)) + "\ndeny Db com.app.domain.Us\npure com.app.domain.User.save.x\npure .com\ndeny Net")
     assert {(r.ordinal, r.fn) for r in P.violations(df, many).collect()} == {(300, "com.app.domain.User.save"), (303, "com.app.domain2.X.y"), (303, "com.application.X")}
     assert P.unverified(df, P.parse_policy(spark, "deny Net org")).first().fn == "org.y"
+    for bad in ("deny", "deny nothing", "deny com.app", "deny Unknown[] x", "forbid a b", "forbid -> b", "only a ->", "allow Net x", "permit Net"):
+        assert P.gate(df, f"pure zzz\n{bad}") == 2
+    assert (P.gate(df, "deny Db com.app"), P.gate(df, "deny Fs # none\n# nothing"), P.gate(df, "")) == (1, 0, 0)
+    accepts = P.parse_policy(spark, "accept NAME#1 x # why\ndeny Net Db a#b").collect()
+    assert (accepts[0].scope, accepts[1].scope, accepts[1].effects) == ("NAME#1 x", "a", ["Net", "Db"])
     assert (P.exit_code(0), P.exit_code(3), P.exit_code(None), P.exit_code(0, False)) == (0, 1, 2, 2)
 
 
