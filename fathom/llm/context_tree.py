@@ -268,13 +268,15 @@ def summed_page(group: pa.Table) -> pa.Table:
     return pa.table({**first, "n": pa.array([len(keys)]), "keys": pa.array([_packed(np.diff(keys, prepend=np.uint64(0)))], pa.binary()), "counts": pa.array([_packed(counts.astype(np.uint64))], pa.binary())})
 
 
-def merged_pages(pages: DataFrame, salts: int) -> DataFrame:
-    """At most MERGED pages of each bucket, with the same sums; salts: groups of a bucket's pages."""
+def tree_of(pages: DataFrame, salts: int) -> list[DataFrame]:
+    """The pages, and above them their groups of MERGED summed up, each as a page with the number of its group as `block`, up to at most MERGED pages of each bucket. salts: groups of a bucket's
+    pages."""
+    levels = [pages]
     while salts > 1:
-        pages = pages.groupBy("kind", "bucket", "salt").applyInArrow(summed_page, PAGES)
+        above = levels[-1].groupBy("kind", "bucket", "salt").applyInArrow(summed_page, PAGES)
         salts = -(-salts // MERGED)
-        pages = pages.withColumn("salt", F.pmod("salt", F.lit(salts)))
-    return pages
+        levels.append(above.withColumn("block", F.col("salt")).withColumn("salt", F.pmod("salt", F.lit(salts))))
+    return levels
 
 
 def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -306,7 +308,7 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         return pa.table({"kind": pa.array(np.full(len(s["node"]), kind, np.int32)), **{k: pa.array(v) for k, v in s.items()}})
 
     trained = rows.filter("train").select("text", "train").mapInArrow(of_partition, PAGES)
-    gathered = merged_pages(trained, salts).groupBy("kind", "bucket").applyInArrow(sums, "kind int, node long, n0 double, n1 double, below double")
+    gathered = tree_of(trained, salts)[-1].groupBy("kind", "bucket").applyInArrow(sums, "kind int, node long, n0 double, n1 double, below double")
     got = gathered.groupBy("kind", "node").agg(*[F.sum(c).alias(c) for c in ("n0", "n1", "below")]).toPandas()
     grams, words = got[got.kind == GRAMS].sort_values("node"), got[got.kind == WORDS]
     shallow = Shallow(*[grams[c].to_numpy() for c in ("node", "n0", "n1", "below")])
@@ -321,36 +323,27 @@ def score_documents(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
         distinct, count = summed(keys, counts)
         return distinct, log10_probability(distinct, count, depth, shallow) if kind == GRAMS else count.astype(np.float64)
 
-    def model(group: pa.Table) -> pa.Table:
-        keys, value = valued(*_entries(group), group["kind"][0].as_py())
-        return pa.table({"kind": group["kind"].slice(0, 1), "bucket": group["bucket"].slice(0, 1), "n": pa.array([len(keys)]), "keys": pa.array([_packed(keys)], pa.binary()), "values": pa.array([_packed(value)], pa.binary())})
-
-    def answers(group: pa.Table, models: pa.Table | None) -> pa.Table:
-        keys, counts = _entries(group)
-        if models is None:
-            distinct, value = valued(keys, counts, group["kind"][0].as_py())
-        else:
-            n = models["n"][0].as_py()
-            distinct, value = _unpacked(models["keys"][0].as_py(), n, np.uint64), _unpacked(models["values"][0].as_py(), n, np.float64)
+    def told(group: pa.Table, distinct: np.ndarray, value: np.ndarray, keys: np.ndarray) -> pa.Table:
         value = value[np.searchsorted(distinct, keys)]
         ends = np.cumsum(group["n"].to_numpy())
-        return pa.table({"kind": group["kind"], "block": group["block"], "n": group["n"], "keys": group["keys"], "values": pa.array([_packed(v) for v in np.split(value, ends[:-1])], pa.binary())})
+        return pa.table({**{c: group[c] for c in ("kind", "bucket", "block", "n", "keys")}, "values": pa.array([_packed(v) for v in np.split(value, ends[:-1])], pa.binary())})
 
-    def alone(group: pa.Table) -> pa.Table:
-        return answers(group, None)
+    def valued_pages(group: pa.Table) -> pa.Table:
+        keys, counts = _entries(group)
+        return told(group, *valued(keys, counts, group["kind"][0].as_py()), keys)
 
-    def asked(pages: pa.Table, models: pa.Table) -> pa.Table:
-        """Groups without a page have nothing to be told."""
-        return answers(pages, models) if pages.num_rows else pa.table({"kind": pa.array([], pa.int32()), "block": pa.array([], pa.int64()), "n": pa.array([], pa.int64()), "keys": pa.array([], pa.binary()), "values": pa.array([], pa.binary())})
+    def asked(pages: pa.Table, above: pa.Table) -> pa.Table:
+        """Pages are told by the one page of their group."""
+        n = above["n"][0].as_py()
+        distinct = np.cumsum(_unpacked(above["keys"][0].as_py(), n, np.uint64), dtype=np.uint64)
+        return told(pages, distinct, _unpacked(above["values"][0].as_py(), n, np.float64), _entries(pages)[0])
 
     vocabulary = rows.groupBy("block").applyInArrow(pages, PAGES)
-    answer, key = "kind int, block long, n long, keys binary, values binary", ["kind", "bucket", "salt"]
-    if salts == 1:  # a bucket's pages are one group: their sum needs no journey
-        answered = vocabulary.groupBy("kind", "bucket").applyInArrow(alone, answer)
-    else:
-        models = merged_pages(vocabulary, salts).groupBy("kind", "bucket").applyInArrow(model, "kind int, bucket long, n long, keys binary, values binary")
-        models = models.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))))
-        answered = vocabulary.groupBy(key).cogroup(models.groupBy(key)).applyInArrow(asked, answer)
+    answer, key = "kind int, bucket long, block long, n long, keys binary, values binary", ["kind", "bucket", "salt"]
+    *lower, top = tree_of(vocabulary, salts)
+    answered = top.groupBy("kind", "bucket").applyInArrow(valued_pages, answer)
+    for level in reversed(lower):
+        answered = level.groupBy(key).cogroup(answered.withColumnRenamed("block", "salt").groupBy(key)).applyInArrow(asked, answer)
 
     def scored(group: pa.Table, pages: pa.Table) -> pa.Table:
         tables = []
