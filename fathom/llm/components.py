@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -14,25 +15,32 @@ from .common import discard, materialise, tidy
 EDGES_A_TASK = 500_000
 
 
-def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges of a partition as stars around the least node of each of its components (union-find over ids)."""
-    parent: dict[int, int] = {}
+def roots(a: np.ndarray, b: np.ndarray, n: int) -> np.ndarray:
+    """For each of n nodes the least of its component under the edges (a, b): roots of edges between trees are hooked to the smaller one, and trees flattened, until
+    no edge joins two."""
+    root = np.arange(n)
+    while len(a):
+        low, high = np.minimum(root[a], root[b]), np.maximum(root[a], root[b])
+        apart = low != high
+        a, b = a[apart], b[apart]
+        np.minimum.at(root, high[apart], low[apart])
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    return root
 
-    def root(x: int) -> int:
-        while (up := parent.setdefault(x, x)) != x:
-            parent[x] = parent[up]
-            x = up
-        return x
 
-    for batch in batches:
-        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            a, b = root(a), root(b)
-            if a != b:
-                parent[max(a, b)] = min(a, b)
-    nodes = [x for x in parent if parent[x] != x]
-    for i in range(0, len(nodes), 50_000):
-        part = nodes[i : i + 50_000]
-        yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array([root(x) for x in part], pa.int64())], ["c", "p"])
+def local_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The edges of a partition as stars around the least node of each of its components."""
+    held = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches if batch.num_rows]
+    if not held:
+        return
+    nodes, ends = np.unique(np.concatenate(held, 1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = roots(a, b, len(nodes))
+    low = np.flatnonzero(root != np.arange(len(nodes)))
+    for i in range(0, len(low), 50_000):
+        part = low[i : i + 50_000]
+        yield pa.RecordBatch.from_arrays([pa.array(nodes[part]), pa.array(nodes[root[part]])], ["c", "p"])
 
 
 def _labels(stars: DataFrame) -> DataFrame:

@@ -38,7 +38,6 @@ BITMAP, BITMAP_MOST = 256, 2048
 LIST_BLOCK = 2048
 #: Documents of a list from which on nearest neighbours are linked before all pairs are listed.
 LONG_LIST = 12
-BROADCAST_IDS = 500_000
 #: Files of a table of links.
 SMALL_FILES = 6
 #: How far apart in a sorted list documents are compared.
@@ -359,11 +358,9 @@ def links_and_profiles(docs: DataFrame, k: int, percent: int) -> tuple[DataFrame
 
 
 def verified_links(docs: DataFrame, texts: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
-    """The pairs (a, b) that are similar on their whole texts. texts: those at hand; the rest is fetched from docs, by a broadcast list of
-    ids while that is short."""
+    """The pairs (a, b) that are similar on their whole texts. texts: those at hand; the rest is fetched from docs."""
     wanted = materialise(pairs.select(F.col("a").alias("_key")).unionByName(pairs.select("b").toDF("_key")).distinct().join(texts.select("_key"), "_key", "left_anti"))
-    rest = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted
-    more = materialise(docs.select("_key", "text").join(rest, "_key", "left_semi"))
+    more = materialise(docs.select("_key", "text").join(wanted, "_key", "left_semi"))
     every = texts.select("_key", "text").unionByName(more)
     both = pairs.join(every.toDF("a", "text_a"), "a").join(every.toDF("b", "text_b"), "b").select("a", "b", "text_a", "text_b")
 
