@@ -7,15 +7,17 @@ import uuid
 from pyspark.sql import functions as F
 
 from ..operators import fields as V
+from ..operators import verbs as B
 from ..operators.bags import diff_counters, key_diff
 from ..operators.graph import shared_folder
 from ..sources import annotations as AN
+from ..sources import sinks
 from ..sources import changelog as CL
 from ..sources import store as ST
 from ..sources import transcripts as TR
 from ..sources import workflows as WF
 from .registry import query
-from .views import UNIT_BAG, UNITS, table, unit_bag
+from .views import DIRECT, NAMED, UNIT_BAG, UNITS, direct, named_customers, table, unit_bag
 
 
 def _variants(spark, sf):
@@ -142,3 +144,36 @@ def t09(spark, sf):
         F.when(k % 7 == 4, F.array(F.lit("scan"))).otherwise(F.col("command")).alias("command"),
     )
     return ST.lookup(wanted, root).select("entry", "state", F.coalesce("graph", F.lit("")).alias("graph"))
+
+
+@query("r18_show", f"WITH {NAMED} SELECT x.fn, coalesce(n.effect, '') AS effect, n.c_custkey IS NOT NULL AS known FROM (SELECT DISTINCT fn FROM named WHERE c_acctbal < 0 UNION SELECT 'none.' || CAST(p_partkey AS VARCHAR) FROM part WHERE p_size = 7) x LEFT JOIN named n ON n.fn = x.fn")
+def r18_show(spark, sf):
+    """The records of customers in debt, and of names that no record has."""
+    n = named_customers(spark, sf).withColumn("known", F.lit(True))
+    asked = n.filter("c_acctbal < 0").select("fn").unionByName(table(spark, sf, "part").filter("p_size = 7").select(F.concat(F.lit("none."), F.col("p_partkey").cast("string")).alias("fn")))
+    return B.show(n, asked).select("fn", F.coalesce("effect", F.lit("")).alias("effect"), F.coalesce("known", F.lit(False)).alias("known"))
+
+
+@query("r18_permission_keys", f"WITH {DIRECT}, k AS (SELECT unnest(['Net', 'Db', 'Fs', 'Log', 'Unknown']) AS effect, unnest(['NATION_1', 'NATION_99', 'NATION_2', 'NATION_3', NULL]) AS key), s AS (SELECT key, effect, effect IN (SELECT effect FROM direct) AS r, key IN (SELECT n_name FROM nation) AS d FROM k) SELECT coalesce(key, '') AS key, effect, CASE WHEN key IS NULL THEN 'no key needed' WHEN r AND d THEN 'ok' WHEN r THEN 'under' ELSE 'over' END AS status FROM s WHERE r OR d")
+def r18_keys(spark, sf):
+    """Effects of customers against the names of nations as declared keys."""
+    keys = spark.createDataFrame([("Net", "NATION_1"), ("Db", "NATION_99"), ("Fs", "NATION_2"), ("Log", "NATION_3"), ("Unknown", None)], "effect string, key string")
+    return B.permission_keys(direct(spark, sf), keys, table(spark, sf, "nation").select(F.col("n_name").alias("key"))).withColumn("key", F.coalesce("key", F.lit("")))
+
+
+@query("r19_answered", "SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'yes' WHEN 1 THEN CASE WHEN p_size % 4 = 2 THEN 'no' ELSE 'yes' END WHEN 2 THEN CASE WHEN p_size % 4 IN (0, 2) THEN 'no' ELSE 'yes' END WHEN 3 THEN CASE WHEN p_size % 4 IN (1, 2) THEN 'no' ELSE 'yes' END WHEN 4 THEN CASE WHEN p_size % 4 = 2 THEN 'yes' ELSE 'no' END ELSE 'unknown verb' END AS answer FROM part")
+def r19(spark, sf):
+    pick = lambda c, n, *v: F.element_at(F.array(*[F.lit(x) for x in v]), (F.col(c) % n + 1).cast("int"))
+    asked = table(spark, sf, "part").select("p_partkey", pick("p_partkey", 6, "gate", "show", "rewire", "agents", "privacy-manifest", "dance").alias("verb"), pick("p_size", 4, "JS", "jvm", "Swift", "Executable").alias("backend"))
+    return B.answered(asked).select("p_partkey", "answer")
+
+
+@query(
+    "k10_audit_documents",
+    "WITH r AS (SELECT c_nationkey AS entry, array_to_string(list_sort(list('{\"root\":\"' || c_name || '\",\"verdict\":\"' || CASE WHEN c_acctbal < -500 THEN 'FLAG' ELSE 'OK' END || '\"}')), ',') AS t FROM customer WHERE c_acctbal < 0 GROUP BY 1), l AS (SELECT s_nationkey AS entry, array_to_string(list_sort(list('{\"leaf\":\"' || s_name || '\"}')), ',') AS t FROM supplier GROUP BY 1)"
+    " SELECT coalesce(r.entry, l.entry) AS entry, '{\"roots\":[' || coalesce(r.t, '') || '],\"leaves\":[' || coalesce(l.t, '') || ']}' AS document FROM r FULL JOIN l ON r.entry = l.entry",
+)
+def k10(spark, sf):
+    roots = table(spark, sf, "customer").filter("c_acctbal < 0").select(F.col("c_nationkey").alias("entry"), F.col("c_name").alias("root"), F.when(F.col("c_acctbal") < -500, "FLAG").otherwise("OK").alias("verdict"))
+    leaves = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("entry"), F.col("s_name").alias("leaf"))
+    return sinks.audit_documents(roots, leaves, "entry")

@@ -49,6 +49,15 @@ def findings_document(found: DataFrame, by: str) -> DataFrame:
     return rows.select(by, F.to_json(F.struct(F.lit("2.1.0").alias("version"), F.array(run).alias("runs"))).alias("document"))
 
 
+def audit_documents(roots: DataFrame, leaves: DataFrame, by: str) -> DataFrame:
+    """roots and leaves, rows of any fields with `by` -> (by, document): {"roots": [..], "leaves": [..]} for each value, rows in the order of their JSON text; a value with rows on one side only
+    has an empty list on the other."""
+    rows = lambda df, name: df.groupBy(by).agg(F.array_sort(F.collect_list(F.to_json(F.struct(*[c for c in df.columns if c != by])))).alias(name))
+    both = rows(roots, "roots").join(rows(leaves, "leaves"), by, "full")
+    listed = lambda c: F.concat(F.lit(f'"{c}":['), F.coalesce(F.array_join(c, ","), F.lit("")), F.lit("]"))
+    return both.select(by, F.concat(F.lit("{"), listed("roots"), F.lit(","), listed("leaves"), F.lit("}")).alias("document"))
+
+
 def level_of(rule: F.Column) -> F.Column:
     """Warnings are rule 007 and what speaks of completeness; the rest are errors."""
     return F.when(rule.endswith("007") | rule.startswith("completeness"), "warning").otherwise("error")

@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 
 from fathom.operators import fields as V
 from fathom.operators import registers as R
+from fathom.operators import verbs as B
 from fathom.sources import annotations as AN
 from fathom.sources import changelog as CL
+from fathom.sources import locators as LO
 from fathom.sources import store as ST
 from fathom.sources import transcripts as TR
 from fathom.sources import workflows as WF
@@ -268,3 +270,34 @@ def test_blocked_sessions(spark, tmp_path):
         spark.conf.set("spark.sql.streaming.stateStore.providerClass", before)
     else:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+
+
+def test_locators(spark, tmp_path):
+    for name in ("a/.home/report.x.scan.json", "a/.home/report.x.callgraph.json", "a/b/.home/policy", "a/b/c/file", "p/rep.one.scan.json", "p/rep.two.scan.json", "p/rep.two.gate.json", "p/rep.txt", "p/single.json", "p/odd[1].x.json"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text("{}")
+    at = lambda *names: [f"{tmp_path}/{n}" for n in names]
+    files = lambda *a: [x.removeprefix("file:") for x in LO.report_files(spark, *a)]
+    assert files(f"{tmp_path}/a", ".home") == at("a/.home/report.x.scan.json") and files(f"{tmp_path}/a/b", ".home") == []
+    assert files(f"{tmp_path}/p/single.json", ".home") == at("p/single.json") and files(f"{tmp_path}/p/rep", ".home") == at("p/rep.one.scan.json", "p/rep.two.scan.json")
+    assert files(f"{tmp_path}/p/odd[1]", ".home") == at("p/odd[1].x.json")
+    assert files(None, ".home", f"{tmp_path}/a/b/c") == at("a/.home/report.x.scan.json") and files(None, ".home", f"{tmp_path}/p") == []
+    assert LO.stems(spark, at("p/rep", "p/single", "p/single.json", "p/rep", "p/gone")) == at("p/gone", "p/rep.one.scan", "p/rep.two.scan", "p/single")
+    (tmp_path / "bom.json").write_text("\ufeff{\"a\":1}", encoding="utf-8")
+    (tmp_path / "bad.json").write_text("{")
+    assert LO.read_object(spark, f"{tmp_path}/bom.json") == {"a": 1}
+    for name in ("bad.json", "absent.json", "p"):
+        assert LO.read_object(spark, f"{tmp_path}/{name}", soft=True) is None
+        with pytest.raises(LO.Unreadable):
+            LO.read_object(spark, f"{tmp_path}/{name}")
+
+
+def test_permission_keys(spark):
+    keys = spark.createDataFrame([("Cam", "K1"), ("Mic", "K2"), ("Loc", "K3"), ("Notify", None), ("Off", "K4")], "effect string, key string")
+    reached = spark.createDataFrame([("Cam",), ("Cam",), ("Loc",), ("Notify",), ("Net",)], "effect string")
+    got = B.permission_keys(reached, keys, spark.createDataFrame([("K1",), ("K2",), ("Other",)], "key string"))
+    assert {(r.effect, r.status) for r in got.collect()} == {("Cam", "ok"), ("Mic", "over"), ("Loc", "under"), ("Notify", "no key needed")}
+    assert B.verify_code(got).first()[:] == (1, 1, 1) and B.verify_code(got.filter("status <> 'under'")).first().code == 0
+    with pytest.raises(ValueError):
+        B.permission_keys(reached, keys, None)
+    assert B.capabilities(spark).count() == sum(map(len, B.VERBS.values()))
