@@ -10,6 +10,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: What identifies a report row, from the coarsest to the finest.
+ROW_KEYS = {"fn": ("entry", "fn"), "pkgfn": ("entry", "package", "fn"), "unit": ("entry", "package", "fn", "hash")}
+
+
+def row_key(mode: str) -> list[str]:
+    """The key columns of a mode; a null hash or package is a value like any other."""
+    if mode not in ROW_KEYS:
+        raise ValueError(f"no key mode {mode}")
+    return list(ROW_KEYS[mode])
+
+
 def bag_index(df: DataFrame, key: list[str], value: list[str]) -> DataFrame:
     """Rows by (key, value)."""
     return df.groupBy(*key, *value).agg(F.count("*").alias("n"))

@@ -21,4 +21,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
     return keep
 
 
-from . import audit_queries, bag_queries, effect_queries, graph_queries, order_queries, policy_queries, register_queries, scalar_queries, source_queries  # noqa: E402, F401
+from . import audit_queries, bag_queries, effect_queries, file_queries, graph_queries, order_queries, policy_queries, register_queries, scalar_queries, source_queries  # noqa: E402, F401

@@ -95,8 +95,12 @@ def unit_rows(reports: DataFrame) -> DataFrame:
 def read_call_graph(spark: SparkSession, paths: str | list[str]) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of sidecars {function: [callee, ..]}; a node in several files has the union of its callees, and one without
     any is a node all the same."""
-    text = spark.read.text(paths, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    rows = text.select(F.explode("m").alias("src", "callees"))
+    return call_graph(spark.read.text(paths, wholetext=True))
+
+
+def call_graph(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """files (value: the text of a sidecar) -> (nodes, edges), as read_call_graph()."""
+    rows = files.select(F.explode(F.from_json("value", "map<string,array<string>>")).alias("src", "callees"))
     edges = rows.select("src", F.explode("callees").alias("dst")).distinct()
     return rows.select(F.col("src").alias("fn")).distinct(), edges
 

@@ -23,8 +23,21 @@ def write_tabs(df: DataFrame, path: str, missing: str = "NA") -> None:
     df.write.mode("overwrite").csv(path, sep="\t", nullValue=missing, emptyValue="", header=True)
 
 
+def tab_lines(df: DataFrame, missing: str = "NA") -> DataFrame:
+    """The rows as lines with tabs; tabs and line ends inside a value become spaces, which keeps every row a line."""
+    cell = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"[\t\r\n]", " "), F.lit(missing))
+    return df.select(F.concat_ws("\t", *[cell(c) for c in df.columns]).alias("value"))
+
+
+def write_flips(flips: DataFrame, keyloss: DataFrame, path: str) -> None:
+    """The complete lists of flips and, beside it, of lost join keys; no header, no row left out."""
+    tab_lines(flips).write.mode("overwrite").text(path)
+    tab_lines(keyloss).write.mode("overwrite").text(path + ".keyloss")
+
+
 def append_activity(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Times keep their microseconds, by which turns are ordered."""
+    df.write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(path)
 
 
 def store_by(df: DataFrame, partitions: list[str], path: str) -> None:

@@ -30,6 +30,11 @@ def run_available(stream: DataFrame, checkpoint: str, sink, mode: str = "append"
     return query
 
 
+def append_turns(spark: SparkSession, path: str, checkpoint: str, log: str) -> None:
+    """Log what is new in the folder: one row a turn, however often the job runs. Each batch owns a folder of its number, which a batch that is run again after a failure replaces."""
+    run_available(activity_stream(spark, path), checkpoint, lambda batch, number: batch.write.mode("overwrite").parquet(f"{log}/batch={number}"))
+
+
 def current_blocks(spark: SparkSession, path: str, checkpoint: str, state: str) -> None:
     """The last verdict of each session in a table at `state`: a session that is blocked shows until a later turn is clean.
 
