@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from .graph import HOPS_A_JOB, _fed, _reached, _union, nodes_of, written
 
-#: Components and chains of callers up to which a count is exact, and the size of the sketches beyond (2**LG_SKETCH registers: a standard error of 1.04 / 2**6).
+#: Components and chains of callers up to which they are spelled out, and the size of the sketches beyond (2**LG_SKETCH registers: a standard error of 1.04 / 2**6).
 BOUND, LG_SKETCH = 10_000, 12
 #: Jobs of trimming before chains are looked for: enough for graphs that are shallow, which most are.
 FIRST_TRIM = 6
@@ -124,12 +124,12 @@ def condensed(edges: DataFrame, comps: DataFrame) -> DataFrame:
     return edges.join(side("src"), "src").join(side("dst"), "dst").filter("_src <> _dst").select(F.col("_src").alias("src"), F.col("_dst").alias("dst")).distinct()
 
 
-def blast(edges: DataFrame, bound: int = BOUND) -> DataFrame:
+def blast(edges: DataFrame, bound: int | None = None) -> DataFrame:
     """(fn, blast, approximate): distinct transitive callers of every node; a node counts itself only on a cycle.
 
-    Sets of callers are carried over the graph between the components, chains contracted. A node whose callers are in at most `bound` components and chains is counted exactly. Beyond, sets are
-    no longer spelled out (so that no more than about bound rows a node are ever made) but become sketches that are merged down the graph, and the row says
-    approximate.
+    Sets of callers are carried over the graph between the components, chains contracted, and spelled out for nodes whose callers are in at most BOUND components and chains. Beyond, they
+    are bitmaps, a row for each 32,768 functions, that are merged down the graph: all counts are exact. With a `bound` that takes the place of BOUND, they are sketches instead,
+    and the row says approximate.
     """
     edges = written(edges.select("src", "dst").filter("src IS NOT NULL AND dst IS NOT NULL").distinct())
     comps = written(strong_components(edges))
@@ -168,7 +168,7 @@ def _before(inside: DataFrame, placed: DataFrame) -> DataFrame:
     return state.select("component", "before")
 
 
-def _callers_of(dag: DataFrame, weight: DataFrame, functions: DataFrame, bound: int) -> DataFrame:
+def _callers_of(dag: DataFrame, weight: DataFrame, functions: DataFrame, bound: int | None) -> DataFrame:
     """dag (src, dst) without cycles, weight (node, w), functions (fn, node) -> (node, n, approximate) for the nodes that are called."""
     weighed = weight.select(F.col("node").alias("at"), "w")
     pairs = written(dag.select(F.col("dst").alias("k"), F.col("src").alias("at")))
@@ -178,7 +178,7 @@ def _callers_of(dag: DataFrame, weight: DataFrame, functions: DataFrame, bound:
     while True:
         # Nodes with too many callers are followed no further.
         sums = written(frontier.join(weighed, "at").select("k", F.col("w").alias("n"), F.lit(1).cast("long").alias("rows")).unionByName(sums).groupBy("k").agg(F.sum("n").alias("n"), F.sum("rows").alias("rows")))
-        many = sums.filter(F.col("rows") > bound).select("k")
+        many = sums.filter(F.col("rows") > (BOUND if bound is None else bound)).select("k")
         now, layers = frontier.join(many, "k", "left_anti"), []
         for _ in range(HOPS_A_JOB):
             now = now.join(back, "at").select("k", F.col("to").alias("at")).distinct()
@@ -195,16 +195,44 @@ def _callers_of(dag: DataFrame, weight: DataFrame, functions: DataFrame, bound:
     hot, _ = _reached(many.select(F.lit(0).alias("k"), F.col("k").alias("at"), F.lit(0).alias("hops")), dag.select(F.col("src").alias("at"), F.col("dst").alias("to")))
     hot = written(hot.select(F.col("at").alias("node")))
     exact = sums.join(hot, "node", "left_anti").withColumn("approximate", F.lit(False))
+    if bound is None:
+        return exact.unionByName(_mapped(dag, functions, pairs, hot).withColumn("approximate", F.lit(False)))
     return exact.unionByName(_sketched(dag, functions, pairs, hot).withColumn("approximate", F.lit(True)))
 
 
+def _cold_callers(dag: DataFrame, pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """(node, at): what the cold callers of a hot node add: themselves and their callers, which are few."""
+    cold_in = dag.join(hot.select(F.col("node").alias("dst")), "dst", "left_semi").join(hot.select(F.col("node").alias("src")), "src", "left_anti")
+    return pairs.join(cold_in.select(F.col("src").alias("k"), F.col("dst")), "k").select(F.col("dst").alias("node"), "at").unionByName(cold_in.select(F.col("dst").alias("node"), F.col("src").alias("at"))).distinct()
+
+
+def _mapped(dag: DataFrame, functions: DataFrame, pairs: DataFrame, hot: DataFrame) -> DataFrame:
+    """(node, n) for the hot nodes, which are all that hot nodes reach: bitmaps of what calls them, merged level by level."""
+    numbered = functions.orderBy("fn").select("node", F.monotonically_increasing_id().alias("i"))
+    own = written(numbered.groupBy("node", F.bitmap_bucket_number("i").alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("i")).alias("bits")))
+    merged = lambda rows: rows.groupBy("node", "bucket").agg(F.bitmap_or_agg("bits").alias("bits"))
+    base = written(merged(_cold_callers(dag, pairs, hot).join(own.withColumnRenamed("node", "at"), "at").select("node", "bucket", "bits")))
+    inside = written(dag.join(hot.select(F.col("node").alias("src")), "src", "left_semi").join(hot.select(F.col("node").alias("dst")), "dst", "left_semi"))
+    waiting, above, counts, whole = hot, [base], [], None
+    while True:
+        blocked = inside.join(waiting.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        ready = written(waiting.join(blocked, "node", "left_anti"))
+        if ready.isEmpty():
+            return _union(counts)
+        if whole is not None:
+            # What a finished node and its callers are goes to all that it calls, and is kept until these are merged.
+            above.append(inside.join(whole.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "bucket", "bits"))
+        level = written(merged(_union(above).join(ready, "node", "left_semi")))
+        counts.append(level.groupBy("node").agg(F.sum(F.bitmap_count("bits")).alias("n")))
+        whole = written(merged(level.unionByName(own.join(ready, "node", "left_semi"))))
+        waiting = written(waiting.join(ready, "node", "left_anti"))
+        above = [written(merged(_union(above).join(waiting, "node", "left_semi")))]
+
+
 def _sketched(dag: DataFrame, functions: DataFrame, pairs: DataFrame, hot: DataFrame) -> DataFrame:
     """(node, n) for the hot nodes, which are all that hot nodes reach: sketches of what calls them, merged level by level."""
     own = written(functions.groupBy("node").agg(F.hll_sketch_agg("fn", F.lit(LG_SKETCH)).alias("own")))
-    cold_in = dag.join(hot.select(F.col("node").alias("dst")), "dst", "left_semi").join(hot.select(F.col("node").alias("src")), "src", "left_anti")
-    # What the cold callers of a hot node add: themselves and their callers, which are few.
-    above = pairs.join(cold_in.select(F.col("src").alias("k"), F.col("dst")), "k").select(F.col("dst").alias("node"), "at").unionByName(cold_in.select(F.col("dst").alias("node"), F.col("src").alias("at"))).distinct()
-    base = written(above.join(own.select(F.col("node").alias("at"), "own"), "at").groupBy("node").agg(F.hll_union_agg("own").alias("sketch")))
+    base = written(_cold_callers(dag, pairs, hot).join(own.select(F.col("node").alias("at"), "own"), "at").groupBy("node").agg(F.hll_union_agg("own").alias("sketch")))
     inside = written(dag.join(hot.select(F.col("node").alias("src")), "src", "left_semi").join(hot.select(F.col("node").alias("dst")), "dst", "left_semi"))
     done, levels = None, 0
     while True:

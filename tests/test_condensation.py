@@ -73,3 +73,12 @@ def test_sketches_of_a_wide_graph(spark):
     want = {0: 10_000, 1: 10_000, 2: 10_000, 3: 20_002, 4: 30_004}
     assert {n for n, (_, a) in got.items() if a} == set(want) and got[6] == (1, False) and got[5] == (0, False)
     assert all(abs(got[n][0] - w) < 4 * 1.04 / 64 * w for n, w in want.items())
+
+
+def test_counts_beyond_the_bound_are_exact(spark, monkeypatch):
+    """Without a bound of its own, what is too much to spell out is counted by bitmaps."""
+    monkeypatch.setattr(D, "BOUND", 1)
+    edges = graph(2)
+    _, callers, _ = brute(edges)
+    df = spark.createDataFrame(edges, "src long, dst long")
+    assert {r.fn: (r.blast, r.approximate) for r in D.blast(df).collect()} == {n: (c, False) for n, c in callers.items()}
