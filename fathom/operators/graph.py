@@ -25,11 +25,12 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """A DataFrame written to the shared folder and read back."""
+    """A DataFrame written to the shared folder and read back. It is joined by sorting: packed files look small enough to be broadcast, and a loop would send
+    the same rows through the driver once a hop."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/fathom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(path).hint("merge")
 
 
 def nodes_of(edges: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
@@ -85,7 +86,7 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
-    return out
+    return out.hint("merge")
 
 
 def _fed(steps: DataFrame, most: int | None = None) -> DataFrame:

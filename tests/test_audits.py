@@ -166,3 +166,12 @@ def test_change_detection(spark):
     stamps = spark.createDataFrame([(n, "2026-01-03 00:00:00" if n != "ahead" else "2027-01-01 00:00:00", "s") for n in ("same", "later", "other", "ahead")], "tree string, stamped string, signature string").withColumn("stamped", F.col("stamped").cast("timestamp"))
     got = {r.tree: r.reason for r in X.to_run(now, stamps, "2026-02-01 00:00:00").collect()}
     assert got == {None: "unnamed", "new": "never passed", "later": "modified", "other": "content", "ahead": "future stamp"}
+
+
+def test_loops_send_no_tables_through_the_driver(spark):
+    """Small as they look, what loops have written is joined by sorting."""
+    from fathom.operators.graph import _union, written
+
+    a, b = written(spark.range(5)), written(spark.range(3))
+    for frame in (a.join(b, "id"), spark.range(5).join(_union([a, b]), "id", "left_anti"), spark.range(5).join(b.filter("id > 0"), "id")):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
