@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .graph import _reached, effects_closure, written
 
-SPAN, TARGET, ABOVE = 0, 1, 2
+SPAN, TARGET = 0, 1
 
 
 def violating(edges: DataFrame, direct: DataFrame, layer: DataFrame, denied: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -28,6 +28,12 @@ def violating(edges: DataFrame, direct: DataFrame, layer: DataFrame, denied: Dat
     return carry, bad, written(roots)
 
 
+def _marked(calls: DataFrame, bad: DataFrame) -> DataFrame:
+    """calls (src, dst, effect) with _src and _dst: true where that end violates, else null."""
+    side = lambda end: bad.select(F.col("fn").alias(end), "effect", F.lit(True).alias(f"_{end}"))
+    return calls.join(side("src"), ["src", "effect"], "left").join(side("dst"), ["dst", "effect"], "left")
+
+
 def remedies(edges: DataFrame, direct: DataFrame, layer: DataFrame, denied: DataFrame) -> DataFrame:
     """(effect, root, role, fn), once each. Roles: `site` performs the effect; `span` would be freed of it; `hoist` is a nearest caller that may have it; `higher` a
     caller above those that may have it too; `sandwiched` a caller above those that may not."""
@@ -40,15 +46,18 @@ def remedies(edges: DataFrame, direct: DataFrame, layer: DataFrame, denied: Data
     site = below.select(F.col("at.effect").alias("effect"), F.col("k").alias("root"), F.col("at.fn").alias("fn")).join(direct.select("fn", "effect").distinct(), ["fn", "effect"], "left_semi")
 
     state = lambda n: F.lit(n).alias("state")
-    marked = calls.join(bad.select(F.col("fn").alias("src"), "effect", F.lit(True).alias("_src")), ["src", "effect"], "left").join(bad.select(F.col("fn").alias("dst"), "effect", F.lit(True).alias("_dst")), ["dst", "effect"], "left")
-    inside = marked.filter("_dst").select(node("dst", state(SPAN)).alias("at"), node("src", F.when(F.col("_src"), SPAN).otherwise(TARGET).alias("state")).alias("to"))
-    onward = marked.select(F.explode(F.array(*[F.struct(node("dst", state(s)).alias("at"), node("src", state(ABOVE)).alias("to")) for s in (TARGET, ABOVE)])).alias("s")).select("s.*")
-    up, _ = _reached(roots.select(F.col("fn").alias("k"), node("fn", state(SPAN)).alias("at"), F.lit(0).alias("hops")), inside.unionByName(onward))
+    inside = _marked(calls, bad).filter("_dst").select(node("dst", state(SPAN)).alias("at"), node("src", F.when(F.col("_src"), SPAN).otherwise(TARGET).alias("state")).alias("to"))
+    up, _ = _reached(roots.select(F.col("fn").alias("k"), node("fn", state(SPAN)).alias("at"), F.lit(0).alias("hops")), inside)
     climbed = written(up.select(F.col("at.effect").alias("effect"), F.col("k").alias("root"), F.col("at.fn").alias("fn"), F.col("at.state").alias("state")))
-    named = climbed.filter(F.col("state") != ABOVE).select("effect", "root", F.when(F.col("state") == SPAN, "span").otherwise("hoist").alias("role"), "fn")
-    above = climbed.filter(F.col("state") == ABOVE).drop("state")
+    named = climbed.select("effect", "root", F.when(F.col("state") == SPAN, "span").otherwise("hoist").alias("role"), "fn")
+    # All that calls a target carries the effect too, so that above it plain calls are followed.
+    targets = climbed.filter(F.col("state") == TARGET).drop("state")
+    callers = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"))
+    first = targets.join(callers.withColumnRenamed("at", "fn"), "fn").select(F.struct("effect", "root").alias("k"), F.col("to").alias("at"), F.lit(1).alias("hops")).distinct()
+    over, _ = _reached(first, callers)
+    above = written(over.select("k.effect", "k.root", F.col("at").alias("fn")))
     held = above.join(bad, ["fn", "effect"], "left_semi").select("effect", "root", F.lit("sandwiched").alias("role"), "fn")
-    free = above.join(bad, ["fn", "effect"], "left_anti").join(climbed.filter(F.col("state") == TARGET), ["effect", "root", "fn"], "left_anti").select("effect", "root", F.lit("higher").alias("role"), "fn")
+    free = above.join(bad, ["fn", "effect"], "left_anti").join(targets, ["effect", "root", "fn"], "left_anti").select("effect", "root", F.lit("higher").alias("role"), "fn")
     return site.select("effect", "root", F.lit("site").alias("role"), "fn").unionByName(named).unionByName(held).unionByName(free)
 
 
@@ -56,8 +65,33 @@ def remedy_options(plan: DataFrame) -> DataFrame:
     """remedies() -> (effect, root, clean_hoist, options): a clean hoist has a target and nothing sandwiched above it; otherwise a port is offered in its place. To relax the policy is always an
     option."""
     out = plan.groupBy("effect", "root").agg(F.count_if(F.col("role") == "hoist").alias("targets"), F.count_if(F.col("role") == "sandwiched").alias("held"))
-    clean = (F.col("targets") > 0) & (F.col("held") == 0)
-    return out.select("effect", "root", clean.alias("clean_hoist"), F.when(clean, F.array(F.lit("hoist"), F.lit("relax"))).otherwise(F.array(F.lit("port"), F.lit("relax"))).alias("options"))
+    return _offered(out.withColumn("clean_hoist", (F.col("targets") > 0) & (F.col("held") == 0)))
+
+
+def _offered(roots: DataFrame) -> DataFrame:
+    offer = F.when(F.col("clean_hoist"), F.array(F.lit("hoist"), F.lit("relax"))).otherwise(F.array(F.lit("port"), F.lit("relax")))
+    return roots.select("effect", "root", "clean_hoist", offer.alias("options"))
+
+
+def root_options(edges: DataFrame, direct: DataFrame, layer: DataFrame, denied: DataFrame) -> DataFrame:
+    """remedy_options() of all roots without their plans. What a plan is asked for is carried down the calls, a row for each function and effect: which functions are below a
+    violating one, which violating functions have a target above their span, and which have one that is below a violating function itself."""
+    edges = written(edges.select("src", "dst").distinct())
+    carry, bad, roots = violating(edges, direct, layer, denied)
+    node = lambda fn: F.struct(F.col("effect").alias("effect"), F.col(fn).alias("fn"))
+    calls = written(_marked(edges.join(carry.withColumnRenamed("fn", "dst"), "dst").select("src", "dst", "effect"), bad))
+
+    def below(first: DataFrame, steps: DataFrame) -> DataFrame:
+        found, _ = _reached(first.select(F.lit(0).alias("k"), "at", F.lit(0).alias("hops")).distinct(), steps.select(node("src").alias("at"), node("dst").alias("to")))
+        return written(found.select("at.effect", "at.fn"))
+
+    under = below(calls.filter("_src").select(node("dst").alias("at")), calls)
+    span, exits = calls.filter("_src AND _dst"), calls.filter("_src IS NULL AND _dst")
+    mark = lambda rows, name: rows.select("effect", F.col("fn").alias("root"), F.lit(True).alias(name))
+    hoisted = mark(below(exits.select(node("dst").alias("at")), span), "_h")
+    held = mark(below(exits.join(under.withColumnRenamed("fn", "src"), ["src", "effect"], "left_semi").select(node("dst").alias("at")), span), "_s")
+    out = roots.select("effect", F.col("fn").alias("root")).join(hoisted, ["effect", "root"], "left").join(held, ["effect", "root"], "left")
+    return _offered(out.withColumn("clean_hoist", F.col("_h").isNotNull() & F.col("_s").isNull()))
 
 
 def inheritors(plan: DataFrame) -> DataFrame:

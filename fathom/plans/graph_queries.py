@@ -111,15 +111,15 @@ plan AS (SELECT effect, root, 'site' AS role, fn FROM down SEMI JOIN direct USIN
   UNION ALL SELECT effect, root, 'sandwiched', fn FROM above SEMI JOIN bad USING (fn, effect) UNION ALL SELECT effect, root, 'higher', fn FROM above ANTI JOIN bad USING (fn, effect) ANTI JOIN hoist USING (root, effect, fn))"""
 
 
-def _plan(spark, sf):
+def _layered(spark, sf):
     layer = table(spark, sf, "customer").select(F.col("c_custkey").alias("fn"), F.col("c_nationkey").alias("layer"))
     denied = spark.createDataFrame([(3, "Net"), (7, "Net"), (7, "Fs"), (11, "Net"), (11, "Fs")], "layer long, effect string")
-    return M.remedies(edges(spark, sf), direct(spark, sf), layer, denied)
+    return edges(spark, sf), direct(spark, sf), layer, denied
 
 
 @query("g15_hoist_plan", f"WITH RECURSIVE {EDGES}, {DIRECT}, {HOIST} SELECT * FROM plan")
 def g15(spark, sf):
-    return _plan(spark, sf)
+    return M.remedies(*_layered(spark, sf))
 
 
 @query(
@@ -128,7 +128,7 @@ def g15(spark, sf):
     " FROM root r LEFT JOIN (SELECT DISTINCT root, effect FROM hoist) h ON h.root = r.fn AND h.effect = r.effect LEFT JOIN (SELECT DISTINCT root, effect FROM plan WHERE role = 'sandwiched') s ON s.root = r.fn AND s.effect = r.effect",
 )
 def g15_options(spark, sf):
-    return M.remedy_options(_plan(spark, sf)).withColumn("options", F.array_join("options", ","))
+    return M.root_options(*_layered(spark, sf)).withColumn("options", F.array_join("options", ","))
 
 
 LOOPS = f"""{EDGES}, hop AS (SELECT src, dst FROM edge UNION SELECT c_custkey, c_custkey * 3 + 1 FROM customer WHERE c_custkey % 40 = 7), go AS (SELECT src, dst FROM hop UNION SELECT g.src, h.dst FROM go g JOIN hop h ON h.src = g.dst)"""

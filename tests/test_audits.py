@@ -168,6 +168,23 @@ def test_change_detection(spark):
     assert got == {None: "unnamed", "new": "never passed", "later": "modified", "other": "content", "ahead": "future stamp"}
 
 
+def test_options_without_plans(spark):
+    """The same as the options of the whole plans, loops included."""
+    rng = random.Random(5)
+    names = [f"{layer}.f{i}" for layer in "abc" for i in range(8)]
+    edges = sorted({(rng.choice(names), rng.choice(names)) for _ in range(34)} | {("c.top", "a.leaf"), ("c.top", "a.stem"), ("a.stem", "a.leaf")})
+    names += ["c.top", "a.leaf", "a.stem"]
+    args = (
+        spark.createDataFrame(edges, "src string, dst string"),
+        spark.createDataFrame([(n, x) for n in names for x in ("Net", "Fs") if n == "a.leaf" or rng.random() < 0.15], "fn string, effect string"),
+        spark.createDataFrame([(n, n[0]) for n in names], "fn string, layer string"),
+        spark.createDataFrame([("a", "Net"), ("b", "Fs"), ("b", "Net")], "layer string, effect string"),
+    )
+    rows = lambda df: {(r.effect, r.root, r.clean_hoist, tuple(r.options)) for r in df.collect()}
+    got = rows(M.root_options(*args))
+    assert got == rows(M.remedy_options(M.remedies(*args))) and {c for _, _, c, _ in got} == {True, False}
+
+
 def test_loops_send_no_tables_through_the_driver(spark):
     """Small as they look, what loops have written is joined by sorting."""
     from fathom.operators.graph import _union, written
