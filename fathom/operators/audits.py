@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bare_path
 from .effects import concrete
-from .graph import _reached, _union, closure, written
+from .graph import _reached, _union, between, closure, written
 
 
 
@@ -201,8 +201,7 @@ def probes_read(entries: DataFrame) -> DataFrame:
 
 def only_reaches(edges: DataFrame, source: DataFrame, target: DataFrame, permitted: DataFrame) -> DataFrame:
     """`only A -> B C`: (src, dst) for every function outside `permitted` (and outside the target) and each function of the target that it reaches."""
-    pairs, _ = closure(edges, source.join(permitted, "fn", "left_anti").join(target, "fn", "left_anti"))
-    return pairs.join(target.select(F.col("fn").alias("dst")), "dst", "left_semi").select("src", "dst")
+    return between(edges, source.join(permitted, "fn", "left_anti").join(target, "fn", "left_anti"), target).select("src", "dst")
 
 
 def edge_identical(paths: DataFrame, head_edges: DataFrame) -> DataFrame:

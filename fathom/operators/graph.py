@@ -129,10 +129,19 @@ def next_hops(edges: DataFrame, targets: DataFrame) -> DataFrame:
     return far.join(best, "fn", "left").select("fn", "hops", "next")
 
 
+def between(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
+    """(src, dst, hops) for each function of `sources` (fn) and each of `targets` (fn) that it reaches; the walk starts from whichever are fewer."""
+    sources, targets = (written(x.select("fn").distinct()) for x in (sources, targets))
+    if targets.count() < sources.count():
+        pairs, _ = closure(reversed_edges(edges), targets)
+        return pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "hops").join(sources.select(F.col("fn").alias("src")), "src", "left_semi").select("src", "dst", "hops")
+    pairs, _ = closure(edges, sources)
+    return pairs.join(targets.select(F.col("fn").alias("dst")), "dst", "left_semi").select("src", "dst", "hops")
+
+
 def forbidden(edges: DataFrame, sources: DataFrame, targets: DataFrame) -> DataFrame:
     """(src, dst, hops): functions of `sources` that reach one of `targets` though a rule forbids it."""
-    pairs, _ = closure(edges, sources)
-    return pairs.join(targets.select(F.col("fn").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst", "hops")
+    return between(edges, sources, targets)
 
 
 def effects_closure(edges: DataFrame, direct: DataFrame) -> DataFrame:

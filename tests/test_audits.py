@@ -185,6 +185,15 @@ def test_options_without_plans(spark):
     assert got == rows(M.remedy_options(M.remedies(*args))) and {c for _, _, c, _ in got} == {True, False}
 
 
+@pytest.mark.parametrize("few", ["source", "target"])
+def test_only_reaches_from_either_end(spark, few):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (3, 4), (5, 4), (6, 6)], "src long, dst long")
+    fns = lambda *ns: spark.createDataFrame([(n,) for n in ns], "fn long")
+    source, target = (fns(2), fns(1, 4, 6)) if few == "source" else (fns(1, 2, 3, 5, 6), fns(4))
+    got = sorted(tuple(r) for r in X.only_reaches(edges, source, target, fns(5)).collect())
+    assert got == ([(2, 1), (2, 4)] if few == "source" else [(1, 4), (2, 4), (3, 4)])
+
+
 def test_loops_send_no_tables_through_the_driver(spark):
     """Small as they look, what loops have written is joined by sorting."""
     from fathom.operators.graph import _union, written
