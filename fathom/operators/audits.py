@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bare_path
 from .effects import concrete
-from .graph import _reached, _union, between, closure, written
+from .graph import HOPS_A_JOB, _reached, _union, between, closure, written
 
 
 
@@ -69,59 +69,96 @@ def root_causes(lost: DataFrame, pre_edges: DataFrame, head_edges: DataFrame, pr
     opened first, as what they find explains those above.
     """
     key = ["fn", "effect"]
-    steps = written(pre_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee")).distinct().join(head_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee"), F.lit(True).alias("edge")).distinct(), ["at", "callee"], "left"))
+    steps = pre_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee")).distinct().join(head_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee"), F.lit(True).alias("edge")).distinct(), ["at", "callee"], "left")
     both = pre_effects.select(F.col("fn").alias("callee"), "effect").distinct().join(head_effects.select(F.col("fn").alias("callee"), "effect", F.lit(True).alias("still")).distinct(), ["callee", "effect"], "left")
     both = written(both)
-    steps = written(steps.join(both, "callee").select("at", "callee", "effect", "edge", "still"))
-    own = written(pre_direct.select(F.col("fn").alias("at"), "effect").distinct())
     kind = F.when(F.col("edge").isNull(), "LOSTEDGE").when(F.col("still"), "UNPROPAGATED")
+    steps = written(steps.join(both, "callee").select("at", "callee", "effect", kind.alias("kind")))
+    through = written(steps.filter("kind IS NULL").select("at", "effect", "callee"))
+    own = written(pre_direct.select(F.col("fn").alias("at"), "effect").distinct())
     name = dict(lost.dtypes)["fn"]
+    members = None if unions is None else _members(both)
     frontier = written(lost.select("fn", "effect", F.col("fn").alias("at"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")).distinct())
-    seen, out, deeper = [frontier], [], []
+    seen, out, found, links, opened = [], [], [], [], None
     while True:
-        while not frontier.isEmpty():
-            out.append(frontier.join(own, ["at", "effect"], "left_semi").select("fn", "effect", F.lit("OWN").alias("kind"), F.col("at").alias("root"), F.lit(None).cast(name).alias("callee"), "path"))
-            down = written(frontier.join(steps, ["at", "effect"]).withColumn("kind", kind))
-            out.append(down.filter("kind IS NOT NULL").select("fn", "effect", "kind", F.col("at").alias("root"), "callee", "path"))
-            on = down.filter("kind IS NULL")
-            deeper.append(on.select("fn", "effect", "at", F.col("callee").alias("to")))
-            nxt = on.select("fn", "effect", F.col("callee").alias("at"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.col("callee").cast("string"))).alias("path"))
-            frontier = _unseen(nxt, seen)
+        new = _walked(frontier, seen, through)
+        here = _union(new)
+        down = written(here.join(steps, ["at", "effect"]))
+        out.append(here.join(own, ["at", "effect"], "left_semi").select("fn", "effect", F.lit("OWN").alias("kind"), F.col("at").alias("root"), F.lit(None).cast(name).alias("callee"), "path"))
+        out.append(down.filter("kind IS NOT NULL").select("fn", "effect", "kind", F.col("at").alias("root"), "callee", "path"))
         if unions is None:
             return _union(out)
-        found, visited, links = _union(out), _union(seen), written(_union(deeper).distinct())
-        opened = written(_openable(found, visited, links, unions, both))
+        seen += new
+        found += [rows.select("fn", "effect", F.col("root").alias("at")) for rows in out[-2:]]
+        links.append(down.filter("kind IS NULL").select("fn", "effect", "at", F.col("callee").alias("to")))
+        # A pair that met no union is done, and so is one for which none was opened: the state of the others is all that is looked at again.
+        alive = _union(seen).join(unions.select(F.col("fn").alias("at")).distinct(), "at", "left_semi") if opened is None else opened
+        alive = written(alive.select(*key).distinct())
+        seen, found, links = ([written(_union(parts).join(alive, key, "left_semi").distinct())] for parts in (seen, found, links))
+        opened = written(_openable(found[0], seen[0], links[0], unions, members))
         if opened.isEmpty():
-            return found
-        deeper.append(opened.select("fn", "effect", "at", "to"))
+            return _union(out)
+        links.append(opened.select("fn", "effect", "at", "to"))
+        found.append(opened.select("fn", "effect", "at"))
         out.append(opened.select("fn", "effect", F.lit("UNION").alias("kind"), F.col("at").alias("root"), F.col("to").alias("callee"), "path"))
-        frontier = _unseen(opened.select("fn", "effect", F.col("to").alias("at"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.concat(F.lit("U:"), "to"))).alias("path")), seen)
+        frontier = _unseen(opened.select("fn", "effect", F.col("to").alias("at"), F.lit(0).alias("layer"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.concat(F.lit("U:"), "to"))).alias("path")), seen).drop("layer")
+
+
+def _walked(frontier: DataFrame, seen: list[DataFrame], through: DataFrame) -> list[DataFrame]:
+    """The frontier and all (fn, effect, at, depth, path) behind it that are not seen, each in the first layer that meets it, on the least path of that layer. A job takes
+    HOPS_A_JOB layers: what leads into a place no later than its first layer has its own first layer before, so that places met again change no path."""
+    new, known, now, top = [frontier], [*seen, frontier], frontier, 0
+    while True:
+        layers = []
+        for i in range(1, HOPS_A_JOB + 1):
+            nxt = now.join(through, ["at", "effect"]).select("fn", "effect", F.col("callee").alias("at"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.col("callee").cast("string"))).alias("path"))
+            now = nxt.groupBy("fn", "effect", "at").agg(F.min(F.struct("depth", "path")).alias("b")).select("fn", "effect", "at", "b.depth", "b.path")
+            layers.append(now.withColumn("layer", F.lit(top + i)))
+        top += HOPS_A_JOB
+        fresh = _unseen(_union(layers), known)
+        last = fresh.agg(F.max("layer")).first()[0]
+        if last is None:
+            return new
+        new.append(fresh.drop("layer"))
+        if last < top:
+            return new
+        known.append(new[-1])
+        if len(known) > 8:
+            known = [written(_union(known).select("fn", "effect", "at"))]
+        now = fresh.filter(F.col("layer") == top).drop("layer")
 
 
 def _unseen(nxt: DataFrame, seen: list[DataFrame]) -> DataFrame:
-    """The new (fn, effect, at), each on its least path; appended to seen, which is written anew now and then."""
-    best = nxt.groupBy("fn", "effect", "at").agg(F.min(F.struct("depth", "path")).alias("b")).select("fn", "effect", "at", "b.depth", "b.path")
-    fresh = written(best.join(_union(seen).select("fn", "effect", "at"), ["fn", "effect", "at"], "left_anti"))
-    seen.append(fresh)
-    if len(seen) > 8:
-        seen[:] = [written(_union(seen))]
-    return fresh
+    """The new (fn, effect, at), each on the least path of its first layer."""
+    best = nxt.groupBy("fn", "effect", "at").agg(F.min(F.struct("layer", "depth", "path")).alias("b")).select("fn", "effect", "at", "b.layer", "b.depth", "b.path")
+    return written(best.join(_union([s.select("fn", "effect", "at") for s in seen]), ["fn", "effect", "at"], "left_anti"))
+
 
+def _members(both: DataFrame) -> DataFrame | None:
+    """(to, effect, member): the functions that had an effect and lost it, by what is behind each of their dots."""
+    lost = both.filter("still IS NULL").select(F.col("callee").alias("to"), "effect")
+    if dict(lost.dtypes)["to"] != "string":
+        return None
+    parts = F.split("to", r"\.")
+    ends = lost.select("to", "effect", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("member"))
+    return written(ends.filter("member <> ''"))
 
-def _openable(found: DataFrame, visited: DataFrame, links: DataFrame, unions: DataFrame, both: DataFrame) -> DataFrame:
-    """(fn, effect, at, depth, path, to): visited unions from which nothing was found, with their implementors; of several below each other the last ones."""
+
+def _openable(found: DataFrame, visited: DataFrame, links: DataFrame, unions: DataFrame, members: DataFrame | None) -> DataFrame:
+    """found (fn, effect, at) -> (fn, effect, at, depth, path, to): visited unions from which nothing was found, with their implementors; of several below each other the last ones."""
+    if members is None:
+        return visited.select("fn", "effect", "at", "depth", "path", F.col("at").alias("to")).limit(0)
     place = lambda c: F.struct("fn", "effect", F.col(c).alias("at"))
     up = links.select(place("to").alias("at"), place("at").alias("to"))
-    fruitful, _ = _reached(found.select(F.lit(0).alias("k"), place("root").alias("at"), F.lit(0).alias("hops")).distinct(), up)
+    fruitful, _ = _reached(found.select(F.lit(0).alias("k"), place("at").alias("at"), F.lit(0).alias("hops")).distinct(), up)
     barren = visited.join(unions.select(F.col("fn").alias("at")).distinct(), "at", "left_semi").join(fruitful.select("at.fn", "at.effect", "at.at"), ["fn", "effect", "at"], "left_anti")
-    lost = both.filter("still IS NULL").select(F.col("callee").alias("to"), "effect")
-    ends = lost.select("to", "effect", F.explode(F.transform(F.sequence(F.lit(2), F.size(F.split("to", r"\."))), lambda i: F.array_join(F.slice(F.split("to", r"\."), i, F.size(F.split("to", r"\."))), "."))).alias("member")) if dict(lost.dtypes)["to"] == "string" else None
-    if ends is None:
-        return barren.select("fn", "effect", "at", "depth", "path", F.col("at").alias("to")).limit(0)
-    ends = ends.filter("member <> ''")
     member = F.when(F.contains("at", F.lit(".")), F.regexp_extract("at", r"^[^.]*\.(.*)$", 1))
-    pairs = barren.withColumn("member", member).join(ends, ["member", "effect"]).filter("to <> at").select("fn", "effect", "at", "depth", "path", "to")
+    pairs = barren.withColumn("member", member).join(members, ["member", "effect"]).filter("to <> at").select("fn", "effect", "at", "depth", "path", "to")
     pairs = written(pairs.join(visited.select("fn", "effect", F.col("at").alias("to")), ["fn", "effect", "to"], "left_anti").distinct())
+    if pairs.isEmpty():
+        return pairs
+    # One union above another is above it within the links of a pair that can open one.
+    up = up.join(pairs.select("fn", "effect").distinct(), (F.col("at.fn") == F.col("fn")) & (F.col("at.effect") == F.col("effect")), "left_semi")
     above, _ = _reached(pairs.select(F.lit(0).alias("k"), place("at").alias("at"), F.lit(0).alias("hops")).distinct(), up)
     above = up.join(above.select(F.col("at")), "at").select("to.fn", "to.effect", F.col("to.at").alias("at")).distinct()
     last = pairs.join(above, ["fn", "effect", "at"], "left_anti")

@@ -201,3 +201,15 @@ def test_loops_send_no_tables_through_the_driver(spark):
     a, b = written(spark.range(5)), written(spark.range(3))
     for frame in (a.join(b, "id"), spark.range(5).join(_union([a, b]), "id", "left_anti"), spark.range(5).join(b.filter("id > 0"), "id")):
         assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_root_causes_take_several_calls_a_job(spark, monkeypatch):
+    """A deep loss is followed in few jobs, and to its end."""
+    writes, written = [], X.written
+    monkeypatch.setattr(X, "written", lambda df: writes.append(1) or written(df))
+    names = [f"f{i:02}" for i in range(14)]
+    had = spark.createDataFrame([(n, "Net") for n in names], "fn string, effect string")
+    calls = spark.createDataFrame(list(zip(names, names[1:])), "src string, dst string")
+    out = X.root_causes(had.filter("fn = 'f00'"), calls, calls, had, had.limit(0), had.filter("fn = 'f13'"))
+    assert [(r.kind, r.root, r.path) for r in out.collect()] == [("OWN", "f13", names[1:])]
+    assert len(writes) < 14
