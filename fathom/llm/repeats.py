@@ -8,7 +8,8 @@ piece; a window is stored in exactly one piece. So
 2. anchors that occur once are dropped: none of their windows repeats. Pieces of one class are equal throughout (two different pieces of
    one anchor share a class with a probability of 2**-50, or 2**-40 for the longest windows);
 3. only where one anchor has several classes, the first piece of each class is fetched as text and sent to the anchor's shard,
-   where a suffix structure says which windows are equal (the caller's `equal_windows`);
+   where a suffix structure says which windows are equal (the caller's `equal_windows`), after pieces that have too little in common
+   around their anchor were left out (`sieved`);
 4. pieces of anchors with more than HOT_CLASSES classes are dealt by a longer anchor: half of what a window may reach beyond it is added on the
    side where every window of the piece has it. Where that is as frequent, the anchor is the window itself, and an aggregation
    by the windows' whole content finds the equal ones, which needs no group in one task.
@@ -169,17 +170,55 @@ def fetch(docs: DataFrame, wanted: DataFrame, units: Units, window: int, bits: i
 EqualWindows = Callable[[np.ndarray, np.ndarray, int], tuple[np.ndarray, np.ndarray]]
 
 
-def spans_in_shard(batches: list[pa.RecordBatch], window: int, symbol: type, later_only: bool, equal_windows: EqualWindows) -> pa.RecordBatch:
+def sieved(symbols: np.ndarray, offs: np.ndarray, place: np.ndarray, key: np.ndarray, start: np.ndarray, several: np.ndarray, window: int, gram: int, cuts: int, later_only: bool) -> tuple[np.ndarray, ...]:
+    """Pieces (offs: their bounds in symbols; place: of the anchor) cut by where a window has its anchor: what all windows of a cut share is longer than the anchor. Those
+    that share it with no other hold no repeat and are left out; of cuts that are equal throughout (by a hash of 64 bits) one is left, the first. Returns (piece, first and
+    end window in it, several) of those left, and piece, first and end window of the cuts that equal ones cover as a whole."""
+    hashes, count, width = RangeHash(byte_values(symbols) if symbols.dtype == np.uint8 else symbols), np.diff(offs) - window + 1, window - gram + 1
+    steps = np.linspace(0, width, min(cuts, width) + 1).astype(np.int64)
+    parts = []
+    for low, high in zip(steps[:-1], steps[1:], strict=True):  # the anchor's places in a window
+        a, b = np.maximum(0, place - high + 1), np.minimum(count, place - low + 1)
+        piece = np.flatnonzero(a < b)
+        core = (offs[:-1] + place)[piece]
+        parts.append((piece, a[piece], b[piece], hashes.of(core - low, core - high + 1 + window) + np.uint64(low)))
+    piece, a, b, core = (np.concatenate(c) for c in zip(*parts, strict=True))
+
+    def shared(of: np.ndarray) -> np.ndarray:
+        _, which, n = np.unique(of, return_inverse=True, return_counts=True)
+        return n[which] > 1
+
+    piece, a, b, core = (x[shared(core)] for x in (piece, a, b, core))
+    whole = hashes.of(offs[piece] + a, offs[piece] + b + window - 1)
+    order = np.lexsort((start[piece] + a, key[piece], whole, core))
+    piece, a, b, core, whole = (x[order] for x in (piece, a, b, core, whole))
+    first = np.r_[True, (core[1:] != core[:-1]) | (whole[1:] != whole[:-1])] if len(piece) else np.zeros(0, np.bool_)
+    alone = first & np.r_[first[1:], True] if len(piece) else first
+    done = ~first if later_only else ~alone & ~several[piece]
+    left = np.flatnonzero(first)
+    left = left[shared(core[left])]
+    return piece[left], a[left], b[left], several[piece[left]] | ~alone[left], piece[done], a[done], b[done]
+
+
+def spans_in_shard(batches: list[pa.RecordBatch], window: int, gram: int, cuts: int, symbol: type, later_only: bool, equal_windows: EqualWindows) -> pa.RecordBatch:
     table = pa.Table.from_batches(batches)
-    key, start, several = (table[c].to_numpy() for c in ("_key", "_start", "_several"))
+    key, start, several, place = (table[c].to_numpy() for c in ("_key", "_start", "_several", "_place"))
     data = table["content"].combine_chunks()
     data = data.chunk(0) if isinstance(data, pa.ChunkedArray) else data
     _, offsets, flat = data.buffers()
     offs = np.frombuffer(offsets, np.int32)[data.offset : data.offset + len(data) + 1] // np.dtype(symbol).itemsize
     symbols = np.frombuffer(flat, symbol)[offs[0] : offs[-1]]
-    at, group = equal_windows(symbols, (offs - offs[0]).astype(np.int64), window)
-    piece = np.searchsorted(offs - offs[0], at, side="right") - 1
-    unit = start[piece] + at - (offs[piece] - offs[0])
+    start, offs = start.astype(np.int64), (offs - offs[0]).astype(np.int64)
+    wholly = ([], [], [])
+    if cuts > 1:
+        piece, a, b, several, *whole = sieved(symbols, offs, place.astype(np.int64), key, start, several, window, gram, cuts, later_only)
+        wholly = (key[whole[0]], start[whole[0]] + whole[1], start[whole[0]] + whole[2] + window - 1)
+        key, start, length = key[piece], start[piece] + a, b - a + window - 1
+        base, offs = offs[piece] + a, np.r_[0, np.cumsum(length)]
+        symbols = symbols[np.arange(offs[-1]) + np.repeat(base - offs[:-1], length)]
+    at, group = equal_windows(symbols, offs, window) if len(key) else (offs[:0], offs[:0])
+    piece = np.searchsorted(offs, at, side="right") - 1
+    unit = start[piece] + at - offs[piece]
     if later_only:
         order = np.lexsort((unit, key[piece], group))
         g = group[order]
@@ -191,7 +230,8 @@ def spans_in_shard(batches: list[pa.RecordBatch], window: int, symbol: type, lat
     new = np.r_[True, (p[1:] != p[:-1]) | (u[1:] != u[:-1] + 1)] if len(p) else np.zeros(0, np.bool_)
     first = np.flatnonzero(new)
     last = np.r_[first[1:], len(p)] - 1 if len(first) else first
-    return pa.RecordBatch.from_arrays([pa.array(key[p[first]]), pa.array(u[first].astype(np.int64)), pa.array(u[last].astype(np.int64) + window)], ["_key", "a", "b"])
+    found = (key[p[first]], u[first], u[last] + window)
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(found, wholly, strict=True)], ["_key", "a", "b"])
 
 
 def lengthened(hot: DataFrame, window: int, gram: int, symbol: type) -> DataFrame:
@@ -202,7 +242,7 @@ def lengthened(hot: DataFrame, window: int, gram: int, symbol: type) -> DataFram
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[list] = [[] for _ in range(5)]
+            out: list[list] = [[] for _ in range(6)]
             for shape, key, start, several, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 values = np.frombuffer(content, symbol)
                 count, place = shape >> bits & low, shape & low
@@ -210,13 +250,13 @@ def lengthened(hot: DataFrame, window: int, gram: int, symbol: type) -> DataFram
                 for a, b, lo, hi in ((0, late, place - middle, place + gram), (late, count, place, place + window - middle)):
                     if a < b:
                         piece = values[a : b + window - 1]
-                        row = (int.from_bytes(hashlib.blake2b(values[lo:hi].tobytes(), digest_size=8, salt=b"late" if b == late else b"").digest(), "little", signed=True), key, start + a, several, piece.tobytes())
+                        row = (int.from_bytes(hashlib.blake2b(values[lo:hi].tobytes(), digest_size=8, salt=b"late" if b == late else b"").digest(), "little", signed=True), key, start + a, several, place - a, piece.tobytes())
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
-            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["_hash", "_key", "_start", "_several", "content"])
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int32(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, kinds, strict=True)], ["_hash", "_key", "_start", "_several", "_place", "content"])
 
-    return hot.select("_shape", "_key", "_start", "_several", "content").mapInArrow(tidy(each), "_hash long, _key long, _start int, _several boolean, content binary")
+    return hot.select("_shape", "_key", "_start", "_several", "content").mapInArrow(tidy(each), "_hash long, _key long, _start int, _several boolean, _place int, content binary")
 
 
 def _every_window(pieces: DataFrame, window: int, symbol: type) -> DataFrame:
@@ -233,9 +273,9 @@ def _every_window(pieces: DataFrame, window: int, symbol: type) -> DataFrame:
     return pieces.select("_key", "_start", "_several", "content").mapInArrow(tidy(each), "_key long, _unit long, _several boolean, content binary")
 
 
-def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_only: bool, equal_windows: EqualWindows, raw_bytes: bool, hot_classes: int = HOT_CLASSES) -> DataFrame:
+def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_only: bool, equal_windows: EqualWindows, raw_bytes: bool, hot_classes: int = HOT_CLASSES, cuts: int = 1) -> DataFrame:
     """Spans (_key, a, b) of `docs` (_key, text) covered by windows that start anywhere else, or, with later_only, that start
-    earlier in the order of _key and position. Spans may overlap."""
+    earlier in the order of _key and position. Spans may overlap. cuts: into how many a shard cuts its pieces by the place of their anchor (see sieved()); 1: none."""
     spark, bits = docs.sparkSession, shape_bits(window, gram)
     symbol = np.uint8 if raw_bytes else np.uint64
     counts = describe(docs, units, window, gram, False).groupBy("_hash").agg(F.sum("_n").alias("_n"))
@@ -258,7 +298,8 @@ def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_on
         return whole
     content = fetch(docs, wanted, units, window, bits, raw_bytes)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), int((size[0] or 0) // SHARD_BYTES) + 1)
-    columns, crowded = ["_hash", "_key", "_start", "_several", "content"], None
+    content = content.withColumn("_place", F.col("_shape").bitwiseAND((1 << bits) - 1).cast("int"))
+    columns, crowded = ["_hash", "_key", "_start", "_several", "_place", "content"], None
     if size[1] > hot_classes:
         content = materialise(content)
         longer = materialise(lengthened(content.filter(F.col("_classes") > hot_classes), window, gram, symbol))
@@ -269,9 +310,9 @@ def repeat_spans(docs: DataFrame, units: Units, window: int, gram: int, later_on
 
     def in_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if held := [b for b in batches if b.num_rows]:
-            yield spans_in_shard(held, window, symbol, later_only, equal_windows)
+            yield spans_in_shard(held, window, gram, cuts, symbol, later_only, equal_windows)
 
-    spans = whole.unionByName(shards.select("_key", "_start", "_several", "content").mapInArrow(tidy(in_shard), "_key long, a long, b long"))
+    spans = whole.unionByName(shards.select("_key", "_start", "_several", "_place", "content").mapInArrow(tidy(in_shard), "_key long, a long, b long"))
     if crowded is not None:
         each = materialise(_every_window(crowded, window, symbol))
         groups = each.groupBy("content").agg(F.min(F.struct("_key", "_unit")).alias("_first"), F.count("*").alias("_n")).filter("_n > 1")

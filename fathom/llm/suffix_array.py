@@ -21,7 +21,7 @@ from .repeats import byte_units, covered, keyed, repeat_spans, with_spans
 
 #: Suffixes a bucket, on average, below which they are induced one by one.
 FEW_IN_A_BUCKET = 50
-WINDOW, GRAM = 100, 20
+WINDOW, GRAM, CUTS = 100, 20, 4
 
 
 def suffix_types(t: np.ndarray) -> np.ndarray:
@@ -225,7 +225,7 @@ def remove_later(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, keep_t
     """
     rows = keyed(docs).select("_key", "doc_id", "text")
     extra = {} if hot_classes is None else {"hot_classes": hot_classes}
-    marked = with_spans(rows, repeat_spans(rows, byte_units, window, gram, True, equal_windows, True, **extra))
+    marked = with_spans(rows, repeat_spans(rows, byte_units, window, gram, True, equal_windows, True, cuts=CUTS, **extra))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

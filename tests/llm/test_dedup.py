@@ -2,11 +2,14 @@ import collections
 import hashlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from common_cases import documents, words
 
+from fathom.llm import repeats
 from fathom.llm import suffix_array as sa
 from fathom.llm import suffix_tree as st
+from fathom.llm.common import byte_values
 
 
 def brute_bytes(docs, window):
@@ -67,6 +70,37 @@ def test_equal_windows(find, symbols):
     assert {frozenset(v) for v in found.values()} == expected
 
 
+@pytest.mark.parametrize("symbol,later_only", [(np.uint8, True), (np.uint8, False), (np.uint64, False)])
+def test_shards_sort_only_what_may_repeat(symbol, later_only):
+    """Pieces that share an anchor and little around it are not sorted; the spans are those of all windows compared."""
+    rng, window, gram = np.random.default_rng(4), 20, 4
+    common, passage = (rng.integers(0, 200, n).astype(symbol) for n in (gram, 50))
+    docs = [np.concatenate([rng.integers(0, 200, rng.integers(20, 60)).astype(symbol), common if i % 2 else passage[i % 9 :], rng.integers(0, 200, 40).astype(symbol)]) for i in range(40)]
+    docs += [np.tile(passage[:3], 20), docs[3], passage[5:40], rng.integers(0, 200, 5).astype(symbol)]
+    flat, offs = np.concatenate(docs), np.r_[0, np.cumsum([len(d) for d in docs])]
+    p = repeats.pieces_of(byte_values(flat) if symbol == np.uint8 else flat, offs, window, gram)
+    begin = offs[p["doc"]] + p["start"]
+    content = [flat[a : a + n + window - 1].tobytes() for a, n in zip(begin, p["windows"])]
+    batch = pa.RecordBatch.from_pydict({"_key": p["doc"], "_start": p["start"].astype(np.int32), "_several": np.zeros(len(begin), bool), "_place": p["anchor"].astype(np.int32), "content": pa.array(content, pa.binary())})
+    sorted_units = []
+
+    def find(symbols, bounds, window):
+        sorted_units.append(len(symbols))
+        return sa.equal_windows(symbols, bounds, window) if symbol == np.uint8 else st.equal_windows(symbols, bounds, window)
+
+    seen, want = {}, set()
+    for i, d in enumerate(docs):
+        for x in range(len(d) - window + 1):
+            seen.setdefault(d[x : x + window].tobytes(), []).append((i, x))
+    for starts in seen.values():
+        for i, x in starts[1:] if later_only else starts * (len(starts) > 1):
+            want |= {(i, u) for u in range(x, x + window)}
+    for cuts in (1, 4):
+        got = repeats.spans_in_shard([batch.slice(0, 30), batch.slice(30)], window, gram, cuts, symbol, later_only, find).to_pylist()
+        assert {(r["_key"], u) for r in got for u in range(r["a"], r["b"])} == want
+    assert want and sorted_units[1] < sorted_units[0] / 3
+
+
 @pytest.mark.parametrize("hot", [None, 1])
 def test_remove_later_bytes(spark, hot):
     docs = documents()
