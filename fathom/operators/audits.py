@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import bare_path
 from .effects import concrete
-from .graph import HOPS_A_JOB, _reached, _union, between, closure, written
+from .graph import HOPS_A_JOB, _union, between, closure, written
 
 
 
@@ -68,46 +68,29 @@ def root_causes(lost: DataFrame, pre_edges: DataFrame, head_edges: DataFrame, pr
     name (all behind the first dot) that had the effect and lost it, and the search goes on there (path: `U:` and its name). The unions furthest down are
     opened first, as what they find explains those above.
     """
-    key = ["fn", "effect"]
     steps = pre_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee")).distinct().join(head_edges.select(F.col("src").alias("at"), F.col("dst").alias("callee"), F.lit(True).alias("edge")).distinct(), ["at", "callee"], "left")
     both = pre_effects.select(F.col("fn").alias("callee"), "effect").distinct().join(head_effects.select(F.col("fn").alias("callee"), "effect", F.lit(True).alias("still")).distinct(), ["callee", "effect"], "left")
     both = written(both)
     kind = F.when(F.col("edge").isNull(), "LOSTEDGE").when(F.col("still"), "UNPROPAGATED")
     steps = written(steps.join(both, "callee").select("at", "callee", "effect", kind.alias("kind")))
     through = written(steps.filter("kind IS NULL").select("at", "effect", "callee"))
-    own = written(pre_direct.select(F.col("fn").alias("at"), "effect").distinct())
-    name = dict(lost.dtypes)["fn"]
-    members = None if unions is None else _members(both)
-    frontier = written(lost.select("fn", "effect", F.col("fn").alias("at"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path")).distinct())
-    seen, out, found, links, opened = [], [], [], [], None
-    while True:
-        new = _walked(frontier, seen, through)
-        here = _union(new)
-        down = written(here.join(steps, ["at", "effect"]))
-        out.append(here.join(own, ["at", "effect"], "left_semi").select("fn", "effect", F.lit("OWN").alias("kind"), F.col("at").alias("root"), F.lit(None).cast(name).alias("callee"), "path"))
-        out.append(down.filter("kind IS NOT NULL").select("fn", "effect", "kind", F.col("at").alias("root"), "callee", "path"))
-        if unions is None:
-            return _union(out)
-        seen += new
-        found += [rows.select("fn", "effect", F.col("root").alias("at")) for rows in out[-2:]]
-        links.append(down.filter("kind IS NULL").select("fn", "effect", "at", F.col("callee").alias("to")))
-        # A pair that met no union is done, and so is one for which none was opened: the state of the others is all that is looked at again.
-        alive = _union(seen).join(unions.select(F.col("fn").alias("at")).distinct(), "at", "left_semi") if opened is None else opened
-        alive = written(alive.select(*key).distinct())
-        seen, found, links = ([written(_union(parts).join(alive, key, "left_semi").distinct())] for parts in (seen, found, links))
-        opened = written(_openable(found[0], seen[0], links[0], unions, members))
-        if opened.isEmpty():
-            return _union(out)
-        links.append(opened.select("fn", "effect", "at", "to"))
-        found.append(opened.select("fn", "effect", "at"))
-        out.append(opened.select("fn", "effect", F.lit("UNION").alias("kind"), F.col("at").alias("root"), F.col("to").alias("callee"), "path"))
-        frontier = _unseen(opened.select("fn", "effect", F.col("to").alias("at"), F.lit(0).alias("layer"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array(F.concat(F.lit("U:"), "to"))).alias("path")), seen).drop("layer")
-
-
-def _walked(frontier: DataFrame, seen: list[DataFrame], through: DataFrame) -> list[DataFrame]:
-    """The frontier and all (fn, effect, at, depth, path) behind it that are not seen, each in the first layer that meets it, on the least path of that layer. A job takes
-    HOPS_A_JOB layers: what leads into a place no later than its first layer has its own first layer before, so that places met again change no path."""
-    new, known, now, top = [frontier], [*seen, frontier], frontier, 0
+    own = pre_direct.select(F.col("fn").alias("at"), "effect").distinct().select("at", "effect", F.lit("OWN").alias("kind"), F.lit(None).cast(dict(steps.dtypes)["callee"]).alias("callee"))
+    ends = written(own.unionByName(steps.filter("kind IS NOT NULL").select("at", "effect", "kind", "callee")))
+    lost = written(lost.select("fn", "effect").distinct())
+    seen = _walked(lost, through)
+    opened = []
+    if unions is not None and dict(both.dtypes)["callee"] == "string":
+        more, opened = _through_unions(lost, seen, through, ends, unions, both.filter("still IS NULL").select(F.col("callee").alias("fn"), "effect"))
+        seen = seen + more
+    causes = _union(seen).join(ends, ["at", "effect"]).select("fn", "effect", "kind", F.col("at").alias("root"), "callee", "path")
+    return _union([causes, *[rows.select("fn", "effect", F.lit("UNION").alias("kind"), F.col("at").alias("root"), F.col("to").alias("callee"), "path") for rows in opened]])
+
+
+def _walked(starts: DataFrame, through: DataFrame) -> list[DataFrame]:
+    """All (fn, effect, at, depth, path) behind the starts (fn, effect), each in the first layer that meets it, on the least path of that layer. A job takes HOPS_A_JOB
+    layers: what leads into a place no later than its first layer has its own first layer before, so that places met again change no path."""
+    frontier = starts.select("fn", "effect", F.col("fn").alias("at"), F.lit(0).alias("depth"), F.array().cast("array<string>").alias("path"))
+    new, known, now, top = [frontier], [frontier], frontier, 0
     while True:
         layers = []
         for i in range(1, HOPS_A_JOB + 1):
@@ -128,44 +111,69 @@ def _walked(frontier: DataFrame, seen: list[DataFrame], through: DataFrame) -> l
         now = fresh.filter(F.col("layer") == top).drop("layer")
 
 
+def _through_unions(lost: DataFrame, seen: list[DataFrame], through: DataFrame, ends: DataFrame, unions: DataFrame, gone: DataFrame) -> tuple[list[DataFrame], list[DataFrame]]:
+    """seen: what the search met from lost (fn, effect); gone (fn, effect): all that was lost. -> what it meets behind the unions that it opens (fn, effect, at, depth,
+    path), and the openings (fn, effect, at, depth, path, to).
+
+    A pair opens only unions behind which there is no end. That, which such union is above which, and the walk behind each implementor are the same for every pair, so they are
+    found once; a round then looks up what the openings of the last one lead to. A union above one that the pair has opened has found something.
+    """
+    key = ["fn", "effect"]
+    carriers = written(gone.unionByName(lost).distinct().join(unions.select("fn").distinct(), "fn", "left_semi").withColumn("member", F.when(F.contains("fn", F.lit(".")), F.regexp_extract("fn", r"^[^.]*\.(.*)$", 1))))
+    members = written(_members(gone).join(carriers.select("member", "effect").distinct(), ["member", "effect"], "left_semi"))
+    wanted = written(carriers.select(*key).unionByName(members.select(F.col("to").alias("fn"), "effect")).distinct())
+    others = written(wanted.join(lost, key, "left_anti"))
+    walks = _union(seen).join(wanted, key, "left_semi")
+    if not others.isEmpty():
+        walks = walks.unionByName(_union(_walked(others, through)))
+    walks = written(walks)
+    barren = carriers.join(walks.join(ends, ["at", "effect"], "left_semi").select(*key).distinct(), key, "left_anti")
+    barren = written(barren.select(F.col("fn").alias("at"), "effect", "member"))
+    under = walks.join(barren.select(F.col("at").alias("fn"), "effect"), key, "left_semi").join(through, ["at", "effect"]).select(F.col("fn").alias("at"), "effect", F.col("callee").alias("below"))
+    under = written(under.join(barren.select(F.col("at").alias("below"), "effect"), ["below", "effect"], "left_semi").distinct())
+    nested = not under.isEmpty()
+
+    def above(places: DataFrame) -> DataFrame:
+        """(fn, effect, at): the unions above these places of the same pair."""
+        return places.select(*key, F.col("at").alias("below")).join(under, ["below", "effect"]).select(*key, "at").distinct()
+
+    waiting = written(_union(seen).join(barren, ["at", "effect"]))
+    visited, more, opened = [written(_union(seen).join(waiting.select(*key).distinct(), key, "left_semi").select(*key, "at"))], [], []
+    while True:
+        known = _union([part.select(*key, F.col("at").alias("to")) for part in visited])
+        pairs = waiting.join(members, ["member", "effect"]).filter("to <> at").select(*key, "at", "depth", "path", "to").join(known, [*key, "to"], "left_anti").distinct()
+        last = written(pairs)
+        if last.isEmpty():
+            return more, opened
+        if nested:
+            pairs = last
+            last = pairs.join(above(pairs), [*key, "at"], "left_anti")
+            # Unions that call each other are all above one: there the least goes first.
+            tied = pairs.join(last.select(*key).distinct(), key, "left_anti")
+            last = written(last.unionByName(tied.join(tied.groupBy(*key).agg(F.min("at").alias("at")), [*key, "at"], "left_semi")))
+        opened.append(last)
+        behind = last.join(walks.select(F.col("fn").alias("to"), "effect", F.col("at").alias("place"), F.col("depth").alias("layer"), F.col("path").alias("way")), ["to", "effect"])
+        new = _unseen(behind.select(*key, F.col("place").alias("at"), "layer", (F.col("depth") + 1 + F.col("layer")).alias("depth"), F.concat("path", F.array(F.concat(F.lit("U:"), "to")), "way").alias("path")), visited).drop("layer")
+        more.append(new)
+        visited.append(new.select(*key, "at"))
+        # A pair that opened none is done; of the others' unions those opened, or above one that was, are.
+        done = _union([part.select(*key, "at") for part in opened])
+        done = done.unionByName(above(done)) if nested else done
+        waiting = waiting.unionByName(new.join(barren, ["at", "effect"]).select(waiting.columns)).join(last.select(*key).distinct(), key, "left_semi")
+        waiting = written(waiting.join(done.distinct(), [*key, "at"], "left_anti"))
+
+
 def _unseen(nxt: DataFrame, seen: list[DataFrame]) -> DataFrame:
     """The new (fn, effect, at), each on the least path of its first layer."""
     best = nxt.groupBy("fn", "effect", "at").agg(F.min(F.struct("layer", "depth", "path")).alias("b")).select("fn", "effect", "at", "b.layer", "b.depth", "b.path")
     return written(best.join(_union([s.select("fn", "effect", "at") for s in seen]), ["fn", "effect", "at"], "left_anti"))
 
 
-def _members(both: DataFrame) -> DataFrame | None:
-    """(to, effect, member): the functions that had an effect and lost it, by what is behind each of their dots."""
-    lost = both.filter("still IS NULL").select(F.col("callee").alias("to"), "effect")
-    if dict(lost.dtypes)["to"] != "string":
-        return None
-    parts = F.split("to", r"\.")
-    ends = lost.select("to", "effect", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("member"))
-    return written(ends.filter("member <> ''"))
-
-
-def _openable(found: DataFrame, visited: DataFrame, links: DataFrame, unions: DataFrame, members: DataFrame | None) -> DataFrame:
-    """found (fn, effect, at) -> (fn, effect, at, depth, path, to): visited unions from which nothing was found, with their implementors; of several below each other the last ones."""
-    if members is None:
-        return visited.select("fn", "effect", "at", "depth", "path", F.col("at").alias("to")).limit(0)
-    place = lambda c: F.struct("fn", "effect", F.col(c).alias("at"))
-    up = links.select(place("to").alias("at"), place("at").alias("to"))
-    fruitful, _ = _reached(found.select(F.lit(0).alias("k"), place("at").alias("at"), F.lit(0).alias("hops")).distinct(), up)
-    barren = visited.join(unions.select(F.col("fn").alias("at")).distinct(), "at", "left_semi").join(fruitful.select("at.fn", "at.effect", "at.at"), ["fn", "effect", "at"], "left_anti")
-    member = F.when(F.contains("at", F.lit(".")), F.regexp_extract("at", r"^[^.]*\.(.*)$", 1))
-    pairs = barren.withColumn("member", member).join(members, ["member", "effect"]).filter("to <> at").select("fn", "effect", "at", "depth", "path", "to")
-    pairs = written(pairs.join(visited.select("fn", "effect", F.col("at").alias("to")), ["fn", "effect", "to"], "left_anti").distinct())
-    if pairs.isEmpty():
-        return pairs
-    # One union above another is above it within the links of a pair that can open one.
-    up = up.join(pairs.select("fn", "effect").distinct(), (F.col("at.fn") == F.col("fn")) & (F.col("at.effect") == F.col("effect")), "left_semi")
-    above, _ = _reached(pairs.select(F.lit(0).alias("k"), place("at").alias("at"), F.lit(0).alias("hops")).distinct(), up)
-    above = up.join(above.select(F.col("at")), "at").select("to.fn", "to.effect", F.col("to.at").alias("at")).distinct()
-    last = pairs.join(above, ["fn", "effect", "at"], "left_anti")
-    # Unions that call each other are all above one: there the least goes first.
-    tied = pairs.join(last.select("fn", "effect").distinct(), ["fn", "effect"], "left_anti")
-    first = tied.groupBy("fn", "effect").agg(F.min("at").alias("at"))
-    return last.unionByName(tied.join(first, ["fn", "effect", "at"], "left_semi"))
+def _members(lost: DataFrame) -> DataFrame:
+    """lost (fn, effect) -> (to, effect, member): by what is behind each of their dots."""
+    parts = F.split("fn", r"\.")
+    ends = lost.select(F.col("fn").alias("to"), "effect", F.explode(F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))).alias("member"))
+    return ends.filter("member <> ''")
 
 
 def arm_flips(pre: DataFrame, post: DataFrame) -> DataFrame:

@@ -73,6 +73,26 @@ def _reached(first: DataFrame, steps: DataFrame, most: int | None = None, budget
     return _union(known), False
 
 
+def _spread(first: DataFrame, steps: DataFrame) -> DataFrame:
+    """first (at), steps (at, to) -> (at): all that is reached. As it does not matter from where, steps into what is known are dropped after each job, so that later jobs
+    read few, and nothing that is found was known."""
+    steps = written(steps.select("at", "to").distinct().join(first.select(F.col("at").alias("to")), "to", "left_anti"))
+    known, frontier = [first], first
+    while True:
+        now, layers = frontier, []
+        for i in range(1, HOPS_A_JOB + 1):
+            now = steps.join(now, "at", "left_semi").select(F.col("to").alias("at")).distinct()
+            layers.append(now.withColumn("hop", F.lit(i)))
+        found = written(_union(layers).groupBy("at").agg(F.min("hop").alias("hop")))
+        last = found.agg(F.max("hop")).first()[0]
+        if last is not None:
+            known.append(found.select("at"))
+        if last is None or last < HOPS_A_JOB:
+            return _union(known)
+        frontier = found.filter(F.col("hop") == HOPS_A_JOB).select("at")
+        steps = written(steps.join(found.select(F.col("at").alias("to")), "to", "left_anti"))
+
+
 def closure(edges: DataFrame, starts: DataFrame | None = None, rounds: int | None = None, budget: int | None = None) -> tuple[DataFrame, bool]:
     """(src, dst, hops) for every pair joined by at least one step, with the least number of steps, and whether the budget of
     pairs stopped it; without a budget it runs until no pair is new. starts (fn): only from there."""
@@ -109,8 +129,12 @@ def callers(edges: DataFrame, of: DataFrame) -> DataFrame:
 
 def propagated(edges: DataFrame, facts: DataFrame) -> DataFrame:
     """facts (fn, fact) carried from callee to caller until nothing is new: the least fixpoint of (fn, fact)."""
-    first = facts.select(F.col("fact").alias("k"), F.col("fn").alias("at")).distinct().withColumn("hops", F.lit(0))
-    found, _ = _reached(first, edges.select(F.col("dst").alias("at"), F.col("src").alias("to")))
+    first = written(facts.select(F.col("fact").alias("k"), F.col("fn").alias("at")).distinct().withColumn("hops", F.lit(0)))
+    steps = edges.select(F.col("dst").alias("at"), F.col("src").alias("to"))
+    kinds = [r["k"] for r in first.select("k").distinct().limit(2).collect()]
+    if len(kinds) == 1 and kinds[0] is not None:
+        return _spread(first.select("at"), steps).select(F.col("at").alias("fn"), F.lit(kinds[0]).cast(first.schema["k"].dataType).alias("fact"))
+    found, _ = _reached(first, steps)
     return found.select(F.col("at").alias("fn"), F.col("k").alias("fact"))
 
 

@@ -77,11 +77,12 @@ def g08_union(spark, sf):
     c = table(spark, sf, "customer").select("c_custkey", "c_acctbal")
     name = lambda k: F.concat(F.lit("T"), (F.col(k) % 5).cast("string"), F.lit(".m"), F.expr(f"{k} div 5").cast("string")).alias(k)
     e = edges(spark, sf)
-    head = e.join(c.filter("c_acctbal < 9000").select(F.col("c_custkey").alias("src")), "src", "left_semi").select(name("src"), name("dst"))
+    head = e.join(c.filter("c_acctbal < 9000").select(F.col("c_custkey").alias("src")), "src", "left_semi")
     own = direct(spark, sf).filter("effect = 'Fs'")
-    kept = own.join(c.filter("c_acctbal < 5000").select(F.col("c_custkey").alias("fn")), "fn", "left_semi").select(name("fn"), "effect")
-    e, own = e.select(name("src"), name("dst")), own.select(name("fn"), "effect")
-    before, after = G.effects_closure(e, own), G.effects_closure(head, kept)
+    kept = own.join(c.filter("c_acctbal < 5000").select(F.col("c_custkey").alias("fn")), "fn", "left_semi")
+    # Effects are followed by number, which is shorter; each number has one name.
+    before, after, own = (x.select(name("fn"), "effect") for x in (G.effects_closure(e, own), G.effects_closure(head, kept), own))
+    e, head = (x.select(name("src"), name("dst")) for x in (e, head))
     # What an interface carries comes from its implementors, not from calls of its own.
     union = lambda c: F.col(c).startswith("T0.") & (F.substring(F.col(c), 5, 20).cast("long") % 7 == 0)
     out = X.root_causes(before.join(after, ["fn", "effect"], "left_anti"), e.filter(~union("src")), head, before, after, own.filter(~union("fn")), before.filter(union("fn")).select("fn"))

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fathom.operators import audits as X
+from fathom.operators import graph as G
 from fathom.operators import remedies as M
 
 U = "entry string, fn string, inferred array<string>, classes array<string>"
@@ -213,3 +214,43 @@ def test_root_causes_take_several_calls_a_job(spark, monkeypatch):
     out = X.root_causes(had.filter("fn = 'f00'"), calls, calls, had, had.limit(0), had.filter("fn = 'f13'"))
     assert [(r.kind, r.root, r.path) for r in out.collect()] == [("OWN", "f13", names[1:])]
     assert len(writes) < 14
+
+
+def test_unions_behind_unions_take_few_jobs(spark, monkeypatch):
+    """A union behind the implementor of another is a round of few writes, however deep; a dead end opens all, a found cause none."""
+    writes, written = [], X.written
+    for module in (X, G):
+        monkeypatch.setattr(module, "written", lambda df: writes.append(1) or written(df))
+    n = 6
+    pre = {(f"T1.m{i}", f"T0.m{i + 1}") for i in range(n)} | {("a.start", "T0.m0"), ("b.start", "T0.m2"), ("T0.m4", "c.x"), ("c.x", "T0.m5"), ("T0.m9", "c.own"), ("b.start", "T0.m9")}
+    names = {x for p in pre for x in p} | {f"T1.m{n}", "T2.m1", "T1.m9"}
+    had, own, unions = {(x, "Net") for x in names}, {(f"T1.m{n}", "Net"), ("c.own", "Net")}, {x for x in names if x.startswith("T0")}
+    e, f = "src string, dst string", "fn string, effect string"
+    frame = lambda rows, schema: spark.createDataFrame(sorted(rows), schema)
+    lost = [("a.start", "Net"), ("b.start", "Net")]
+    got = X.root_causes(frame(lost, f), frame(pre, e), frame(pre, e), frame(had, f), frame(had, f).limit(0), frame(own, f), frame([(u,) for u in unions], "fn string")).collect()
+    want = brute_causes(lost, pre, pre, had, set(), own, unions)
+    assert len(got) == len(want) and {(r.fn, r.effect, r.kind, r.root, r.callee, tuple(r.path)) for r in got} == want
+    assert {r.root for r in got if r.kind == "UNION" and r.fn == "a.start"} >= {"T0.m0", "T0.m3", "T0.m5"} and "T0.m9" not in {r.root for r in got if r.kind == "UNION"}
+    assert len(writes) < 60
+
+
+def test_one_fact_drops_steps_into_what_is_known(spark, monkeypatch):
+    """The same as with several facts, cycles included; what is written shrinks."""
+    rng, sizes, written = random.Random(7), [], G.written
+    edges = sorted({(rng.randrange(60), rng.randrange(60)) for _ in range(80)} | {(100 + i, 99 + i) for i in range(1, 11)} | {(100, 3), (110, 104)})
+    e = spark.createDataFrame(edges, "src long, dst long")
+    facts = spark.createDataFrame([(3, "Net"), (7, "Net")], "fn long, fact string")
+    several = G.propagated(e, facts.union(spark.createDataFrame([(999, "Fs")], facts.schema))).filter("fact = 'Net'").collect()
+
+    def counted(df):
+        out = written(df)
+        if "to" in out.columns:
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(G, "written", counted)
+    got = G.propagated(e, facts)
+    assert got.dtypes == facts.dtypes and sorted(map(tuple, got.collect())) == sorted(map(tuple, several)) and len(several) > 12
+    assert len(sizes) > 2 and sizes == sorted(sizes, reverse=True) and sizes[-1] < sizes[0] / 2
+    assert G.propagated(e, facts.limit(0)).isEmpty()
